@@ -26,6 +26,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), limit=4096)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.entropy_mix import mix
 
@@ -48,10 +54,32 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM own WINDOW g AS (PARTITION BY norm)
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
+  FROM words
+), single AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM single x JOIN single y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+)
+SELECT sets.doc_id, len(s) AS n_shingles, c.component_id, sets.doc_id = c.component_id AS kept
+FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = sets.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op10_exact_dedup": OP10_SQL}
