@@ -32,6 +32,12 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), capacity=4096)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.entropy_mix import mix
 
@@ -78,6 +84,7 @@ FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_source_mix": op9_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
