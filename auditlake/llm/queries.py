@@ -32,6 +32,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.packing import pack
 
@@ -84,6 +91,7 @@ FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_source_mix": op9_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
