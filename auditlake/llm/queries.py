@@ -32,6 +32,12 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.toxicity import fit, score
 
@@ -39,6 +45,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5, scale=256)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.packing import pack
 
@@ -88,13 +101,27 @@ SELECT sets.doc_id, len(s) AS n_shingles, c.component_id, sets.doc_id = c.compon
 FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = sets.doc_id
 """
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), one AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
+scored AS (
+  SELECT q.vec_id AS query_id, o.vec_id AS vec_id, CAST(sum(q.x * o.x) AS BIGINT) AS score
+  FROM one q JOIN one o ON q.i = o.i AND q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_source_mix": op9_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op10_exact_dedup": OP10_SQL}
