@@ -58,6 +58,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), capacity=4096)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.secrets import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.entropy_mix import mix
 
@@ -113,6 +119,32 @@ scored AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+def op8_sql() -> str:
+    """The scan of every rule over every text; places from the lengths of matches and of the text between them."""
+    from auditlake.llm.secrets import BASE_RULES, MORE_RULES
+
+    one = []
+    for number, r in enumerate(BASE_RULES + MORE_RULES):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        one.append(f"""
+          SELECT doc_id, {number} AS number, '{r.kind}' AS kind, i, m, g, len(p[i]) >= {r.least} AS fits
+          FROM (SELECT doc_id, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), {pattern}, 0) AS m, regexp_split_to_array(coalesce(text, ''), {pattern}) AS g,
+                   regexp_extract_all(coalesce(text, ''), {pattern}, {r.group}) AS p FROM documents))""")
+    counts = ", ".join(f"count(*) FILTER (WHERE number = {i}) AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    return f"""
+    WITH hit AS ({" UNION ALL ".join(one)}), placed AS (
+      SELECT doc_id, number, kind, list_sum([len(x) FOR x IN g[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i - 1]]), 0) AS a, len(m[i]) AS n FROM hit WHERE fits
+    ), found AS (SELECT doc_id, number, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT) AS span FROM placed),
+    per AS (
+      SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY a, number) AS spans, string_agg(span, ',' ORDER BY a, number) FILTER (WHERE number < {len(BASE_RULES)}) AS base
+      FROM found GROUP BY doc_id
+    )
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents d LEFT JOIN per USING (doc_id)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -120,8 +152,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_source_mix": op9_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op8_secret_scan": op8_sql(), "op10_exact_dedup": OP10_SQL}
