@@ -162,3 +162,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(F.broadcast(facts.drop("rate")), "key")
         .select("doc_id", "row", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).alias("taken"))
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with their own columns.
+
+    Rows of equal id, source and size are told apart by the order of their texts' hashes.
+    """
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            size = [len(t.split()) for t in text_bytes(b.column(names.index(text_col)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size, pa.int64())], names=[*names, "__size"])
+
+    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("__key")]
+    own = docs.mapInArrow(run, docs.withColumn("__size", F.lit(0).cast("long")).schema).select("*", *key)
+    by = ["__id", "__key", "__size"]
+    own = own.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(text_col))))
+    plan = mix(docs, id_col, text_col, source_col, weights, share, cap).where("copies > 0")
+    plan = plan.select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__key"), F.col("size").alias("__size"), "row", "copies"
+    )
+    plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy("row"))).drop("row")
+    return own.join(plan, [*by, "__nth"]).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*names)

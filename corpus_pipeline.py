@@ -5,19 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.common import cut, table
-from auditlake.llm.entropy_mix import mix
+from auditlake.llm.entropy_mix import mixed_documents
+from auditlake.llm.near_dedup import without_near_duplicates
+from auditlake.llm.packing import pack
+from auditlake.llm.queries import WORD_TOKENIZER, tokenizer_path
 from auditlake.llm.quotient_dedup import without_duplicates
+from auditlake.llm.toxicity import fit, without_toxic
+
+#: A document at or above this score goes.
+TOXIC = 0.3
+#: Words of a shingle and percent of similarity at which documents count as near duplicates.
+SHINGLE_WORDS, SIMILAR = 5, 80
+SEQUENCE_TOKENS = 4096
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_toxic(docs, fit(docs, table(spark, sf_dir, "labels")), TOXIC)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_near_duplicates(docs, SHINGLE_WORDS, SIMILAR)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path(WORD_TOKENIZER), SEQUENCE_TOKENS)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", packing)]
+#: Tokenizers, fitted models and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: one for each piece of each document of the mix."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
