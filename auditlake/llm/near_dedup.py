@@ -29,8 +29,8 @@ from auditlake.llm.components import connected_components
 MISS = 0.001
 #: Minimum hashes of a half key.
 ROWS = 2
-#: Rounds in which buckets are compared with their first member.
-STAR_ROUNDS = 2
+#: Rounds in which buckets are compared with one member, another one each time.
+STAR_ROUNDS = 3
 #: Distinct words whose hashes a worker keeps.
 MAX_WORDS = 500_000
 #: Words of 62 bits in the bitmap of sets to fetch; fixed, 1 MB at most.
@@ -201,10 +201,12 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = nodes.join(sets, "node").select("node", "label", "n", "shingles").mapInArrow(run, "node long, label long, n long, s long")
     rare = own.join(own.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s", "left")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "s"))
-    prefix = rare.withColumn("place", place).where(f"place <= n - ceil({percent} * n / 100) + 1 and df is not null").select("node", "label", "n", "s")
+    prefix = rare.withColumn("place", place).where(f"place <= n - ceil({percent} * n / 100) + 1 and df is not null").select("node", "label", "n", "s", "place")
     prefix = cut(prefix, "prefixes")
-    other = prefix.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), "s")
-    pairs = prefix.join(other, "s").where(f"node < b and label <> lb and 100 * least(n, nb) >= {percent} * greatest(n, nb)")
+    other = prefix.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), "s", F.col("place").alias("pb"))
+    # From the first shared shingle on, what is left of both sets must still reach the overlap that the threshold asks.
+    room = f"{100 + percent} * (1 + least(n - place, nb - pb)) >= {percent} * (n + nb)"
+    pairs = prefix.join(other, "s").where(f"node < b and label <> lb and 100 * least(n, nb) >= {percent} * greatest(n, nb) and {room}")
     return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -226,9 +228,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = full_sets(docs, fetched.select("node", "set_hash"), words, text_col)
     labels = fetched.select("node", F.col("node").alias("label"))
     links = None
-    for _ in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS):
         seen = held.join(labels, "node")
-        first = seen.groupBy("bucket").agg(F.min(F.struct("label", "node")).alias("low"), F.max("label").alias("top")).where("top <> low.label")
+        first = seen.groupBy("bucket").agg(F.min(F.struct("label", F.xxhash64("node", F.lit(turn), "bucket"), "node")).alias("low"), F.max("label").alias("top")).where("top <> low.label")
         pairs = seen.join(first, "bucket").where("label <> low.label").select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
         found = verified(pairs, sets, percent)
         links = cut(found if links is None else links.unionByName(found), "links")
