@@ -51,7 +51,9 @@ def runs(values: np.ndarray, counts: np.ndarray, quotient_bits: int) -> Iterator
     shift = np.uint64(BITS - quotient_bits)
     slot = values >> shift
     remainder = values & np.uint64((1 << int(shift)) - 1)
-    starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(values) else []
+    if not len(values):
+        return
+    starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
     for a, b in zip(starts, [*starts[1:], len(values)], strict=True):
         yield int(slot[a]), remainder[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()
 

@@ -58,14 +58,17 @@ def blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
     return rows.mapInArrow(run, "dim int, ids binary, data binary")
 
 
+def whole(m: np.ndarray) -> np.ndarray:
+    """Python integers in place of doubles with whole values, for sums that doubles can't hold."""
+    return np.array([[int(x) for x in row] for row in m], object)
+
+
 def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query, vec, score of the k best rows of each query in one tile, ties to the smaller id; scores are exact."""
     (qi, q), (vi, v) = queries, rows
     bound = np.abs(q).sum(axis=1).max() * np.abs(v).max()
     exact = bound < EXACT
-    scores = q @ v.T if exact else q.astype(object) @ v.T.astype(object)
-    if not exact:
-        scores = np.array([[int(x) for x in row] for row in scores], object)
+    scores = q @ v.T if exact else whole(q) @ whole(v).T
     order = np.argsort(vi, kind="stable")
     scores, vi = scores[:, order], vi[order]
     own = vi[None, :] == qi[:, None]
