@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,9 @@ class FuzzyLexicon:
         return self.ends[at]
 
 
+_SHARED: dict = {}
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]  # terms and stems, and their log odds
@@ -137,6 +141,14 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
+    def __setstate__(self, state: dict) -> None:
+        # In a worker, tasks with the same lexicon share what has been looked up.
+        name = (tuple(sorted(state["weights"].items())), state["stems"], state["clean"])
+        if _SHARED.get("name") != name:
+            _SHARED.clear()
+            _SHARED.update(name=name, cache={})
+        self.__dict__.update(state, cache=_SHARED["cache"])
+
     def lookup(self, word: str) -> tuple[str, int] | None:
         """The term that a word is or misspells, and the errors."""
         lexicon = self.cache.get("lexicon")
@@ -158,9 +170,14 @@ class ToxicityModel:
         words = text.lower().translate(SPLIT).split()
         if len(known) > MAX_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.lookup(w)
-        found = list(map(known.get, words))
+        found = list(map(known.get, words, repeat(False)))
+        if False in found:
+            for i, hit in enumerate(found):
+                if hit is False:
+                    w = words[i]
+                    if w not in known:
+                        known[w] = self.lookup(w)
+                    found[i] = known[w]
         if not any(found):
             return [0.0] * 5
         sums, n = [0.0] * 4, 0
