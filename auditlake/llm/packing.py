@@ -10,8 +10,10 @@ waste are pruned. Documents take their places by rank among those of equal lengt
 
 from __future__ import annotations
 
+import sys
 import zlib
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +33,7 @@ MAX_WORDS = 900_000
 #: Longer words are encoded when met and not kept.
 MAX_WORD = 48
 #: Branches that the search visits, and fillings that it enumerates for one bin. Both bound time, not the result's validity.
-MAX_NODES, MAX_FILLINGS = 4000, 24
+MAX_NODES, MAX_FILLINGS = 400, 8
 #: Parts into which pieces of one length are dealt before they are ranked.
 PARTS = 32
 
@@ -41,6 +43,13 @@ Pattern = tuple[tuple[int, int], ...]  # (length, items), from the largest lengt
 # -- token ids --------------------------------------------------------------------------------------------------------
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordIds:
     """Ids of whole texts, from the ids of their words: the tokenizer drops white space and no merge crosses it.
 
@@ -57,7 +66,7 @@ class WordIds:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [little_endian(x.ids) for x in found]
 
     def words(self, text: bytes) -> list[bytes]:
         """Words between ASCII white space, in ASCII lower case; a text with a special token's string keeps its case."""
@@ -79,7 +88,7 @@ class WordIds:
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = list(map(self.words, texts))
-        missing = {w for words in split for w in words if w not in self.known}
+        missing = {w for w in set().union(*split) if w not in self.known}
         # Learning may begin the table anew; what this batch needs is then learnt with it.
         new = self.learn(missing) if missing else {}
         for words in split:
@@ -161,15 +170,14 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Bins that any packing needs: by the sum, and by items that can't share with what is too large (Martello and Toth)."""
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    for small in sorted({k for k in counts if k <= capacity // 2} | {0}):
-        large = sum(n for k, n in counts.items() if k > capacity - small)
-        mid = [(k, n) for k, n in counts.items() if capacity // 2 < k <= capacity - small]
-        low = sum(k * n for k, n in counts.items() if small <= k <= capacity // 2)
-        room = sum((capacity - k) * n for k, n in mid)
-        best = max(best, large + sum(n for _, n in mid) + max(0, -(-(low - room) // capacity)))
-    return best
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    items, tokens, half = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1)), capacity // 2
+    small = np.arange(half + 1)  # items below this size are left out
+    large, mid = items[-1] - items[half], items[capacity - small] - items[half]
+    low = tokens[half] - np.where(small > 0, tokens[small - 1], 0)
+    room = mid * capacity - (tokens[capacity - small] - tokens[half])
+    return int(max(-(-tokens[-1] // capacity), (large + np.maximum(0, -(-(low - room) // capacity))).max()))
 
 
 def fillings(first: int, counts: dict[int, int], capacity: int, limit: int = MAX_FILLINGS) -> list[Pattern]:
@@ -177,27 +185,32 @@ def fillings(first: int, counts: dict[int, int], capacity: int, limit: int = MAX
 
     A filling is dominated if an unused length that fits could be added, or could replace a smaller chosen item.
     """
-    lengths = [k for k in sorted(counts, reverse=True) if counts[k] and k <= first]
+    lengths = [-k for k in sorted(counts, reverse=True) if counts[k] and k <= first]  # negated: ascending for bisect
     found: dict[Pattern, int] = {}
-    budget = [40 * limit]
-
-    def maximal(chosen: dict[int, int], room: int) -> bool:
-        for k in lengths:
-            if counts[k] > chosen.get(k, 0) and k <= room + max((c for c in chosen if c < k and (c != first or chosen[c] > 1)), default=0):
-                return False
-        return True
+    budget = [20 * limit]
+
+    def spare(low: int, high: int, chosen: dict[int, int]) -> bool:
+        """Whether an unused item has a length in (low, high]."""
+        at = bisect_left(lengths, -high)
+        while at < len(lengths) and -lengths[at] > low:
+            if counts[-lengths[at]] > chosen.get(-lengths[at], 0):
+                return True
+            at += 1
+        return False
 
     def grow(at: int, room: int, chosen: dict[int, int]) -> None:
         if len(found) >= limit or budget[0] <= 0:
             return
         budget[0] -= 1
-        while at < len(lengths) and (lengths[at] > room or counts[lengths[at]] <= chosen.get(lengths[at], 0)):
+        at = max(at, bisect_left(lengths, -room))
+        while at < len(lengths) and counts[-lengths[at]] <= chosen.get(-lengths[at], 0):
             at += 1
         if at == len(lengths) or not room:
-            if maximal(chosen, room):
+            others = [c for c, n in chosen.items() if c != first or n > 1]
+            if not spare(0, room, chosen) and not any(spare(c, c + room, chosen) for c in others):
                 found[tuple(sorted(chosen.items(), reverse=True))] = room
             return
-        k = lengths[at]
+        k = -lengths[at]
         for m in range(min(room // k, counts[k] - chosen.get(k, 0)), -1, -1):
             more = dict(chosen)
             if m:
@@ -221,28 +234,47 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
     best = [sum(n for _, n in incumbent), incumbent]
     bound = lower_bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
-    stack = [(counts, [], 0, 0)]  # what remains, patterns, bins, waste
-    nodes = 0
-    while stack and best[0] > bound and nodes < max_nodes:
-        rest, done, bins, waste = stack.pop()
+    rest, done, bins, waste, nodes = dict(counts), [], 0, 0, 0
+
+    def undo() -> None:
+        nonlocal bins, waste
+        pattern, uses = done.pop()
+        for k, n in pattern:
+            rest[k] = rest.get(k, 0) + n * uses
+        bins -= uses
+        waste -= uses * (capacity - sum(k * n for k, n in pattern))
+
+    # One filling at a time is applied to the remaining counts and taken back, so memory doesn't grow with the search.
+    levels = [iter(fillings(max(rest), rest, capacity))]
+    while levels and best[0] > bound and nodes < max_nodes:
+        pattern = next(levels[-1], None)
+        if pattern is None:
+            levels.pop()
+            if done:
+                undo()
+            continue
         nodes += 1
+        uses = min(rest[k] // n for k, n in pattern)
+        for k, n in pattern:
+            rest[k] -= n * uses
+            if not rest[k]:
+                del rest[k]
+        done.append((pattern, uses))
+        bins += uses
+        waste += uses * (capacity - sum(k * n for k, n in pattern))
         if not rest:
             if bins < best[0]:
-                best = [bins, done]
-            continue
-        # A better solution has at most best - 1 bins, so it may waste no more than this.
-        if waste > (best[0] - 1) * capacity - total:
-            continue
-        tail = best_fit(rest, capacity) if nodes % 8 == 1 else None
-        if tail is not None and bins + (n := sum(x for _, x in tail)) < best[0]:
-            best = [bins + n, done + tail]
-        first = max(rest)
-        children = []
-        for p in fillings(first, rest, capacity):
-            uses = min(rest[k] // n for k, n in p)
-            left = {k: x for k, x in ((k, n - uses * dict(p).get(k, 0)) for k, n in rest.items()) if x}
-            children.append((left, [*done, (p, uses)], bins + uses, waste + uses * (capacity - sum(k * n for k, n in p))))
-        stack += reversed(children)  # the fullest filling first
+                best = [bins, list(done)]
+            undo()
+        elif waste > (best[0] - 1) * capacity - total:
+            # A better solution has at most best - 1 bins, so it can't waste more than this.
+            undo()
+        else:
+            if nodes % 16 == 1:
+                tail = best_fit(rest, capacity)
+                if bins + (n := sum(x for _, x in tail)) < best[0]:
+                    best = [bins + n, [*done, *tail]]
+            levels.append(iter(fillings(max(rest), rest, capacity)))
     return best[1]
 
 
