@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.functions.text import stable_id
+from auditlake.functions.text import sequence_ratio, stable_id
+from auditlake.functions.urls import normalize_url
 
 #: Mapping methods in order of precedence, with their confidence. Fixed values.
 METHODS = (
@@ -16,15 +17,80 @@ METHODS = (
     ("content_similarity_hint", "low"),
 )
 DECISIVE = ("explicit_redirect_map", "explicit_proposed_destination", "observed_redirect")
-#: Code, condition on a joined mapping, category, severity, action. Fixed values.
+#: Code, condition on a joined mapping, category, action, confidence. A condition sees the mapping, the planned row, the
+#: page observed under the old URL (observed_*), the destination (page_*), the old page (old_*) and the page that the
+#: destination's canonical names (c_*). Fixed values.
 FINDINGS = (
-    ("redirect_missing", "planned AND NOT observed", "redirect", "error", "add_redirect"), ("redirect_wrong_destination", "observed AND observed_final <> destination_url", "redirect", "error", "fix_redirect"),
-    ("redirect_temporary", "observed_status IN (302, 307)", "redirect", "warning", "make_redirect_permanent"), ("redirect_status_mismatch", "planned AND observed_status <> expected_status", "redirect", "warning", "fix_redirect"),
-    ("redirect_chain", "observed_hops > 1", "redirect", "warning", "shorten_chain"), ("redirect_loop", "observed_loop", "redirect", "error", "fix_redirect"), ("redirect_to_error", "page_status >= 400", "redirect", "error", "fix_destination"),
-    ("redirect_many_to_one_review", "cardinality = 'many_to_one'", "redirect", "warning", "review_mapping"), ("destination_missing", "NOT page_known", "destination", "error", "create_page"),
-    ("title_missing_at_destination", "page_known AND old_title IS NOT NULL AND new_title IS NULL", "content", "warning", "restore_title"), ("title_changed", "old_title <> new_title", "content", "info", "review_title"),
-    ("canonical_to_source", "page_canonical = source_url", "canonical", "error", "fix_canonical"),
-)
+    ("redirect_missing", "planned AND NOT observed", "redirect", "add_missing_redirect", "high"), ("redirect_wrong_destination", "observed AND observed_final <> destination_url", "redirect", "correct_redirect_destination", "high"),
+    ("redirect_temporary", "observed_status IN (302, 307)", "redirect", "replace_temporary_redirect", "high"), ("redirect_status_mismatch", "planned AND observed_status <> expected_status", "redirect", "correct_redirect_destination", "high"),
+    ("redirect_loop", "observed_loop", "redirect", "resolve_redirect_loop", "high"), ("redirect_chain", "observed_hops > 1", "redirect", "shorten_redirect_chain", "high"), ("redirect_to_error", "page_status >= 400", "redirect", "fix_redirect_to_error", "high"),
+    ("redirect_to_nonindexable", "page_known AND NOT page_indexable", "redirect", "remove_destination_noindex", "high"), ("redirect_to_external", "target_origin NOT IN (source_origin, destination_origin)", "redirect", "correct_redirect_destination", "high"),
+    ("redirect_to_out_of_scope", "target_origin = source_origin", "redirect", "correct_redirect_destination", "high"), ("redirect_query_dropped", "source_url LIKE '%?%' AND destination_url NOT LIKE '%?%'", "redirect", "review_query_string_policy", "high"),
+    ("redirect_many_to_one_review", "cardinality = 'many_to_one'", "redirect", "review_many_to_one_mapping", "medium"), ("redirect_destination_collision", "cardinality = 'many_to_one'", "redirect", "resolve_mapping_conflict", "medium"),
+    ("content_consolidated", "cardinality = 'many_to_one'", "content", "review_many_to_one_mapping", "medium"), ("destination_missing", "NOT page_known", "destination", "restore_missing_destination_page", "high"),
+    ("destination_status_unknown", "page_known AND page_status IS NULL", "destination", "fix_destination_error", "indeterminate"), ("destination_404", "page_status = 404", "destination", "restore_missing_destination_page", "high"),
+    ("destination_410", "page_status = 410", "destination", "restore_missing_destination_page", "high"), ("destination_other_4xx", "page_status BETWEEN 400 AND 499 AND page_status NOT IN (404, 410)", "destination", "fix_destination_error", "high"),
+    ("destination_5xx", "page_status >= 500", "destination", "fix_destination_error", "high"), ("destination_redirecting", "page_status BETWEEN 300 AND 399 OR (page_status < 300 AND page_hops > 0)", "destination", "correct_redirect_destination", "high"),
+    ("destination_non_html", "page_category <> 'html'", "destination", "fix_destination_error", "high"), ("destination_noindex", "page_known AND NOT page_indexable", "destination", "remove_destination_noindex", "high"),
+    ("destination_blocked_by_robots", "page_robots = false", "destination", "review_robots_block", "high"), ("destination_canonical_missing", "page_known AND page_canonical IS NULL", "destination", "correct_destination_canonical", "high"),
+    ("destination_canonical_elsewhere", "page_canonical <> destination_url", "destination", "correct_destination_canonical", "high"), ("source_metadata_unavailable", "page_known AND NOT old_known", "metadata", "review_content_continuity", "indeterminate"),
+    ("content_similarity_indeterminate", "page_known AND NOT old_known", "content", "review_content_continuity", "indeterminate"), ("title_missing_after_migration", "page_known AND old_title IS NOT NULL AND page_title IS NULL", "metadata", "restore_missing_metadata", "high"),
+    ("title_materially_changed", "title_changed", "metadata", "review_material_metadata_change", "medium"), ("canonical_target_changed", "page_known AND old_known AND NOT canonical_same", "metadata", "review_canonical_conflict", "medium"),
+    ("content_type_changed", "old_category <> page_category", "metadata", "review_content_continuity", "high"), ("language_changed", "old_language <> page_language", "metadata", "review_material_metadata_change", "medium"),
+    ("indexability_regression", "page_known AND old_indexable AND NOT page_indexable", "metadata", "review_indexability_regression", "high"), ("canonical_points_to_legacy_url", "page_canonical LIKE concat(source_origin, '%')", "canonical", "review_canonical_conflict", "high"),
+    ("canonical_points_to_wrong_host", "canonical_origin <> destination_origin", "canonical", "correct_destination_canonical", "high"), ("canonical_points_to_redirect", "c_hops > 0", "canonical", "correct_destination_canonical", "high"),
+    ("canonical_points_to_error", "c_status >= 400", "canonical", "correct_destination_canonical", "high"), ("canonical_self_reference_regression", "old_canonical = source_url AND page_known AND (page_canonical IS NULL OR page_canonical <> destination_url)", "canonical", "review_canonical_conflict", "medium"),
+    ("canonical_conflicts_with_redirect", "page_canonical <> destination_url", "canonical", "review_canonical_conflict", "high"), ("canonical_regression", "page_canonical <> destination_url", "metadata", "review_canonical_conflict", "high"),
+    ("destination_noindex_regression", "page_known AND old_indexable AND NOT page_indexable", "indexability", "review_indexability_regression", "high"), ("destination_robots_block_regression", "old_robots AND page_robots = false", "indexability", "review_robots_block", "high"),
+    ("legacy_url_still_indexable", "observed_indexable", "indexability", "review_indexability_regression", "high"), ("duplicate_source_and_destination_indexable", "observed_indexable AND page_known AND page_indexable", "indexability", "review_indexability_regression", "high"),
+)
+ERROR_CODES = frozenset("""redirect_loop redirect_to_error redirect_map_loop destination_404 destination_410 destination_5xx content_missing canonical_points_to_error internal_link_to_broken_destination
+broken_url_in_sitemap image_broken_after_migration structured_data_invalid_after_migration""".split())
+INFO_CODES = frozenset("content_likely_preserved structured_data_format_changed".split())
+#: Sitewide codes and the findings that they count. Fixed values.
+SITEWIDE = {
+    "sitewide_legacy_host_references": ("internal_link_to_legacy_url", "image_legacy_host_reference", "legacy_url_in_destination_sitemap"), "sitewide_staging_host_references": ("internal_link_to_staging_host", "image_staging_host_reference"),
+    "sitewide_redirect_dependency": ("internal_link_to_redirect", "image_redirect_dependency"), "sitewide_redirect_chain_pattern": ("redirect_chain",), "sitewide_temporary_redirect_pattern": ("redirect_temporary",),
+    "sitewide_noindex_regression": ("destination_noindex_regression",), "sitewide_canonical_host_mismatch": ("canonical_points_to_wrong_host",), "sitewide_metadata_loss": ("title_missing_after_migration", "meta_description_missing_after_migration"),
+    "sitewide_sitemap_regression": ("destination_url_missing_from_sitemap", "legacy_url_in_destination_sitemap"), "sitewide_structured_data_loss": ("structured_data_removed",),
+    "sitewide_image_host_regression": ("image_legacy_host_reference", "image_staging_host_reference"), "sitewide_unmapped_source_urls": ("mapping_unmapped",),
+    "sitewide_destination_errors": ("destination_404", "destination_410", "destination_other_4xx", "destination_5xx"),
+}
+MATERIAL_CHANGE, SITEWIDE_RATIO, SMALL_INVENTORY = 0.35, 0.2, 10
+STAGING_LABELS = ("staging", "stage", "dev", "development", "test", "preview")
+
+
+def severity_of(code: str) -> str:
+    return "error" if code in ERROR_CODES else "info" if code in INFO_CODES else "warning"
+
+
+def origin_of(url: str) -> Column:
+    return F.regexp_extract(url, "^([a-z]+://[^/?#]+)", 1)
+
+
+def inventory_states(rows: DataFrame, origin: str) -> DataFrame:
+    """seq, state, normalized, proposed of an inventory (seq, raw, proposed): the first row of a URL stays valid, later ones are duplicates, and
+    all rows of a URL with different destinations are in conflict."""
+    own = rows.withColumn("u", normalize_url("raw")).select("seq", "raw", "proposed", F.col("u.normalized").alias("normalized"), F.col("u.origin").alias("origin"), F.col("u.error_code").alias("error_code"))
+    per = own.where("normalized is not null").groupBy("normalized").agg(F.min("seq").alias("first"), F.countDistinct(F.coalesce("proposed", F.lit(""))).alias("ways"))
+    joined = own.join(per, "normalized", "left")
+    state = F.when(F.col("error_code").isNotNull(), "invalid").when(F.col("origin") != origin, "out_of_scope").when(F.col("ways") > 1, "conflict").when(F.col("seq") > F.col("first"), "duplicate").otherwise("valid")
+    return joined.select("seq", state.alias("state"), "normalized", "proposed")
+
+
+def planned_graph(planned: DataFrame, most: int = 64) -> DataFrame:
+    """source_url, diagnostic (redirect_map_loop, redirect_map_chain or null) by following planned destinations, a join a step.
+
+    Steps double: after n rounds a pointer has followed 2**n destinations, so long chains take few joins.
+    """
+    step = planned.groupBy("source_url").agg(F.max("destination_url").alias("to")).withColumn("hops", F.lit(1).cast("long"))
+    at = 1
+    while at < most:
+        far = step.select(F.col("source_url").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        step = step.join(far, "to", "left").select("source_url", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        at *= 2
+    # A pointer that still has a destination after more steps than there can be rows in a chain goes around.
+    return step.select("source_url", F.when(F.col("hops") >= most, "redirect_map_loop").when(F.col("hops") > 1, "redirect_map_chain").alias("diagnostic"))
 
 
 def mappings(sources: DataFrame, planned: DataFrame, old_pages: DataFrame, new_pages: DataFrame, source_origin: str, destination_origin: str) -> DataFrame:
@@ -73,20 +139,90 @@ def mappings(sources: DataFrame, planned: DataFrame, old_pages: DataFrame, new_p
     return joined.select("source_url", "destination_url", "method", "confidence", "state", kind.alias("cardinality"))
 
 
-def findings(mapped: DataFrame, planned: DataFrame, old_pages: DataFrame, new_pages: DataFrame) -> DataFrame:
-    """source_url, destination_url, code, category, severity. planned: also expected_status; pages: also http_status, redirect_count, redirect_loop."""
+def findings(mapped: DataFrame, planned: DataFrame, old_pages: DataFrame, new_pages: DataFrame, source_origin: str, destination_origin: str) -> DataFrame:
+    """source_url, destination_url, code, category, severity, action, confidence of every mapping with a destination.
+
+    planned: also expected_status. pages: page_id, url, final_url, canonical_url, title, http_status, redirect_count,
+    redirect_loop, category, language, robots_allowed, indexable.
+    """
     once = planned.groupBy("source_url").agg(F.count(F.lit(1)).alias("n"), F.min("expected_status").alias("expected_status")).where("n = 1").select("source_url", "expected_status", F.lit(True).alias("planned_"))
     # A page answers under the URL asked for and under the one it ended at; the later row stands.
     pages = new_pages.select("*", F.explode(F.array_distinct(F.array_compact(F.array("url", "final_url")))).alias("key"))
     pages = pages.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("page_id")))).where("place = 1")
-    seen = pages.select(F.col("key").alias("source_url"), F.lit(True).alias("observed_"), F.col("final_url").alias("observed_final"), F.col("http_status").alias("observed_status"), F.col("redirect_count").alias("observed_hops"), F.col("redirect_loop").alias("observed_loop"))
-    at = pages.select(F.col("key").alias("destination_url"), F.lit(True).alias("page_known_"), F.col("http_status").alias("page_status"), F.col("title").alias("new_title"), F.col("canonical_url").alias("page_canonical"))
-    before = old_pages.select(F.col("url").alias("source_url"), F.col("title").alias("old_title"))
-    own = mapped.where("destination_url is not null").join(once, "source_url", "left").join(seen, "source_url", "left").join(at, "destination_url", "left").join(before, "source_url", "left")
-    own = own.withColumns({n: F.coalesce(f"{n}_", F.lit(False)) for n in ("planned", "observed", "page_known")})
-    fields = lambda code, category, severity, action: F.struct(*(F.lit(v).alias(n) for n, v in (("code", code), ("category", category), ("severity", severity), ("action", action))))
-    hit = F.array_compact(F.array(*(F.when(F.expr(c), fields(code, k, s, a)) for code, c, k, s, a in FINDINGS)))
-    return own.select("source_url", "destination_url", "confidence", F.explode(hit).alias("f")).select("source_url", "destination_url", "confidence", "f.*")
+    seen = pages.select(
+        F.col("key").alias("source_url"), F.lit(True).alias("observed_"), F.col("final_url").alias("observed_final"), F.col("http_status").alias("observed_status"), F.col("redirect_count").alias("observed_hops"), F.col("redirect_loop").alias("observed_loop"),
+        F.col("indexable").alias("observed_indexable"),
+    )
+    at = pages.select(
+        F.col("key").alias("destination_url"), F.lit(True).alias("page_known_"), F.col("http_status").alias("page_status"), F.col("title").alias("page_title"), F.col("canonical_url").alias("page_canonical"), F.col("category").alias("page_category"),
+        F.col("language").alias("page_language"), F.col("robots_allowed").alias("page_robots"), F.col("indexable").alias("page_indexable"), F.col("redirect_count").alias("page_hops"),
+    )
+    named = pages.select(F.col("key").alias("page_canonical"), F.col("http_status").alias("c_status"), F.col("redirect_count").alias("c_hops"))
+    before = old_pages.select(
+        F.col("url").alias("source_url"), F.lit(True).alias("old_known_"), F.col("title").alias("old_title"), F.col("canonical_url").alias("old_canonical"), F.col("category").alias("old_category"), F.col("language").alias("old_language"),
+        F.col("robots_allowed").alias("old_robots"), F.col("indexable").alias("old_indexable"),
+    )
+    own = mapped.where("destination_url is not null").drop("confidence").join(once, "source_url", "left").join(seen, "source_url", "left").join(at, "destination_url", "left").join(before, "source_url", "left").join(named, "page_canonical", "left")
+    own = own.withColumns({n: F.coalesce(f"{n}_", F.lit(False)) for n in ("planned", "observed", "page_known", "old_known")})
+    both = F.col("old_title").isNotNull() & F.col("page_title").isNotNull() & (F.col("old_title") != F.col("page_title"))
+    own = own.withColumns({
+        "source_origin": F.lit(source_origin), "destination_origin": F.lit(destination_origin), "target_origin": origin_of("destination_url"), "canonical_origin": origin_of("page_canonical"),
+        "canonical_same": F.col("old_canonical").eqNullSafe(F.col("page_canonical")), "title_changed": both & (sequence_ratio(F.when(both, F.col("old_title")), F.when(both, F.col("page_title"))) < 1 - MATERIAL_CHANGE),
+    })
+    fields = lambda code, category, action, trust: F.struct(*(F.lit(v).alias(n) for n, v in (("code", code), ("category", category), ("severity", severity_of(code)), ("action", action), ("confidence", trust))))
+    hit = F.array_compact(F.array(*(F.when(F.expr(c), fields(code, k, a, t)) for code, c, k, a, t in FINDINGS)))
+    return own.select("source_url", "destination_url", F.explode(hit).alias("f")).select("source_url", "destination_url", "f.*")
+
+
+def link_findings(links: DataFrame, pages: DataFrame, source_origin: str, destination_origin: str) -> DataFrame:
+    """page_id, target, code: links of the new site that lead to old, moved, broken, staging or foreign addresses. links: page_id, target."""
+    status = pages.select(F.col("url").alias("target"), "http_status", "redirect_count")
+    own = links.join(status, "target", "left").withColumn("origin", origin_of("target"))
+    host = F.split(F.regexp_extract("origin", "://([^:/]+)", 1), "[.]")
+    tests = (
+        ("internal_link_to_legacy_url", F.col("origin") == source_origin), ("internal_link_to_redirect", F.col("redirect_count") > 0), ("internal_link_to_broken_destination", F.col("http_status") >= 400),
+        ("internal_link_to_staging_host", F.arrays_overlap(host, F.array(*map(F.lit, STAGING_LABELS)))), ("internal_link_host_mismatch", ~F.col("origin").isin(source_origin, destination_origin)),
+    )
+    return own.select("page_id", "target", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests)))).alias("code"))
+
+
+def unlinked_targets(old_links: DataFrame, mapped: DataFrame, new_links: DataFrame) -> DataFrame:
+    """source_url, destination_url: pages that the old site linked to and the new one doesn't (an anti join)."""
+    wanted = old_links.select(F.col("target").alias("source_url")).distinct().join(mapped.select("source_url", "destination_url"), "source_url").where("destination_url is not null")
+    return wanted.join(new_links.select(F.col("target").alias("destination_url")).distinct(), "destination_url", "left_anti").select("source_url", "destination_url")
+
+
+def sitemap_findings(entries: DataFrame, mapped: DataFrame, pages: DataFrame, source_origin: str, destination_origin: str) -> DataFrame:
+    """url, code of the new sitemap (entries: url) and of mapped destinations that it lacks."""
+    own = entries.join(pages.select("url", "http_status", "redirect_count", "indexable", "canonical_url"), "url", "left").withColumn("origin", origin_of("url"))
+    tests = (
+        ("legacy_url_in_destination_sitemap", F.col("origin") == source_origin), ("redirecting_url_in_sitemap", F.col("redirect_count") > 0), ("broken_url_in_sitemap", F.col("http_status") >= 400), ("nonindexable_url_in_sitemap", ~F.col("indexable")),
+        ("canonical_conflict_in_sitemap", F.col("canonical_url") != F.col("url")), ("sitemap_host_mismatch", ~F.col("origin").isin(source_origin, destination_origin)),
+    )
+    found = own.select("url", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests)))).alias("code"))
+    absent = mapped.where("destination_url is not null").select(F.col("destination_url").alias("url")).distinct().join(entries.select("url"), "url", "left_anti")
+    return found.unionByName(absent.select("url", F.lit("destination_url_missing_from_sitemap").alias("code")))
+
+
+def image_findings(mapped: DataFrame, old_images: DataFrame, new_images: DataFrame) -> DataFrame:
+    """source_url, src, code: images (page_url, src, alt) of old pages that the new page lacks or shows with another text."""
+    was = mapped.where("destination_url is not null").select("source_url", "destination_url").join(old_images.select(F.col("page_url").alias("source_url"), "src", F.col("alt").alias("old_alt")), "source_url")
+    now = new_images.groupBy(F.col("page_url").alias("destination_url"), "src").agg(F.min("alt").alias("alt"), F.lit(True).alias("here"))
+    own = was.join(now, ["destination_url", "src"], "left")
+    code = F.when(F.col("here").isNull(), "image_missing_after_migration").when(F.col("old_alt").isNotNull() & F.col("alt").isNull(), "image_alt_missing_after_migration").when(F.col("old_alt") != F.col("alt"), "image_alt_materially_changed")
+    return own.select("source_url", "src", code.alias("code")).where("code is not null")
+
+
+def structured_findings(mapped: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame) -> DataFrame:
+    """source_url, code: structured data (page_url, type, format, error) that is gone, of other types, formats or invalid."""
+    listed = lambda df, c: df.groupBy(F.col("page_url").alias(c)).agg(F.array_sort(F.collect_set("type")).alias("types"), F.array_sort(F.collect_set("format")).alias("formats"), F.count_if(F.col("error").isNotNull()).alias("bad"))
+    was = listed(old_blocks, "source_url").select("source_url", F.col("types").alias("old_types"), F.col("formats").alias("old_formats"))
+    own = mapped.where("destination_url is not null").select("source_url", "destination_url").join(was, "source_url").join(listed(new_blocks, "destination_url"), "destination_url", "left")
+    tests = (
+        ("structured_data_removed", F.col("types").isNull()), ("structured_data_type_changed", F.size(F.array_except("old_types", "types")) > 0), ("structured_data_format_changed", (F.size(F.array_except("old_types", "types")) == 0) & (F.col("old_formats") != F.col("formats"))),
+        ("structured_data_invalid_after_migration", F.col("bad") > 0),
+    )
+    return own.select("source_url", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests)))).alias("code"))
 
 
 def recommendations(found: DataFrame) -> DataFrame:
@@ -97,12 +233,48 @@ def recommendations(found: DataFrame) -> DataFrame:
     return own.select("action", "destination_url", "sources", "worst", "least_confidence", stable_id("action", "destination_url", separator=31).alias("recommendation_id"))
 
 
-def sitewide(found: DataFrame, mapped: DataFrame, ratio: float = 0.1) -> DataFrame:
-    """code, urls, threshold of codes that so many mapped URLs show: at least two, and the ratio rounded up."""
-    total = mapped.agg(F.count(F.lit(1)).alias("n"))
-    own = found.groupBy("code").agg(F.countDistinct("source_url").alias("urls")).crossJoin(F.broadcast(total))  # one row
-    limit = F.greatest(F.lit(2), F.floor(F.col("n") * ratio + 0.999999)).cast("int")
-    return own.where(F.col("urls") >= limit).select("code", "urls", limit.alias("threshold"))
+def sitewide(found: DataFrame, mapped: DataFrame, ratio: float = SITEWIDE_RATIO) -> DataFrame:
+    """metric, numerator, denominator, ratio, state of the sitewide patterns over findings (code)."""
+    groups = found.sparkSession.createDataFrame([(g, c) for g, codes in SITEWIDE.items() for c in codes], "metric string, code string")
+    counts = F.broadcast(groups).join(found.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code", "left").groupBy("metric").agg(F.sum(F.coalesce("n", F.lit(0))).alias("numerator"))
+    own = counts.crossJoin(F.broadcast(mapped.agg(F.count(F.lit(1)).alias("denominator"))))  # one row
+    limit = F.greatest(F.lit(2), F.floor(F.col("denominator") * ratio + 0.999999))
+    state = F.when(F.col("denominator") < SMALL_INVENTORY, "small_inventory").when(F.col("numerator") >= limit, "threshold_reached").otherwise("below_threshold")
+    return own.select("metric", "numerator", "denominator", F.when(F.col("denominator") > 0, F.format_string("%.6f", F.col("numerator") / F.col("denominator"))).otherwise("0.000000").alias("ratio"), state.alias("state"))
+
+
+def readiness(facts: dict[str, object]) -> tuple[str, list[str]]:
+    """State and reasons of a migration check from counted evidence.
+
+    facts: configuration_valid, destination_run, destination_terminal, destination_pages, expired, compatible, sources,
+    bad_sources, bad_redirects, source_pages (None without a source run), and wanted / counted evidence by kind.
+    """
+    reasons: list[str] = []
+    blocking = None
+    for bad, state, reason in (
+        (not facts.get("destination_run"), "missing_evidence", "destination_run_missing"), (not facts.get("destination_terminal"), "missing_evidence", "destination_run_nonterminal"),
+        (not facts.get("destination_pages"), "missing_evidence", "destination_page_evidence_missing"), (facts.get("expired"), "expired", "destination_page_evidence_expired"),
+        (facts.get("compatible") is False, "incompatible", "destination_page_evidence_version_unsupported"),
+    ):
+        if bad:
+            blocking = state
+            reasons.append(reason)
+            break
+    if not facts.get("sources"):
+        blocking = "missing_evidence"
+        reasons.append("source_inventory_missing")
+    warned = [r for r, bad in (
+        ("source_inventory_contains_invalid_rows", facts.get("sources") and facts.get("bad_sources")), ("redirect_map_contains_invalid_or_conflicting_rows", facts.get("bad_redirects")), ("source_comparison_evidence_missing", facts.get("source_pages") == 0),
+        *((f"{kind}_evidence_missing", facts.get(f"compare_{kind}") and not facts.get(f"{kind}_count")) for kind in ("internal_link", "sitemap", "image", "structured_data")),
+    ) if bad]
+    if facts.get("configuration_valid") is False:
+        return "invalid_configuration", ["configuration_snapshot_invalid", *reasons, *warned]
+    return blocking or ("ready_with_warnings" if warned else "ready"), reasons + warned
+
+
+def freshness(completed: Column, now: Column, days: int = 30) -> Column:
+    """current, stale, or unknown without a time; now is given, never the clock."""
+    return F.when(completed.isNull(), "unknown").when(now - completed > F.expr(f"interval {days} days"), "stale").otherwise("current")
 
 
 def content_score(left: list[str], right: list[str]) -> Column:

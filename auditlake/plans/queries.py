@@ -414,8 +414,8 @@ OLD, NEW = "https://old.example", "https://new.example"
 MIGRATION = {
     "sources": f"SELECT concat('{OLD}/p/', page_id) AS source_url, CASE WHEN page_id % 12 = 5 THEN concat('{NEW}/proposed/', page_id) END AS proposed FROM PAGES",
     "planned": f"SELECT concat('{OLD}/p/', page_id) AS source_url, concat('{NEW}/p/', CASE WHEN page_id % 15 = 0 THEN 1 ELSE page_id END) AS destination_url, 301 AS expected_status FROM PAGES WHERE page_id % 3 = 0 UNION ALL SELECT concat('{OLD}/p/', page_id), concat('{NEW}/other/', page_id), 301 FROM PAGES WHERE page_id % 30 = 0",
-    "old_pages": f"SELECT page_id, concat('{OLD}/p/', page_id) AS url, CASE WHEN page_id % 8 = 2 THEN concat('{OLD}/moved/', page_id) END AS final_url, CASE WHEN page_id % 9 = 4 THEN concat('{NEW}/p/', page_id + 1) END AS canonical_url, concat('T', page_id) AS title FROM PAGES",
-    "new_pages": f"SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 0 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS url, CASE WHEN page_id % 3 = 0 THEN concat('{NEW}/p/', page_id) END AS final_url, CASE WHEN page_id % 20 = 9 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS canonical_url, CASE WHEN page_id % 6 = 1 THEN NULL WHEN page_id % 7 = 1 THEN concat('New ', page_id) ELSE concat('T', page_id) END AS title, CASE WHEN page_id % 16 = 10 THEN 404 WHEN page_id % 27 = 3 THEN 302 ELSE 200 END AS http_status, CASE WHEN page_id % 18 = 3 THEN 2 ELSE 0 END AS redirect_count, page_id % 55 = 6 AS redirect_loop FROM PAGES WHERE page_id % 11 <> 8",
+    "old_pages": f"SELECT page_id, concat('{OLD}/p/', page_id) AS url, CASE WHEN page_id % 8 = 2 THEN concat('{OLD}/moved/', page_id) END AS final_url, CASE WHEN page_id % 9 = 4 THEN concat('{NEW}/p/', page_id + 1) END AS canonical_url, concat('Title of page ', page_id) AS title, 200 AS http_status, 0 AS redirect_count, false AS redirect_loop, 'html' AS category, 'en' AS language, true AS robots_allowed, page_id % 13 <> 4 AS indexable FROM PAGES WHERE page_id % 21 <> 2",
+    "new_pages": f"SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 0 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS url, CASE WHEN page_id % 3 = 0 THEN concat('{NEW}/p/', page_id) END AS final_url, CASE WHEN page_id % 20 = 9 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS canonical_url, CASE WHEN page_id % 6 = 1 THEN NULL WHEN page_id % 7 = 1 THEN concat('zqx', page_id) ELSE concat('Title of page ', page_id) END AS title, CASE WHEN page_id % 16 = 10 THEN 404 WHEN page_id % 19 = 6 THEN 500 WHEN page_id % 27 = 3 THEN 302 ELSE 200 END AS http_status, CASE WHEN page_id % 18 = 3 THEN 2 ELSE 0 END AS redirect_count, page_id % 55 = 6 AS redirect_loop, CASE WHEN page_id % 17 = 3 THEN 'pdf' ELSE 'html' END AS category, CASE WHEN page_id % 14 = 5 THEN 'de' ELSE 'en' END AS language, page_id % 23 <> 7 AS robots_allowed, page_id % 12 <> 7 AS indexable FROM PAGES WHERE page_id % 11 <> 8",
 }
 DUCK_MIGRATION = ", ".join(f"{k} AS ({v.replace('FROM PAGES', 'FROM pages')})" for k, v in MIGRATION.items())
 PATH = "regexp_extract({}, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
@@ -432,10 +432,13 @@ MAPPED = f"""new_urls AS (SELECT DISTINCT u AS dest FROM (SELECT unnest([url, fi
     FROM mapped0 LEFT JOIN (SELECT destination_url, count(*) AS n FROM mapped0 WHERE destination_url IS NOT NULL GROUP BY destination_url) USING (destination_url))"""
 MIGRATION_FINDINGS = f"""once AS (SELECT source_url, min(expected_status) AS expected_status, true AS planned_ FROM planned GROUP BY source_url HAVING count(*) = 1),
   keyed AS (SELECT DISTINCT ON (key) * FROM (SELECT *, unnest(list_distinct([x FOR x IN [url, final_url] IF x IS NOT NULL])) AS key FROM new_pages) ORDER BY key, page_id DESC),
-  joined AS (SELECT m.*, o.expected_status, coalesce(planned_, false) AS planned, s.key IS NOT NULL AS observed, s.final_url AS observed_final, s.http_status AS observed_status, s.redirect_count AS observed_hops, s.redirect_loop AS observed_loop,
-    p.key IS NOT NULL AS page_known, p.http_status AS page_status, p.title AS new_title, p.canonical_url AS page_canonical, b.title AS old_title
-    FROM mapped m LEFT JOIN once o USING (source_url) LEFT JOIN keyed s ON s.key = m.source_url LEFT JOIN keyed p ON p.key = m.destination_url LEFT JOIN old_pages b ON b.url = m.source_url WHERE m.destination_url IS NOT NULL),
-  findings AS ({" UNION ALL ".join(f"SELECT source_url, destination_url, confidence, '{c}' AS code, '{k}' AS category, '{s}' AS severity, '{a}' AS action FROM joined WHERE {w}" for c, w, k, s, a in migration.FINDINGS)})"""
+  joined AS (SELECT m.source_url, m.destination_url, m.cardinality, o.expected_status, coalesce(planned_, false) AS planned, s.key IS NOT NULL AS observed, s.final_url AS observed_final, s.http_status AS observed_status, s.redirect_count AS observed_hops, s.redirect_loop AS observed_loop,
+    s.indexable AS observed_indexable, p.key IS NOT NULL AS page_known, p.http_status AS page_status, p.title AS page_title, p.canonical_url AS page_canonical, p.category AS page_category, p.language AS page_language, p.robots_allowed AS page_robots, p.indexable AS page_indexable,
+    p.redirect_count AS page_hops, b.url IS NOT NULL AS old_known, b.title AS old_title, b.canonical_url AS old_canonical, b.category AS old_category, b.language AS old_language, b.robots_allowed AS old_robots, b.indexable AS old_indexable, c.http_status AS c_status, c.redirect_count AS c_hops,
+    '{OLD}' AS source_origin, '{NEW}' AS destination_origin, regexp_extract(m.destination_url, '^([a-z]+://[^/?#]+)', 1) AS target_origin, regexp_extract(p.canonical_url, '^([a-z]+://[^/?#]+)', 1) AS canonical_origin, b.canonical_url IS NOT DISTINCT FROM p.canonical_url AS canonical_same,
+    coalesce(b.title LIKE 'Title%' AND p.title LIKE 'zqx%', false) AS title_changed
+    FROM mapped m LEFT JOIN once o USING (source_url) LEFT JOIN keyed s ON s.key = m.source_url LEFT JOIN keyed p ON p.key = m.destination_url LEFT JOIN old_pages b ON b.url = m.source_url LEFT JOIN keyed c ON c.key = p.canonical_url WHERE m.destination_url IS NOT NULL),
+  findings AS ({" UNION ALL ".join(f"SELECT source_url, destination_url, '{c}' AS code, '{k}' AS category, '{migration.severity_of(c)}' AS severity, '{a}' AS action, '{t}' AS confidence FROM joined WHERE {w}" for c, w, k, a, t in migration.FINDINGS)})"""
 
 
 def _migration(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -447,7 +450,7 @@ def _migration(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def _migration_findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     own = _migration(spark, d)
-    return migration.findings(own["mapped"], own["planned"], own["old_pages"], own["new_pages"]), own["mapped"]
+    return migration.findings(own["mapped"], own["planned"], own["old_pages"], own["new_pages"], OLD, NEW), own["mapped"]
 
 
 @query(f"WITH {DUCK_MIGRATION}, {MAPPED} SELECT * FROM mapped")
@@ -466,8 +469,14 @@ def migration_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return migration.recommendations(_migration_findings(spark, d)[0])
 
 
-@query(f"""WITH {DUCK_MIGRATION}, {MAPPED}, {MIGRATION_FINDINGS}, n AS (SELECT greatest(2, CAST(floor(count(*) * 0.1 + 0.999999) AS INTEGER)) AS threshold FROM mapped)
-  SELECT code, count(DISTINCT source_url) AS urls, any_value(threshold) AS threshold FROM findings, n GROUP BY code HAVING count(DISTINCT source_url) >= any_value(threshold)""")
+def _sitewide_sql() -> str:
+    groups = ", ".join(f"('{g}', '{c}')" for g, codes in migration.SITEWIDE.items() for c in codes)
+    return f"""WITH {DUCK_MIGRATION}, {MAPPED}, {MIGRATION_FINDINGS}, n AS (SELECT count(*) AS denominator FROM mapped), g AS (SELECT * FROM (VALUES {groups}) t(metric, code)),
+      c AS (SELECT metric, CAST(sum(coalesce(n, 0)) AS BIGINT) AS numerator FROM g LEFT JOIN (SELECT code, count(*) AS n FROM findings GROUP BY code) USING (code) GROUP BY metric)
+      SELECT metric, numerator, denominator, printf('%.6f', numerator / denominator) AS ratio, CASE WHEN denominator < 10 THEN 'small_inventory' WHEN numerator >= greatest(2, floor(denominator * 0.2 + 0.999999)) THEN 'threshold_reached' ELSE 'below_threshold' END AS state FROM c, n"""
+
+
+@query(_sitewide_sql())
 def migration_sitewide(spark: SparkSession, d: str) -> DataFrame:
     found, mapped = _migration_findings(spark, d)
     return migration.sitewide(found, mapped)

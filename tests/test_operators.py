@@ -120,3 +120,42 @@ def test_result_pages(spark):
         resultset.cursor_position(c, {"a": 2})
     assert resultset.any_field_contains(df, "ROW 29").count() == 1 and resultset.capped(df, 5)[1] is True
     assert resultset.latest(df, ["a"], [F.desc("b")]).agg(F.sum("b")).first()[0] == 27 + 28 + 29
+
+
+def test_planned_graph(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("s", "s"), ("one", "end")]
+    got = {r.source_url: r.diagnostic for r in migration.planned_graph(spark.createDataFrame(rows, "source_url string, destination_url string")).collect()}
+    assert got == {"a": "redirect_map_chain", "b": "redirect_map_chain", "c": None, "x": "redirect_map_loop", "y": "redirect_map_loop", "s": "redirect_map_loop", "one": None}
+
+
+def test_inventory_states(spark):
+    rows = [(0, "http://a.com/1", "d1"), (1, "http://a.com/1", "d2"), (2, "http://a.com/2", None), (3, "http://A.com/2", None), (4, "ftp://x", None), (5, "http://b.com/", None)]
+    got = {r.seq: r.state for r in migration.inventory_states(spark.createDataFrame(rows, "seq long, raw string, proposed string"), "http://a.com").collect()}
+    assert got == {0: "conflict", 1: "conflict", 2: "valid", 3: "duplicate", 4: "invalid", 5: "out_of_scope"}
+
+
+def test_readiness_and_freshness(spark):
+    good = {"destination_run": True, "destination_terminal": True, "destination_pages": 5, "sources": 3}
+    assert migration.readiness(good) == ("ready", [])
+    assert migration.readiness(good | {"bad_redirects": 1, "compare_image": True}) == ("ready_with_warnings", ["redirect_map_contains_invalid_or_conflicting_rows", "image_evidence_missing"])
+    assert migration.readiness(good | {"expired": True})[0] == "expired" and migration.readiness({})[0] == "missing_evidence" and migration.readiness(good | {"configuration_valid": False})[0] == "invalid_configuration"
+    df = spark.sql("select timestamp'2024-01-01' as a, timestamp'2024-03-01' as b, cast(null as timestamp) as c")
+    assert tuple(df.select(migration.freshness(F.col("a"), F.col("b")), migration.freshness(F.col("b"), F.col("b")), migration.freshness(F.col("c"), F.col("b"))).first()) == ("stale", "current", "unknown")
+
+
+def test_migration_evidence_findings(spark):
+    mapped = spark.createDataFrame([("http://o/1", "http://n/1"), ("http://o/2", "http://n/2"), ("http://o/3", None)], "source_url string, destination_url string")
+    pages = spark.createDataFrame([("http://n/1", 200, 1, True, "http://n/1"), ("http://n/2", 404, 0, False, "http://n/9")], "url string, http_status int, redirect_count int, indexable boolean, canonical_url string")
+    links = spark.createDataFrame([(1, "http://o/1"), (1, "http://n/1"), (1, "http://n/2"), (1, "http://staging.x/1")], "page_id long, target string")
+    assert {(r.target, r.code) for r in migration.link_findings(links, pages, "http://o", "http://n").collect()} == {("http://o/1", "internal_link_to_legacy_url"), ("http://n/1", "internal_link_to_redirect"), ("http://n/2", "internal_link_to_broken_destination"), ("http://staging.x/1", "internal_link_to_staging_host"), ("http://staging.x/1", "internal_link_host_mismatch")}
+    old = spark.createDataFrame([(1, "http://o/1"), (1, "http://o/2"), (1, "http://o/3")], "page_id long, target string")
+    assert [r.source_url for r in migration.unlinked_targets(old, mapped, links.where("target <> 'http://n/2'")).collect()] == ["http://o/2"]
+    entries = spark.createDataFrame([("http://o/5",), ("http://n/2",)], "url string")
+    assert {(r.url, r.code) for r in migration.sitemap_findings(entries, mapped, pages, "http://o", "http://n").collect()} == {("http://o/5", "legacy_url_in_destination_sitemap"), ("http://n/2", "broken_url_in_sitemap"), ("http://n/2", "nonindexable_url_in_sitemap"), ("http://n/2", "canonical_conflict_in_sitemap"), ("http://n/1", "destination_url_missing_from_sitemap")}
+    was = spark.createDataFrame([("http://o/1", "a", "x"), ("http://o/1", "b", "x"), ("http://o/2", "c", "x"), ("http://o/2", "d", "x")], "page_url string, src string, alt string")
+    now = spark.createDataFrame([("http://n/1", "a", "x"), ("http://n/2", "c", None), ("http://n/2", "d", "y")], "page_url string, src string, alt string")
+    assert {(r.src, r.code) for r in migration.image_findings(mapped, was, now).collect()} == {("b", "image_missing_after_migration"), ("c", "image_alt_missing_after_migration"), ("d", "image_alt_materially_changed")}
+    schema = "page_url string, type string, format string, error string"
+    blocks = spark.createDataFrame([("http://o/1", "T", "json_ld", None), ("http://o/2", "T", "json_ld", None)], schema)
+    new = spark.createDataFrame([("http://n/2", "U", "json_ld", "invalid_json")], schema)
+    assert {(r.source_url, r.code) for r in migration.structured_findings(mapped, blocks, new).collect()} == {("http://o/1", "structured_data_removed"), ("http://o/2", "structured_data_type_changed"), ("http://o/2", "structured_data_invalid_after_migration")}
