@@ -60,3 +60,34 @@ def issue_groups(found: DataFrame) -> DataFrame:
     parts = [F.expr(SEVERITY_PLACE_SQL), F.col("index_place"), F.col("sitemap_place"), F.lit(MOST) - F.least(F.col("affected"), F.lit(MOST))]
     key = F.concat_ws("|", *(F.lpad(p.cast("string"), 6, "0") for p in parts), "code")
     return own.select("code", "module", "severity", "affected", "first_page", key.alias("priority"))
+
+
+def summary(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """dimension, value, urls: populations, severities, recommendations and modules, and the affected URLs as a whole."""
+    by = lambda df, name, c, key: df.groupBy(F.col(c).alias("value")).agg(F.countDistinct(key).alias("urls")).select(F.lit(name).alias("dimension"), "value", "urls")
+    return (
+        populations(facts).select(F.lit("population").alias("dimension"), F.col("population").alias("value"), "urls").unionByName(by(found, "severity", "severity", "page_id")).unionByName(by(facts, "recommendation", "recommendation", "page_id"))
+        .unionByName(by(found, "module", "module", "page_id")).unionByName(found.agg(F.countDistinct("page_id").alias("urls")).select(F.lit("affected").alias("dimension"), F.lit("all").alias("value"), "urls"))
+    )
+
+
+#: Populations that must lie inside others. Fixed values.
+INSIDE = (("parsed_html", "fetched"), ("fetched", "enqueued"), ("enqueued", "discovered"), ("metadata_scoring_eligible", "canonical"), ("metadata_scoring_eligible", "indexable"), ("metadata_scoring_eligible", "parsed_html"))
+
+
+def broken_invariants(facts: DataFrame) -> list[str]:
+    """The pairs of INSIDE that some URL violates, in one aggregation."""
+    test = dict(POPULATIONS)
+    row = facts.agg(*(F.count_if(F.expr(f"({test[a]}) AND NOT coalesce({test[b]}, false)")).alias(f"{a} in {b}") for a, b in INSIDE)).first()
+    return [k for k, n in row.asDict().items() if n]
+
+
+def artifacts(facts: DataFrame, found: DataFrame, rule_matches: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables of a combined audit's outputs by name, each in its order."""
+    groups = issue_groups(found)
+    out = {
+        "pages": facts.orderBy("page_id"), "evidence": facts.select("page_id", "url", "http_status", "category", "title", "evidence_state").orderBy("page_id"), "issues": groups.orderBy("priority"),
+        "comparison": facts.select("page_id", "url", "in_sitemap", "recommendation", "sitemap_state").orderBy("page_id"), "exclusions": facts.where("recommendation = 'exclude'").select("page_id", "url").orderBy("page_id"),
+        "sitemap_urls": facts.where("recommendation = 'include'").select("page_id", "url").orderBy("page_id"), "action_plan": groups.select("priority", "code", "affected").orderBy("priority"), "summary": summary(facts, found).orderBy("dimension", "value"),
+    }
+    return out | ({} if rule_matches is None else {"rules": rule_matches.orderBy("url_id", "rule_id")})

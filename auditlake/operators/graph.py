@@ -146,3 +146,12 @@ def opportunities(metrics: DataFrame, found_anchors: DataFrame, all_edges: DataF
 def sequenced(df: DataFrame, order: list[str], name: str = "sequence") -> DataFrame:
     """A number from 0 in a total order, for finding tables that are small: a global window is one task."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def findings(metrics: DataFrame, all_edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """kind, page_id, code, severity: pages whose state isn't healthy, then links that don't lead straight to their page."""
+    severity = F.expr("CASE WHEN primary_state = 'orphan_candidate' THEN 'high' WHEN primary_state = 'canonical_duplicate' THEN 'low' WHEN primary_state IN ('excluded_page', 'hub_candidate', 'authority_candidate', 'reachable') THEN 'info' ELSE 'medium' END")
+    own = metrics.select(F.lit("page").alias("kind"), "page_id", F.col("primary_state").alias("code"), severity.alias("severity")).where("severity <> 'info'")
+    at = pages.select(F.col("identity").alias("source"), "page_id")
+    moved = all_edges.where("edge_state <> 'direct'").join(at, "source").select(F.lit("edge").alias("kind"), "page_id", F.col("edge_state").alias("code"), F.lit("medium").alias("severity"))
+    return own.unionByName(moved)
