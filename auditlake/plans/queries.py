@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.urls import TRACKING_PARAMETERS, governed_url, normal_parts, normalize_url, scope_reason
-from auditlake.operators import combined, governance, graph, images, links, metadata, migration, resultset, robots, sitemap, structured
+from auditlake.operators import combined, crawl, governance, graph, images, links, metadata, migration, resultset, robots, sitemap, structured
 from auditlake.plans.site import SITE, Site, duck_crawl
 from auditlake.sources import html
 
@@ -161,6 +161,24 @@ def redirect_chains(spark: SparkSession, d: str) -> DataFrame:
     return links.chains(hops).withColumn("hop_count", F.col("hop_count").cast("long"))
 
 
+@query(f"""WITH {duck_crawl()}, evidence AS ({TARGET_EVIDENCE}), {CLASSIFIED}, coded AS (SELECT target_identity, severity, CASE WHEN redirect_state <> 'no_redirect' THEN redirect_reason ELSE reason END AS code FROM final WHERE severity <> 'info')
+  SELECT sha256(target_identity || chr(0) || code) AS finding_id, target_identity, code, severity FROM coded""")
+def link_findings(spark: SparkSession, d: str) -> DataFrame:
+    return links.findings(_classified(spark, d))
+
+
+# -- crawl replay -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {duck_crawl()}, walk AS (SELECT CAST(0 AS BIGINT) AS page, 0 AS depth UNION SELECT l.target_page, depth + 1 FROM walk JOIN links l ON l.source_page = walk.page WHERE depth < 4)
+  SELECT concat('{SITE}', page) AS url, min(depth) AS depth FROM walk GROUP BY page""")
+def crawl_admissions(spark: SparkSession, d: str) -> DataFrame:
+    address = lambda c: F.concat(F.lit(SITE), F.col(c).cast("string"))
+    own = Site(spark, d).links.select(address("source_page").alias("source_url"), F.col("seq").alias("link_sequence"), address("target_page").alias("resolved"), F.lit("x").alias("href"), F.lit("http").alias("link_type"), F.lit(True).alias("in_scope"))
+    seeds = spark.createDataFrame([(f"{SITE}0",)], "url string")
+    return crawl.replay(seeds, own, crawl.Limits(50_000, 4))[0].select("url", "depth")
+
+
 # -- internal-link graph ----------------------------------------------------------------------------------------------
 
 NODES = f"""nodes0 AS (SELECT p.*, EXISTS (SELECT 1 FROM crawl c WHERE c.identity = p.canonical_identity AND p.canonical_identity <> p.identity) AS known_canonical FROM crawl p), nodes AS (SELECT *, {graph.ELIGIBILITY_SQL} AS eligibility FROM nodes0)"""
@@ -241,6 +259,13 @@ def graph_opportunities(spark: SparkSession, d: str) -> DataFrame:
     return graph.opportunities(graph.page_metrics(edges, nodes, _reach(nodes, edges)), graph.anchors(own, nodes), edges, nodes)
 
 
+@query(f"""{GRAPH}, {REACH}, {METRICS} SELECT 'page' AS kind, page_id, primary_state AS code, CASE primary_state WHEN 'orphan_candidate' THEN 'high' WHEN 'canonical_duplicate' THEN 'low' ELSE 'medium' END AS severity FROM metrics
+  WHERE primary_state NOT IN ('excluded_page', 'hub_candidate', 'authority_candidate', 'reachable') UNION ALL SELECT 'edge', page_id, edge_state, 'medium' FROM edges JOIN crawl ON identity = source WHERE edge_state <> 'direct'""")
+def graph_findings(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _, edges = _graph(spark, d)
+    return graph.findings(graph.page_metrics(edges, nodes, _reach(nodes, edges)), edges, nodes)
+
+
 # -- robots and sitemaps ----------------------------------------------------------------------------------------------
 
 ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /*?page=\nDisallow: /de$\nCrawl-delay: 2\nSitemap: /sitemap.xml\n\nUser-agent: other\nDisallow: /\n"
@@ -344,6 +369,15 @@ def issue_groups(spark: SparkSession, d: str) -> DataFrame:
     return combined.issue_groups(combined.findings(Site(spark, d).crawl))
 
 
+@query(_groups_sql().split(" SELECT code, module")[0] + ", recommendation AS (" + (_facts_sql() + " SELECT page_id, recommendation FROM facts") + """)
+  SELECT 'severity' AS dimension, severity AS value, count(DISTINCT page_id) AS urls FROM found GROUP BY severity UNION ALL SELECT 'module', module, count(DISTINCT page_id) FROM found GROUP BY module
+  UNION ALL SELECT 'affected', 'all', count(DISTINCT page_id) FROM found UNION ALL SELECT 'recommendation', recommendation, count(DISTINCT page_id) FROM recommendation GROUP BY recommendation""")
+def combined_summary(spark: SparkSession, d: str) -> DataFrame:
+    own = Site(spark, d).crawl
+    facts = combined.url_facts(own, sitemap.recommendations(own))
+    return combined.summary(facts, combined.findings(own)).where("dimension <> 'population'")
+
+
 # -- images and structured data ---------------------------------------------------------------------------------------
 
 IMAGES = """SELECT page_id, k AS "index", CASE page_id % 6 WHEN 0 THEN 'data:image/png;base64,AA' WHEN 1 THEN '/img/placeholder.png' ELSE concat('/img/', page_id % 25 + k, '.png') END AS src,
@@ -358,10 +392,12 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(IMAGES.replace('"index"', "`index`").replace("FROM PAGES", "FROM {pages}"), pages=spark.read.parquet(f"{d}/pages.parquet").select("page_id"))
 
 
-@query(f"""WITH im AS ({IMAGES.replace("FROM PAGES", "FROM pages")}), reused AS (SELECT im.*, r.reuse, {NAME_TEST}, coalesce(regexp_matches(alt, '(?i)^(https?://|www\\.|/)'), false) AS url_like, TRY_CAST(trim(width) AS INTEGER) AS width_px, TRY_CAST(trim(height) AS INTEGER) AS height_px
+DUCK_IMAGES = f"""WITH im AS ({IMAGES.replace("FROM PAGES", "FROM pages")}), reused AS (SELECT im.*, r.reuse, {NAME_TEST}, coalesce(regexp_matches(alt, '(?i)^(https?://|www\\.|/)'), false) AS url_like, TRY_CAST(trim(width) AS INTEGER) AS width_px, TRY_CAST(trim(height) AS INTEGER) AS height_px
   FROM im JOIN (SELECT src, count(DISTINCT page_id) AS reuse FROM im GROUP BY src) r USING (src)), s1 AS (SELECT *, {images.ALT_SQL} AS alt_state, {images.DIMENSION_SQL} AS dimension_state, {images.LOADING_SQL} AS loading_state, {images.RESOURCE_SQL} AS resource FROM reused),
-  s2 AS (SELECT *, {images.SEVERITY_SQL} AS words FROM s1), s3 AS (SELECT *, split_part(words, ' ', 1) AS severity, split_part(words, ' ', 2) AS reason FROM s2)
-  SELECT page_id, index, src, alt_state, dimension_state, loading_state, resource, reuse, severity, reason, {images.ACTION_SQL} AS action FROM s3""")
+  s2 AS (SELECT *, {images.SEVERITY_SQL} AS words FROM s1), s3 AS (SELECT *, split_part(words, ' ', 1) AS severity, split_part(words, ' ', 2) AS reason FROM s2)"""
+
+
+@query(f"{DUCK_IMAGES} SELECT page_id, index, src, alt_state, dimension_state, loading_state, resource, reuse, severity, reason, {images.ACTION_SQL} AS action FROM s3")
 def image_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return images.occurrences(_images(spark, d))
 
@@ -373,7 +409,7 @@ def image_duplicate_alts(spark: SparkSession, d: str) -> DataFrame:
     return images.duplicate_groups(_images(spark, d))
 
 
-@query()
+@query(f"""{DUCK_IMAGES} SELECT page_id, count(*) AS images, count(*) FILTER (WHERE alt_state = 'missing') AS missing_alts, count(*) FILTER (WHERE resource = 'broken') AS broken, count(*) FILTER (WHERE dimension_state <> 'present') AS unsized FROM s3 GROUP BY page_id""")
 def image_page_summaries(spark: SparkSession, d: str) -> DataFrame:
     return images.page_summaries(images.occurrences(_images(spark, d)))
 
@@ -403,7 +439,7 @@ def structured_block_findings(spark: SparkSession, d: str) -> DataFrame:
     return structured.block_findings(_blocks(spark, d))
 
 
-@query()
+@query(f"""WITH {BLOCKS} SELECT page_id, type, 'add_missing_properties' AS action, CASE type WHEN 'Organization' THEN 'logo,url' WHEN 'Article' THEN 'author,datePublished,headline' ELSE 'offers' END AS properties FROM b WHERE NOT bad AND type <> 'Thing'""")
 def structured_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return structured.recommendations(structured.profile_observations(_blocks(spark, d)))
 
@@ -482,6 +518,18 @@ def migration_sitewide(spark: SparkSession, d: str) -> DataFrame:
     return migration.sitewide(found, mapped)
 
 
+NEW_LINKS = f"""SELECT page_id, concat('{NEW}/p/', page_id + 1) AS target FROM PAGES UNION ALL SELECT page_id, concat('{OLD}/p/', page_id) FROM PAGES WHERE page_id % 5 = 0 UNION ALL SELECT page_id, concat('https://staging.new.example/', page_id) FROM PAGES WHERE page_id % 7 = 0"""
+
+
+@query(f"""WITH {DUCK_MIGRATION}, nl AS ({NEW_LINKS.replace("FROM PAGES", "FROM pages")}), status AS (SELECT url, http_status, redirect_count FROM new_pages), own AS (SELECT page_id, target, http_status, redirect_count, regexp_extract(target, '^([a-z]+://[^/?#]+)', 1) AS origin FROM nl LEFT JOIN status ON url = target)
+  SELECT page_id, target, 'internal_link_to_legacy_url' AS code FROM own WHERE origin = '{OLD}' UNION ALL SELECT page_id, target, 'internal_link_to_redirect' FROM own WHERE redirect_count > 0 UNION ALL SELECT page_id, target, 'internal_link_to_broken_destination' FROM own WHERE http_status >= 400
+  UNION ALL SELECT page_id, target, 'internal_link_to_staging_host' FROM own WHERE origin LIKE '%//staging.%' UNION ALL SELECT page_id, target, 'internal_link_host_mismatch' FROM own WHERE origin NOT IN ('{OLD}', '{NEW}')""")
+def migration_link_findings(spark: SparkSession, d: str) -> DataFrame:
+    own = _migration(spark, d)
+    links_ = spark.sql(NEW_LINKS.replace("FROM PAGES", "FROM {pages}"), pages=spark.read.parquet(f"{d}/pages.parquet").select("page_id"))
+    return migration.link_findings(links_, own["new_pages"], OLD, NEW)
+
+
 # -- result tables ----------------------------------------------------------------------------------------------------
 
 
