@@ -16,16 +16,19 @@ SOURCE_RANK_SQL = "CASE source WHEN 'global' THEN 0 WHEN 'preset' THEN 1 WHEN 's
 SPECIFICITY_SQL = "CASE match_type WHEN 'exact_url' THEN 6 WHEN 'exact_path' THEN 5 WHEN 'query_parameter_equals' THEN 4 WHEN 'query_parameter_exists' THEN 3 WHEN 'path_contains' THEN 1 ELSE 2 END"
 LAYER_SQL = """CASE action WHEN 'strip_query_parameter' THEN 'normalization' WHEN 'exclude_from_discovery' THEN 'discovery' WHEN 'exclude_from_metadata_scoring' THEN 'metadata'
  WHEN 'exclude_from_sitemap' THEN 'sitemap' ELSE 'review' END"""
-#: Paths that a WordPress site shouldn't offer: match type, value, action. Fixed values.
+#: The preset of a WordPress site: rule, match type, value, action, enabled. Fixed values.
 WORDPRESS = (
-    ("path_starts_with", "/wp-admin/", "exclude_from_discovery"), ("path_starts_with", "/wp-json/", "exclude_from_discovery"), ("exact_path", "/wp-login.php", "exclude_from_discovery"),
-    ("exact_path", "/xmlrpc.php", "exclude_from_discovery"), ("path_ends_with", "/feed/", "exclude_from_sitemap"), ("path_contains", "/author/", "mark_for_review"), ("path_contains", "/tag/", "exclude_from_sitemap"),
-    ("query_parameter_exists", "replytocom", "exclude_from_discovery"), ("query_parameter_exists", "s", "exclude_from_sitemap"), ("query_parameter_equals", "preview=true", "exclude_from_discovery"),
+    ("wordpress.admin", "path_starts_with", "/wp-admin/", "exclude_from_discovery", True), ("wordpress.login", "exact_path", "/wp-login.php", "exclude_from_discovery", True), ("wordpress.xmlrpc", "exact_path", "/xmlrpc.php", "exclude_from_discovery", True),
+    ("wordpress.cdn_cgi", "path_starts_with", "/cdn-cgi/", "exclude_from_discovery", True), ("wordpress.wp_json", "path_starts_with", "/wp-json/", "exclude_from_discovery", False), ("wordpress.feeds", "path_starts_with", "/feed/", "exclude_from_discovery", False),
+    ("wordpress.search", "path_starts_with", "/search/", "exclude_from_discovery", False), ("wordpress.attachments", "path_starts_with", "/attachment/", "exclude_from_discovery", False), ("wordpress.comment_reply", "path_starts_with", "/comment-reply/", "exclude_from_discovery", False),
+    ("wordpress.tag.metadata", "path_starts_with", "/tag/", "exclude_from_metadata_scoring", True), ("wordpress.tag.sitemap", "path_starts_with", "/tag/", "exclude_from_sitemap", True), ("wordpress.author.metadata", "path_starts_with", "/author/", "exclude_from_metadata_scoring", True),
+    ("wordpress.author.sitemap", "path_starts_with", "/author/", "exclude_from_sitemap", True), ("wordpress.date.metadata", "path_starts_with", "/date/", "exclude_from_metadata_scoring", True), ("wordpress.date.sitemap", "path_starts_with", "/date/", "exclude_from_sitemap", True),
+    ("wordpress.pagination.sitemap_review", "query_parameter_exists", "page", "mark_for_review", True),
 )
 
 
-def preset_rules(rows: tuple[tuple[str, str, str], ...] = WORDPRESS) -> list[tuple]:
-    return [(f"preset-{i:02d}", kind, value, False, action, 100, "preset", []) for i, (kind, value, action) in enumerate(rows)]
+def preset_rules(disabled_too: bool = False) -> list[tuple]:
+    return [(i, kind, value, True, action, 100, "preset", []) for i, kind, value, action, enabled in WORDPRESS if enabled or disabled_too]
 
 
 def effective(layers: list[list[tuple]]) -> list[tuple]:
@@ -97,3 +100,19 @@ def inventory(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     parts = [df.select("key", "url", "seq", F.lit(i).alias("rank"), F.lit(name).alias("source")) for i, (name, df) in enumerate(sources)]
     both = reduce(DataFrame.unionByName, parts)
     return both.groupBy("key").agg(F.min_by(F.struct("source", "url"), F.struct("rank", "seq")).alias("f")).select("key", "f.source", "f.url")
+
+
+def exclusion_matches(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """url_id, place, rule_type, value of every configured exclusion that matches, in order. urls: url_id, u (normalised struct).
+
+    Here a path prefix ends at a segment, other than in governance rules.
+    """
+    pairs = F.split(F.coalesce("u.query", F.lit("")), "&")
+    names = F.transform(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1)))
+    path = F.col("u.path")
+    tests = {
+        "exact_url": lambda v: F.col("u.normalized") == v, "exact_path": lambda v: path == v, "path_prefix": lambda v: path.startswith("/") if v == "/" else (path == v.rstrip("/")) | path.startswith(v.rstrip("/") + "/"), "path_contains": lambda v: path.contains(v),
+        "path_suffix": lambda v: path.endswith(v), "query_parameter": lambda v: F.array_contains(names, v), "query_parameter_equals": lambda v: F.array_contains(pairs, v),
+    }
+    hits = F.array(*(F.when(tests[kind](value), F.struct(F.lit(i).alias("place"), F.lit(kind).alias("rule_type"), F.lit(value).alias("value"))) for i, (kind, value) in enumerate(rules)))
+    return urls.where("u.error_code is null").select("url_id", F.explode(F.array_compact(hits)).alias("r")).select("url_id", "r.*")

@@ -53,3 +53,19 @@ def page_summaries(found: DataFrame) -> DataFrame:
     return found.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("images"), F.count_if(F.col("alt_state") == "missing").alias("missing_alts"), F.count_if(F.col("resource") == "broken").alias("broken"), F.count_if(F.col("dimension_state") != "present").alias("unsized")
     )
+
+
+def loading_distribution(found: DataFrame) -> DataFrame:
+    """loading_state, occurrences."""
+    return found.groupBy("loading_state").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def findings(found: DataFrame) -> DataFrame:
+    """page_id, index, src, reason, severity, finding_type of the occurrences whose severity isn't info."""
+    kind = F.when(F.contains("reason", F.lit("alt")), "alt").when(F.contains("reason", F.lit("dimension")), "dimension").when(F.contains("reason", F.lit("loading")), "loading").otherwise("resource")
+    return found.where("severity <> 'info'").select("page_id", "index", "src", "reason", "severity", kind.alias("finding_type"))
+
+
+def recommendations(found: DataFrame) -> DataFrame:
+    """src, action, pages: what to do about an image, once for all pages that show it."""
+    return found.where("action <> 'no_action'").groupBy("src", "action").agg(F.countDistinct("page_id").alias("pages"))

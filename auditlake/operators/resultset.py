@@ -80,3 +80,14 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 def capped(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """At most so many rows, and whether there were more."""
     return df.limit(most), df.limit(most + 1).count() > most
+
+
+def reconciled(counts: DataFrame, rows: DataFrame, key: str, stored: str) -> DataFrame:
+    """key, stored, actual where a stored count differs from the rows that there are."""
+    actual = rows.groupBy(key).agg(F.count(F.lit(1)).alias("actual"))
+    return counts.select(key, stored).join(actual, key, "full_outer").where(~F.coalesce(F.col(stored), F.lit(0)).eqNullSafe(F.coalesce("actual", F.lit(0))))
+
+
+def retained(rows: DataFrame, expired: DataFrame, key: list[str]) -> DataFrame:
+    """rows without those of expired keys."""
+    return rows.join(expired.select(*key).distinct(), key, "left_anti")

@@ -55,3 +55,14 @@ def recommendations(observations: DataFrame) -> DataFrame:
     """page_id, type, action, properties: what is missing from or empty in a profile, one row for each."""
     own = observations.where("state <> 'present'").groupBy("page_id", "type", "state").agg(F.array_join(F.array_sort(F.collect_set("property")), ",").alias("properties"))
     return own.select("page_id", "type", F.when(F.col("state") == "missing", "add_missing_properties").otherwise("fill_empty_properties").alias("action"), "properties")
+
+
+def page_counts(blocks: DataFrame) -> DataFrame:
+    """page_id, blocks, entities (different blocks) of each page with structured data."""
+    return blocks.groupBy("page_id").agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("fingerprint").alias("entities"))
+
+
+def type_sets(blocks: DataFrame) -> DataFrame:
+    """type_set, pages: which sets of types pages have; more than one set of a template is an inconsistency."""
+    own = blocks.select("page_id", F.explode("types").alias("t")).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("type_set"))
+    return own.groupBy("type_set").agg(F.count(F.lit(1)).alias("pages"))

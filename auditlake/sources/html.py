@@ -14,12 +14,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auditlake.functions.urls import UrlError, normal_parts
+from auditlake.functions.text import nfkc_casefold, stable_id
+from auditlake.functions.urls import UrlError, content_category, normal_parts, normalize_url, resolve_url
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Directives whose value may follow a colon. Fixed values.
@@ -264,3 +265,46 @@ def images(evidence: DataFrame, key: str = "page_id", url_col: str = "url") -> D
 
 def blocks(evidence: DataFrame, key: str = "page_id", url_col: str = "url") -> DataFrame:
     return evidence.select(F.col(key), F.col(url_col).alias("page_url"), F.explode("evidence.blocks").alias("b")).select(key, "page_url", "b.*")
+
+
+#: Limits of titles and descriptions for the parser's warnings. Fixed values.
+TITLE_RANGE, DESCRIPTION_RANGE = (15, 60), (70, 160)
+
+
+def presence(values: str) -> Column:
+    n = F.size(values)
+    return F.when(n == 0, "missing").when(n > 1, "multiple").when(F.try_element_at(values, F.lit(1)) == "", "empty").otherwise("single")
+
+
+def page_projection(evidence: DataFrame, run: str, url_col: str = "url") -> DataFrame:
+    """The page facts of one run. evidence: parsed pages with page_id, http_status, content_type, discovery_order.
+
+    Identities are SHA-256 of URLs; facts of the HTML are unavailable where the response failed or isn't HTML.
+    """
+    first = lambda c: F.try_element_at(c, F.lit(1))
+    df = evidence.withColumns({"identity": F.sha2(url_col, 256), "category": content_category(F.col("content_type")), "fetch_failed": F.col("http_status").isNull()})
+    df = df.withColumn("parsed_as_html", (F.col("category") == "html") & F.col("http_status").between(200, 299))
+    seen = lambda c, otherwise: F.when(F.col("parsed_as_html"), c).otherwise(otherwise)
+    df = df.withColumns({
+        "title": seen(first("evidence.titles"), None), "description": seen(first("evidence.descriptions"), None), "title_presence": seen(presence("evidence.titles"), "unavailable"), "description_presence": seen(presence("evidence.descriptions"), "unavailable"),
+        "c": F.when(F.col("parsed_as_html") & (F.size(F.array_distinct("evidence.canonicals")) == 1), resolve_url(first("evidence.canonicals"), F.coalesce("evidence.base", url_col))), "own": normalize_url(url_col),
+    })
+    canonicals = F.size(F.array_distinct("evidence.canonicals"))
+    title, description = F.length("title"), F.length("description")
+    tests = (
+        ("missing_title", F.col("title_presence") == "missing"), ("empty_title", F.col("title_presence") == "empty"), ("multiple_titles", F.size("evidence.titles") > 1), ("conflicting_titles", F.size(F.array_distinct("evidence.titles")) > 1),
+        ("short_title", (title > 0) & (title < TITLE_RANGE[0])), ("long_title", title > TITLE_RANGE[1]), ("missing_meta_description", F.col("description_presence") == "missing"), ("empty_meta_description", F.col("description_presence") == "empty"),
+        ("multiple_meta_descriptions", F.size("evidence.descriptions") > 1), ("conflicting_meta_descriptions", F.size(F.array_distinct("evidence.descriptions")) > 1), ("short_meta_description", (description > 0) & (description < DESCRIPTION_RANGE[0])),
+        ("long_meta_description", description > DESCRIPTION_RANGE[1]), ("missing_canonical", F.size("evidence.canonicals") == 0), ("empty_canonical", F.array_contains("evidence.canonicals", "")), ("multiple_canonicals", F.size("evidence.canonicals") > 1),
+        ("conflicting_canonicals", canonicals > 1), ("invalid_canonical", F.col("c.error_code").isNotNull()), ("cross_host_canonical", F.col("c.hostname") != F.col("own.hostname")), ("canonical_origin_differs", F.col("c.origin") != F.col("own.origin")),
+        ("canonical_url_differs", F.col("c.normalized") != F.col("own.normalized")), ("parser_recovery_used", F.col("evidence.recovered")),
+    )
+    warnings = F.when(F.col("parsed_as_html"), F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests)))).otherwise(F.array().cast("array<string>"))
+    return df.select(
+        "page_id", stable_id(F.lit(run), "discovery_order", "identity").alias("evidence_id"), F.col(url_col).alias("url"), "identity", "discovery_order", "http_status", "fetch_failed", "content_type", "category", "parsed_as_html",
+        "title", F.length("title").alias("title_length"), "title_presence", F.sha2(nfkc_casefold("title"), 256).alias("title_normalized_hash"), "description", F.length("description").alias("description_length"), "description_presence",
+        F.sha2(nfkc_casefold("description"), 256).alias("description_normalized_hash"), seen(presence("evidence.canonicals"), "unavailable").alias("canonical_presence"), F.col("c.normalized").alias("canonical_url"), F.sha2("c.normalized", 256).alias("canonical_identity"),
+        seen(F.size("evidence.canonicals"), 0).alias("canonical_count"), seen(canonicals > 1, False).alias("canonical_conflicting"), F.coalesce(F.col("c.hostname") != F.col("own.hostname"), F.lit(False)).alias("canonical_cross_host"),
+        F.coalesce(F.col("c.scheme") != F.col("own.scheme"), F.lit(False)).alias("canonical_cross_scheme"), F.coalesce(F.col("c.port") != F.col("own.port"), F.lit(False)).alias("canonical_cross_port"),
+        F.coalesce(F.array_contains("evidence.robots", "robots:noindex"), F.lit(False)).alias("meta_noindex"), F.col("evidence.lang").alias("language"), F.col("evidence.recovered").alias("parser_recovered"), warnings.alias("warnings"),
+    )

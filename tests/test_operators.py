@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import governance, graph, images, links, migration, resultset, structured
-from auditlake.functions.urls import governed_url
+from auditlake.functions.urls import governed_url, normalize_url
 
 
 def edge_frame(spark, rows):
@@ -75,7 +75,18 @@ def test_governance_layers(spark):
     assert {(r.url_id, r.rule_id) for r in found.collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "d"), (3, "c")}
     got = {(r.url_id, r.layer): r.primary_rule for r in governance.decisions(found).collect()}
     assert (1, "discovery") not in got and got[2, "discovery"] == "a" and got[3, "sitemap"] == "c" and got[1, "review"] == "b"
-    assert len(governance.effective([governance.preset_rules(), [("preset-00", *governance.preset_rules()[0][1:4], "mark_for_review", 1, "per_audit", [])]])) == len(governance.WORDPRESS)
+    preset = governance.preset_rules()
+    assert len(preset) == 11 and len(governance.preset_rules(True)) == 16
+    assert [r[4] for r in governance.effective([preset, [(preset[0][0], *preset[0][1:4], "mark_for_review", 1, "per_audit", [])]])][0] == "mark_for_review"
+
+
+def test_exclusions_end_at_segments(spark):
+    rules = [("path_prefix", "/a"), ("path_prefix", "/"), ("query_parameter", "q"), ("query_parameter_equals", "q=1"), ("path_suffix", ".pdf"), ("exact_url", "http://h.com/a"), ("exact_path", "/a/b"), ("path_contains", "b")]
+    urls = spark.createDataFrame([(1, "http://h.com/a"), (2, "http://h.com/ab?q=2"), (3, "http://h.com/a/b?q=1"), (4, "http://h.com/x.pdf"), (5, "bad")], "url_id long, url string").select("url_id", normalize_url("url").alias("u"))
+    got = {}
+    for r in governance.exclusion_matches(urls, rules).orderBy("place").collect():
+        got.setdefault(r.url_id, []).append(r.place)
+    assert got == {1: [0, 1, 5], 2: [1, 2, 7], 3: [0, 1, 2, 3, 6, 7], 4: [1, 4]}
 
 
 def test_inventory_first_source_wins(spark):
@@ -159,3 +170,32 @@ def test_migration_evidence_findings(spark):
     blocks = spark.createDataFrame([("http://o/1", "T", "json_ld", None), ("http://o/2", "T", "json_ld", None)], schema)
     new = spark.createDataFrame([("http://n/2", "U", "json_ld", "invalid_json")], schema)
     assert {(r.source_url, r.code) for r in migration.structured_findings(mapped, blocks, new).collect()} == {("http://o/1", "structured_data_removed"), ("http://o/2", "structured_data_type_changed"), ("http://o/2", "structured_data_invalid_after_migration")}
+
+
+def test_page_projection(spark):
+    from auditlake.sources import html
+
+    page = '<html lang="de"><title>A</title><title>B</title><link rel=canonical href="https://b.com/x"><meta name=robots content="noindex">'
+    rows = [(1, "https://a.com/x", page, 200, "text/html", 0), (2, "https://a.com/y", None, None, None, 1), (3, "https://a.com/z", "", 404, "image/png", 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, http_status int, content_type string, discovery_order int")
+    got = {r.page_id: r for r in html.page_projection(html.parsed(df), "run").collect()}
+    assert got[1].title_presence == "multiple" and got[1].canonical_cross_host and got[1].meta_noindex and got[1].language == "de" and got[1].category == "html" and got[1].parsed_as_html
+    assert {"multiple_titles", "conflicting_titles", "short_title", "missing_meta_description", "cross_host_canonical", "parser_recovery_used"} <= set(got[1].warnings)
+    assert got[2].fetch_failed and got[2].title_presence == "unavailable" and got[3].category == "image" and not got[3].parsed_as_html
+    import hashlib
+
+    identity = hashlib.sha256(b"https://a.com/x").hexdigest()
+    assert got[1].identity == identity and got[1].evidence_id == hashlib.sha256(b"run\x000\x00" + identity.encode()).hexdigest()
+
+
+def test_image_and_block_aggregates(spark):
+    rows = [(1, "lazy", "missing_alt", "add_alt", "high"), (1, "missing", "valid_image_occurrence", "no_action", "info"), (2, "lazy", "missing_alt", "add_alt", "medium")]
+    own = spark.createDataFrame([(p, 0, "s", l, r, a, s) for p, l, r, a, s in rows], "page_id long, index int, src string, loading_state string, reason string, action string, severity string")
+    assert {r.loading_state: r.occurrences for r in images.loading_distribution(own).collect()} == {"lazy": 2, "missing": 1}
+    assert images.findings(own).count() == 2 and {(r.src, r.action, r.pages) for r in images.recommendations(own).collect()} == {("s", "add_alt", 2)}
+    blocks = spark.createDataFrame([(1, ["Article"], "f"), (1, ["Person"], "g"), (2, ["Article"], "h")], "page_id long, types array<string>, fingerprint string")
+    assert {(r.page_id, r.blocks, r.entities) for r in structured.page_counts(blocks).collect()} == {(1, 2, 2), (2, 1, 1)}
+    assert {(r.type_set, r.pages) for r in structured.type_sets(blocks).collect()} == {("Article,Person", 1), ("Article", 1)}
+    counts = spark.createDataFrame([("a", 2), ("b", 5)], "run string, stored long")
+    actual = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "run string")
+    assert {(r.run, r.stored, r.actual) for r in resultset.reconciled(counts, actual, "run", "stored").collect()} == {("b", 5, 1), ("c", None, 1)}
