@@ -10,6 +10,7 @@ waste are pruned. Documents take their places by rank among those of equal lengt
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -43,6 +44,20 @@ Pattern = tuple[tuple[int, int], ...]  # (length, items), from the largest lengt
 # -- token ids --------------------------------------------------------------------------------------------------------
 
 
+#: Words whose lower case and composition are plain: letters of ASCII and Latin-1.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The visible character that stands for each byte in the vocabulary: its own where it is visible, else one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def little_endian(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -65,6 +80,14 @@ class WordIds:
         self.marks = {m: self.encode([m])[0] for m in (b".", b",", b"!", b"?", b";", b":")}
 
     def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words. Words of Latin letters alone are one unit of the merges, without the steps before them."""
+        text = [w.decode() for w in words]
+        plain = [LETTERS.fullmatch(t) is not None for t in text]
+        merge = self.tokenizer.model.tokenize
+        rest = iter(self.encode_any([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [little_endian([k.id for k in merge(t.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]) if p else next(rest) for t, p in zip(text, plain, strict=True)]
+
+    def encode_any(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [little_endian(x.ids) for x in found]
 
