@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,24 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 SLICE_ROWS = 512
 
 
+_CLEARS: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
+
+
+def keeps(name: str, clear: Callable[[], None]) -> None:
+    """Tells how to drop what an operator keeps in a worker process between tasks."""
+    _CLEARS[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called first in a task: a worker that served another operator drops what that one kept."""
+    if _OWNER[0] != name:
+        for other, clear in _CLEARS.items():
+            if other != name:
+                clear()
+        _OWNER[0] = name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, read from the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)

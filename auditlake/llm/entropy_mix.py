@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.llm.common import cut, slices, text_bytes
+from auditlake.llm.common import claim, cut, slices, text_bytes
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -37,6 +37,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """doc_id, row, key (source as a string that is never null), source, size, part; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("entropy_mix")
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(t.split()) for t in text_bytes(b.column(3))], pa.int64())], names=["doc_id", "row", "source", "size"])
 

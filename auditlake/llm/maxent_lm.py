@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut, slices, text_bytes
+from auditlake.llm.common import claim, cut, keeps, slices, text_bytes
 
 #: Documents whose id hashes to this remainder are held out.
 MODULUS, HELD_OUT = 7, 2
@@ -138,10 +138,12 @@ def encoded(index: dict[bytes, int], texts: list[bytes]) -> tuple[list[list[byte
 
 
 _KEPT: dict = {}
+keeps("maxent_lm", _KEPT.clear)
 
 
 def opened(sent) -> tuple[Head, dict[bytes, int]]:
     """The head of a broadcast, with its index made once in a worker."""
+    claim("maxent_lm")
     if _KEPT.get("of") is not sent.value:
         _KEPT.update(of=sent.value, index=sent.value.index())
     return sent.value, _KEPT["index"]

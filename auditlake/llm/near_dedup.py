@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.llm.common import cut, slices, text_bytes
+from auditlake.llm.common import claim, cut, keeps, slices, text_bytes
 from auditlake.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no table.
@@ -52,6 +52,7 @@ class WordHashes(dict):
 
 
 WORD_HASHES = WordHashes()
+keeps("near_dedup", WORD_HASHES.clear)
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -104,6 +105,7 @@ def signatures(docs: DataFrame, words: int, halves: int, rows: int = ROWS, id_co
         return both
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup")
         for b in slices(batches):
             size, name, first, second = [], [], [], []
             for t in text_bytes(b.column(2)):
@@ -149,6 +151,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str = "t
     names = docs.select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup")
         seen: set[bytes] = set()
         for b in slices(batches):
             keys, sets = [], []
@@ -260,6 +263,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup")
         for b in slices(batches):
             key = [xxhash.xxh128_digest(shingles(t, words).tobytes()) for t in text_bytes(b.column(names.index(text_col)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.binary())], names=[*names, "__set"])

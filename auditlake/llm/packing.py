@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.llm.common import cut, slices, text_bytes
+from auditlake.llm.common import claim, cut, keeps, slices, text_bytes
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -128,10 +128,14 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+keeps("packing", word_ids.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32: every document with its end id, cut only where it is longer than capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         encode = word_ids(tokenizer_path).ids
         end = np.array([END_ID], "<u4").tobytes()
         for b in slices(batches):

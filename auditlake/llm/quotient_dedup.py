@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut, slices, text_bytes
+from auditlake.llm.common import claim, cut, slices, text_bytes
 
 #: Bits of a fingerprint. 2**62 values: as a long it is never negative.
 BITS = 62
@@ -109,6 +109,7 @@ def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id, row (unique in the table), fp, text_sha256 of each normalised text, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quotient_dedup")
         for b in slices(batches):
             norm = list(map(normalise, text_bytes(b.column(2))))
             yield pa.RecordBatch.from_arrays(

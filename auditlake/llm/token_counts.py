@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import slices
+from auditlake.llm.common import claim, keeps, slices
 
 #: Characters of a chunk.
 CHUNK_CHARS = 1 << 16
@@ -138,6 +138,9 @@ def transducer(model_path: str) -> CountTransducer:
     return CountTransducer(model_path)
 
 
+keeps("token_counts", transducer.cache_clear)
+
+
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), one row for each row of docs.
 
@@ -147,6 +150,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts")
         count = transducer(model_path).count
         for b in slices(batches):
             texts = b.column(1).to_pylist()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut, slices, texts
+from auditlake.llm.common import claim, cut, keeps, slices, texts
 
 #: Most labelled rows that are used for fitting: those whose id hashes smallest.
 SAMPLE_ROWS = 20_000
@@ -128,6 +128,7 @@ class FuzzyLexicon:
 
 
 _SHARED: dict = {}
+keeps("toxicity", _SHARED.clear)
 
 
 @dataclass
@@ -243,6 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
     sample = labelled_sample(docs, labels, rows, id_col, text_col, label_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         seen: dict[tuple[bool, str], list[int]] = {}
         for b in slices(batches):
             for y, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
@@ -323,6 +325,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for b in slices(batches):
             s = [model.score(t) for t in texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
@@ -337,6 +340,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3,
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for b in slices(batches):
             yield b.filter(pa.array([model.score(t) < threshold for t in texts(b.column(at))], pa.bool_()))
 
