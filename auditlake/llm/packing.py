@@ -71,12 +71,13 @@ class WordIds:
     It also lower-cases, and never joins a letter with punctuation after it; so "Word." is found as "word" and ".".
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.kept_words = kept_words
         self.marks = {m: self.encode([m])[0] for m in (b".", b",", b"!", b"?", b";", b":")}
 
     def encode(self, words: list[bytes]) -> list[bytes]:
@@ -103,7 +104,7 @@ class WordIds:
         for w, stem in stems.items():
             if w != stem:
                 new[w] = (new.get(stem) or self.known[stem]) + self.marks[w[-1:]]
-        if len(self.known) + len(new) > MAX_WORDS:
+        if len(self.known) + len(new) > self.kept_words:
             self.known.clear()
         self.known.update((w, x) for w, x in new.items() if len(w) <= MAX_WORD)
         return new
@@ -124,19 +125,19 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, kept_words: int = MAX_WORDS) -> WordIds:
+    return WordIds(path, kept_words)
 
 
 keeps("packing", word_ids.cache_clear)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", kept_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32: every document with its end id, cut only where it is longer than capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing")
-        encode = word_ids(tokenizer_path).ids
+        encode = word_ids(tokenizer_path, kept_words).ids
         end = np.array([END_ID], "<u4").tobytes()
         for b in slices(batches):
             out: list[list] = [[] for _ in range(6)]
@@ -323,14 +324,14 @@ def places(patterns: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", kept_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of docs.
 
     A null text counts as empty: its end id alone is packed. Repeated rows are packed each. Only texts of more than
     capacity tokens are cut. Ids and counts of lengths are exact; other columns are not read. An empty table gives an
-    empty result.
+    empty result. kept_words bounds a worker's memory, about 200 bytes a word; results don't depend on it.
     """
-    own = pieces(docs, tokenizer_path, capacity, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(PARTS)).cast("int"))
+    own = pieces(docs, tokenizer_path, capacity, id_col, text_col, kept_words).withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(PARTS)).cast("int"))
     # At most capacity * PARTS rows, whatever the input.
     groups = own.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()
     counts: dict[int, int] = {}

@@ -17,6 +17,8 @@ TOXIC = 0.3
 #: Words of a shingle and percent of similarity at which documents count as near duplicates.
 SHINGLE_WORDS, SIMILAR = 5, 80
 SEQUENCE_TOKENS = 4096
+#: Words whose ids a packing worker keeps: few, beside what the stages before have left of an executor's memory.
+KEPT_WORDS = 250_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_path(WORD_TOKENIZER), SEQUENCE_TOKENS)
+    return pack(docs, tokenizer_path(WORD_TOKENIZER), SEQUENCE_TOKENS, kept_words=KEPT_WORDS)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", packing)]
