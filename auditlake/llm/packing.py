@@ -2,10 +2,11 @@
 
 Only lengths matter for a packing, and there are at most `capacity` of them, so the search runs on the histogram,
 whose size doesn't depend on the number of documents. A pattern is a filling (a multiset of lengths) used a number of
-times. The incumbent is best-fit decreasing with multiplicities. Bin completion then takes the largest remaining
-length, enumerates its undominated fillings (those which no swap of items for a larger item that fits improves),
-uses each as often as supplies allow, and backtracks; branches whose waste already exceeds what the incumbent may
-waste are pruned. Documents take their places by rank among those of equal length.
+times. The incumbent is best-fit decreasing with multiplicities. Where it misses the lower bound, a dive packs all of
+the histogram, each bin with the fullest filling that there is. Bin completion then takes the largest remaining length,
+enumerates its undominated fillings (those which no swap of items for a larger item that fits improves), uses each as
+often as supplies allow, and backtracks; branches whose waste already exceeds what the incumbent may waste are pruned.
+Documents take their places by rank among those of equal length.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ END_ID = 1
 MAX_WORDS = 900_000
 #: Longer words are encoded when met and not kept.
 MAX_WORD = 48
-#: Branches that the search visits, and fillings that it enumerates for one bin. Both bound time, not the result's validity.
-MAX_NODES, MAX_FILLINGS = 400, 8
+#: Branches that the search visits, and fillings that it enumerates for one bin, in so many steps for each. They bound time, not the
+#: result's validity, and come into play only where neither best fit nor the dive meets the lower bound.
+MAX_NODES, MAX_FILLINGS, FILLING_STEPS = 4000, 24, 40
 #: Parts into which pieces of one length are dealt before they are ranked.
 PARTS = 32
 
@@ -215,7 +217,6 @@ def fillings(first: int, counts: dict[int, int], capacity: int, limit: int = MAX
     """
     lengths = [-k for k in sorted(counts, reverse=True) if counts[k] and k <= first]  # negated: ascending for bisect
     found: dict[Pattern, int] = {}
-    budget = [20 * limit]
 
     def spare(low: int, high: int, chosen: dict[int, int]) -> bool:
         """Whether an unused item has a length in (low, high]."""
@@ -226,34 +227,79 @@ def fillings(first: int, counts: dict[int, int], capacity: int, limit: int = MAX
             at += 1
         return False
 
-    def grow(at: int, room: int, chosen: dict[int, int]) -> None:
-        if len(found) >= limit or budget[0] <= 0:
-            return
-        budget[0] -= 1
-        at = max(at, bisect_left(lengths, -room))
-        while at < len(lengths) and counts[-lengths[at]] <= chosen.get(-lengths[at], 0):
-            at += 1
-        if at == len(lengths) or not room:
-            others = [c for c, n in chosen.items() if c != first or n > 1]
-            if not spare(0, room, chosen) and not any(spare(c, c + room, chosen) for c in others):
-                found[tuple(sorted(chosen.items(), reverse=True))] = room
-            return
+    def grown(at: int, room: int, chosen: dict[int, int]) -> Iterator[tuple[int, int, dict[int, int]]]:
         k = -lengths[at]
         for m in range(min(room // k, counts[k] - chosen.get(k, 0)), -1, -1):
             more = dict(chosen)
             if m:
                 more[k] = more.get(k, 0) + m
-            grow(at + 1, room - m * k, more)
+            yield at + 1, room - m * k, more
 
-    grow(0, capacity - first, {first: 1})
+    # Lengths that are left out make the search deeper than Python's own stack may be.
+    levels, steps = [iter([(0, capacity - first, {first: 1})])], 0
+    while levels and len(found) < limit and steps < FILLING_STEPS * limit:
+        state = next(levels[-1], None)
+        if state is None:
+            levels.pop()
+            continue
+        steps += 1
+        at, room, chosen = state
+        at = max(at, bisect_left(lengths, -room))
+        while at < len(lengths) and counts[-lengths[at]] <= chosen.get(-lengths[at], 0):
+            at += 1
+        if at < len(lengths) and room:
+            levels.append(grown(at, room, chosen))
+            continue
+        others = [c for c, n in chosen.items() if c != first or n > 1]
+        if not spare(0, room, chosen) and not any(spare(c, c + room, chosen) for c in others):
+            found[tuple(sorted(chosen.items(), reverse=True))] = room
     return sorted(found, key=lambda p: (found[p], [-k for k, n in p for _ in range(n)]))
 
 
+def fullest(first: int, counts: dict[int, int], capacity: int) -> Pattern:
+    """The filling around a largest item that leaves the least room, of several the one with the largest items.
+
+    Bit x of reach[i] says whether items of lengths[i:] can have the sum x; no filling is left out.
+    """
+    room = capacity - first
+    lengths = sorted((k for k, n in counts.items() if n > (k == first) and k <= room), reverse=True)
+    reach, mask = [1], (1 << room + 1) - 1
+    for k in reversed(lengths):
+        sums, left, step = reach[-1], min(counts[k] - (k == first), room // k), 1
+        while left:
+            take = min(step, left)
+            sums |= (sums << k * take) & mask
+            left, step = left - take, 2 * step
+        reach.append(sums)
+    reach.reverse()
+    goal, chosen = reach[0].bit_length() - 1, {first: 1}
+    for i, k in enumerate(lengths):
+        m = next(m for m in range(min(counts[k] - (k == first), goal // k), -1, -1) if reach[i + 1] >> goal - m * k & 1)
+        if m:
+            chosen[k] = chosen.get(k, 0) + m
+            goal -= m * k
+    return tuple(sorted(chosen.items(), reverse=True))
+
+
+def dive(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """A packing of all of counts that fills one bin after the other as far as can be, from the largest length down."""
+    rest, done = dict(counts), []
+    while rest:
+        pattern = fullest(max(rest), rest, capacity)
+        uses = min(rest[k] // n for k, n in pattern)
+        for k, n in pattern:
+            rest[k] -= n * uses
+            if not rest[k]:
+                del rest[k]
+        done.append((pattern, uses))
+    return done
+
+
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[Pattern, int]]:
     """Patterns with multiplicities that pack all of counts (length -> items) in as few bins as the search finds.
 
-    Best-fit decreasing is the incumbent. If it meets the lower bound it is optimal; else branches are explored depth
-    first, within max_nodes, keeping every better solution.
+    Best-fit decreasing is the incumbent. If it meets the lower bound it is optimal; else the dive is tried, and if that
+    misses the bound too, branches are explored depth first, within max_nodes, keeping every better solution.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
@@ -261,6 +307,10 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
     incumbent = best_fit(counts, capacity)
     best = [sum(n for _, n in incumbent), incumbent]
     bound = lower_bound(counts, capacity)
+    if best[0] > bound:
+        full = dive(counts, capacity)
+        if (n := sum(x for _, x in full)) < best[0]:
+            best = [n, full]
     total = sum(k * n for k, n in counts.items())
     rest, done, bins, waste, nodes = dict(counts), [], 0, 0, 0
 
@@ -298,7 +348,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
             # A better solution has at most best - 1 bins, so it can't waste more than this.
             undo()
         else:
-            if nodes % 16 == 1:
+            if nodes % 8 == 1:
                 tail = best_fit(rest, capacity)
                 if bins + (n := sum(x for _, x in tail)) < best[0]:
                     best = [bins + n, [*done, *tail]]

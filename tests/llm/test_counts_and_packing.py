@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from auditlake.llm.packing import best_fit, bin_completion, fillings, lower_bound, pack
+from auditlake.llm.packing import best_fit, bin_completion, fillings, fullest, lower_bound, pack
 from auditlake.llm.queries import PIECE_MODEL, WORD_TOKENIZER, tokenizer_path
 from auditlake.llm.token_counts import CountTransducer, count_tokens
 
@@ -89,6 +89,29 @@ def test_bin_completion_against_exact_search():
         assert sum(n for _, n in plan) == exact(items, 20), items
 
 
+def test_the_bound_is_met_where_best_fit_misses_it():
+    r = random.Random(9)
+    counts = dict(Counter(r.randrange(20, 600) for _ in range(600)))
+    plan = bin_completion(counts, 1000)
+    assert sum(n for _, n in best_fit(counts, 1000)) > lower_bound(counts, 1000) == sum(n for _, n in plan)
+    used = Counter()
+    for p, n in plan:
+        assert sum(k * m for k, m in p) <= 1000
+        used.update({k: m * n for k, m in p})
+    assert used == counts
+
+
+def test_fullest_filling_against_all_fillings():
+    r = random.Random(4)
+    for _ in range(200):
+        counts = {k: r.randrange(1, 4) for k in r.sample(range(2, 30), 6)}
+        first, sums = max(counts), {0}
+        for k, n in counts.items():
+            sums = {s + k * m for s in sums for m in range(n + (k != first)) if s + k * m <= 40 - first}
+        p = fullest(first, counts, 40)
+        assert sum(k * m for k, m in p) == first + max(sums) and all(m <= counts[k] for k, m in p) and dict(p)[first] >= 1
+
+
 def test_fillings_are_undominated():
     for p in fillings(9, {9: 1, 6: 2, 5: 1, 4: 3, 1: 1}, 20):
         room = 20 - sum(k * n for k, n in p)
