@@ -33,8 +33,8 @@ IDENTIFIERS = {
 }
 #: Bytes that stand between words, and lower case of A-Z.
 TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
-TAG_LINE = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]{1,200})", re.IGNORECASE)
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+TAG_START = re.compile(rb"spdx-license-identifier\s*:", re.IGNORECASE)
+TOKEN = re.compile(r"[()\r\n]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: Binding strength of the operators; with binds an exception to the license before it. Fixed values.
 STRENGTH = {"or": 1, "and": 2, "with": 3}
 
@@ -43,13 +43,19 @@ class ExpressionError(ValueError):
     """A license expression that can't be read."""
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: the tokens of an expression in postfix order. What follows a complete expression is not read."""
+def to_postfix(expression: str, start: int = 0) -> list[str]:
+    """Shunting-yard: the tokens of an expression in postfix order, from start to the end of its line.
+
+    What follows a complete expression is not read.
+    """
     out: list[str] = []
     operators: list[str] = []
     operand_next = True
-    for token in TOKEN.findall(expression):
+    for found in TOKEN.finditer(expression, start):
+        token = found.group()
         word = token.lower()
+        if token in "\r\n":
+            break
         if operand_next:
             if word in STRENGTH or token == ")":
                 raise ExpressionError(f"an identifier is missing before {token}")
@@ -85,7 +91,6 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
             stack.append([frozenset(f"{x} with {y}" for x in a for y in b) for a in base for b in exception])
         elif token == "and":
             b, a = stack.pop(), stack.pop()
-            # A text's expression is short, so the products stay small.
             stack.append([x | y for x in a for y in b])
         elif token == "or":
             b, a = stack.pop(), stack.pop()
@@ -102,13 +107,27 @@ def label_of(identifier: str) -> str:
     return IDENTIFIERS[max(known, key=len)] if known else f"other-{name}"
 
 
-def expression_labels(text: str) -> tuple[set[str], int]:
-    """Labels in an expression, and in how many alternatives it offers a choice; nothing if it can't be read."""
+def expression_labels(text: str, start: int = 0) -> tuple[set[str], int]:
+    """Labels in an expression, and how many alternatives it offers, equal ones counted each; nothing if it can't be read.
+
+    The alternatives, whose number may double with each operator, are not written out: an exception has no label.
+    """
     try:
-        alternatives = evaluate(to_postfix(text))
+        postfix = to_postfix(text, start)
     except ExpressionError:
         return set(), 0
-    return {label_of(x) for a in alternatives for x in a}, len(alternatives)
+    stack: list[tuple[set[str], int]] = []
+    for token in postfix:
+        if token not in STRENGTH:
+            stack.append(({label_of(token)}, 1))
+            continue
+        (more, m), (own, n) = stack.pop(), stack.pop()
+        if token != "with":
+            large, small = (own, more) if len(own) >= len(more) else (more, own)
+            large |= small
+            own = large
+        stack.append((own, n + m if token == "or" else n * m))
+    return stack[0]
 
 
 @lru_cache(maxsize=1)
@@ -142,8 +161,9 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
             n_more += 1
     n_tags = 0
     if tagged:
-        for m in TAG_LINE.finditer(text):
-            found, _ = expression_labels(m.group(1).decode("utf-8", "replace"))
+        line = text.decode("latin-1")  # tokens are ASCII, and places stay those of the bytes
+        for m in TAG_START.finditer(text):
+            found, _ = expression_labels(line, m.end())
             more |= found
             n_tags += bool(found)
     first = joined.count(" ", 0, min(places)) if places else None
@@ -158,7 +178,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are runs of ASCII letters, digits and non-ASCII characters. n_base counts every place of a base phrase;
     first_word and last_word are its smallest and largest start, null without any. A null text counts as empty: no
-    words, no labels, score 0. An expression that can't be read adds no label. Repeated rows give repeated results;
+    words, no labels, score 0. Every tag counts, and its expression is read to its end or the end of its line, however
+    long; one that can't be read adds no label. Repeated rows give repeated results;
     other columns are not read. An empty table gives an empty result.
     """
 
