@@ -74,10 +74,10 @@ def replay(seeds: DataFrame, links: DataFrame, limits: Limits = Limits()) -> tup
 
     seeds: url. links: source_url, link_sequence, href, resolved, link_type, in_scope. A level is a join of its pages
     with their links; a URL enters at its least depth and there in the order of its source and link. The limit of URLs
-    counts in that order. Only the running number of a level's new URLs is global, and it is bounded by the limit.
+    counts in that order, seeds among them by URL. Only the running number of a level's new URLs is global, and it is bounded by the limit.
     """
     test = F.expr(ADMISSION_SQL.format(max_depth=limits.max_depth, no_queries="false" if limits.allow_queries else "true"))
-    first = seeds.select("url").distinct()
+    first = seeds.select("url").distinct().orderBy("url").limit(limits.max_urls)
     level = _write(first.select("url", F.lit(0).alias("depth"), (F.row_number().over(Window.orderBy("url")) - 1).cast("long").alias("place")))
     admitted, decided, held = level, None, level.count()
     for depth in range(1, limits.max_depth + 2):

@@ -173,10 +173,21 @@ def link_findings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {duck_crawl()}, walk AS (SELECT CAST(0 AS BIGINT) AS page, 0 AS depth UNION SELECT l.target_page, depth + 1 FROM walk JOIN links l ON l.source_page = walk.page WHERE depth < 4)
   SELECT concat('{SITE}', page) AS url, min(depth) AS depth FROM walk GROUP BY page""")
 def crawl_admissions(spark: SparkSession, d: str) -> DataFrame:
-    address = lambda c: F.concat(F.lit(SITE), F.col(c).cast("string"))
-    own = Site(spark, d).links.select(address("source_page").alias("source_url"), F.col("seq").alias("link_sequence"), address("target_page").alias("resolved"), F.lit("x").alias("href"), F.lit("http").alias("link_type"), F.lit(True).alias("in_scope"))
     seeds = spark.createDataFrame([(f"{SITE}0",)], "url string")
-    return crawl.replay(seeds, own, crawl.Limits(50_000, 4))[0].select("url", "depth")
+    return crawl.replay(seeds, _crawl_links(spark, d), crawl.Limits(50_000, 4))[0].select("url", "depth")
+
+
+def _crawl_links(spark: SparkSession, d: str) -> DataFrame:
+    address = lambda c: F.concat(F.lit(SITE), F.col(c).cast("string"))
+    return Site(spark, d).links.select(address("source_page").alias("source_url"), F.col("seq").alias("link_sequence"), address("target_page").alias("resolved"), F.lit("x").alias("href"), F.lit("http").alias("link_type"), F.lit(True).alias("in_scope"))
+
+
+# No SQL: the limit of URLs counts in an order of levels and links that one recursive query doesn't keep.
+@query()
+def crawl_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Every link that a crawl of the widest profile meets, from each 25th page on, with what was decided."""
+    seeds = Site(spark, d).pages.where("page_id % 25 = 0").select(F.concat(F.lit(SITE), F.col("page_id").cast("string")).alias("url"))
+    return crawl.replay(seeds, _crawl_links(spark, d), crawl.PROFILES["absolute"])[1]
 
 
 # -- internal-link graph ----------------------------------------------------------------------------------------------

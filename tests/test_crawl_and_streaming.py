@@ -38,6 +38,41 @@ def test_replay(spark):
     assert [r.url for r in few.orderBy("place").collect()] == ["a", "b"] and {r.reason: r.links for r in crawl.counters(why).collect()}["url_limit_reached"] == 3
 
 
+def decisions_by_hand(n, max_urls, max_depth):
+    from auditlake.plans.site import SITE
+
+    links = {p: [(10 * p + i, t) for i, (t, ok) in enumerate(((3 * p + 1, (3 * p + 1) % 11), (3 * p + 2, (3 * p + 2) % 11), (p // 3, p), (0, p % 2 == 0), (p + 1, p % 6 == 0))) if ok and t < n] for p in range(n)}
+    level = sorted((p for p in range(0, n, 25)), key=str)[:max_urls]
+    known, out, depth = set(level), [], 0
+    while level and depth <= max_depth:
+        depth += 1
+        fresh, now = [], set()
+        for p in level:
+            for seq, t in links[p]:
+                reason = "same_document" if t == p else "depth_exceeded" if depth > max_depth else "duplicate_url" if t in known or t in now else "url_limit_reached" if len(known) + len(fresh) >= max_urls else "admitted"
+                if reason in ("admitted", "url_limit_reached"):
+                    now.add(t)
+                if reason == "admitted":
+                    fresh.append(t)
+                out.append((f"{SITE}{p}", seq, f"{SITE}{t}", depth, reason))
+        known |= set(fresh)
+        level = fresh
+    return out
+
+
+@pytest.mark.parametrize(("n", "limits"), [(400, None), (1600, None), (400, (60, 50)), (400, (10, 50)), (400, (400, 1))])
+def test_decisions_over_all_pages(spark, tmp_path, monkeypatch, n, limits):
+    from auditlake.plans import queries
+
+    if limits:
+        monkeypatch.setitem(crawl.PROFILES, "absolute", crawl.Limits(*limits))
+    spark.range(n).select(F.col("id").alias("page_id"), F.lit("").alias("url"), F.lit("").alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in queries.crawl_decisions(spark, str(tmp_path)).collect())
+    assert got == sorted(decisions_by_hand(n, *(limits or (50_000, 50))))
+    # The number of pages that the crawl meets grows with the table.
+    assert limits or len({r[0] for r in got}) > n / 25
+
+
 def test_directives(spark):
     assert indexability.parse_header("auditbot: noindex, nofollow") == {"agent": "auditbot", "directives": ["noindex", "nofollow"], "warning": None}
     assert indexability.parse_header("max-snippet: 5, noindex")["directives"] == ["max-snippet: 5", "noindex"] and indexability.parse_header(" ")["warning"] == "empty_x_robots_tag" and indexability.parse_header("a b: x")["warning"] == "invalid_x_robots_tag"
