@@ -63,8 +63,8 @@ def whole(m: np.ndarray) -> np.ndarray:
     return np.array([[int(x) for x in row] for row in m], object)
 
 
-def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, vec, score of the k best rows of each query in one tile, ties to the smaller id; scores are exact."""
+def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """query, vec, score, place of the query in its block, of the k best rows of each query in one tile, ties to the smaller id; scores are exact."""
     (qi, q), (vi, v) = queries, rows
     bound = np.abs(q).sum(axis=1).max() * np.abs(v).max()
     exact = bound < EXACT
@@ -72,7 +72,7 @@ def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
     order = np.argsort(vi, kind="stable")
     scores, vi = scores[:, order], vi[order]
     own = vi[None, :] == qi[:, None]
-    out_q, out_v, out_s = [], [], []
+    out_q, out_v, out_s, out_p = [], [], [], []
     for i in range(len(qi)):
         s, ok = scores[i], ~own[i]
         at = np.flatnonzero(ok)
@@ -83,7 +83,8 @@ def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
         out_q += [qi[i]] * len(best)
         out_v += vi[best].tolist()
         out_s += [int(x) for x in s[best]]
-    return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_s, object)
+        out_p += [i] * len(best)
+    return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_s, object), np.array(out_p, np.int32)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -92,12 +93,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256,
     Components become floor(scale * x); scores are whole numbers and must fit a long. Ties go to the smaller vec_id. A
     query's own id is no candidate; with fewer than k candidates all are returned. Rows whose vector is null, empty or
     has a null or non-finite component, and rows with a null id, take no part. Vectors are compared with those of their
-    length. A query that occurs twice, and a vector that occurs twice under one id, count once. Other columns are not
-    read. Empty tables give an empty result.
+    length. Rows of equal id and equal vector count once; of rows that share an id, each vector is a candidate, and each
+    query has a list of its own. Other columns are not read. Empty tables give an empty result.
     """
-    unique = lambda df: usable_vectors(df, id_col, vector_col).dropDuplicates(["vec_id"])
+    unique = lambda df: usable_vectors(df, id_col, vector_col).dropDuplicates(["vec_id", "v"])
     data = cut(blocks(unique(vectors), block_rows, scale).withColumn("block", F.monotonically_increasing_id()), "vector-blocks")
-    asked = cut(blocks(unique(queries), query_rows, scale), "query-blocks")
+    asked = cut(blocks(unique(queries), query_rows, scale).withColumn("q_block", F.monotonically_increasing_id()), "query-blocks")
     n = data.count()
     numbered = data.select("block").collect()  # one number for each block of thousands of vectors
     place = {r["block"]: i for i, r in enumerate(sorted(numbered))}
@@ -107,21 +108,21 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256,
     numbers = data.sparkSession.createDataFrame([(b, i) for b, i in place.items()], "block long, number int")
     data = data.join(numbers, "block").withColumn("shard", F.col("number") % groups)
     # Each block of queries is dealt to every shard: queries in blocks against all rows in blocks, joined on the shard.
-    spread = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("shard"))
+    spread = asked.select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("shard"))
     tiles = spread.join(data, ["shard", "dim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, number, qi, q, vi, v in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for dim, number, block, qi, q, vi, v in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 got = tile((np.frombuffer(qi, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim)), (np.frombuffer(vi, np.int64), np.frombuffer(v, np.float64).reshape(-1, dim)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got[0]), number, np.int32)), pa.array(got[0]), pa.array(got[1]), pa.array(got[2].tolist(), pa.int64())], names=["list", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got[0]), number, np.int32)), pa.array(np.full(len(got[0]), block, np.int64)), pa.array(got[3]), pa.array(got[0]), pa.array(got[1]), pa.array(got[2].tolist(), pa.int64())], names=["list", "q_block", "place", "query_id", "vec_id", "score"])
 
-    best = tiles.select("dim", "number", "q_ids", "q_data", "ids", "data").mapInArrow(run, "list int, query_id long, vec_id long, score long")
+    best = tiles.select("dim", "number", "q_block", "q_ids", "q_data", "ids", "data").mapInArrow(run, "list int, q_block long, place int, query_id long, vec_id long, score long")
     lists = n
     while lists > 1:
         lists = -(-lists // FAN_IN)
-        own = Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "vec_id")
+        own = Window.partitionBy("q_block", "place", "list").orderBy(F.desc("score"), "vec_id")
         best = best.withColumn("list", F.expr(f"cast(list div {FAN_IN} as int)") if lists > 1 else F.lit(0)).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).drop("rank")
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    own = Window.partitionBy("q_block", "place").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

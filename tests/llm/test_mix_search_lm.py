@@ -65,6 +65,14 @@ def test_tiles_are_exact_beyond_doubles():
     assert tile((np.array([9]), q), (np.array([1, 2]), v), 5)[2].tolist() == [2**60 + 2, 2**60 + 1]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_that_share_an_id_are_all_candidates(spark, parts):
+    rows = [(0, [1.0]), (0, [-1.0]), (0, [1.0]), (1, [2.0]), (1, [5.0]), (1, [5.0]), (2, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+    got = Counter(tuple(r) for r in top_k(df.where("vec_id = 0"), df, k=2, scale=1, block_rows=2).collect())
+    assert got == Counter([(0, 1, 1, 5), (0, 2, 2, 3), (0, 1, 1, -2), (0, 2, 2, -3)])
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in top_k(df.where("vec_id = 0"), df).collect()] == [(0, 1, 1, 256 * 512)]
