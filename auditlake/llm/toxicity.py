@@ -111,8 +111,11 @@ class FuzzyLexicon:
         return new
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its errors, and their number; else the stem that the word begins with."""
-        return self.near(word) or next(((word[:n], 0) for n in self.lengths if word[:n] in self.stems), None)
+        """The term that a word is, else the stem that it begins with, else the nearest term within its errors; and the errors."""
+        hit = self.near(word)
+        if hit and not hit[1]:
+            return hit
+        return next(((word[:n], 0) for n in self.lengths if word[:n] in self.stems), hit)
 
     def near(self, word: str) -> tuple[str, int] | None:
         if len(self.sets) > MAX_STATES:
@@ -137,6 +140,7 @@ class ToxicityModel:
     stems: tuple[str, ...] = ()
     clean: frozenset[str] = frozenset()  # words near a term which clean texts use
     coefficients: tuple[float, ...] = PRIOR
+    both: frozenset[str] = frozenset()  # stems that are terms too
     cache: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
@@ -144,7 +148,7 @@ class ToxicityModel:
 
     def __setstate__(self, state: dict) -> None:
         # In a worker, tasks with the same lexicon share what has been looked up.
-        name = (tuple(sorted(state["weights"].items())), state["stems"], state["clean"])
+        name = (tuple(sorted(state["weights"].items())), state["stems"], state["clean"], state["both"])
         if _SHARED.get("name") != name:
             _SHARED.clear()
             _SHARED.update(name=name, cache={})
@@ -154,7 +158,7 @@ class ToxicityModel:
         """The term that a word is or misspells, and the errors."""
         lexicon = self.cache.get("lexicon")
         if lexicon is None:
-            lexicon = self.cache["lexicon"] = FuzzyLexicon(sorted(self.weights.keys() - set(self.stems)), self.stems)
+            lexicon = self.cache["lexicon"] = FuzzyLexicon(sorted(self.weights.keys() - set(self.stems) | self.both), self.stems)
         if word in self.clean:
             return None
         if found := lexicon.match(word):
@@ -215,8 +219,8 @@ class _Split(dict):
 
 
 SPLIT = _Split()
-#: A short span between quotation marks that begins and ends at words.
-QUOTED = re.compile(rf"(?:(?<=\s)|^)[{QUOTES}]([^\n{QUOTES}]{{1,80}})[{QUOTES}](?=[\s.,;:!?)]|$)")
+#: A span between quotation marks on one line that begins and ends at words; an apostrophe within a word is no mark.
+QUOTED = re.compile(rf"(?:(?<=\s)|^)[{QUOTES}]((?:[^\n{QUOTES}]|(?<=\w)['’](?=\w))++)[{QUOTES}](?=[\s.,;:!?)]|$)")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -280,9 +284,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
             x = y
         if len(stems) < MAX_TERMS:
             stems[x] = strength[x]
-    # A term that a stem covers is one of its forms.
-    weights = {w: o for w, o in weights.items() if not any(w.startswith(x) for x in stems)} | stems
-    model = ToxicityModel(weights, tuple(stems))
+    # Terms that a stem covers stay in the trie, for misspellings within the stem.
+    both = frozenset(weights.keys() & stems.keys())
+    weights |= stems
+    model = ToxicityModel(weights, tuple(stems), both=both)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
 
     # Only words of clean sample texts that the automaton takes for a term: bounded with the sample.
     clean = counts.where(~F.col("stem") & (F.col("clean") > 0) & (F.col("clean") / size[0] >= F.col("toxic") / size[1])).select("word", "clean").mapInArrow(near, "word string")
-    model = ToxicityModel(weights, tuple(stems), frozenset(r["word"] for r in clean.collect()))
+    model = ToxicityModel(weights, tuple(stems), frozenset(r["word"] for r in clean.collect()), both=both)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -301,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
     x = np.array([[1.0, *r["x"]] for r in got])
     y = np.array([r["label"] for r in got], float)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of rows
-    return ToxicityModel(weights, model.stems, model.clean, tuple(logistic(x[order], y[order])))
+    return ToxicityModel(weights, model.stems, model.clean, tuple(logistic(x[order], y[order])), both)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR, ridge: float = RIDGE) -> list[float]:

@@ -127,6 +127,22 @@ def test_quoted_terms_weigh_less():
     assert m.score("you are an idiot") > m.score('they wrote "idiot" once') and m.score("you 1diot") > m.score("you")
 
 
+def test_long_quotations_are_quoted():
+    m = ToxicityModel({"idiot": 8.0})
+    for text in ("he read \"" + "a fine day " * 20 + "you idiot\" aloud", "he read \"they don't like an idiot\" aloud"):
+        direct, _, quoted, *_ = m.features(text)
+        assert direct == 0 < quoted
+    assert m.features("he read \"a fine day\" and you idiot")[0] > 0
+
+
+def test_misspellings_within_a_stem_are_found(spark):
+    forms = ["blarken", "blarkish", "blarkova", "blarkuto", "blarky"]
+    rows = [(i, " ".join(["calm", "words", f"w{i}", f"v{i % 7}", "of", f"day{i}", *([forms[i % 5], forms[i // 5 % 5]] if i % 3 == 0 else [])])) for i in range(400)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    assert any(f.startswith(model.stems) for f in forms) and model.lookup("blarkest")[1] == 0
+    assert model.lookup("blorkish") == ("blarkish", 1) and model.lookup("blarkish") == ("blarkish", 0)
+
+
 def test_toxicity_fit_and_score(spark, no_docs):
     import random
     import zlib
