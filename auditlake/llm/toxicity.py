@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -27,10 +28,11 @@ from auditlake.llm.common import claim, cut, keeps, slices, texts
 SAMPLE_ROWS = 20_000
 #: Share of the toxic sample texts that a term or stem must occur in, and least number of them.
 TERM_SHARE, TERM_TEXTS = 0.02, 3
-#: Least log odds of a term or stem, less their standard error; most terms and stems.
-TERM_ODDS, MAX_TERMS = 2.6, 500
-#: Lengths of stems, and different endings that a stem must have been seen with.
-STEM_LENGTHS, STEM_ENDINGS = range(4, 9), 4
+#: Least log odds of a term and of a stem, less their standard error. How many there are is bounded by the sample: each is
+#: in a share of its toxic texts.
+TERM_ODDS, STEM_ODDS = 2.6, 1.2
+#: Lengths of stems, different endings that a stem must have been seen with, and most words of one text that count for it.
+STEM_LENGTHS, STEM_ENDINGS, STEM_WORDS = range(3, 9), 4, 8
 #: Words on either side of a match that are searched for signs of quotation.
 WINDOW = 6
 #: Labels of ids with this remainder are held out.
@@ -224,7 +226,13 @@ QUOTED = re.compile(rf"(?:(?<=\s)|^)[{QUOTES}]((?:[^\n{QUOTES}]|(?<=\w)['’](?=
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """label, text of at most `rows` labelled documents outside the held-out part, near copies left out as far as one sketch tells."""
+    """label, text of at most `rows` labelled documents outside the held-out part.
+
+    Labels other than 0 and 1 and null ids take no part; of labels that differ for one id, the greater counts. A null text
+    counts as empty. Of texts with one label and one sketch (the least hash of five words), that of the smallest id and
+    least text counts, for all of them: copies would make rare words look certain. Other columns are not read; empty
+    tables give an empty sample.
+    """
     key = F.col(id_col).cast("long")
     usable = labels.select(key.alias("__id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and __id is not null")
     usable = usable.where(F.crc32(F.col("__id").cast("string")) % MODULUS != HELD_OUT).groupBy("__id").agg(F.max("label").alias("label"))
@@ -234,17 +242,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sketch = []
-            for t in texts(b.column(1)):
+            for t in texts(b.column(2)):
                 w = t.lower().split()
                 sketch.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) >> 1 for i in range(max(1, len(w) - 4))), default=0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketch, pa.int64())], names=["label", "text", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketch, pa.int64())], names=["id", "label", "text", "sketch"])
 
-    own = docs.select(key.alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("label", "text")
-    return cut(own.mapInArrow(run, "label int, text string, sketch long").dropDuplicates(["label", "sketch"]).select("label", "text"), "labelled")
+    own = docs.select(key.alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select(F.col("__id").alias("id"), "label", F.coalesce("text", F.lit("")).alias("text"))
+    first = F.min(F.struct("id", "text")).alias("first")
+    return cut(own.mapInArrow(run, "id long, label int, text string, sketch long").groupBy("label", "sketch").agg(first).select("label", "first.text"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Learns terms, clean neighbours and weights. Without labels of both kinds the prior weights and no terms remain."""
+    """Learns terms, stems, clean neighbours and weights from labelled_sample, whose docstring tells which rows count.
+
+    Without labels of both kinds the prior weights and no terms remain. What comes to the driver (terms, stems, words near
+    them, features of the sample) is bounded by the sample. The result doesn't depend on the order or partitions of rows.
+    """
     sample = labelled_sample(docs, labels, rows, id_col, text_col, label_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,37 +266,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
         for b in slices(batches):
             for y, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 words = set(t.lower().translate(SPLIT).split())
-                for key in {(False, w) for w in words} | {(True, w[:n]) for w in words for n in STEM_LENGTHS if n < len(w)}:
-                    seen.setdefault(key, [0, 0])[y] += 1
+                stems = Counter(w[:n] for w in words for n in STEM_LENGTHS if n < len(w))
+                for key, n in [*(((False, w), 1) for w in words), *(((True, x), n) for x, n in stems.items())]:
+                    own = seen.setdefault(key, [0, 0, 0, 0])
+                    own[y] += 1
+                    own[2 + y] += min(n, STEM_WORDS)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in (0, 1))], names=["stem", "word", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in range(4))], names=["stem", "word", *numbers])
 
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(size) < 2:
         return ToxicityModel({})
-    counts = cut(sample.mapInArrow(count, "stem boolean, word string, clean long, toxic long").groupBy("stem", "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "word-counts")
-    odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1)) - F.log((F.col("clean") + 0.5) / (size[0] + 1))
+    # Texts with a word or stem, and words with it; of either label.
+    numbers = ["clean", "toxic", "clean_words", "toxic_words"]
+    counts = cut(sample.mapInArrow(count, "stem boolean, word string, " + ", ".join(f"{n} long" for n in numbers)).groupBy("stem", "word").agg(*(F.sum(n).alias(n) for n in numbers)), "word-counts")
+    all_words = counts.where("not stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
+    of_texts = F.log((F.col("toxic") + 0.5) / (size[1] + 1)) - F.log((F.col("clean") + 0.5) / (size[0] + 1))
+    of_words = F.log((F.col("toxic_words") + 0.5) / ((all_words["toxic"] or 0) + 1)) - F.log((F.col("clean_words") + 0.5) / ((all_words["clean"] or 0) + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     least = max(TERM_TEXTS, TERM_SHARE * size[1])
-    strong = counts.withColumn("odds", odds).where((F.col("toxic") >= least) & (F.col("odds") - error >= TERM_ODDS))
-    best = F.desc(F.col("odds") * F.sqrt("toxic"))
-    terms = strong.where("not stem and length(word) >= 3").orderBy(best, "word").limit(MAX_TERMS).collect()
+    strong = counts.withColumn("odds", F.when(F.col("stem"), of_words).otherwise(of_texts)).withColumn("sure", F.col("odds") - error)
+    strong = strong.where((F.col("toxic") >= least) & (F.col("sure") >= F.when(F.col("stem"), STEM_ODDS).otherwise(TERM_ODDS)))
+    terms = strong.where("not stem and length(word) >= 3").collect()
     weights, whole = {r["word"]: r["odds"] for r in terms}, {r["word"]: r["toxic"] for r in terms}
     words = counts.where("not stem and toxic > 0").select("word")
     endings = words.select(F.explode(F.transform(F.sequence(F.lit(STEM_LENGTHS[0]), F.lit(STEM_LENGTHS[-1])), lambda n: F.when(n < F.length("word"), F.expr("word").substr(F.lit(1), n)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("endings"))
-    found = strong.where("stem").join(endings.where(F.col("endings") >= STEM_ENDINGS), "word").orderBy(F.length("word"), "word").limit(20 * MAX_TERMS).collect()
-    texts_with = {r["word"]: r["toxic"] for r in found}
-    longer = {x: max((y for y in texts_with if len(y) == len(x) + 1 and y.startswith(x)), key=texts_with.get, default=None) for x in texts_with}
-    strength = {r["word"]: r["odds"] for r in found}
+    found = strong.where("stem").join(endings.where(F.col("endings") >= STEM_ENDINGS), "word").select("word", "odds", "sure", "toxic").collect()
     stems: dict[str, float] = {}
-    for r in found:
+    # The surest stem of a family stands for it; in a tie the longer one.
+    for r in sorted(found, key=lambda r: (-r["sure"] * math.sqrt(r["toxic"]), -len(r["word"]), r["word"])):
         x = r["word"]
-        if any(x.startswith(s) for s in stems) or any(w.startswith(x) and n >= 0.8 * texts_with[x] for w, n in whole.items()):
-            continue  # a form of a stem, or only the beginning of one word
-        while (y := longer[x]) and texts_with[y] >= 0.95 * texts_with[x]:
-            x = y
-        if len(stems) < MAX_TERMS:
-            stems[x] = strength[x]
+        related = any(x.startswith(s) or s.startswith(x) for s in stems)
+        if not related and not any(w.startswith(x) and n >= 0.8 * r["toxic"] for w, n in whole.items()):
+            stems[x] = r["odds"]
     # Terms that a stem covers stay in the trie, for misspellings within the stem.
     both = frozenset(weights.keys() & stems.keys())
     weights |= stems
@@ -341,7 +356,11 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col:
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below the threshold, with their own columns."""
+    """The rows of docs that score below the threshold, with their own columns, whatever their names.
+
+    Each row is judged by itself: repeated rows stay or go together. A null or empty text stays as it is unless the model
+    scores the empty text at the threshold or more. An empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

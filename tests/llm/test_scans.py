@@ -173,5 +173,46 @@ def test_toxicity_fit_and_score(spark, no_docs):
     assert score(no_docs, model).count() == 0
 
 
+def test_features_against_brute_force():
+    """Matches of every word by plain edit distances to all terms, with windows and quotations told by hand."""
+    import math
+    import random
+
+    from auditlake.llm.toxicity import edits_for
+
+    r, weights = random.Random(12), {"scum": 3.0, "idiot": 6.0, "worthless": 4.0, "blar": 2.0}
+    model = ToxicityModel(weights, ("blar",))
+    for _ in range(300):
+        words = [r.choice(["calm", "scum", "scun", "idiot", "idlot", "worthles", "vorthles", "blarfoo", "said", "of", "rivers"]) for _ in range(25)]
+        sums, n = [0.0] * 4, 0
+        for i, w in enumerate(words):
+            hits = [(distance(w, t), t) for t in ("scum", "idiot", "worthless") if distance(w, t) <= edits_for(t)] + [(0, "blar")] * w.startswith("blar")
+            if hits:
+                e, t = min(hits)
+                n += 1
+                sums[2 * ("said" in words[max(0, i - 6) : i + 7]) + (e > 0)] += min(1, weights[t] / 5) / (1 + e)
+        assert model.features(" ".join(words)) == pytest.approx([*(math.log1p(3 * s) for s in sums), min(1, 10 * n / 25)])
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_held_out_recall_and_clean_rate(spark, sf):
+    import os
+
+    folder = f"/root/testdata/sf{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = score(docs, fit(docs, labels)).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = Counter({(r.toxic, r.predicted): r["count"] for r in found})
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.01 * (n[0, 1] + n[0, 0])
+
+
+def test_the_fit_takes_the_same_copy_each_time(spark):
+    rows = [(i, "a b c d e " + ("vermin" if i % 2 else "calm") + f" x{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    models = [fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels) for n in (1, 7)]
+    assert models[0] == models[1]
+
+
 def test_empty_tables(no_docs):
     assert license_scan(no_docs).count() == 0 and secret_scan(no_docs).count() == 0
