@@ -34,11 +34,14 @@ END_ID = 1
 MAX_WORDS = 900_000
 #: Longer words are encoded when met and not kept.
 MAX_WORD = 48
-#: Branches that the search visits, and fillings that it enumerates for one bin, in so many steps for each. They bound time, not the
-#: result's validity, and come into play only where neither best fit nor the dive meets the lower bound.
+#: Branches that the search visits beside one for each length, and fillings that it enumerates for one bin, in so many steps for each.
+#: They bound time, not the result's validity, and come into play only where neither best fit nor the dive meets the lower bound; the
+#: gap that they may leave is in the result (sequences less lower_bound).
 MAX_NODES, MAX_FILLINGS, FILLING_STEPS = 4000, 24, 40
-#: Parts into which pieces of one length are dealt before they are ranked.
-PARTS = 32
+#: Lengths up to which what a branch leaves is completed by the dive, which takes longer, in place of best fit.
+SMALL = 64
+#: Pieces of one length that are ranked together; a length that has more is dealt into parts.
+PART_ROWS = 500_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, items), from the largest length down
 
@@ -95,8 +98,17 @@ class WordIds:
         return [little_endian(x.ids) for x in found]
 
     def words(self, text: bytes) -> list[bytes]:
-        """Words between ASCII white space, in ASCII lower case; a text with a special token's string keeps its case."""
-        return text.split() if any(s in text for s in self.specials) else text.lower().split()
+        """Words between ASCII white space, in ASCII lower case.
+
+        A text with a special token's string keeps its case. So does a word with a combining mark, since the tokenizer
+        composes before it lower-cases: a capital and its mark may have no composed form where the small letter has one.
+        The marks that compose with ASCII letters are those from U+0300 to U+036F, whose first byte is CC or CD.
+        """
+        if any(s in text for s in self.specials):
+            return text.split()
+        if b"\xcc" in text or b"\xcd" in text:
+            return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split()]
+        return text.lower().split()
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that aren't known yet."""
@@ -299,11 +311,13 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
     """Patterns with multiplicities that pack all of counts (length -> items) in as few bins as the search finds.
 
     Best-fit decreasing is the incumbent. If it meets the lower bound it is optimal; else the dive is tried, and if that
-    misses the bound too, branches are explored depth first, within max_nodes, keeping every better solution.
+    misses the bound too, branches are explored depth first, keeping every better solution. The first descent always
+    reaches a whole packing: max_nodes come on top of the branches that the histogram's lengths need.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
         return []
+    max_nodes += 4 * sum(n.bit_length() for n in counts.values())
     incumbent = best_fit(counts, capacity)
     best = [sum(n for _, n in incumbent), incumbent]
     bound = lower_bound(counts, capacity)
@@ -349,7 +363,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
             undo()
         else:
             if nodes % 8 == 1:
-                tail = best_fit(rest, capacity)
+                tail = dive(rest, capacity) if len(rest) <= SMALL or nodes % 512 == 1 else best_fit(rest, capacity)
                 if bins + (n := sum(x for _, x in tail)) < best[0]:
                     best = [bins + n, [*done, *tail]]
             levels.append(iter(fillings(max(rest), rest, capacity)))
@@ -375,35 +389,39 @@ def places(patterns: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", kept_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of docs.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, sequences, lower_bound: a row for each piece of each row of docs.
 
-    A null text counts as empty: its end id alone is packed. Repeated rows are packed each. Only texts of more than
-    capacity tokens are cut. Ids and counts of lengths are exact; other columns are not read. An empty table gives an
-    empty result. kept_words bounds a worker's memory, about 200 bytes a word; results don't depend on it.
+    sequences is how many the packing takes, lower_bound how many any packing needs; where they are equal the packing is
+    best. A null text counts as empty: its end id alone is packed. Repeated rows are packed each; a null id stays null.
+    Only texts of more than capacity tokens are cut. Ids and counts of lengths are exact; other columns are not read, so
+    their names may clash. An empty table gives an empty result. kept_words bounds a worker's memory, about 200 bytes a
+    word; results don't depend on it.
     """
-    own = pieces(docs, tokenizer_path, capacity, id_col, text_col, kept_words).withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(PARTS)).cast("int"))
-    # At most capacity * PARTS rows, whatever the input.
-    groups = own.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(groups):
-        before[r["length"], r["part"]] = counts.get(r["length"], 0)
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    plan = places(bin_completion(counts, capacity))
+    own = pieces(docs, tokenizer_path, capacity, id_col, text_col, kept_words)
+    # At most capacity rows, whatever the input: they come to the driver and go to every task.
+    counts = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    patterns = bin_completion(counts, capacity)
+    plan, sequences, bound = places(patterns), sum(n for _, n in patterns), lower_bound(counts, capacity) if counts else 0
+    parts = docs.sparkSession.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in counts.items()], "length long, parts long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, part, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "part", "rank"))
+            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             sequence, offset = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for k in np.unique(length):
                 at = np.flatnonzero(length == k)
-                r = rank[at] - 1 + np.array([before[k, p] for p in part[at].tolist()], np.int64)
-                rows = plan[k]
+                r, rows = rank[at], plan[k]
                 x = rows[np.searchsorted(rows[:, 0], r, "right") - 1]
                 sequence[at] = x[:, 1] + (r - x[:, 0]) // x[:, 3]
                 offset[at] = x[:, 2] + (r - x[:, 0]) % x[:, 3] * k
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("row", "piece")).cast("long"))
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            whole = (pa.array(np.full(b.num_rows, n, np.int64)) for n in (sequences, bound))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset), *whole], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequences", "lower_bound"])
+
+    dealt = own.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.col("parts")))
+    # The ranks before a part's first: a row for each length and each PART_ROWS pieces.
+    groups = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("row", "piece"))).join(groups, ["length", "part"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
+    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, sequences long, lower_bound long")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from auditlake.llm.packing import best_fit, bin_completion, fillings, fullest, lower_bound, pack
+from auditlake.llm.packing import WordIds, best_fit, bin_completion, dive, fillings, fullest, lower_bound, pack
 from auditlake.llm.queries import PIECE_MODEL, WORD_TOKENIZER, tokenizer_path
 from auditlake.llm.token_counts import CountTransducer, count_tokens
 
@@ -58,6 +58,7 @@ def test_packing_is_whole_gapless_and_true(docs, rows, capacity):
             want[(i, k, at, len(part), zlib.crc32(part.tobytes()))] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     lengths = Counter(r.length for r in got)
+    assert {(r.sequences, r.lower_bound) for r in got} == {(len(bins), lower_bound(dict(lengths), capacity))}
     assert lower_bound(dict(lengths), capacity) <= len(bins) <= sum(n for _, n in best_fit(dict(lengths), capacity))
 
 
@@ -101,6 +102,37 @@ def test_the_bound_is_met_where_best_fit_misses_it():
     assert used == counts
 
 
+def test_the_search_mends_what_best_fit_and_the_dive_leave():
+    """Histograms whose bound only the branches meet; every one of them is packed in as few bins as there can be."""
+    r, gains = random.Random(31), 0
+    for _ in range(60):
+        counts = dict(Counter(r.randrange(9, 45) for _ in range(40)))
+        first = min(sum(n for _, n in best_fit(counts, 100)), sum(n for _, n in dive(counts, 100)))
+        found = sum(n for _, n in bin_completion(counts, 100))
+        assert lower_bound(counts, 100) <= found <= first
+        gains += found < first
+    assert gains
+
+
+def test_ids_of_every_letter_with_every_mark():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(tokenizer_path(WORD_TOKENIZER)), WordIds(tokenizer_path(WORD_TOKENIZER))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz\u00c4\u0130"
+    texts = [x for c in letters for m in (*map(chr, range(0x300, 0x370)), "\u0653", "\u3099") for x in (c + m, f"x{c}{m}Y. Z", f"{c}\u05b0{m}", f"{c}{m}.")]
+    want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert list(words.ids([t.encode() for t in texts])) == want
+
+
+def test_lengths_dealt_into_parts_keep_their_places(spark, monkeypatch):
+    from auditlake.llm import packing
+
+    monkeypatch.setattr(packing, "PART_ROWS", 7)
+    got = pack(spark.createDataFrame([(i, "a b c"[: i % 6]) for i in range(200)], "doc_id long, text string").repartition(5), tokenizer_path(WORD_TOKENIZER), 8).collect()
+    taken = [(r.sequence_id, x) for r in got for x in range(r.offset, r.offset + r.length)]
+    assert len(got) == 200 and len(taken) == len(set(taken)) and max(x for _, x in taken) < 8
+
+
 def test_fullest_filling_against_all_fillings():
     r = random.Random(4)
     for _ in range(200):
