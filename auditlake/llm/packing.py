@@ -317,7 +317,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
         return []
-    max_nodes += 4 * sum(n.bit_length() for n in counts.values())
+    max_nodes += len(counts)  # each branch uses up a length at least
     incumbent = best_fit(counts, capacity)
     best = [sum(n for _, n in incumbent), incumbent]
     bound = lower_bound(counts, capacity)
@@ -363,7 +363,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
             undo()
         else:
             if nodes % 8 == 1:
-                tail = dive(rest, capacity) if len(rest) <= SMALL or nodes % 512 == 1 else best_fit(rest, capacity)
+                tail = dive(rest, capacity) if len(rest) <= SMALL or nodes % 1024 == 1 else best_fit(rest, capacity)
                 if bins + (n := sum(x for _, x in tail)) < best[0]:
                     best = [bins + n, [*done, *tail]]
             levels.append(iter(fillings(max(rest), rest, capacity)))
