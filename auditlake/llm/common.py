@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used where the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Rows of text handed to Python code at once.
 SLICE_ROWS = 512
 
@@ -33,10 +33,16 @@ def claim(name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, read from the session."""
+    """The folder that the driver and all executors share, read from the session.
+
+    Where the session names none, one machine alone may do with a folder of its own; a cluster may not.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = LOCAL_CHECKPOINTS
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,6 +55,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is broadcast: of some hundred bytes each, at most some 10 MB.
+BROADCAST_ROWS = 100_000
+
+
+def split_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows with the columns of groups, by a left join on columns `on` that have no nulls; no task gets a hot group's rows alone.
+
+    groups: at most one row for each key; its column `size` counts the key's rows among the `total` of rows. Keys that
+    have more than total / BROADCAST_ROWS rows are at most BROADCAST_ROWS and meet their rows where these are; only the
+    rows of the other keys are shuffled. Both sides are read twice and should be written tables.
+    """
+    hot = groups.where(F.col(size) > total / BROADCAST_ROWS)
+    if total <= BROADCAST_ROWS or hot.isEmpty():
+        return rows.join(groups, on, "left")
+    keys = F.broadcast(hot.select(*on))
+    at_home = rows.join(F.broadcast(hot), on)
+    return at_home.unionByName(rows.join(keys, on, "left_anti").join(groups.join(keys, on, "left_anti"), on, "left"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, for columns that an operator adds for a while."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

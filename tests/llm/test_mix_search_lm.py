@@ -5,33 +5,105 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from auditlake.llm.entropy_mix import mix, mixed_documents, solve_dual, targets
+from auditlake.llm.entropy_mix import diffuse, mix, mixed_documents, solve_dual, source_targets, with_rates
 from auditlake.llm.maxent_lm import features, score_texts, tokens
 from auditlake.llm.topk import tile, top_k
 
 
-def test_targets_share_by_weight_under_the_cap():
-    got = targets({"a": 100, "b": 100, "c": 100, None: 10})
-    assert got["a"] == 200 and got[None] == 20 and abs(sum(got.values()) - 465) < 1e-9 and max(got.values()) <= 200
-    assert targets({}) == {} and targets({"a": 0}) == {"a": 0}
+@pytest.mark.parametrize(
+    ("sizes", "want"),
+    [
+        # Weights 3, 1, 2, 3 of 465: 155, 51.67, 103.33, 155, of which the last is above 20; 445 by 3, 1, 2 is above 200 for a.
+        ({"a": 100, "b": 100, "c": 100, None: 10}, {"a": 200.0, "b": 245 / 3, "c": 490 / 3, None: 20.0}),
+        # 3 to 1 of 300: 225 is above 200, and b takes the rest.
+        ({"a": 100, "b": 100}, {"a": 200.0, "b": 100.0}),
+        ({"b": 10, "a": 1000}, {"a": 1495.0, "b": 20.0}), ({"x": 40}, {"x": 60.0}), ({"a": 0}, {"a": 0.0}), ({}, {}),
+        # Weights 3, 1, 2, 3, 1 of 450: the two of weight 3 are full at 120, the others share 210 by 1, 2, 1.
+        ({"Z": 60, "a": 60, "\u00e9": 60, "\U0001f600": 60, None: 60}, {"Z": 120.0, "a": 52.5, "\u00e9": 105.0, "\U0001f600": 120.0, None: 52.5}),
+    ],
+)
+def test_targets_written_by_hand(spark, sizes, want):
+    sources = spark.createDataFrame([("" if s is None else f"={s}", n) for s, n in sizes.items()], "key string, source_size long")
+    got = {r.key[1:] if r.key else None: r.target for r in with_rates(source_targets(sources)).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_rates_are_the_tilt_that_meets_the_targets(spark):
+    rows = [("=a", 100, 150.0), ("=b", 100, 1e-6), ("=c", 7, 14.0), ("=d", 0, 0.0), ("=e", 10**12, 3.0)]
+    got = {r.key: r.rate for r in with_rates(spark.createDataFrame(rows, "key string, source_size long, target double")).collect()}
+    assert got == pytest.approx({"=a": 1.5, "=b": 1e-8, "=c": 2.0, "=d": 1.0, "=e": 3e-12}, rel=1e-3)
+
+
+def test_diffusion_keeps_what_small_documents_can_make_good():
+    import pandas as pd
+
+    cells = lambda sizes, target: pd.DataFrame({"key": "x", "size": list(sizes), "n": list(sizes.values()), "rate": target / sum(k * n for k, n in sizes.items()), "source_size": 0, "target": target})
+    for sizes, target in (({1000: 1, 10: 20, 1: 9}, 1700.0), ({1000: 1, 10: 20, 1: 9}, 900.0), ({50: 3, 7: 4, 3: 5}, 250.0), ({9: 10}, 121.0)):
+        got = diffuse(cells(sizes, target))
+        taken = int((got["size"] * got["copies"]).sum())
+        assert all(0 <= c <= 2 * n for c, n in zip(got["copies"], got["n"], strict=True))
+        # No choice of copies comes nearer than this.
+        sums = {0}
+        for k, n in sizes.items():
+            sums = {s + k * m for s in sums for m in range(2 * n + 1)}
+        assert abs(taken - target) <= max(min(abs(x - target) for x in sums), min(sizes)), (sizes, target, taken)
 
 
 def test_mix_meets_its_targets(docs, rows):
     got = mix(docs).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len((t or "").encode().split())) for i, t, *_ in rows)
-    sizes = Counter()
-    for r in got:
-        sizes[r.source] += r.size
-    want = targets(sizes)
-    for s, n in sizes.items():
+    for s in {r.source for r in got}:
         own = [r for r in got if r.source == s]
-        assert all(r.source_size == n and math.isclose(r.target, want[s]) and r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in own)
-        assert abs(sum(r.taken for r in own) - want[s]) <= max((r.size for r in own), default=0)
-    assert sorted(map(repr, got)) == sorted(map(repr, mix(docs).collect()))
+        n = sum(r.size for r in own)
+        assert all(r.source_size == n and r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in own)
+        sums = 1  # bit x: some choice of copies takes x words
+        for r in own:
+            sums |= sums << r.size | sums << 2 * r.size
+        best = min((abs(x - own[0].target) for x in range(2 * n + 1) if sums >> x & 1), default=0)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= best + min((r.size for r in own if r.size), default=0)
+    assert sum(r.taken for r in got) <= 1.5 * sum(r.size for r in got) + 200
     whole = mixed_documents(docs)
     assert whole.columns == docs.columns and whole.count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("part_rows", [500_000, 3])
+def test_the_mix_does_not_depend_on_partitions(spark, docs, monkeypatch, part_rows):
+    from auditlake.llm import entropy_mix
+
+    monkeypatch.setattr(entropy_mix, "PART_ROWS", part_rows)
+    got = [sorted(map(repr, mix(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_targets_and_sources_against_sql(spark):
+    import os
+
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    # Sizes and targets by plain SQL: the level at which weight * level, at most twice the size, adds up to one and a half times all.
+    sql = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len([x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> '']) AS size FROM '{folder}/documents.parquet'),
+      s AS (SELECT source, sum(size) AS n, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w FROM d GROUP BY source),
+      walk AS (SELECT 0 AS turn, CAST(0 AS DOUBLE) AS level UNION ALL
+        SELECT turn + 1, (SELECT (1.5 * sum(n) - coalesce(sum(2 * n) FILTER (WHERE w * level > 2 * n), 0)) / sum(w) FILTER (WHERE NOT w * level > 2 * n) FROM s) FROM walk WHERE turn < 30)
+      SELECT d.doc_id, d.size, s.n AS source_size, least(w * (SELECT max(level) FROM walk), 2 * n) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source"""
+    want = {i: (size, n, t) for i, size, n, t in duckdb.connect().execute(sql).fetchall()}
+    got = mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert {r.doc_id: (r.size, r.source_size) for r in got} == {i: x[:2] for i, x in want.items()}
+    taken = Counter()
+    for r in got:
+        assert r.target == pytest.approx(want[r.doc_id][2])
+        taken[r.source] += r.taken
+    assert all(abs(taken[r.source] - r.target) <= 0.01 * r.target for r in got)
+
+
+def test_clashing_names_in_the_mix(spark):
+    names = ["hash", "id", "key", "nth", "copies", "copy", "size", "part", "Hash_"]
+    df = spark.createDataFrame([(i, "a b c", "s", *(["x"] * len(names))) for i in range(9)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixed_documents(df)
+    assert got.columns == df.columns and {tuple(r)[3:] for r in got.collect()} == {("x",) * len(names)}
+
+
 def test_dual_meets_two_margins(spark):
     cells = [("a", "x", 100.0), ("a", "y", 300.0), ("b", "x", 200.0), ("b", "y", 50.0)]
     goals = {("s", "a"): 500.0, ("s", "b"): 200.0, ("l", "x"): 350.0, ("l", "y"): 350.0}
