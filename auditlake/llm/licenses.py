@@ -1,7 +1,8 @@
 """License scans: one Aho-Corasick pass over the words of a text finds notice phrases and identifier tags.
 
-A tag ("SPDX-License-Identifier:" in any punctuation) is followed by a license expression, which a shunting-yard
-parser reads with the operators and, or, with and parentheses; its labels join those of the phrases.
+A tag (the words spdx license identifier in any punctuation, then a colon or equals sign) is followed by a license
+expression, which a shunting-yard parser reads with the operators and, or, with and parentheses. Its value decides which
+labels every choice asks for, which only some, and with which exceptions; that enters the labels and the score.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ IDENTIFIERS = {
 }
 #: Bytes that stand between words, and lower case of A-Z.
 TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
-TAG_START = re.compile(rb"spdx-license-identifier\s*:", re.IGNORECASE)
+TAG_START = re.compile(rb"(?<![0-9a-z\x80-\xff])spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\"'\x20\t]*[:=]", re.IGNORECASE)
 TOKEN = re.compile(r"[()\r\n]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: Binding strength of the operators; with binds an exception to the license before it. Fixed values.
 STRENGTH = {"or": 1, "and": 2, "with": 3}
@@ -107,27 +109,46 @@ def label_of(identifier: str) -> str:
     return IDENTIFIERS[max(known, key=len)] if known else f"other-{name}"
 
 
-def expression_labels(text: str, start: int = 0) -> tuple[set[str], int]:
-    """Labels in an expression, and how many alternatives it offers, equal ones counted each; nothing if it can't be read.
+class Value(NamedTuple):
+    """What an expression offers: all labels, those that every alternative asks for, the number of alternatives."""
 
-    The alternatives, whose number may double with each operator, are not written out: an exception has no label.
+    labels: set[str]
+    required: set[str]
+    alternatives: int
+
+
+def united(a: set[str], b: set[str]) -> set[str]:
+    large, small = (a, b) if len(a) >= len(b) else (b, a)
+    large |= small
+    return large
+
+
+def value_of(text: str, start: int = 0) -> Value:
+    """The value of an expression; of one that can't be read, no labels and no alternatives.
+
+    and asks for the labels of both sides, or for those that both sides ask for; with adds "with-" and the exception's
+    name. Alternatives, whose number may double with each operator, are not written out.
     """
     try:
         postfix = to_postfix(text, start)
     except ExpressionError:
-        return set(), 0
-    stack: list[tuple[set[str], int]] = []
+        return Value(set(), set(), 0)
+    stack: list[tuple[Value, Value]] = []  # the labels of an operand, and its names, which count if it is an exception
     for token in postfix:
         if token not in STRENGTH:
-            stack.append(({label_of(token)}, 1))
+            label, name = label_of(token), f"with-{token.lower()}"
+            stack.append((Value({label}, {label}, 1), Value({name}, {name}, 1)))
             continue
-        (more, m), (own, n) = stack.pop(), stack.pop()
-        if token != "with":
-            large, small = (own, more) if len(own) >= len(more) else (more, own)
-            large |= small
-            own = large
-        stack.append((own, n + m if token == "or" else n * m))
-    return stack[0]
+        (more, more_names), (own, own_names) = stack.pop(), stack.pop()
+        if token == "with":
+            more = more_names
+        joined = []
+        for x, y in ((own, more), (own_names, more_names)):
+            n = x.alternatives + y.alternatives if token == "or" else x.alternatives * y.alternatives
+            required = x.required & y.required if token == "or" else united(x.required, y.required)
+            joined.append(Value(united(x.labels, y.labels) if x.labels is not y.labels else set(x.labels), required, n))
+        stack.append((joined[0], joined[1]))
+    return stack[0][0]
 
 
 @lru_cache(maxsize=1)
@@ -142,8 +163,8 @@ def automaton():
     return a
 
 
-def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score of a text."""
+def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, str]:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, required_labels of a text."""
     words = text.translate(TABLE).split()
     # One character for each byte, so that places in the joined words are places in the text's words.
     joined = f" {b' '.join(words).decode('latin-1')} "
@@ -159,36 +180,40 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
         else:
             more.add(label)
             n_more += 1
-    n_tags = 0
+    n_sure = n_choices = 0
+    required: set[str] = set()
     if tagged:
         line = text.decode("latin-1")  # tokens are ASCII, and places stay those of the bytes
         for m in TAG_START.finditer(text):
-            found, _ = expression_labels(line, m.end())
-            more |= found
-            n_tags += bool(found)
+            value = value_of(line, m.end())
+            more |= value.labels
+            required |= value.required
+            n_sure += bool(value.required)
+            n_choices += bool(value.labels) and not value.required
     first = joined.count(" ", 0, min(places)) if places else None
     last = joined.count(" ", 0, max(places)) if places else None
-    # A tag is nearly certain, a phrase is strong evidence, several agree.
-    score = 1 - 0.05**n_tags * 0.25 ** min(n_base, 8) * 0.4 ** min(n_more, 8)
-    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), round(score, 9)
+    # A tag that asks for some license is nearly certain, one that leaves a choice less so; a phrase is strong evidence; several agree.
+    score = 1 - 0.05**n_sure * 0.1**n_choices * 0.25 ** min(n_base, 8) * 0.4 ** min(n_more, 8)
+    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), round(score, 9), ",".join(sorted(required))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row for each row of docs.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, required_labels, one row for each row of docs.
 
     Words are runs of ASCII letters, digits and non-ASCII characters. n_base counts every place of a base phrase;
     first_word and last_word are its smallest and largest start, null without any. A null text counts as empty: no
     words, no labels, score 0. Every tag counts, and its expression is read to its end or the end of its line, however
-    long; one that can't be read adds no label. Repeated rows give repeated results;
-    other columns are not read. An empty table gives an empty result.
+    long; one that can't be read adds no label. required_labels are those that every alternative of some expression asks
+    for. Repeated rows give repeated results; a null id stays null; other columns are not read. An empty table gives an
+    empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
         for b in slices(batches):
             rows = [scan(t) for t in text_bytes(b.column(1))]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "required_labels"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return own.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required_labels string")

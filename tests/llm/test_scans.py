@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from auditlake.llm.licenses import BASE_PHRASES, evaluate, ExpressionError, expression_labels, label_of, license_scan, scan, to_postfix
+from auditlake.llm.licenses import BASE_PHRASES, evaluate, ExpressionError, MORE_PHRASES, label_of, license_scan, scan, to_postfix, value_of
 from auditlake.llm.secrets import BASE_RULES, MORE_RULES, candidates, index_terms, keyed, postings, secret_scan, trigram_query
 from auditlake.llm.toxicity import FuzzyLexicon, ToxicityModel, fit, score, without_toxic
 
@@ -36,7 +36,7 @@ def test_shunting_yard(text, postfix):
 def test_unreadable_expressions(text):
     with pytest.raises(ExpressionError):
         to_postfix(text)
-    assert expression_labels(text) == (set(), 0)
+    assert value_of(text) == (set(), set(), 0)
 
 
 def test_alternatives():
@@ -51,14 +51,43 @@ def test_long_expressions_are_read_to_their_end():
     # The byte 200 falls after an operator or inside parentheses; products of alternatives would be 2 ** 60.
     assert labels(tag + b"(" + b"MIT OR " * 40 + b"Zlib) more") == {"mit", "zlib"}
     choices = " AND ".join(["(MIT OR Apache-2.0)"] * 60)
-    assert labels(tag + choices.encode()) == {"mit", "apache"} and expression_labels(choices)[1] == 2**60
+    assert labels(tag + choices.encode()) == {"mit", "apache"} and value_of(choices).alternatives == 2**60
     # Tags on one line are read each.
     assert labels(tag + b"MIT; " + tag + b"ISC " + b"x " * 200 + tag + b"Zlib") == {"mit", "isc", "zlib"}
 
 
 @pytest.mark.parametrize("text", ["MIT", "a AND (b OR c WITH d)", "(MIT OR GPL-2.0+) WITH (x OR y) AND BSD-3-Clause", "(a AND b) WITH c OR CC-BY-SA-4.0 more", "a WITH b WITH c"])
-def test_labels_are_those_of_the_alternatives(text):
-    assert expression_labels(text)[0] == {label_of(x) for own in evaluate(to_postfix(text)) for x in own}
+def test_value_is_that_of_the_alternatives(text):
+    own = [{y for x in choice for y in (label_of(x), *(f"with-{e}" for e in x.split(" with ")[1:]))} for choice in evaluate(to_postfix(text))]
+    value = value_of(text)
+    assert value.labels == set().union(*own) and value.required == set.intersection(*own)
+
+
+def test_operators_decide_labels_and_score(spark):
+    """The whole scan against a plain one: phrases by slices of words, tags by lines, expressions by all their alternatives."""
+    tag = "SPDX-License-Identifier: "
+    texts = [
+        tag + "MIT AND Apache-2.0", tag + "MIT OR Apache-2.0", tag + "GPL-2.0 WITH Classpath-exception-2.0", tag + "MIT OR MIT AND ISC", "spdx_license identifier = Zlib", "SPDX License Identifier: MIT",
+        "spdx license identifier of MIT", "mit license and " + tag + "MIT OR ISC\nGNU General Public License, public domain", "xspdx-license-identifier: MIT", tag + "AND", "", None, "cc by sa, CC0",
+    ]
+    want = []
+    for i, t in enumerate(texts):
+        words = re.findall(r"[a-z0-9]+", (t or "").lower())
+        count = lambda phrases: [x for p, x in phrases.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        base, more, required, sure, choices = count(BASE_PHRASES), count(MORE_PHRASES), set(), 0, 0
+        labels = {*base, *more}
+        for m in re.finditer(r"(?i)(?<![a-z0-9])spdx[^a-z0-9]+license[^a-z0-9]+identifier *[:=](.*)", t or ""):
+            try:
+                own = [{y for x in choice for y in (label_of(x), *(f"with-{e}" for e in x.split(" with ")[1:]))} for choice in evaluate(to_postfix(m.group(1)))]
+            except ExpressionError:
+                continue
+            labels |= set().union(*own)
+            held = set.intersection(*own)
+            required, sure, choices = required | held, sure + bool(held), choices + (not held)
+        want.append((i, ",".join(sorted(labels)), round(1 - 0.05**sure * 0.1**choices * 0.25 ** len(base) * 0.4 ** len(more), 9), ",".join(sorted(required))))
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "labels", "score", "required_labels")
+    assert sorted(map(tuple, got.collect())) == want
+    assert want[0][1] == want[1][1] and want[0][2:] != want[1][2:] and want[4][1] == "zlib" and not want[6][1] and want[2][1] == "gpl,with-classpath-exception-2.0"
 
 
 SECRETS = [
