@@ -1,18 +1,22 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
-Each rule is a regular expression given with its mandatory literals as a Boolean query: a conjunction of
-alternatives, each an alternative literal. A literal is replaced by its trigrams, all of which must occur. The index
-holds a posting (trigram, row key) for each trigram that some rule's query names; evaluating a query intersects the
-postings of each literal's trigrams and unites those of alternatives. Only candidates are verified with the regular
-expression. A rule whose query has no trigram in some conjunct's alternative is not selective there; one without any
-mandatory trigram scans every text.
+From each rule's regular expression a Boolean query is derived: a conjunction of alternatives, each a literal that a match
+must contain. A literal is replaced by its trigrams, all of which must occur. The index holds a posting (trigram, row key)
+for each trigram that some rule's query names; evaluating a query intersects the postings of each literal's trigrams and
+unites those of alternatives. Only candidates are verified with the regular expression: a bitmap of their keys, sized by
+their number, picks them out of the scan, so other texts are never shuffled. A rule without any mandatory trigram scans
+every text.
 """
 
 from __future__ import annotations
 
 import operator
+import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
+from re import _constants as code
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,31 +26,121 @@ from auditlake.llm.common import cut
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; pattern; group whose length counts (0: the match) and its least length; literals: and of ors, in lower case."""
+    """kind; pattern; group whose length counts (0: the match) and its least length."""
 
     kind: str
     pattern: str
     group: int
     least: int
-    literals: tuple[tuple[str, ...], ...] = ()
-    base: bool = False
 
 
 #: The base rules, in the order in which kinds are listed. Fixed values.
 BASE_RULES = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, (("password", "passwd", "secret", "token", "api_key", "apikey"),), True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, (("akia",),), True),
-    Rule("hex", r"[0-9a-f]{32,}", 0, 32, (), True),
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: Rules that the scan adds. Fixed values.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, (("-----begin",), ("private key-----",))),
-    Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, (("eyj",),)),
-    Rule("basic", r"://[A-Za-z0-9._%-]+:[A-Za-z0-9._%!$-]{6,}@", 0, 1, (("://",),)),
-    Rule("bearer", r"(?i)bearer +[A-Za-z0-9._~+/-]{20,}=*", 0, 1, (("bearer ",),)),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    Rule("basic", r"://[A-Za-z0-9._%-]+:[A-Za-z0-9._%!$-]{6,}@", 0, 1),
+    Rule("bearer", r"(?i)bearer +[A-Za-z0-9._~+/-]{20,}=*", 0, 1),
 )
+#: Strings that a part of a pattern may stand for before it is cut there.
+MOST_STRINGS = 64
+#: Bits of the bitmap of candidates for each of them, and at most: 4 MB. Beyond that more texts than the candidates are joined.
+BITS_EACH, MOST_BITS = 16, 1 << 25
+
+Conjuncts = list[frozenset[str]]
+
+
+def minimal(strings: set[str]) -> frozenset[str]:
+    """The strings without those that contain another: an alternative that is implied says nothing."""
+    return frozenset(x for x in strings if not any(y != x and y in x for y in strings))
+
+
+def derived(pattern: str) -> Conjuncts:
+    """What a match must contain, in lower case: from each set one string at least; nothing where the pattern can't be read.
+
+    A part of the pattern that stands for few strings is written out as these; parts in a row are multiplied out until
+    something unbounded comes between. Alternatives are written out too, or else each gives its best set.
+    """
+    try:
+        tree = parser.parse(pattern)
+    except re.error:
+        return []
+    strings, found = read(tree)
+    return [x for x in [*found, *([] if strings is None else [minimal(strings)])] if min(map(len, x), default=0) >= 3]
+
+
+def read(tree) -> tuple[set[str] | None, Conjuncts]:
+    """The strings that a sequence stands for (None: too many), or else the conjuncts of its parts."""
+    now, found, whole = {""}, [], True
+
+    def close() -> None:
+        nonlocal now, whole
+        found.append(minimal(now))
+        now, whole = {""}, False
+
+    for op, value in tree:
+        for strings, more, ends in read_one(op, value):
+            found += more
+            if strings is None:
+                close()
+            elif len(now) * len(strings) > MOST_STRINGS:
+                close()
+                now = strings
+            else:
+                now = {a + b for a, b in product(now, strings)}
+            if ends:
+                close()
+    if whole:
+        return now, []
+    return None, [*found, minimal(now)]
+
+
+def read_one(op, value) -> list[tuple[set[str] | None, Conjuncts, bool]]:
+    """Parts of one element: strings or None, conjuncts, and whether anything may follow that isn't written out."""
+    none = [(None, [], False)]
+    if op is code.LITERAL:
+        return [({chr(value).lower()}, [], False)]
+    if op is code.IN:
+        letters: set[str] = set()
+        for kind, x in value:
+            if kind is code.LITERAL:
+                letters.add(chr(x).lower())
+            elif kind is code.RANGE and x[1] - x[0] < MOST_STRINGS // 4:
+                letters |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
+            else:
+                return none
+        return [(letters, [], False)] if len(letters) <= MOST_STRINGS // 4 else none
+    if op in (code.AT, code.ASSERT, code.ASSERT_NOT):
+        return [({""}, [], False)]
+    if op is code.SUBPATTERN:
+        strings, more = read(value[3])
+        return [(strings, more, False)]
+    if op is code.ATOMIC_GROUP:
+        strings, more = read(value)
+        return [(strings, more, False)]
+    if op in (code.MAX_REPEAT, code.MIN_REPEAT, code.POSSESSIVE_REPEAT):
+        least, most, inner = value
+        strings, more = read(inner)
+        if least == 0:
+            return [(strings | {""}, [], False)] if strings is not None and most == 1 else none
+        if strings is None:
+            return [(None, more, False)]
+        # As many as must be; what may come on top isn't written out.
+        return [(strings, [], False)] * (min(least, 16) - 1) + [(strings, [], most != least or least > 16)]
+    if op is code.BRANCH:
+        branches = [read(x) for x in value[1]]
+        if all(strings is not None for strings, _ in branches) and len(every := set().union(*(strings for strings, _ in branches))) <= MOST_STRINGS:
+            return [(every, [], False)]
+        best = [max([*more, *([] if strings is None else [minimal(strings)])], key=lambda x: (min(map(len, x), default=0) >= 3, -len(x)), default=frozenset()) for strings, more in branches]
+        return [(None, [minimal(set().union(*best))] if all(best) else [], False)]
+    return none
 
 
 def trigrams(literal: str) -> frozenset[str]:
@@ -55,9 +149,8 @@ def trigrams(literal: str) -> frozenset[str]:
 
 
 def trigram_query(rule: Rule) -> list[list[frozenset[str]]]:
-    """And of ors of sets of trigrams; conjuncts with an alternative that has no trigram say nothing and go."""
-    out = [[trigrams(x) for x in alternatives] for alternatives in rule.literals]
-    return [conjunct for conjunct in out if all(conjunct)]
+    """And of ors of sets of trigrams."""
+    return [[trigrams(x) for x in sorted(conjunct)] for conjunct in derived(rule.pattern)]
 
 
 def index_terms(rules: tuple[Rule, ...]) -> list[str]:
@@ -96,6 +189,21 @@ def candidates(index: DataFrame, terms: list[str], rules: tuple[Rule, ...]) -> D
     return masks.select("key", F.array_compact(F.array(*met)).alias("rules")).where(F.size("rules") > 0)
 
 
+def picked(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows whose key may be in hits, by a bitmap of the hits' keys; none of these is lost.
+
+    The bitmap is one row of at most 4 MB, made of as many words as the number of hits asks for.
+    """
+    bits = 1 << max(10, (BITS_EACH * hits.count()).bit_length())
+    bits = min(bits, MOST_BITS)
+    place = F.xxhash64("key").bitwiseAND(F.lit(bits - 1))
+    words = hits.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bit"))
+    every = hits.sparkSession.range(bits >> 6).select(F.col("id").alias("word")).join(words, "word", "left").select("word", F.coalesce("bit", F.lit(0)).alias("bit"))
+    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bit"))), lambda x: x["bit"]).alias("bitmap"))
+    inside = F.expr("element_at(bitmap, cast(shiftright(place, 6) as int) + 1) & shiftleft(1L, cast(place & 63 as int)) != 0")
+    return rows.withColumn("place", place).crossJoin(F.broadcast(bitmap)).where(inside).drop("place", "bitmap")  # one row
+
+
 def spans(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, number, end) of a rule's matches, leftmost and non-overlapping, in code points.
 
@@ -121,19 +229,19 @@ def secret_scan(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, id_col: st
 
     spans: kind:start:end of all matches by start, then in the order of the rules, comma-joined; places count code
     points, end exclusive. base_sha256: SHA-256 of the same list of the base rules' matches alone. A null text counts
-    as empty and has no match; the hash is then that of the empty string. Repeated rows give repeated results; other
-    columns are not read. An empty table gives an empty result.
+    as empty and has no match; the hash is then that of the empty string. Repeated rows give repeated results; a null
+    id stays null; other columns are not read. An empty table gives an empty result.
     """
     rules = BASE_RULES + more
     indexed = tuple(r for r in rules if trigram_query(r))
     full = tuple(r for r in rules if not trigram_query(r))
     terms = index_terms(indexed)
     rows = keyed(docs, id_col, text_col)
-    hits = candidates(postings(rows, terms), terms, indexed)
+    hits = cut(candidates(postings(rows, terms), terms, indexed), "candidates")
     empty = F.array().cast("array<struct<start:int,number:int,end:int>>")
     # A candidate's text meets its rules; the others need no regular expression. Verified spans are small.
     verify = [F.when(F.array_contains("rules", i), spans(F.col("text"), r, rules.index(r))).otherwise(empty) for i, r in enumerate(indexed)]
-    verified = rows.join(hits, "key").select("key", F.concat(*verify).alias("verified")).where(F.size("verified") > 0).dropDuplicates(["key"])
+    verified = picked(rows, hits).join(hits, "key").select("key", F.concat(*verify).alias("verified")).where(F.size("verified") > 0).dropDuplicates(["key"])
     verified = cut(verified, "verified")
     scanned = rows.select("doc_id", "key", F.concat(*(spans(F.col("text"), r, rules.index(r)) for r in full)).alias("scanned"))
     both = scanned.join(verified, "key", "left").select("doc_id", F.array_sort(F.concat("scanned", F.coalesce("verified", empty))).alias("found"))

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from auditlake.llm.licenses import BASE_PHRASES, evaluate, ExpressionError, MORE_PHRASES, label_of, license_scan, scan, to_postfix, value_of
-from auditlake.llm.secrets import BASE_RULES, MORE_RULES, candidates, index_terms, keyed, postings, secret_scan, trigram_query
+from auditlake.llm.secrets import BASE_RULES, MORE_RULES, Rule, candidates, derived, index_terms, keyed, picked, postings, secret_scan, trigram_query
 from auditlake.llm.toxicity import FuzzyLexicon, ToxicityModel, fit, score, without_toxic
 
 LICENSED = [
@@ -120,6 +120,53 @@ def test_postings_lose_no_candidate(spark):
     assert not trigram_query(BASE_RULES[2])
 
 
+def test_literals_that_patterns_must_contain():
+    want = {
+        "assign": [{"password", "passwd", "secret", "token", "api_key", "apikey"}], "access": [{"akia"}], "hex": [], "pem": [{"-----begin "}, {"private key-----"}], "hub": [{f"gh{c}_" for c in "pousr"}],
+        "slack": [{f"xox{c}-" for c in "abprs"}], "jwt": [{"eyj"}, {".eyj"}], "basic": [{"://"}], "bearer": [{"bearer "}],
+    }
+    assert {r.kind: [set(x) for x in derived(r.pattern)] for r in BASE_RULES + MORE_RULES} == want
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        ("abc|def.*ghij", [{"abc", "def"}]), ("abc|.*", []), ("(?:abc)+x", [{"abc"}]), ("(?:abc){2}", [{"abcabc"}]), ("(?:abc)*xyz", [{"xyz"}]), ("ab?cde", [{"acde", "abcde"}]), ("a.c", []), ("[ab]cd", [{"acd", "bcd"}]),
+        ("(?=abc)xyz$", [{"xyz"}]), ("[^a]bcd", [{"bcd"}]), ("(", []), ("a{20}b", [{"a" * 16}]), ("(?i)KEY[0-9]{3}", [{f"key{i}" for i in range(10)}]), (r"\bsecret\d+end", [{"secret"}, {"end"}]), ("(abc.def|ghi.*)jkl", [{"abc", "ghi"}, {"jkl"}]),
+    ],
+)
+def test_derived_queries(pattern, want):
+    assert sorted(map(sorted, derived(pattern))) == sorted(map(sorted, want))
+
+
+def test_derived_queries_lose_no_match():
+    import random
+
+    r = random.Random(6)
+    part = lambda: r.choice(["abc", "xyz", "q", "[abc]", ".", "a?", "(?:ab|xyz)", "(?:key.|tok)", "z+", "(?:de){2,}", "[0-9]", "k*"])
+    for _ in range(400):
+        pattern = "".join(part() for _ in range(r.randrange(1, 6)))
+        query = derived(pattern)
+        for _ in range(30):
+            text = "".join(r.choice(["a", "b", "c", "abc", "xyz", "q", "key", "tok", "z", "dede", "7", "k"]) for _ in range(r.randrange(1, 8)))
+            if m := re.search(pattern, text):
+                assert all(any(x in m.group() for x in conjunct) for conjunct in query), (pattern, text)
+
+
+def test_the_bitmap_picks_all_candidates_and_few_others(spark):
+    rows = keyed(spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string"), "doc_id", "text")
+    hits = rows.where("doc_id % 30 = 7").select("key")
+    got = {r.doc_id for r in picked(rows, hits).collect()}
+    assert {i for i in range(3000) if i % 30 == 7} <= got and len(got) < 400
+    assert picked(rows, hits.where("false")).count() == 0
+
+
+def test_rules_given_from_outside(spark):
+    more = (Rule("own", r"zz-[0-9]{4,}", 0, 1), Rule("any", r"[xy]{9,}", 0, 1))
+    got = {r.doc_id: r.spans for r in secret_scan(spark.createDataFrame([(1, "a zz-12345"), (2, "xyxyxyxyxyx"), (3, "zz-1")], "doc_id long, text string"), more).collect()}
+    assert got == {1: "own:2:10", 2: "any:0:11", 3: ""}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
