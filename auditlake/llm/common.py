@@ -55,6 +55,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """cut, with rows dealt by key into parts: a later join on the key shuffles the other side alone."""
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", f"{shared_dir(spark)}/{own}").saveAsTable(own)
+    return spark.table(own)
+
+
 #: Rows of a side that is broadcast: of some hundred bytes each, at most some 10 MB.
 BROADCAST_ROWS = 100_000
 

@@ -1,10 +1,12 @@
 """Exact duplicates through counting quotient filters.
 
-Each partition puts the fingerprints of its normalised texts into a counting quotient filter: a fingerprint's
-leading bits (quotient) name a slot, the rest (remainder) stays in the slot's sorted run, with a count. Filters of
-equal geometry merge without loss by merging the sorted remainders of each range of slots and adding counts; ranges
-are merged in parallel. Only fingerprints whose merged count is above one route their texts to the verification,
-which groups by the whole bytes.
+Each partition puts the fingerprints of its normalised texts into counting quotient filters, one for each range of
+fingerprints. A fingerprint's leading bits (quotient) name its home slot; the rest (remainder) is what a slot holds.
+Remainders of one quotient form a sorted run, shifted on where slots are taken; a bit for each quotient tells whether it
+has a run, a bit for each slot whether a run ends there. A count above one is in a slot of its own after its remainder.
+Filters merge without loss, whatever their numbers of slots: read in order they give sorted fingerprints, whose merger
+adds the counts; ranges are merged in parallel. Only fingerprints whose merged count is above one route their texts to
+the verification, which groups by the whole bytes.
 """
 
 from __future__ import annotations
@@ -19,17 +21,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import claim, cut, slices, text_bytes
+from auditlake.llm.common import claim, cut, fresh, slices, split_join, text_bytes
 
 #: Bits of a fingerprint. 2**62 values: as a long it is never negative.
 BITS = 62
 #: Fingerprints that a range of slots holds on average after the merge.
 RANGE_SIZE = 50_000
-#: Words of 62 bits in the bitmap that routes texts; it is at most 1 MB, whatever the input.
-ROUTE_WORDS = 1 << 16
-ROUTE_BITS = 62
+#: Share of slots that hold a remainder where counts are one.
+LOAD = 0.75
+#: Bits for each repeated fingerprint in the bitmap that routes texts, and most words of ROUTE_BITS in it: 16 MB. Beyond that
+#: more texts are routed than need be, and the result is the same.
+BITS_EACH, ROUTE_BITS, MOST_WORDS = 16, 62, 1 << 21
+#: Marks a slot that holds a count.
+COUNTER = np.uint64(1 << 63)
 
-FILTER_SCHEMA = "slots long, remainders binary, counts binary"
+FILTER_SCHEMA = "range long, quotient_bits int, occupied binary, run_ends binary, slots binary"
 
 
 def normalise(text: bytes) -> bytes:
@@ -46,60 +52,100 @@ def fingerprint(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text) >> (64 - BITS)
 
 
-def runs(values: np.ndarray, counts: np.ndarray, quotient_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted distinct fingerprints and counts as runs of remainders, one row for each range of slots that has any."""
-    shift = np.uint64(BITS - quotient_bits)
-    slot = values >> shift
-    remainder = values & np.uint64((1 << int(shift)) - 1)
-    if not len(values):
-        return
-    starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-    for a, b in zip(starts, [*starts[1:], len(values)], strict=True):
-        yield int(slot[a]), remainder[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()
+def bitmap(places: np.ndarray, size: int) -> bytes:
+    out = np.zeros(size, np.uint8)
+    out[places] = 1
+    return np.packbits(out).tobytes()
+
+
+def places_of(bits: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+
+
+def build(values: np.ndarray, counts: np.ndarray, bits: int) -> tuple[int, bytes, bytes, bytes]:
+    """A filter of sorted distinct fingerprints of so many bits, with their counts: quotient bits, occupied, run ends, slots."""
+    quotient_bits = min(bits, max(1, int(np.ceil(np.log2(max(1, len(values)) / LOAD)))))
+    shift = np.uint64(bits - quotient_bits)
+    quotient = (values >> shift).astype(np.int64)
+    width = 1 + (counts > 1)  # slots of each fingerprint
+    at = np.cumsum(width) - width
+    held = np.empty(int(width.sum()), np.uint64)
+    held[at] = values & ((np.uint64(1) << shift) - np.uint64(1))
+    several = np.flatnonzero(counts > 1)
+    held[at[several] + 1] = counts[several].astype(np.uint64) | COUNTER
+    # Linear probing in order: a slot is the home slot or the one after the last that is taken.
+    order = np.arange(len(held))
+    place = np.maximum.accumulate(np.repeat(quotient, width) - order) + order
+    last = np.flatnonzero(np.r_[quotient[1:] != quotient[:-1], True])
+    size = max(1 << quotient_bits, int(place[-1]) + 1)
+    slots = np.zeros(size, np.uint64)
+    slots[place] = held
+    return quotient_bits, bitmap(quotient, 1 << quotient_bits), bitmap(place[at[last] + width[last] - 1], size), slots.tobytes()
+
+
+def read(quotient_bits: int, occupied: bytes, run_ends: bytes, slots: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted fingerprints of a filter and their counts."""
+    home, end, slots = places_of(occupied), places_of(run_ends), np.frombuffer(slots, np.uint64)
+    start = np.maximum(home, np.r_[0, end[:-1] + 1])
+    length = end - start + 1
+    place = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    held, quotient = slots[place], np.repeat(home, length).astype(np.uint64)
+    is_counter = held >= COUNTER
+    values = (quotient[~is_counter] << np.uint64(bits - quotient_bits)) | held[~is_counter]
+    counts = np.ones(len(values), np.int64)
+    counts[np.cumsum(~is_counter)[is_counter] - 1] = (held[is_counter] ^ COUNTER).astype(np.int64)
+    return values, counts
 
 
 def merged(remainders: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs of one range of slots from several filters, as one."""
+    """Sorted fingerprints of several filters with their counts, as one list."""
     keys, at = np.unique(np.concatenate(remainders), return_inverse=True)
     total = np.zeros(len(keys), np.int64)
     np.add.at(total, at, np.concatenate(counts))
     return keys, total
 
 
-def quotient_filters(fingerprints: DataFrame, quotient_bits: int) -> DataFrame:
-    """The filter of each partition of fingerprints (column fp), as rows of FILTER_SCHEMA."""
+def quotient_filters(fingerprints: DataFrame, range_bits: int) -> DataFrame:
+    """The filters of each partition of fingerprints (column fp), one for each range (leading bits), as rows of FILTER_SCHEMA."""
+    bits = BITS - range_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             new, n = np.unique(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), return_counts=True)
             values, counts = merged([values, new], [counts, n])
-        rows = list(runs(values, counts, quotient_bits))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slots", "remainders", "counts"])
+        if not len(values):
+            return
+        own = (values >> np.uint64(bits)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for a, z in zip(starts, [*starts[1:], len(own)], strict=True):
+            row = (int(own[a]), *build(values[a:z] & np.uint64((1 << bits) - 1), counts[a:z], bits))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["range", "quotient_bits", "occupied", "run_ends", "slots"])
 
     return fingerprints.select("fp").mapInArrow(run, FILTER_SCHEMA)
 
 
-def repeated_fingerprints(filters: DataFrame, quotient_bits: int) -> DataFrame:
-    """fp, n: what the merged filter counts more than once."""
-    shift = BITS - quotient_bits
+def repeated_fingerprints(filters: DataFrame, range_bits: int) -> DataFrame:
+    """fp, n: what the merged filters count more than once."""
+    bits = BITS - range_bits
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, n = merged([np.frombuffer(x, np.uint64) for x in rows["remainders"]], [np.frombuffer(x, np.int64) for x in rows["counts"]])
+        own = [read(*x, bits) for x in zip(rows["quotient_bits"], rows["occupied"], rows["run_ends"], rows["slots"], strict=True)]
+        keys, n = merged([x for x, _ in own], [x for _, x in own])
         keys, n = keys[n > 1], n[n > 1]
-        return pd.DataFrame({"fp": ((int(rows["slots"].iloc[0]) << shift) | keys).astype(np.int64), "n": n})
+        return pd.DataFrame({"fp": ((int(rows["range"].iloc[0]) << bits) | keys).astype(np.int64), "n": n})
 
-    return filters.groupBy("slots").applyInPandas(merge, "fp long, n long")
+    return filters.groupBy("range").applyInPandas(merge, "fp long, n long")
 
 
 def routed_bits(repeated: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that has a bit for each repeated fingerprint, for use before any shuffle of texts."""
+    """A bitmap, sized by their number, that has a bit for each repeated fingerprint, for use before any shuffle of texts."""
+    size = min(MOST_WORDS, 1 << max(4, (BITS_EACH * repeated.count() // ROUTE_BITS).bit_length()))
     words = (
-        repeated.select(F.expr(f"pmod(fp div {ROUTE_BITS}, {ROUTE_WORDS})").cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(fp % {ROUTE_BITS} as int))").alias("bit"))
+        repeated.select(F.expr(f"pmod(fp div {ROUTE_BITS}, {size})").cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(fp % {ROUTE_BITS} as int))").alias("bit"))
         .groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect()
     )
-    out = np.zeros(ROUTE_WORDS, np.uint64)
+    out = np.zeros(size, np.uint64)
     for w, bits in words:
         out[w] = bits
     return out
@@ -127,7 +173,7 @@ def routed_texts(docs: DataFrame, bits: np.ndarray, text_col: str = "text") -> D
         for b in slices(batches):
             norm = list(map(normalise, text_bytes(b.column(0))))
             fps = np.fromiter(map(fingerprint, norm), np.uint64, len(norm))
-            word, bit = (fps // np.uint64(ROUTE_BITS)) % np.uint64(ROUTE_WORDS), fps % np.uint64(ROUTE_BITS)
+            word, bit = (fps // np.uint64(ROUTE_BITS)) % np.uint64(len(bits)), fps % np.uint64(ROUTE_BITS)
             keep = np.flatnonzero((bits[word] >> bit) & np.uint64(1))
             yield pa.RecordBatch.from_arrays([pa.array(fps[keep].astype(np.int64)), pa.array([norm[i] for i in keep], pa.binary())], names=["fp", "norm"])
 
@@ -143,8 +189,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives an empty result.
     """
     keys = text_keys(docs, id_col, text_col)
-    quotient_bits = max(1, (keys.count() // RANGE_SIZE).bit_length())
-    repeated = repeated_fingerprints(quotient_filters(keys, quotient_bits), quotient_bits)
+    total = keys.count()
+    range_bits = max(1, (total // RANGE_SIZE).bit_length())
+    repeated = cut(repeated_fingerprints(quotient_filters(keys, range_bits), range_bits), "repeated")
     # Equal texts meet here as bytes; copies in one task are counted before the shuffle.
     same = (
         routed_texts(docs, routed_bits(repeated), text_col).groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("texts"))
@@ -152,8 +199,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     first = F.min(F.struct("doc_id", "row"))
     groups = keys.groupBy("fp", "text_sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    groups = groups.join(same, ["fp", "text_sha256"]).where("size = texts").select("fp", "text_sha256", "first", "size")
-    return keys.join(groups, ["fp", "text_sha256"], "left").select(
+    groups = cut(groups.join(same, ["fp", "text_sha256"]).where("size = texts").select("fp", "text_sha256", "first", "size"), "groups")
+    return split_join(keys, groups, ["fp", "text_sha256"], "size", total).select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
@@ -163,19 +210,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with their own columns: one for each different text.
+    """The rows of docs that exact_duplicates keeps, with their own columns, whatever their names: one for each different text.
 
-    Of repeated rows with the same id and text any one stays. The texts are dealt once, by id and hash.
+    Of repeated rows with the same id and text any one stays. Of null and empty texts, which are equal, the one with the
+    smallest id stays, a null id before all. The texts are dealt once, by id and hash. An empty table gives an empty result.
     """
     names = docs.columns
+    at, at_id = fresh(docs, "sha", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sha = [hashlib.sha256(normalise(t)).hexdigest() for t in text_bytes(b.column(names.index(text_col)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.string())], names=[*names, "__sha"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.string())], names=[*names, at])
 
-    schema = docs.withColumn("__sha", F.lit("")).schema
-    own = docs.mapInArrow(run, schema).withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    schema = docs.withColumn(at, F.lit("")).schema
+    own = docs.mapInArrow(run, schema).withColumn(at_id, F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     found = exact_duplicates(docs, id_col, text_col).where("kept")
-    found = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    return own.join(found, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*names)
+    found = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(at_id), F.col("text_sha256").alias(at))
+    return own.join(found, [at_id, at], "left_semi").dropDuplicates([at_id, at]).select(*(F.col(f"`{c}`") for c in names))
