@@ -11,7 +11,10 @@ from auditlake.llm.common import cut
 def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after links (a, b) between nodes: only the labels that links join are looked at again."""
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    lower = connected_components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    ends = cut(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "ends")
+    if ends.isEmpty():
+        return labels
+    lower = connected_components(ends)
     lower = lower.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("new"))
     return cut(labels.join(lower, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 

@@ -1,14 +1,17 @@
-"""Token counts by a finite-state transducer over the segments of a sentencepiece model.
-
-No piece of the model has a word mark (U+2581) or a newline after another character, so no merge crosses the
-place before a run of spaces or a newline. Reading a text is therefore a run of a deterministic transducer that
-is back in its start state at each such place; an edge carries one segment and the number of tokens which it
-emits. Edges are compiled when first met, with the model's own merges, and kept up to a fixed number.
-
-A text is cut into chunks at any character. The map of a chunk, from the state before it to the state after it
-and the tokens emitted, is (head, count, tail): the characters before its first boundary, the tokens of the whole
-segments after that, the characters after its last boundary. These maps compose associatively, and a text's count
-is the last value of a prefix scan (a balanced tree of compositions) over its chunks.
+"""Token counts by a finite-state transducer compiled from the pieces of a sentencepiece model.
+
+The transducer reads characters and emits numbers of tokens. By the merges of the model, the tokens of a prefix of a text
+are those of a shorter prefix and one last token, and this last token is the only piece that ends there and stands beside
+the token before it unmerged. So what may follow depends on few places: a state is the longest end of what was read that
+begins a longer piece, and for each place in it from which a piece may yet go on, how many tokens fewer the text had there
+and what its last token was. Equal states are one; a transition carries the change in the number of tokens. States and
+transitions are compiled when first met, from the pieces alone; the model's library only gives the pieces.
+
+No piece has a word mark (U+2581) or a newline after another character, so the transducer is back in its start state before
+a run of spaces or a newline. A text is cut into chunks at any character. The map of a chunk, from the state before it to
+the state after it and the tokens emitted, is (head, count, tail): the characters before its first boundary, the tokens of
+the whole segments after that, the characters after its last boundary. These maps compose associatively, and a text's
+count is the last value of a prefix scan (a balanced tree of compositions) over its chunks.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,48 +29,114 @@ from auditlake.llm.common import claim, keeps, slices
 
 #: Characters of a chunk.
 CHUNK_CHARS = 1 << 16
-#: Compiled edges that a worker keeps; beyond that it begins anew, so memory stays bounded.
-MAX_EDGES = 700_000
-#: Longer segments are counted when met and not kept.
+#: Segments whose path a worker remembers, states and pairs of pieces; beyond that it begins anew, so memory stays bounded.
+MAX_EDGES, MAX_STATES, MAX_PAIRS = 700_000, 250_000, 400_000
+#: Longer segments are run when met and not remembered.
 MAX_SEGMENT = 48
 
 SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 BOUNDARY = re.compile(r" +|\n")
 
 
+class PieceTransducer:
+    """States and transitions with emitted token counts, from a table of pieces and their scores (the greater merges first)."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores = scores
+        self.beginnings = {p[:i] for p in scores for i in range(1, len(p))}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.begin()
+
+    def begin(self) -> None:
+        #: Of each state: its characters, and (characters since, tokens fewer, last token) of each place, the first places first.
+        self.states: list[tuple[str, tuple[tuple[int, int, str], ...]]] = []
+        self.known: dict[tuple, int] = {}
+        self.moves: list[dict[str, tuple[int, int]]] = []
+        self.state(("", ((0, 0, ""),)))
+
+    def state(self, key: tuple[str, tuple[tuple[int, int, str], ...]]) -> int:
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = len(self.states)
+            self.states.append(key)
+            self.moves.append({})
+        return found
+
+    def merged(self, text: str) -> list[str]:
+        """The tokens of a short text by its merges: the best pair first, of equal ones the leftmost."""
+        score, parts = self.scores.get, list(text)
+        scores = [score(a + b) for a, b in pairwise(parts)]
+        while True:
+            best, at = None, -1
+            for i, x in enumerate(scores):
+                if x is not None and (best is None or x > best):
+                    best, at = x, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at])
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1])
+
+    def beside(self, a: str, b: str) -> bool:
+        """Whether two tokens stay as they are beside each other; of no token and one, whether its characters merge to it."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) >= MAX_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[a, b] = (not a or a + b not in self.scores) and self.merged(a + b) == ([a, b] if a else [b])
+        return found
+
+    def compile(self, at: int, c: str) -> tuple[int, int]:
+        """The transition of a state on a character: the next state and the change in the number of tokens."""
+        if c not in self.scores:
+            # It merges with nothing: its bytes are its tokens, and what follows starts anew.
+            move = 0, len(c.encode(errors="surrogatepass"))
+        else:
+            before, places = self.states[at]
+            text = before + c
+            n = len(before)
+            token, change = next((text[n - k :], fewer + 1) for k, fewer, last in places if text[n - k :] in self.scores and self.beside(last, text[n - k :]))
+            open_places = [(k + 1, fewer - change, last) for k, fewer, last in places if text[n - k :] in self.beginnings]
+            kept = text[n + 1 - open_places[0][0] :] if open_places else ""
+            move = self.state((kept, (*open_places, (0, 0, token)))), change
+        self.moves[at][c] = move
+        return move
+
+    def run(self, text: str) -> int:
+        """The tokens that reading a text from the start state emits."""
+        if len(self.states) > MAX_STATES:
+            self.begin()
+        at, n = 0, 0
+        for c in text:
+            found = self.moves[at].get(c)
+            at, change = self.compile(at, c) if found is None else found
+            n += change
+        return n
+
+
 class CountTransducer:
     """Counts the tokens of texts as the model's library does, without begin or end tokens."""
 
     def __init__(self, model_path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
+        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        scores = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in scores):
             raise ValueError("a piece crosses a segment boundary; this model can't be compiled by segments")
-        #: By id: whether the piece begins a segment.
-        self.starts = np.array([p.startswith("▁") for p in pieces])
+        self.machine = PieceTransducer(scores)
         self.edges: dict[str, int] = {}
 
     def compile(self, words: list[str]) -> list[int]:
-        """Emitted tokens of the edge of each word: a segment without its first space, or one with its newline."""
-        # The library puts a space in front: the segment's own first, or before a newline one too many.
-        counts = [0] * len(words)
-        odd = [i for i, w in enumerate(words) if not w or w[0] in " \n" or " " in w]
-        for i, ids in zip(odd, self.model.encode([words[i] for i in odd], num_threads=1), strict=True):
-            # A lone space is the empty word, for which the library emits nothing: it is one token.
-            counts[i] = len(ids) - (words[i][0] == "\n") if words[i] else 1
-        if len(odd) < len(words):
-            skip = set(odd)
-            plain = [i for i in range(len(words)) if i not in skip] if odd else range(len(words))
-            ids = np.array(self.model.encode(" ".join([words[i] for i in plain])))
-            starts = np.flatnonzero(self.starts[ids])
-            for i, n in zip(plain, np.diff(starts, append=len(ids)).tolist(), strict=True):
-                counts[i] = n
-        return counts
+        """Emitted tokens along the path of each word: a segment without its first space, or one with its newline."""
+        run = self.machine.run
+        return [run(w if w[:1] == "\n" else "▁" + w.replace(" ", "▁")) for w in words]
 
     def emitted(self, words: list[str]) -> int:
-        """Tokens along a path of edges; those met for the first time are compiled together."""
+        """Tokens along a path of edges; those met for the first time are run together."""
         found = list(map(self.edges.get, words))
         if None not in found:
             return sum(found)
@@ -120,16 +189,9 @@ class CountTransducer:
         if not text:
             return 0
         text = " " + text.replace("▁", " ")
-        if len(text) > chunk:
-            # A text's own start is a known state, so what lies before the first boundary is a whole segment.
-            head, n, tail = self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-            return sum(self.count_segments(x) for x in (head, tail) if x) + (n or 0)
-        marked = text.replace("\n", " \n")
-        if "  " in marked or text[-1] == " ":
-            return self.count_segments(text)
-        words = marked.split(" ")
-        del words[0]
-        return self.emitted(words)
+        # A text's own start is a known state, so what lies before the first boundary is a whole segment.
+        head, n, tail = self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
+        return sum(self.count_segments(x) for x in (head, tail) if x) + (n or 0)
 
 
 @lru_cache(maxsize=2)

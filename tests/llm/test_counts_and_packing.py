@@ -7,7 +7,7 @@ import pytest
 
 from auditlake.llm.packing import WordIds, best_fit, bin_completion, dive, fillings, fullest, lower_bound, pack
 from auditlake.llm.queries import PIECE_MODEL, WORD_TOKENIZER, tokenizer_path
-from auditlake.llm.token_counts import CountTransducer, count_tokens
+from auditlake.llm.token_counts import CountTransducer, PieceTransducer, count_tokens
 
 
 def test_counts_equal_the_library(spark, docs, rows):
@@ -19,6 +19,30 @@ def test_counts_equal_the_library(spark, docs, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_transducer_against_merges_one_by_one(seed):
+    """Vocabularies of random merges: the states' counts are those of merging whole texts, and few states serve many texts."""
+    r = random.Random(seed)
+    pieces = list("abcde")
+    while len(pieces) < 40:
+        new = r.choice(pieces) + r.choice(pieces)
+        if new not in pieces and len(new) <= 7:
+            pieces.append(new)
+    machine = PieceTransducer({p: -float(i) for i, p in enumerate(pieces)})
+
+    def plain(text):
+        parts = list(text)
+        while pairs := [(pieces.index(x + y), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in pieces]:
+            at = min(pairs)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return sum(1 if p in pieces else len(p.encode()) for p in parts)
+
+    for _ in range(1500):
+        text = "".join(r.choice("aabbccde\u00e9") for _ in range(r.randrange(25)))
+        assert machine.run(text) == plain(text), text
+    assert len(machine.states) < 2000
+
+
 def test_chunk_maps_compose_at_any_cut():
     import sentencepiece
 
