@@ -1,25 +1,27 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Words are classed by frequency, so that classes have about
-equal shares of the training tokens; all words outside a head of bounded size are one more class. The class softmax
-has hashed features of the history: the last word, the last two words, and the word before the last alone (a skip).
-Its weights have a fixed size. They are trained by distributed gradient updates: in each round every partition runs
-adaptive gradient steps over its share of the documents from the common weights, and the weights are averaged by
-tokens. The softmax within a class has one feature for each word, whose best weights are known in closed form.
-
-Counts of all words stay distributed. The head, of bounded size, is sent to executors; words outside it meet their
-counts in a join.
+P(word | history) = P(class | history) * P(subclass | class, history) * P(word | subclass). Words of the head are put into
+classes by frequency, with about equal shares of its tokens, and these likewise into subclasses; all other words are one
+more class, with subclasses by hash. Both softmaxes have hashed features of the history (the last word, the last two words,
+and the word before the last alone, a skip), in the second joined with the class. Every word has features of its own as a
+history, those outside the head too. The number of hashed rows grows with the number of different words in the training
+texts. The weights are trained by distributed gradient updates: in each round every partition runs adaptive gradient
+steps over its share of the documents from the common weights, and the weights are averaged by tokens. The softmax within
+a subclass has one feature for each word, whose best weights are known in closed form.
+
+Counts of all words stay distributed. The head, of bounded size, is sent to executors; words outside it meet their counts
+in a join. Texts are read twice, for the counts and to be written as codes; all later passes read the codes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,18 @@ from auditlake.llm.common import claim, cut, keeps, slices, text_bytes
 
 #: Documents whose id hashes to this remainder are held out.
 MODULUS, HELD_OUT = 7, 2
-#: Most words of the head, and classes, the last of which is of all other words.
-HEAD_WORDS, CLASSES = 200_000, 32
-#: Rows of weights of each feature kind.
-BUCKETS = 1 << 13
+#: Most words of the head; classes, the last of which is of all other words, and subclasses of each.
+HEAD_WORDS, CLASSES, SUBCLASSES = 200_000, 16, 16
+#: Different training words for each row of weights of a feature kind; least and most rows, which bound a worker's memory at 200 MB.
+WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 64, 1 << 12, 1 << 18
+#: Bias of what never occurs.
+NEVER = -60.0
 #: Rounds of updates; each uses another part of the training documents, together all of them.
 ROUNDS = 2
 #: Tokens of a gradient step, and its size.
-STEP_TOKENS, RATE = 1 << 14, 0.25
+STEP_TOKENS, RATE = 1 << 14, 0.4
+#: Sum of squared gradients that each weight begins with: the more, the less a history that is seen few times says.
+FIRST_SQUARES = 16.0
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 300_000
 #: Parts in which weights travel, and lists that one merge takes.
@@ -73,52 +79,85 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Head:
-    """The most frequent words with counts, their classes and the probability of each in its class."""
+    """The most frequent words with counts, classes and subclasses, and what is known of all other words."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, all_tokens: int, all_words: int, classes: int = CLASSES):
+    def __init__(self, words: list[bytes], counts: np.ndarray, all_tokens: int, all_words: int, rest: np.ndarray, classes: int = CLASSES, subclasses: int = SUBCLASSES):
+        """rest: tokens and words outside the head, two numbers for each subclass."""
         order = sorted(range(len(words)), key=lambda i: (-int(counts[i]), words[i]))
         self.words = [words[i] for i in order]
         self.counts = counts[order].astype(np.int64)
-        self.all_tokens, self.all_words, self.classes = all_tokens, all_words, classes
+        self.all_tokens, self.all_words, self.classes, self.subclasses = all_tokens, all_words, classes, subclasses
         share = np.cumsum(self.counts) / max(1, self.counts.sum())
-        own = np.minimum((share - 1e-12) * (classes - 1), classes - 2).astype(np.int64)
-        self.class_of = np.r_[own, classes - 1]  # the last entry stands for every other word
-        mass = np.bincount(own, self.counts + 1, classes)
-        self.log_in_class = np.log10((self.counts + 1) / mass[own]) if len(own) else np.zeros(0)
-        self.other_tokens = all_tokens - int(self.counts.sum())
-        #: Tokens and words outside the head, with one place for a word never seen.
-        self.other_mass = self.other_tokens + (all_words - len(self.words)) + 1
-        totals = np.bincount(own, self.counts, classes)
-        totals[-1] = self.other_tokens
-        self.bias = np.log((totals + 0.5) / (totals.sum() + 0.5 * classes)).astype(np.float32)
+        cell = np.minimum((share - 1e-12) * (classes - 1) * subclasses, (classes - 1) * subclasses - 1).astype(np.int64)
+        self.cell = cell  # class * subclasses + subclass
+        mass = np.bincount(cell, self.counts + 1, classes * subclasses)
+        # In the last class, with one place for a word never seen in each subclass.
+        mass[-subclasses:] = rest.sum(axis=1) + 1
+        self.log_mass = np.log10(np.maximum(mass, 1))
+        tokens = np.bincount(cell, self.counts, classes * subclasses).astype(float)
+        tokens[-subclasses:] = rest[:, 0]
+        tokens = tokens.reshape(classes, subclasses)
+        of_class = tokens.sum(axis=1)
+        self.bias = np.log((of_class + 0.5) / (of_class.sum() + 0.5 * classes)).astype(np.float32)
+        self.sub_bias = np.log((tokens + 0.5) / (of_class[:, None] + 0.5 * subclasses)).astype(np.float32)
+        # A frequent word may leave classes and subclasses after its own without words: they get no probability.
+        none = (mass == 0).reshape(classes, subclasses)
+        self.bias[none.all(axis=1)] = NEVER
+        self.sub_bias[none] = NEVER
 
     def index(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
 
+    def cells(self, codes: np.ndarray) -> np.ndarray:
+        """Class * subclasses + subclass of each token."""
+        n = len(self.words)
+        known = codes < n
+        rest = (self.classes - 1) * self.subclasses + (codes - n) % self.subclasses
+        return np.where(known, self.cell[np.where(known, codes, 0)], rest) if n else rest
 
-def features(ids: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Rows of weights for each token: last word, last two words, the one before the last. ids: of joined texts."""
-    n = len(ids)
+    def log_in_cell(self, codes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """log10 of the closed form within the subclass; of a word outside the head, without the log of its count."""
+        counts = np.where(codes < len(self.words), np.r_[self.counts, 0][np.minimum(codes, len(self.words))], 0)
+        return np.log10(counts + 1.0) - self.log_mass[cells]
+
+
+def rows_for(words: int) -> int:
+    """Rows of weights of each feature kind for so many different training words."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << max(0, words // WORDS_A_ROW - 1).bit_length()))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def histories(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of each token's last word, last two words, and word before the last. codes: of joined texts."""
+    n = len(codes)
     one, two = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
+    one[1:], two[2:] = codes[:-1], codes[:-2]
     one[starts], two[starts] = -1, -1
     second = starts[starts + 1 < n] + 1
     two[second] = -1
     # Of texts of one token the next text's first token was just marked; it has no history either way.
-    h = np.uint64(0x9E3779B97F4A7C15)
-    a, b = (one + 2).astype(np.uint64) * h, (two + 2).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    a = mixed((one + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    b = mixed((two + 2).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return np.stack([a, mixed(a + (b ^ (b >> np.uint64(31)))), b])
 
-    def place(x: np.ndarray, kind: int) -> np.ndarray:
-        x = x ^ (x >> np.uint64(29))
-        return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % buckets + kind * buckets
 
-    return np.stack([place(a, 0), place(a + (b ^ (b >> np.uint64(31))), 1), place(b, 2)])
+def features(hashes: np.ndarray, buckets: int, classes: np.ndarray | None = None) -> np.ndarray:
+    """Rows of weights of each kind of history; with classes, those of histories joined with a class, behind the others."""
+    if classes is not None:
+        hashes = mixed(hashes + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    kinds = np.arange(3)[:, None] + (3 if classes is not None else 0)
+    return (hashes >> np.uint64(20)).astype(np.int64) % buckets + kinds * buckets
 
 
-def class_logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[rows[2]]
+def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    n = bias.shape[-1]
+    z = weights[rows[0], :n]
+    z += weights[rows[1], :n]
+    z += weights[rows[2], :n]
     z += bias
     return z
 
@@ -129,76 +168,133 @@ def log_probability(z: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return z[np.arange(len(z)), classes] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
 
 
-def encoded(index: dict[bytes, int], texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of the texts, ids of all their tokens (the number of head words for any other), starts of the texts."""
-    words = [tokens(t) for t in texts]
-    other = len(index)
-    ids = np.fromiter((i for w in words for i in map(index.get, w, repeat(other))), np.int64, sum(map(len, words)))
-    return words, ids, np.cumsum([0, *map(len, words)])[:-1]
+def log_scores(head: Head, weights: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability; of a word outside the head, without the log of its count plus one."""
+    hashes, cells, buckets = histories(codes, starts), head.cells(codes), len(weights) // 6
+    out = head.log_in_cell(codes, cells)
+    for at in range(0, len(codes), STEP_TOKENS):
+        s = slice(at, at + STEP_TOKENS)
+        h, (c, sub) = hashes[:, s], divmod(cells[s], head.subclasses)
+        found = log_probability(logits(weights, head.bias, features(h, buckets)), c)
+        found = found + log_probability(logits(weights, head.sub_bias[c], features(h, buckets, c)), sub)
+        out[s] += found / np.log(10)
+    return out
+
+
+def step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, rows: np.ndarray, goal: np.ndarray, rate: float) -> None:
+    """One adaptive gradient step of a softmax."""
+    z = logits(weights, bias, rows)
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(goal)), goal] -= 1
+    for kind in rows:
+        order = np.argsort(kind, kind="stable")
+        own = kind[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        used = own[first]
+        g = np.add.reduceat(p[order], first, axis=0) / np.sqrt(np.diff(first, append=len(own)))[:, None].astype(np.float32)
+        n = g.shape[1]
+        squares[used, :n] += g * g
+        weights[used, :n] -= rate * g / np.sqrt(squares[used, :n])
+
+
+class Codes(dict):
+    """Codes of words: the place in the head, or behind it 30 bits of the word's hash, the lowest of which name the subclass."""
+
+    def __init__(self, head: Head):
+        super().__init__(head.index())
+        self.size = len(head.words)
+
+    def __missing__(self, word: bytes) -> int:
+        return self.size + (xxhash.xxh64_intdigest(word, 42) & (1 << 30) - 1)
 
 
 _KEPT: dict = {}
 keeps("maxent_lm", _KEPT.clear)
 
 
-def opened(sent) -> tuple[Head, dict[bytes, int]]:
+def opened(sent) -> tuple[Head, Codes]:
     """The head of a broadcast, with its index made once in a worker."""
     claim("maxent_lm")
     if _KEPT.get("of") is not sent.value:
-        _KEPT.update(of=sent.value, index=sent.value.index())
-    return sent.value, _KEPT["index"]
+        _KEPT.update(of=sent.value, codes=Codes(sent.value))
+    return sent.value, _KEPT["codes"]
+
+
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the texts of a batch, and where each text starts."""
+    own = [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+    return np.concatenate(own).astype(np.int64), np.cumsum([0, *map(len, own)])[:-1]
+
+
+def encode(docs: DataFrame, head_sent, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row, part (of the training), held_out, n_tokens, known, logs, codes, tail (words outside the head) of each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, codes = opened(head_sent)
+        logs, size = np.log10(np.r_[head.counts + 1.0, 1.0]), len(head.words)
+        tail_kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+        for b in slices(batches, 64):
+            out: list[list] = [[] for _ in range(5)]
+            for t in text_bytes(b.column(4)):
+                words = tokens(t)
+                own = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+                rest = np.flatnonzero(own >= size)
+                tail = [{"word": x.decode(), "n": n} for x, n in Counter(words[i] for i in rest.tolist()).items()]
+                for x, v in zip(out, (len(words), len(words) - len(rest), float(logs[np.minimum(own, size)].sum()), own.tobytes(), tail), strict=True):
+                    x.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), tail_kind)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "row", "part", "held_out", "n_tokens", "known", "logs", "codes", "tail"])
+
+    key = F.col(id_col).cast("long")
+    held = remainder(key, MODULUS) == HELD_OUT
+    own = docs.select(key.alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64(key, F.length(text_col)), F.lit(ROUNDS)).alias("part"), held.alias("held_out"), F.col(text_col).alias("text"))
+    return cut(own.mapInArrow(run, "doc_id long, row long, part long, held_out boolean, n_tokens long, known long, logs double, codes binary, tail array<struct<word:string,n:long>>"), "codes")
 
 
-def train(texts: DataFrame, head_sent, weights: np.ndarray, rate: float = RATE) -> np.ndarray:
-    """One round: adaptive gradient steps in each partition of texts, then the average of the weights by tokens."""
-    spark = texts.sparkSession
+def train(codes: DataFrame, head_sent, weights: np.ndarray, rate: float = RATE, first_squares: float = FIRST_SQUARES) -> np.ndarray:
+    """One round: adaptive gradient steps in each partition of texts (column codes), then the average of the weights by tokens."""
+    spark = codes.sparkSession
     sent = spark.sparkContext.broadcast(weights)
-    rows_in_block = -(-len(weights) // BLOCKS)
+    rows_in_block, buckets = -(-len(weights) // BLOCKS), len(weights) // 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, index = opened(head_sent)
-        own, squares, n = sent.value.copy(), np.full(sent.value.shape, 1e-2, np.float32), 0
-        for b in slices(batches):
-            _, ids, starts = encoded(index, text_bytes(b.column(0)))
-            rows, goal = features(ids, starts), head.class_of[ids]
+        head, _ = opened(head_sent)
+        own, squares, n = sent.value.copy(), np.full(sent.value.shape, first_squares, np.float32), 0
+        for b in slices(batches, 64):
+            ids, starts = joined(b.column(0))
+            hashes, cells = histories(ids, starts), head.cells(ids)
             for at in range(0, len(ids), STEP_TOKENS):
-                r, y = rows[:, at : at + STEP_TOKENS], goal[at : at + STEP_TOKENS]
-                z = class_logits(own, head.bias, r)
-                z -= z.max(axis=1, keepdims=True)
-                p = np.exp(z)
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
-                for kind in r:
-                    used, where = np.unique(kind, return_inverse=True)
-                    order = np.argsort(where, kind="stable")
-                    first = np.searchsorted(where[order], np.arange(len(used)))
-                    g = np.add.reduceat(p[order], first, axis=0) / np.sqrt(np.diff(first, append=len(order)))[:, None].astype(np.float32)
-                    squares[used] += g * g
-                    own[used] -= rate * g / np.sqrt(squares[used])
-                n += len(y)
+                h, (c, sub) = hashes[:, at : at + STEP_TOKENS], divmod(cells[at : at + STEP_TOKENS], head.subclasses)
+                step(own, squares, head.bias, features(h, buckets), c, rate)
+                step(own, squares, head.sub_bias[c], features(h, buckets, c), sub, rate)
+            n += len(ids)
         if n:
-            parts = [own[i * rows_in_block : (i + 1) * rows_in_block] * np.float32(n) for i in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([float(n)] * BLOCKS), pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary())], names=["block", "n", "data"])
+            # Half precision on the way: a weight's own steps are far coarser.
+            parts = [own[i * rows_in_block : (i + 1) * rows_in_block].astype(np.float16).tobytes() for i in range(BLOCKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([float(n)] * BLOCKS), pa.array(parts, pa.binary())], names=["block", "n", "data"])
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(rows["data"].iloc[0]) // 4, np.float64)
-        for x in rows["data"]:
-            total += np.frombuffer(x, np.float32)
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "n": [rows["n"].sum()], "data": [total.astype(np.float32).tobytes()]})
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(rows["data"].iloc[0]) // 2, np.float64)
+        for x, n in zip(rows["data"], rows["n"], strict=True):
+            total += np.frombuffer(x, np.float16).astype(np.float64) * n
+        n = rows["n"].sum()
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "n": [n], "data": [(total / n).astype(np.float16).tobytes()]})
 
     # Lists meet in two levels, so that no task takes more than a bounded number of them at a time.
-    lists = texts.mapInArrow(run, "block int, n double, data binary").withColumn("list", F.spark_partition_id() % FAN_IN)
-    some = lists.groupBy("block", "list").applyInPandas(add, "block int, n double, data binary")
-    got = some.groupBy("block").applyInPandas(add, "block int, n double, data binary").collect()
+    lists = codes.select("codes").mapInArrow(run, "block int, n double, data binary").withColumn("list", F.spark_partition_id() % FAN_IN)
+    some = lists.groupBy("block", "list").applyInPandas(average, "block int, n double, data binary")
+    got = some.groupBy("block").applyInPandas(average, "block int, n double, data binary").collect()
     sent.unpersist()
     out = weights.copy()
     for r in got:
-        x = np.frombuffer(r["data"], np.float32).reshape(-1, weights.shape[1]) / np.float32(r["n"])
+        x = np.frombuffer(r["data"], np.float16).astype(np.float32).reshape(-1, weights.shape[1])
         out[r["block"] * rows_in_block : r["block"] * rows_in_block + len(x)] = x
     return out
 
 
-def head_of(counts: DataFrame, most: int = HEAD_WORDS, classes: int = CLASSES) -> Head:
+def head_of(counts: DataFrame, most: int = HEAD_WORDS, classes: int = CLASSES, subclasses: int = SUBCLASSES) -> Head:
     """The words whose count reaches the least threshold that at most `most` words reach."""
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     # Counts that many words have are few; the histogram is far smaller than the vocabulary.
@@ -208,56 +304,47 @@ def head_of(counts: DataFrame, most: int = HEAD_WORDS, classes: int = CLASSES) -
             break
         least, held = c, held + n
     rows = counts.where(F.col("c") >= least).collect()
-    return Head([r["word"].encode() for r in rows], np.array([r["c"] for r in rows], np.int64), int(sums["n"] or 0), sums["v"], classes)
+    rest = np.zeros((subclasses, 2), np.int64)
+    # Spark's hash of a string is that of its bytes with the seed that Codes takes.
+    of = counts.where(F.col("c") < least).groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << 30) - 1)).alias("h") % subclasses)
+    for s, n, v in of.agg(F.sum("c"), F.count(F.lit(1))).collect():
+        rest[s] = n, v
+    return Head([r["word"].encode() for r in rows], np.array([r["c"] for r in rows], np.int64), int(sums["n"] or 0), sums["v"], rest, classes, subclasses)
 
 
 def score_texts(docs: DataFrame, rounds: int = ROUNDS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row of docs.
 
-    Learns from all documents that aren't held out. n_known counts tokens seen in training; base_score is the add-one
-    unigram log10 probability, score the model's. A null text counts as empty: its end token alone is scored. A null
-    id isn't held out. Without training documents every token is unknown. Repeated rows give repeated results; other
-    columns are not read. An empty table gives an empty result.
+    Learns from all documents that aren't held out, each in one of the rounds. n_known counts tokens seen in training;
+    base_score is the add-one unigram log10 probability, score the model's. A null text counts as empty: its end token
+    alone is scored. A null id isn't held out. Without training documents every token is unknown. Repeated rows give
+    repeated results; other columns are not read. An empty table gives an empty result.
     """
-    key = F.col(id_col).cast("long")
-    training = docs.where(remainder(key, MODULUS) != HELD_OUT)
-    counts = word_counts(training.select(F.col(text_col).alias("text")))
+    counts = word_counts(docs.where(remainder(F.col(id_col).cast("long"), MODULUS) != HELD_OUT).select(F.col(text_col).alias("text")))
     head = head_of(counts, head_words)
     context = docs.sparkSession.sparkContext
     head_sent = context.broadcast(head)
-    weights = np.zeros((3 * BUCKETS, head.classes), np.float32)
+    coded = encode(docs, head_sent, id_col, text_col)
+    weights = np.zeros((6 * rows_for(head.all_words), max(head.classes, head.subclasses)), np.float32)
     for turn in range(rounds):
-        part = training.where(F.pmod(F.xxhash64(key, F.length(text_col)), F.lit(rounds)) == turn)
-        weights = train(part.select(F.col(text_col).alias("text")), head_sent, weights)
+        weights = train(coded.where(f"not held_out and part % {rounds} = {turn}"), head_sent, weights)
     sent = context.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, index = opened(head_sent)
-        w, logs, other = sent.value, np.log10(np.r_[head.counts + 1.0, 1.0]), len(head.words)
-        in_class = np.r_[head.log_in_class, -np.log10(head.other_mass)]
-        for b in slices(batches, 256):
-            words, ids, starts = encoded(index, text_bytes(b.column(2)))
-            if not len(ids):
-                continue
-            rows, goal, each = features(ids, starts), head.class_of[ids], np.empty(len(ids))
-            for at in range(0, len(ids), STEP_TOKENS):
-                s = slice(at, at + STEP_TOKENS)
-                each[s] = log_probability(class_logits(w, head.bias, rows[:, s]), goal[s])
-            each = each / np.log(10) + in_class[ids]
-            total = lambda x: pa.array(np.add.reduceat(x, starts))
-            tail = []
-            for k, a in zip(words, starts.tolist(), strict=True):
-                tail.append([{"word": x.decode(), "n": n} for x, n in Counter(k[i] for i in np.flatnonzero(ids[a : a + len(k)] == other).tolist()).items()])
-            tails = pa.array(tail, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), pa.array([len(k) for k in words], pa.int64()), total((ids < other).astype(np.int64)), total(logs[ids]), total(each), tails], names=["doc_id", "row", "held_out", "n_tokens", "known", "logs", "model", "tail"])
-
-    own = docs.select(key.alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), (remainder(key, MODULUS) == HELD_OUT).alias("held_out"))
-    scored = cut(own.mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, known long, logs double, model double, tail array<struct<word:string,n:long>>"), "scored")
-    rest = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
+        head, _ = opened(head_sent)
+        for b in slices(batches, 64):
+            if b.num_rows:
+                codes, starts = joined(b.column(6))
+                total = np.add.reduceat(log_scores(head, sent.value, codes, starts), starts)
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(total)], names=["doc_id", "row", "held_out", "n_tokens", "known", "logs", "model"])
+
+    # The logs of the counts of words outside the head come from a join.
+    rest = coded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
     found = rest.join(counts, "word").groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("l"))
+    model = coded.select("doc_id", "row", "held_out", "n_tokens", "known", "logs", "codes").mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, known long, logs double, model double")
     base = -np.log10(head.all_tokens + head.all_words + 1)
     logs = F.coalesce("l", F.lit(0.0))
-    return scored.drop("tail").join(found, "row", "left").select(
+    return model.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("n", F.lit(0))).cast("long").alias("n_known"), F.lit(head.all_tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + logs + F.col("n_tokens") * F.lit(float(base))).alias("base_score"), (F.col("model") + logs).alias("score"),
     )

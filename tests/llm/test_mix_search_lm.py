@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from auditlake.llm.entropy_mix import diffuse, mix, mixed_documents, solve_dual, source_targets, with_rates
-from auditlake.llm.maxent_lm import features, score_texts, tokens
+from auditlake.llm.maxent_lm import Head, features, histories, log_scores, rows_for, score_texts, tokens
 from auditlake.llm.topk import tile, top_k
 
 
@@ -174,9 +174,53 @@ def test_model_learns_an_order(spark):
 
 
 def test_features_start_anew_with_each_text():
-    ids = np.array([4, 5, 6, 4, 5, 9])
-    rows = features(ids, np.array([0, 3, 5]))
-    assert (rows[:, 0] == rows[:, 3]).all() and (rows[:, 1] == rows[:, 4]).all() and (rows[:, 5] == rows[:, 0]).all()
+    hashes = histories(np.array([4, 5, 6, 4, 5, 9]), np.array([0, 3, 5]))
+    assert (hashes[:, 0] == hashes[:, 3]).all() and (hashes[:, 1] == hashes[:, 4]).all() and (hashes[:, 5] == hashes[:, 0]).all()
+    rows, more = features(hashes, 64), features(hashes, 64, np.zeros(6, np.int64))
+    assert rows.min() >= 0 and rows.max() < 3 * 64 <= more.min() and more.max() < 6 * 64
+
+
+def small_model():
+    r = np.random.default_rng(3)
+    counts = np.array([50, 40, 40, 30, 9, 5, 2, 2])
+    words = [f"w{i}".encode() for i in range(8)]
+    rest = np.array([[3, 2], [4, 1], [0, 0], [1, 1]])
+    head = Head(words, counts, int(counts.sum() + rest[:, 0].sum()), 8 + int(rest[:, 1].sum()), rest, classes=3, subclasses=4)
+    return head, r.normal(size=(6 * 32, 4)).astype(np.float32)
+
+
+def test_probabilities_add_up_to_one():
+    """Over all words of the head, all others and one unseen place in each subclass, after any history."""
+    head, weights = small_model()
+    for history in ([], [3], [3, 1], [70, 9], [2, 2, 2]):
+        total = 0.0
+        for code in range(8 + 4):
+            codes = np.array([*history, code])
+            p = 10 ** log_scores(head, weights, codes, np.array([0]))[-1]
+            # A code behind the head stands for its subclass, whose words weigh their counts plus one, with one unseen.
+            rest = [[3, 2], [4, 1], [0, 0], [1, 1]][code - 8] if code >= 8 else None
+            total += p if rest is None else p * (sum(rest) + 1)
+        assert total == pytest.approx(1.0, rel=1e-5), history
+
+
+def test_scores_against_a_plain_softmax():
+    head, weights = small_model()
+    codes, starts = np.array([0, 5, 3, 100, 2, 7, 7]), np.array([0, 4])
+    got, buckets = log_scores(head, weights, codes, starts), 32
+    for i, code in enumerate(codes.tolist()):
+        hashes = histories(codes, starts)[:, i : i + 1]
+        cell = int(head.cells(codes)[i])
+        c, sub = divmod(cell, 4)
+        # The matrix is as wide as the larger softmax; classes beyond the last have no tokens and no part in it.
+        one = weights[features(hashes, buckets)[:, 0]].astype(float).sum(axis=0)[: head.classes] + head.bias
+        two = weights[features(hashes, buckets, np.array([c]))[:, 0]].astype(float).sum(axis=0) + head.sub_bias[c]
+        count = head.counts[code] if code < 8 else 0
+        want = math.log10(math.exp(one[c]) / sum(map(math.exp, one))) + math.log10(math.exp(two[sub]) / sum(map(math.exp, two))) + math.log10(count + 1) - head.log_mass[cell]
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
+def test_rows_grow_with_the_words():
+    assert rows_for(0) == rows_for(1000) == 1 << 12 and rows_for(1 << 20) == 1 << 14 and rows_for(1 << 22) == 1 << 16 and rows_for(1 << 40) == 1 << 18
 
 
 def test_language_model_of_nothing(no_docs):
