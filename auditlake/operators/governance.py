@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.functions.urls import TRACKING_PARAMETERS, governed_parts
+from auditlake.functions.urls import governed_url, TRACKING_PARAMETERS, governed_parts
 
 RULE_SCHEMA = "rule_id string, match_type string, match_value string, case_sensitive boolean, action string, priority int, source string, overrides array<string>"
 #: Ranks of sources and match types. Fixed values.
@@ -116,3 +116,22 @@ def exclusion_matches(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFram
     }
     hits = F.array(*(F.when(tests[kind](value), F.struct(F.lit(i).alias("place"), F.lit(kind).alias("rule_type"), F.lit(value).alias("value"))) for i, (kind, value) in enumerate(rules)))
     return urls.where("u.error_code is null").select("url_id", F.explode(F.array_compact(hits)).alias("r")).select("url_id", "r.*")
+
+
+def variants(pages: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """url_id (a struct of page_id and kind), page_id, kind, url: every observed URL of a page; kinds: name -> column."""
+    listed = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(c).alias("url"))) for k, c in kinds.items())))
+    own = pages.select("page_id", F.explode(listed).alias("v")).select("page_id", "v.kind", "v.url")
+    return own.select(F.struct("page_id", "kind").alias("url_id"), "page_id", "kind", "url")
+
+
+def variant_decisions(pages: DataFrame, kinds: dict[str, str], rules: list[tuple]) -> DataFrame:
+    """page_id, kind and the decisions of every observed URL of every page."""
+    found = decisions(matches(variants(pages, kinds).select("url_id", governed_url(F.col("url")).alias("g")), rules))
+    return found.select("url_id.page_id", "url_id.kind", *(c for c in found.columns if c != "url_id"))
+
+
+def tested(urls: DataFrame, rules: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """(matches, decisions) of a few URLs (column url) under rules that aren't in force yet; URLs that can't be read match nothing."""
+    own = matches(urls.select(F.col("url").alias("url_id"), governed_url(F.col("url")).alias("g")), rules)
+    return own, decisions(own)

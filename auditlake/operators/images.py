@@ -69,3 +69,10 @@ def findings(found: DataFrame) -> DataFrame:
 def recommendations(found: DataFrame) -> DataFrame:
     """src, action, pages: what to do about an image, once for all pages that show it."""
     return found.where("action <> 'no_action'").groupBy("src", "action").agg(F.countDistinct("page_id").alias("pages"))
+
+
+def with_pages(images: DataFrame, pages: DataFrame, *columns: str) -> DataFrame:
+    """images (page_identity) with columns of the page requested under it, else of the first whose redirects end there."""
+    from auditlake.operators.links import page_index
+
+    return images.join(page_index(pages, *columns).withColumnRenamed("key", "page_identity"), "page_identity", "left")

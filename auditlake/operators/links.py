@@ -115,3 +115,16 @@ def findings(found: DataFrame) -> DataFrame:
     """The targets whose severity isn't info, under a stable id."""
     code = F.when(F.col("redirect_state") != "no_redirect", F.col("redirect_reason")).otherwise(F.col("reason"))
     return found.where("severity <> 'info'").select(stable_id("target_identity", code).alias("finding_id"), "target_identity", code.alias("code"), "severity")
+
+
+def broken_links(occurrences: DataFrame, found: DataFrame, key: str = "target_identity") -> DataFrame:
+    """Every occurrence of a link to a broken internal target, with the target's outcome columns."""
+    broken = found.where("broken_state = 'broken_internal_link'").select(key, "reason", "severity", "action", "confidence", "source_pages")
+    return occurrences.join(broken, key)
+
+
+def redirect_map(recommended: DataFrame, redirect_chains: DataFrame, key: str) -> DataFrame:
+    """recommended targets that ask for an action, with their chains (columns key, nodes, hop_count, loop), if they have any."""
+    chain = redirect_chains.select(key, F.col("nodes").alias("current_chain"), "hop_count", "loop")
+    own = recommended.where("action <> 'no_action'").join(chain, key, "left")
+    return own.withColumns({"hop_count": F.coalesce("hop_count", F.lit(0)), "loop": F.coalesce("loop", F.lit(False))})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auditlake.functions.text import nfkc_casefold
 
@@ -20,6 +21,7 @@ crawler_specific_directive robots low|unsupported_robots_directive robots inform
 indexability_recommendation_mismatch indexability high|status_redirect status information|status_4xx status high|status_5xx status critical|status_missing status high|redirect_loop status critical
 redirect_chain status medium|redirect_cross_host status medium|content_type_missing content_type low|content_type_ambiguous content_type low|content_type_unexpected content_type medium|content_type_non_html content_type information
 """
+INCOMPLETE = ("partial", "cancelled", "truncated", "unavailable")
 SEVERITIES = ("information", "low", "medium", "high", "critical")
 RANK_SQL = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END"
 
@@ -40,6 +42,8 @@ RULES = (
     ("canonical_target_unavailable", "parsed_as_html AND canonical_identity <> coalesce(final_identity, identity) AND t_identity IS NULL"),
     ("canonical_target_redirected", "parsed_as_html AND canonical_identity <> coalesce(final_identity, identity) AND (t_redirect_count > 0 OR t_status BETWEEN 300 AND 399)"),
     ("canonical_multiple", "parsed_as_html AND canonical_count > 1"), ("canonical_conflicting", "parsed_as_html AND canonical_conflicting"), ("canonical_cross_host", "parsed_as_html AND canonical_cross_host"),
+    ("canonical_cross_scheme", "parsed_as_html AND canonical_cross_scheme"), ("canonical_cross_port", "parsed_as_html AND canonical_cross_port"),
+    ("crawler_specific_directive", "crawler_directive"), ("unsupported_robots_directive", "unsupported_directive"),
     ("robots_denied", "NOT robots_allowed"), ("meta_robots_noindex", "meta_noindex"), ("x_robots_tag_noindex", "header_noindex"), ("robots_indexability_conflict", "indexability_state = 'conflicting'"),
     ("indexability_indeterminate", "indexability_state = 'unavailable' AND NOT fetch_failed"), ("content_type_unexpected", "parsed_as_html AND category <> 'html'"),
 )
@@ -58,18 +62,32 @@ def issues(pages: DataFrame) -> DataFrame:
     joined = pages.join(target, F.col("canonical_identity") == F.col("t_identity"), "left")
     hit = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(code)) for code, rule in RULES)))
     kinds = pages.sparkSession.createDataFrame(taxonomy(), "code string, category string, severity string")
-    state = F.when(F.col("evidence_state").isin("partial", "cancelled", "truncated", "unavailable"), "partial").otherwise("determinate")
+    state = F.when(F.col("evidence_state").isin(*INCOMPLETE), "partial").otherwise("determinate")
     return joined.select("page_id", state.alias("determinacy"), F.explode(hit).alias("code")).join(F.broadcast(kinds), "code").select("page_id", "code", "category", "severity", "determinacy")
 
 
 def duplicate_groups(pages: DataFrame, value: str, by: list[str], kind: str, sample: int = 20) -> DataFrame:
     """Groups of two or more pages whose value is equal under NFKC, case folding and collapsed white space.
 
-    Members are counted whole; the sample, the smallest identities, is cut inside the aggregation's array.
+    Members are counted whole; first_page is the smallest page_id, and sample the smallest `sample` ones, kept by a top-k
+    for each group, so that a group is never gathered.
     """
     keyed = pages.where(F.col(value).isNotNull()).withColumn("normal", nfkc_casefold(F.col(value))).where("normal <> ''")
     grouped = keyed.groupBy(*by, "normal").agg(F.count(F.lit(1)).alias("members"), F.min("page_id").alias("first_page"))
-    return grouped.where("members >= 2").select(*by, F.lit(kind).alias("kind"), F.sha2("normal", 256).alias("group_hash"), "members", "first_page")
+    large = grouped.where("members >= 2")
+    place = F.row_number().over(Window.partitionBy(*by, "normal").orderBy("page_id"))
+    listed = keyed.select(*by, "normal", "page_id").withColumn("place", place).where(F.col("place") <= sample)
+    samples = listed.groupBy(*by, "normal").agg(F.array_join(F.array_sort(F.collect_list("page_id")).cast("array<string>"), ",").alias("sample"))
+    return large.join(samples, [*by, "normal"]).select(*by, F.lit(kind).alias("kind"), F.sha2("normal", 256).alias("group_hash"), "members", "first_page", "sample")
+
+
+def duplicate_issues(pages: DataFrame, value: str, code: str) -> DataFrame:
+    """page_id, code, category, severity, determinacy of the pages whose value others have too; pages: page_id, the value, evidence_state."""
+    keyed = pages.where(F.col(value).isNotNull()).select("page_id", "evidence_state", nfkc_casefold(F.col(value)).alias("normal")).where("normal <> ''")
+    groups = keyed.groupBy("normal").agg(F.count(F.lit(1)).alias("members")).where("members >= 2").select("normal")
+    category, severity = next((k, v) for c, k, v in taxonomy() if c == code)
+    state = F.when(F.col("evidence_state").isin(*INCOMPLETE), "partial").otherwise("determinate")
+    return keyed.join(groups, "normal", "left_semi").select("page_id", F.lit(code).alias("code"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), state.alias("determinacy"))
 
 
 def histogram(found: DataFrame) -> DataFrame:

@@ -119,3 +119,25 @@ def xml_documents(urls: DataFrame, order: str = "sequence", most: int = MAX_ENTR
 
     # A document has a fixed most number of entries, so a group is bounded.
     return placed.select("url", "place", F.expr(f"place div {most}").alias("document")).groupBy("document").applyInPandas(render, "document long, entries long, xml string")
+
+
+#: Where sitemaps usually are. Fixed values.
+COMMON_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml")
+#: Where a sitemap was heard of, the first first.
+PROVENANCE = ("explicit", "robots", "common_path")
+
+
+def discovered(origins: DataFrame, explicit: DataFrame, robots: DataFrame) -> DataFrame:
+    """url, source (where it was heard of first), sources (all, in that order) of the sitemaps of origins.
+
+    origins: origin. explicit: url. robots: origin, body. A robots line names an absolute URL or a path. URLs outside the
+    origins are left out.
+    """
+    line = F.explode(F.regexp_extract_all(F.col("body"), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), F.lit(1))).alias("named")
+    told = robots.select("origin", line).select(F.when(F.col("named").startswith("/"), F.concat("origin", "named")).otherwise(F.col("named")).alias("url"))
+    common = origins.select(F.explode(F.array(*(F.concat("origin", F.lit(p)) for p in COMMON_PATHS))).alias("url"))
+    parts = [df.select("url", F.lit(i).alias("rank")) for i, df in enumerate((explicit, told, common))]
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("url").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
+    inside = merged.withColumn("origin", F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)).join(origins.select("origin").distinct(), "origin", "left_semi")
+    names = F.transform("ranks", lambda r: F.element_at(F.array(*map(F.lit, PROVENANCE)), r + 1))
+    return inside.select("url", F.element_at(names, 1).alias("source"), F.array_join(names, ",").alias("sources"))

@@ -66,3 +66,35 @@ def type_sets(blocks: DataFrame) -> DataFrame:
     """type_set, pages: which sets of types pages have; more than one set of a template is an inconsistency."""
     own = blocks.select("page_id", F.explode("types").alias("t")).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("type_set"))
     return own.groupBy("type_set").agg(F.count(F.lit(1)).alias("pages"))
+
+
+#: Types that may stand together on one entity. Fixed values.
+FAMILIES = (
+    ("LocalBusiness", "ProfessionalService", "MedicalBusiness", "Physician", "Dentist", "Hotel", "LodgingBusiness", "Restaurant"),
+    ("Article", "BlogPosting", "NewsArticle"),
+    ("WebPage", "AboutPage", "ContactPage", "CollectionPage"),
+)
+
+
+def malformed_type(value: Column) -> Column:
+    """Empty, with white space, a keyword, or an address that isn't an http one with a host."""
+    address = value.contains("://") & ~value.rlike(r"^(?i:https?)://[^/?#]")
+    return (value == "") | value.rlike(r"\s") | value.startswith("@") | address
+
+
+def compatible_types(types: Column) -> Column:
+    """Whether all types belong to one family."""
+    some = F.lit(False)
+    for family in FAMILIES:
+        some = some | (F.size(F.array_except(types, F.array(*map(F.lit, family)))) == 0)
+    return some
+
+
+def type_findings(blocks: DataFrame) -> DataFrame:
+    """page_id, index, code of blocks whose types are malformed, or several that don't go together."""
+    own = blocks.where("size(types) > 0").select("page_id", "index", "types", F.transform("types", short_type).alias("short"))
+    codes = F.array(
+        F.when(F.exists("types", malformed_type), F.lit("entity_type_malformed")),
+        F.when((F.size(F.array_distinct("short")) > 1) & ~compatible_types(F.col("short")), F.lit("entity_types_conflicting")),
+    )
+    return own.select("page_id", "index", F.explode(F.array_compact(codes)).alias("code"))

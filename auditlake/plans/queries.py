@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.urls import TRACKING_PARAMETERS, governed_url, normal_parts, normalize_url, scope_reason
-from auditlake.operators import combined, crawl, governance, graph, images, links, metadata, migration, resultset, robots, sitemap, structured
+from auditlake.operators import combined, crawl, governance, graph, images, links, metadata, migration, reads, resultset, robots, sitemap, structured
 from auditlake.plans.site import SITE, Site, duck_crawl
 from auditlake.sources import html
 
@@ -574,3 +574,94 @@ def semi_anti_filters(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {duck_crawl()} SELECT page_id, url, http_status FROM crawl WHERE http_status BETWEEN 400 AND 499 AND title IS NOT NULL AND lower(url) LIKE '%/p/1%'")
 def filtered_pages(spark: SparkSession, d: str) -> DataFrame:
     return resultset.filtered(Site(spark, d).crawl, {"class_http_status": 4, "has_title": True, "contains_url": "/P/1"}).select("page_id", "url", "http_status")
+
+
+# -- reading of results -----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {duck_crawl()}, evidence AS ({TARGET_EVIDENCE}), {CLASSIFIED} SELECT target_page, broken_state, severity, source_pages FROM final JOIN (SELECT target_page, hop_count FROM evidence) USING (target_page)
+  WHERE broken_state <> 'working_internal_link' AND severity = 'high' AND source_pages >= 2 ORDER BY source_pages DESC NULLS LAST, target_page LIMIT 40""")
+def resource_link_targets(spark: SparkSession, d: str) -> DataFrame:
+    found = _classified(spark, d).where("broken_state <> 'working_internal_link'")
+    return reads.read("link_targets", found, {"severity": "high", "min_source_pages": 2}, "source_pages", True, size=40).select("target_page", "broken_state", "severity", "source_pages")
+
+
+@query(f"{DUCK_IMAGES} SELECT page_id, index, src, reason, reuse FROM s3 WHERE severity = 'medium' AND src LIKE '%.png%' AND reuse >= 2 ORDER BY reuse DESC NULLS LAST, page_id, index LIMIT 50 OFFSET 5")
+def resource_image_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    found = images.occurrences(_images(spark, d))
+    return reads.read("image_occurrences", found, {"severity": "medium", "contains_src": ".PNG", "min_reuse": 2}, "reuse", True, 5).select("page_id", "index", "src", "reason", "reuse")
+
+
+@query(f"WITH {duck_crawl()}, {_recommended_sql()} SELECT page_id, state, reasons FROM recommended WHERE state = 'exclude' AND reasons LIKE '%redirect%' ORDER BY page_id LIMIT 50")
+def resource_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    found = sitemap.recommendations(Site(spark, d).crawl)
+    return reads.read("recommendations", found, {"state": "exclude", "contains_reasons": "Redirect"}).select("page_id", "state", "reasons")
+
+
+@query(_facts_sql() + " SELECT page_id, url, http_status, sitemap_state FROM facts WHERE recommendation = 'exclude' AND http_status BETWEEN 400 AND 499 AND in_sitemap ORDER BY http_status DESC NULLS LAST, page_id LIMIT 50")
+def resource_combined_urls(spark: SparkSession, d: str) -> DataFrame:
+    own = Site(spark, d).crawl
+    facts = combined.url_facts(own, sitemap.recommendations(own))
+    return reads.read("combined_urls", facts, {"recommendation": "exclude", "class_http_status": 4, "in_sitemap": True}, "http_status", True).select("page_id", "url", "http_status", "sitemap_state")
+
+
+@query(f"WITH {DUCK_MIGRATION}, {MAPPED}, {MIGRATION_FINDINGS} SELECT source_url, destination_url, code FROM findings WHERE severity = 'error' AND confidence = 'high' AND source_url LIKE '%/p/1%' ORDER BY code, source_url, destination_url LIMIT 50")
+def resource_migration_findings(spark: SparkSession, d: str) -> DataFrame:
+    found = _migration_findings(spark, d)[0]
+    return reads.read("migration_findings", found, {"severity": "error", "confidence": "high", "contains_source_url": "/P/1"}, "code").select("source_url", "destination_url", "code")
+
+
+@query(f"""WITH {duck_crawl()} SELECT count(*) AS pages, count(*) FILTER (WHERE category = 'html' AND http_status = 200) AS html_pages, count(*) FILTER (WHERE http_status IS NULL) AS failed_pages,
+  count(*) FILTER (WHERE redirect_count >= 1) AS redirected_pages, count(*) FILTER (WHERE http_status >= 400) AS error_pages, count(*) FILTER (WHERE n_titles = 0) AS untitled_pages FROM crawl""")
+def evidence_totals(spark: SparkSession, d: str) -> DataFrame:
+    wanted = {"pages": "true", "html_pages": "parsed_as_html", "failed_pages": "fetch_failed", "redirected_pages": "redirect_count > 0", "error_pages": "http_status >= 400", "untitled_pages": "title_presence = 'missing'"}
+    return reads.totals(Site(spark, d).crawl, wanted)
+
+
+@query(f"""WITH {duck_crawl()}, evidence AS ({TARGET_EVIDENCE}), {CLASSIFIED} SELECT l.seq, l.source_page, l.target_page, f.reason, f.severity, f.source_pages FROM links l JOIN final f ON f.target_page = l.target_page WHERE f.broken_state = 'broken_internal_link'""")
+def broken_links_export(spark: SparkSession, d: str) -> DataFrame:
+    found = links.broken_links(Site(spark, d).links, _classified(spark, d), "target_page")
+    return found.select("seq", "source_page", "target_page", "reason", "severity", "source_pages")
+
+
+@query(f"""WITH {duck_crawl()}, evidence AS ({TARGET_EVIDENCE}), {CLASSIFIED}, hops AS ({HOPS}), per AS (SELECT page_id, [first(from_url ORDER BY sequence)] || list(to_url ORDER BY sequence) AS nodes, count(*) AS n FROM hops GROUP BY page_id)
+  SELECT target_page, action, array_to_string(nodes, ' ') AS current_chain, coalesce(n, 0) AS hop_count, coalesce(len(list_distinct(nodes)) < len(nodes), false) AS loop FROM final LEFT JOIN per ON page_id = target_page WHERE action <> 'no_action'""")
+def redirect_map_export(spark: SparkSession, d: str) -> DataFrame:
+    own = links.chains(spark.sql(HOPS.replace("FROM crawl", "FROM {crawl}"), crawl=Site(spark, d).crawl)).withColumnRenamed("page_id", "target_page")
+    found = links.redirect_map(_classified(spark, d).drop("hop_count"), own, "target_page")
+    return found.select("target_page", "action", "current_chain", F.col("hop_count").cast("long").alias("hop_count"), "loop")
+
+
+@query(f"""WITH {duck_crawl()}, seen AS (SELECT page_id, 'requested' AS kind, url AS u FROM crawl UNION ALL SELECT page_id, 'final', final_url FROM crawl WHERE final_url IS NOT NULL UNION ALL SELECT page_id, 'canonical', canonical_url FROM crawl WHERE canonical_url IS NOT NULL)
+  SELECT page_id, kind, 'discovery' AS layer, 'exclude_from_discovery' AS outcome, CASE WHEN u LIKE '%/p/1%' THEN 'v2' ELSE 'v1' END AS primary_rule, CASE WHEN u LIKE '%/p/1%' AND u LIKE '%7' THEN 2 ELSE 1 END AS contributing, false AS conflict FROM seen WHERE u LIKE '%7' OR u LIKE '%/p/1%'""")
+def governance_variants(spark: SparkSession, d: str) -> DataFrame:
+    rules = [("v1", "path_ends_with", "7", False, "exclude_from_discovery", 1, "global", []), ("v2", "path_starts_with", "/p/1", False, "exclude_from_discovery", 1, "per_audit", [])]
+    return governance.variant_decisions(Site(spark, d).crawl, {"requested": "url", "final": "final_url", "canonical": "canonical_url"}, rules)
+
+
+@query(f"""WITH {URL_PARTS}, origins AS (SELECT DISTINCT scheme || '://' || hostname AS origin FROM parts), heard AS (SELECT origin || '/explicit.xml' AS url, 0 AS r FROM origins WHERE origin LIKE 'https%' UNION ALL SELECT origin || '/sitemap.xml', 0 FROM origins WHERE origin LIKE '%1%'
+  UNION ALL SELECT origin || '/sitemap.xml', 1 FROM origins UNION ALL SELECT origin || '/' || p, 2 FROM origins, (VALUES ('sitemap.xml'), ('sitemap_index.xml'), ('wp-sitemap.xml')) t(p))
+  SELECT url, ['explicit', 'robots', 'common_path'][min(r) + 1] AS source, array_to_string([['explicit', 'robots', 'common_path'][x + 1] FOR x IN list_sort(list_distinct(list(r)))], ',') AS sources FROM heard GROUP BY url""")
+def sitemap_discovery(spark: SparkSession, d: str) -> DataFrame:
+    origins = spark.read.parquet(f"{d}/pages.parquet").select(normalize_url("url").alias("u")).select(F.concat("u.scheme", F.lit("://"), "u.hostname").alias("origin")).distinct()
+    explicit = origins.where("origin LIKE 'https%'").select(F.concat("origin", F.lit("/explicit.xml")).alias("url")).unionByName(origins.where("origin LIKE '%1%'").select(F.concat("origin", F.lit("/sitemap.xml")).alias("url")))
+    outside = spark.createDataFrame([("https://elsewhere.test/sitemap.xml",)], "url string")
+    return sitemap.discovered(origins, explicit.unionByName(outside), origins.select("origin", F.lit(ROBOTS).alias("body")))
+
+
+@query("""WITH job AS (SELECT o_custkey AS run_id, max(o_orderkey) AS job_id FROM orders GROUP BY o_custkey), summary AS (SELECT o_custkey AS run_id, 100 * count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'P') AS bad FROM orders WHERE o_custkey % 5 <> 0 GROUP BY o_custkey),
+  own AS (SELECT c_custkey AS run_id, job_id, coalesce(total, 0) AS evidence_count, coalesce(bad, 0) AS bad, CASE WHEN c_custkey % 4 = 0 THEN 'not_terminal' WHEN total IS NULL THEN 'no_evidence' WHEN c_custkey % 6 = 1 THEN 'not_retained' WHEN total > 1500 THEN 'too_many_pages' END AS reason FROM customer JOIN job ON run_id = c_custkey LEFT JOIN summary USING (run_id))
+  SELECT run_id, job_id, evidence_count, CASE WHEN evidence_count = 0 THEN 'unavailable' WHEN bad > 0 THEN 'partial' ELSE 'complete' END AS evidence_state, reason IS NULL AS eligible, reason FROM own""")
+def run_candidates(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("run_id"), "o_orderkey", "o_orderstatus")
+    runs = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("run_id"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN 'running' ELSE 'completed' END").alias("lifecycle"), F.lit(None).cast("timestamp").alias("terminal_at"))
+    jobs = orders.select("run_id", F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").alias("sequence"))
+    summaries = orders.where("run_id % 5 <> 0").groupBy("run_id").agg((100 * F.count(F.lit(1))).alias("total_records"), F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("incomplete_records"))
+    summaries = summaries.withColumn("retention_state", F.expr("CASE WHEN run_id % 6 = 1 THEN 'expired' ELSE 'retained' END"))
+    return reads.run_candidates(runs, jobs, summaries, 1500).drop("sequence", "terminal_at")
+
+
+@query(f"""WITH {duck_crawl()}, named AS (SELECT page_id, evidence_state, lower(trim(title)) AS t FROM crawl WHERE title <> '')
+  SELECT page_id, 'title_duplicate' AS code, 'title' AS category, 'medium' AS severity, CASE WHEN evidence_state IN ('truncated', 'partial') THEN 'partial' ELSE 'determinate' END AS determinacy FROM named WHERE t IN (SELECT t FROM named GROUP BY t HAVING count(*) > 1)""")
+def metadata_duplicate_issues(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.duplicate_issues(Site(spark, d).crawl, "title", "title_duplicate")

@@ -29,7 +29,7 @@ def crawl_sql(source: str, duck: bool) -> str:
       category = 'html' AND coalesce(http_status, 0) = 200 AS parsed_as_html, length(title) AS title_length, CASE WHEN n_titles = 0 THEN 'missing' WHEN title = '' THEN 'empty' WHEN n_titles = 1 THEN 'single' ELSE 'multiple' END AS title_presence,
       'missing' AS description_presence, 0 AS description_length, canonical_page, CASE WHEN canonical_page IS NOT NULL THEN {place("canonical_page")} END AS canonical_url,
       CASE WHEN canonical_page IS NOT NULL THEN {sha(place("canonical_page"), duck)} END AS canonical_identity, CASE WHEN canonical_page IS NULL THEN 'missing' ELSE 'single' END AS canonical_presence,
-      CASE WHEN canonical_page IS NULL THEN 0 WHEN page_id % 31 = 3 THEN 2 ELSE 1 END AS canonical_count, page_id % 31 = 3 AS canonical_conflicting, page_id % 43 = 7 AS canonical_cross_host,
+      CASE WHEN canonical_page IS NULL THEN 0 WHEN page_id % 31 = 3 THEN 2 ELSE 1 END AS canonical_count, page_id % 31 = 3 AS canonical_conflicting, page_id % 43 = 7 AS canonical_cross_host, page_id % 41 = 4 AS canonical_cross_scheme, page_id % 45 = 6 AS canonical_cross_port, page_id % 33 = 10 AS crawler_directive, page_id % 39 = 15 AS unsupported_directive,
       page_id % 23 <> 9 AS robots_allowed, page_id % 29 = 6 AS meta_noindex, page_id % 59 = 8 AS header_noindex, CASE WHEN page_id % 61 = 9 THEN 'conflicting' WHEN http_status IS NULL THEN 'unavailable' ELSE 'available' END AS indexability_state,
       CASE WHEN http_status IS NULL THEN 'fetch_failed' WHEN page_id % 47 = 11 THEN 'truncated' ELSE 'complete' END AS evidence_state, page_id % 4 <> 1 AS in_sitemap, true AS in_scope, page_id % 53 = 12 AS parser_recovered
     FROM (SELECT page_id, title, n_titles, CASE page_id % 20 WHEN 13 THEN NULL WHEN 3 THEN 404 WHEN 7 THEN 500 WHEN 17 THEN 410 ELSE 200 END AS http_status,
