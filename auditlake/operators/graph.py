@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditlake.shared import written
+
 #: Thresholds. Fixed values.
 MAX_PATH, HUB_DESTINATIONS, AUTHORITY_REFERRERS, MAX_DEPTH, MAX_OUTLINKS, LOW_INLINKS, DOMINANT_SHARE, SITEWIDE_PAGES, SITEWIDE_RATIO = 64, 10, 5, 4, 100, 2, 0.8, 5, 0.5
 #: Anchors that say nothing of their target. Fixed values.
@@ -52,12 +54,8 @@ def edges(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame) -> DataFrame:
-    """A level of the search in the shared folder, so that plans stay short and lost executors cost nothing."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A level of the search."""
+    return written(df, "level")
 
 
 def reachability(all_edges: DataFrame, pages: DataFrame, seeds: DataFrame, follow_all: bool = False) -> DataFrame:
@@ -73,7 +71,8 @@ def reachability(all_edges: DataFrame, pages: DataFrame, seeds: DataFrame, follo
     own = _write(own.join(allowed.select(F.col("identity").alias("adjusted")), "adjusted", "left_semi"))
     level = seeds.select("identity", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("predecessor"), F.array("identity").alias("path"), F.lit(False).alias("redirect_dependent"), F.array("identity").alias("place"))
     seen = level = _write(level)
-    for depth in range(1, MAX_PATH + 1):
+    # The search that follows all links ends where nothing is new.
+    for depth in count(1) if follow_all else range(1, MAX_PATH + 1):
         near = level.join(own, level["identity"] == own["source"]).select(F.col("adjusted").alias("identity"), F.col("identity").alias("p"), "path", "redirect_dependent", "moved", "place")
         near = near.join(seen.select("identity"), "identity", "left_anti")
         first = near.groupBy("identity").agg(F.min_by(F.struct("p", "path", "redirect_dependent", "moved", "place"), "place").alias("f"))

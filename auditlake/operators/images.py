@@ -2,41 +2,75 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Alternative texts that say nothing. Fixed values.
 GENERIC_ALTS = ("image", "photo", "picture", "graphic", "icon", "logo", "banner", "thumbnail", "click here", "read more", "learn more")
-FILE_NAME = r"^(?i)(img[_-]?[0-9]+|dsc[0-9]+|photo[_-]?[0-9]+|image([_-][0-9]+)+|[A-Za-z0-9_-]+(final|copy|v[0-9]+)[A-Za-z0-9_-]*|[^/]+\.(jpe?g|png|gif|webp|svg|avif))$"
-#: SQL of the states; `name_like` and `url_like` are regular-expression tests made beforehand. Fixed values.
-ALT_SQL = f"""CASE WHEN alt IS NULL THEN 'missing' WHEN alt <> '' AND trim(alt) = '' THEN 'whitespace' WHEN alt = '' AND linked THEN 'link_empty' WHEN alt = '' AND decorative THEN 'decorative' WHEN alt = '' THEN 'empty'
- WHEN length(alt) > 200 THEN 'overlong' WHEN lower(trim(alt)) IN ({", ".join(f"'{a}'" for a in GENERIC_ALTS)}) THEN 'generic' WHEN name_like THEN 'filename' WHEN url_like THEN 'url' ELSE 'present' END"""
+#: Names that files have, by kind; the whole text has to be one. Fixed values.
+FILE_NAMES = {
+    "camera": r"(?:img|photo)[_-]?\d+",
+    "camera_without_mark": r"dsc\d+",
+    "numbered": r"image(?:[_-]\d+)+",
+    "version": r"[\w-]+(?:final|copy|v\d+)[\w-]*",
+    "file": r"[^/\\]+\.(?:jpe?g|png|gif|webp|svg|avif)",
+}
+#: How addresses begin, by kind. Fixed values.
+ADDRESSES = {"scheme": r"https?://", "www": r"www\.", "path": "/", "drive": r"[A-Za-z]:\\", "domain": r"\S+\.[a-z]{2,}(?:/|$)"}
+#: Characters of a collapsed alternative text that are looked at.
+ALT_CHARACTERS = 1024
+#: SQL of the states; `shown` is the text with white space collapsed, `name_like` and `url_like` are tests of it. Fixed values.
+ALT_SQL = f"""CASE WHEN alt IS NULL THEN 'missing' WHEN alt <> '' AND shown = '' THEN 'whitespace' WHEN alt = '' AND linked THEN 'link_empty' WHEN alt = '' AND decorative THEN 'decorative' WHEN alt = '' THEN 'empty'
+ WHEN length(shown) > 200 THEN 'overlong' WHEN lower(shown) IN ({", ".join(f"'{a}'" for a in GENERIC_ALTS)}) THEN 'generic' WHEN name_like THEN 'filename' WHEN url_like THEN 'url' ELSE 'present' END"""
 DIMENSION_SQL = """CASE WHEN width IS NULL AND height IS NULL THEN 'both_missing' WHEN width IS NULL THEN 'width_missing' WHEN height IS NULL THEN 'height_missing' WHEN width_px IS NULL THEN 'invalid_width' WHEN height_px IS NULL THEN 'invalid_height'
  WHEN width_px = 0 OR height_px = 0 THEN 'zero' WHEN width_px < 0 OR height_px < 0 THEN 'review' ELSE 'present' END"""
 LOADING_SQL = """CASE WHEN lower(trim(coalesce(loading, ''))) IN ('lazy', 'eager') THEN lower(trim(loading)) WHEN trim(coalesce(loading, '')) <> '' THEN 'invalid' WHEN lower(trim(coalesce(decoding, ''))) = 'async' THEN 'decoding_async'
  WHEN lower(trim(coalesce(priority, ''))) = 'high' THEN 'fetchpriority_high' ELSE 'missing' END"""
 RESOURCE_SQL = """CASE WHEN src LIKE 'data:%' THEN 'data' WHEN lower(src) LIKE '%placeholder%' THEN 'placeholder' WHEN NOT internal THEN 'external' WHEN resource_status >= 400 THEN 'broken' WHEN resource_status >= 300 THEN 'redirecting'
  WHEN resource_status IS NULL THEN 'unverified' ELSE 'working' END"""
-#: Severity and reason. Fixed values.
-SEVERITY_SQL = """CASE WHEN resource = 'broken' AND reuse >= 5 THEN 'critical broken_internal_image' WHEN resource = 'broken' THEN 'high broken_internal_image' WHEN resource = 'redirecting' THEN 'medium redirecting_image_source'
- WHEN resource = 'placeholder' THEN 'medium placeholder_image' WHEN resource = 'external' THEN 'info external_image_review' WHEN alt_state IN ('missing', 'link_empty') AND linked THEN 'high missing_alt_linked'
- WHEN alt_state IN ('missing', 'link_empty') AND reuse > 1 THEN 'high missing_alt' WHEN alt_state IN ('missing', 'link_empty') THEN 'medium missing_alt' WHEN alt_state IN ('generic', 'filename', 'url') THEN 'medium ' || alt_state
- WHEN alt_state IN ('empty', 'whitespace') THEN 'low empty_alt_review' WHEN alt_state = 'overlong' THEN 'low overlong_alt_review' WHEN dimension_state <> 'present' AND reuse >= 5 THEN 'medium missing_or_invalid_dimensions'
- WHEN dimension_state <> 'present' THEN 'low missing_or_invalid_dimensions' WHEN loading_state IN ('invalid', 'missing') THEN 'low loading_attribute_review' ELSE 'info valid_image_occurrence' END"""
+#: Condition, severity, reason; the first that holds counts. Fixed values.
+SEVERITIES = (
+    ("resource = 'broken' AND reuse >= 5", "critical", "broken_internal_image"),
+    ("resource = 'broken'", "high", "broken_internal_image"),
+    ("resource = 'redirecting'", "medium", "redirecting_image_source"),
+    ("resource = 'placeholder'", "medium", "placeholder_image"),
+    ("resource = 'external'", "info", "external_image_review"),
+    ("alt_state IN ('missing', 'link_empty') AND linked", "high", "missing_alt_linked"),
+    ("alt_state IN ('missing', 'link_empty') AND reuse > 1", "high", "missing_alt"),
+    ("alt_state IN ('missing', 'link_empty')", "medium", "missing_alt"),
+    ("alt_state = 'generic'", "medium", "generic"),
+    ("alt_state = 'filename'", "medium", "filename"),
+    ("alt_state = 'url'", "medium", "url"),
+    ("alt_state IN ('empty', 'whitespace')", "low", "empty_alt_review"),
+    ("alt_state = 'overlong'", "low", "overlong_alt_review"),
+    ("dimension_state <> 'present' AND reuse >= 5", "medium", "missing_or_invalid_dimensions"),
+    ("dimension_state <> 'present'", "low", "missing_or_invalid_dimensions"),
+    ("loading_state IN ('invalid', 'missing')", "low", "loading_attribute_review"),
+    ("true", "info", "valid_image_occurrence"),
+)
 ACTION_SQL = """CASE reason WHEN 'broken_internal_image' THEN 'fix_url' WHEN 'redirecting_image_source' THEN 'update_destination' WHEN 'placeholder_image' THEN 'replace_placeholder' WHEN 'external_image_review' THEN 'review'
  WHEN 'missing_alt' THEN 'add_alt' WHEN 'missing_alt_linked' THEN 'add_alt' WHEN 'generic' THEN 'replace_alt' WHEN 'filename' THEN 'replace_alt' WHEN 'url' THEN 'replace_alt' WHEN 'overlong_alt_review' THEN 'replace_alt'
  WHEN 'empty_alt_review' THEN 'confirm_decorative' WHEN 'missing_or_invalid_dimensions' THEN 'add_dimensions' WHEN 'loading_attribute_review' THEN 'review_loading' ELSE 'no_action' END"""
 
 
+def first_of(place: int) -> str:
+    """SQL of the severity (1) or reason (2) of the first condition that holds."""
+    return "CASE " + " ".join(f"WHEN {x[0]} THEN '{x[place]}'" for x in SEVERITIES) + " END"
+
+
 def occurrences(images: DataFrame) -> DataFrame:
     """images (page_id, index, src, alt, width, height, loading, decoding, priority, linked, decorative, internal, resource_status) with all states, reuse, severity, reason, action."""
     reuse = images.groupBy("src").agg(F.countDistinct("page_id").alias("reuse"))
-    own = images.join(reuse, "src").withColumns({
-        "name_like": F.expr("alt").rlike(FILE_NAME.replace("^(?i)", "(?i)^")), "url_like": F.expr("alt").rlike(r"(?i)^(https?://|www\.|/)"), "width_px": F.expr("try_cast(trim(width) AS int)"), "height_px": F.expr("try_cast(trim(height) AS int)"),
+    shown = F.substring(F.trim(F.regexp_replace("alt", r"(?U)\s+", " ")), 1, ALT_CHARACTERS)
+    own = images.join(reuse, "src").withColumn("shown", shown).withColumns({
+        "name_like": reduce(operator.or_, (F.col("shown").rlike(f"(?iU)^(?:{x})$") for x in FILE_NAMES.values())), "url_like": reduce(operator.or_, (F.col("shown").rlike(f"(?iU)^(?:{x})") for x in ADDRESSES.values())),
+        "width_px": F.expr("try_cast(trim(width) AS int)"), "height_px": F.expr("try_cast(trim(height) AS int)"),
     })
     own = own.withColumns({"alt_state": F.expr(ALT_SQL), "dimension_state": F.expr(DIMENSION_SQL), "loading_state": F.expr(LOADING_SQL), "resource": F.expr(RESOURCE_SQL)})
-    words = F.split(F.expr(SEVERITY_SQL), " ")
-    own = own.withColumns({"severity": words[0], "reason": words[1]})
+    own = own.withColumns({"severity": F.expr(first_of(1)), "reason": F.expr(first_of(2))})
     return own.select("page_id", "index", "src", "alt_state", "dimension_state", "loading_state", "resource", "reuse", "severity", "reason", F.expr(ACTION_SQL).alias("action"))
 
 

@@ -11,47 +11,47 @@ from auditlake.functions.text import stable_id
 SITEWIDE_SOURCES, SITEWIDE_PAGES, SITEWIDE_RATIO = 5, 5, 0.5
 MAX_HOPS = 10
 
-#: Conditions in order, each with broken state, reason, redirect state, redirect reason, severity, action, confidence.
-#: A condition sees the columns of one joined link target. Fixed values.
+#: Conditions in order, each with the values of OUTCOME. A condition sees the columns of one joined link target. Fixed values.
 TARGET_RULES = (
-    ("NOT source_available", "source_page_unavailable source_fetch_failed no_redirect none medium review low"),
-    ("source_partial", "source_page_unavailable source_parse_partial no_redirect none medium review low"),
-    ("internal = false", "external_link_not_audited external_target no_redirect none info no_action high"),
-    ("in_scope = false", "out_of_scope_internal_target target_out_of_scope no_redirect none medium review low"),
-    ("redirect_loop", "redirecting_internal_link redirect redirect_loop redirect_loop_detected critical replace_redirect high"),
-    (f"hop_count > {MAX_HOPS}", "redirecting_internal_link redirect redirect_chain redirect_chain_too_long high replace_redirect high"),
-    ("hop_count > 0 AND final_internal = false", "redirecting_internal_link redirect redirect_to_external_target redirect_target_external medium review medium"),
-    ("hop_count > 0 AND final_in_scope = false", "redirecting_internal_link redirect redirect_to_out_of_scope_target redirect_target_out_of_scope medium review low"),
-    ("hop_count > 0 AND category NOT IN ('html', 'missing')", "redirecting_internal_link redirect redirect_to_non_html_target redirect_target_non_html medium review medium"),
-    ("hop_count > 0 AND fetch_failed", "target_fetch_failed target_fetch_failed redirect_unverified redirect_target_fetch_failed high review low"),
-    ("hop_count > 0 AND http_status = 404", "redirecting_internal_link redirect redirect_to_broken_target redirect_target_404 high review high"),
-    ("hop_count > 0 AND http_status = 410", "redirecting_internal_link redirect redirect_to_broken_target redirect_target_410 high review high"),
-    ("hop_count > 0 AND http_status BETWEEN 400 AND 499", "redirecting_internal_link redirect redirect_to_broken_target redirect_target_other_4xx high review high"),
-    ("hop_count > 0 AND http_status >= 500", "redirecting_internal_link redirect redirect_to_broken_target redirect_target_5xx critical review high"),
-    ("hop_count > 0 AND http_status IS NULL", "redirecting_internal_link redirect redirect_unverified redirect_target_unverified high review low"),
-    ("hop_count > 1 AND n_permanent > 0 AND n_temporary > 0", "redirecting_internal_link redirect redirect_chain mixed_redirect_chain high update_link_to_final_destination high"),
-    ("hop_count > 1 AND n_permanent = hop_count", "redirecting_internal_link redirect redirect_chain permanent_redirect high update_link_to_final_destination high"),
-    ("hop_count > 1", "redirecting_internal_link redirect redirect_chain temporary_redirect high update_link_to_final_destination high"),
-    ("hop_count = 1 AND n_permanent = 1", "redirecting_internal_link redirect single_redirect permanent_redirect medium update_link_to_final_destination high"),
-    ("hop_count = 1", "redirecting_internal_link redirect single_redirect temporary_redirect medium update_link_to_final_destination high"),
-    ("category NOT IN ('html', 'missing')", "target_non_html target_non_html no_redirect none medium review medium"),
-    ("http_status = 404", "broken_internal_link target_404 no_redirect none high remove_link high"),
-    ("http_status = 410", "broken_internal_link target_410 no_redirect none high remove_link high"),
-    ("http_status BETWEEN 400 AND 499", "broken_internal_link target_other_4xx no_redirect none high remove_link high"),
-    ("http_status >= 500", "broken_internal_link target_5xx no_redirect none high remove_link high"),
-    ("fetch_failed AND lower(failure_code) LIKE '%timeout%'", "target_fetch_failed target_timeout no_redirect none medium review medium"),
-    ("fetch_failed AND lower(failure_code) LIKE '%dns%'", "target_fetch_failed target_dns_failure no_redirect none medium review medium"),
-    ("fetch_failed AND (lower(failure_code) LIKE '%block%' OR lower(failure_code) LIKE '%robots%')", "target_fetch_failed target_blocked no_redirect none medium review medium"),
-    ("fetch_failed", "target_fetch_failed target_fetch_failed no_redirect none medium review medium"),
-    ("http_status IS NULL", "unverified_internal_link target_not_crawled no_redirect none medium review low"),
-    ("true", "working_internal_link working no_redirect none info no_action high"),
+    ("NOT source_available", ("source_page_unavailable", "source_fetch_failed", "no_redirect", "none", "medium", "review", "low")),
+    ("source_partial", ("source_page_unavailable", "source_parse_partial", "no_redirect", "none", "medium", "review", "low")),
+    ("internal = false", ("external_link_not_audited", "external_target", "no_redirect", "none", "info", "no_action", "high")),
+    ("in_scope = false", ("out_of_scope_internal_target", "target_out_of_scope", "no_redirect", "none", "medium", "review", "low")),
+    ("redirect_loop", ("redirecting_internal_link", "redirect", "redirect_loop", "redirect_loop_detected", "critical", "replace_redirect", "high")),
+    (f"hop_count > {MAX_HOPS}", ("redirecting_internal_link", "redirect", "redirect_chain", "redirect_chain_too_long", "high", "replace_redirect", "high")),
+    ("hop_count > 0 AND final_internal = false", ("redirecting_internal_link", "redirect", "redirect_to_external_target", "redirect_target_external", "medium", "review", "medium")),
+    ("hop_count > 0 AND final_in_scope = false", ("redirecting_internal_link", "redirect", "redirect_to_out_of_scope_target", "redirect_target_out_of_scope", "medium", "review", "low")),
+    ("hop_count > 0 AND category NOT IN ('html', 'missing')", ("redirecting_internal_link", "redirect", "redirect_to_non_html_target", "redirect_target_non_html", "medium", "review", "medium")),
+    ("hop_count > 0 AND fetch_failed", ("target_fetch_failed", "target_fetch_failed", "redirect_unverified", "redirect_target_fetch_failed", "high", "review", "low")),
+    ("hop_count > 0 AND http_status = 404", ("redirecting_internal_link", "redirect", "redirect_to_broken_target", "redirect_target_404", "high", "review", "high")),
+    ("hop_count > 0 AND http_status = 410", ("redirecting_internal_link", "redirect", "redirect_to_broken_target", "redirect_target_410", "high", "review", "high")),
+    ("hop_count > 0 AND http_status BETWEEN 400 AND 499", ("redirecting_internal_link", "redirect", "redirect_to_broken_target", "redirect_target_other_4xx", "high", "review", "high")),
+    ("hop_count > 0 AND http_status >= 500", ("redirecting_internal_link", "redirect", "redirect_to_broken_target", "redirect_target_5xx", "critical", "review", "high")),
+    ("hop_count > 0 AND http_status IS NULL", ("redirecting_internal_link", "redirect", "redirect_unverified", "redirect_target_unverified", "high", "review", "low")),
+    ("hop_count > 1 AND n_permanent > 0 AND n_temporary > 0", ("redirecting_internal_link", "redirect", "redirect_chain", "mixed_redirect_chain", "high", "update_link_to_final_destination", "high")),
+    ("hop_count > 1 AND n_permanent = hop_count", ("redirecting_internal_link", "redirect", "redirect_chain", "permanent_redirect", "high", "update_link_to_final_destination", "high")),
+    ("hop_count > 1", ("redirecting_internal_link", "redirect", "redirect_chain", "temporary_redirect", "high", "update_link_to_final_destination", "high")),
+    ("hop_count = 1 AND n_permanent = 1", ("redirecting_internal_link", "redirect", "single_redirect", "permanent_redirect", "medium", "update_link_to_final_destination", "high")),
+    ("hop_count = 1", ("redirecting_internal_link", "redirect", "single_redirect", "temporary_redirect", "medium", "update_link_to_final_destination", "high")),
+    ("category NOT IN ('html', 'missing')", ("target_non_html", "target_non_html", "no_redirect", "none", "medium", "review", "medium")),
+    ("http_status = 404", ("broken_internal_link", "target_404", "no_redirect", "none", "high", "remove_link", "high")),
+    ("http_status = 410", ("broken_internal_link", "target_410", "no_redirect", "none", "high", "remove_link", "high")),
+    ("http_status BETWEEN 400 AND 499", ("broken_internal_link", "target_other_4xx", "no_redirect", "none", "high", "remove_link", "high")),
+    ("http_status >= 500", ("broken_internal_link", "target_5xx", "no_redirect", "none", "high", "remove_link", "high")),
+    ("fetch_failed AND lower(failure_code) LIKE '%timeout%'", ("target_fetch_failed", "target_timeout", "no_redirect", "none", "medium", "review", "medium")),
+    ("fetch_failed AND lower(failure_code) LIKE '%dns%'", ("target_fetch_failed", "target_dns_failure", "no_redirect", "none", "medium", "review", "medium")),
+    ("fetch_failed AND (lower(failure_code) LIKE '%block%' OR lower(failure_code) LIKE '%robots%')", ("target_fetch_failed", "target_blocked", "no_redirect", "none", "medium", "review", "medium")),
+    ("fetch_failed", ("target_fetch_failed", "target_fetch_failed", "no_redirect", "none", "medium", "review", "medium")),
+    ("http_status IS NULL", ("unverified_internal_link", "target_not_crawled", "no_redirect", "none", "medium", "review", "low")),
+    ("true", ("working_internal_link", "working", "no_redirect", "none", "info", "no_action", "high")),
 )
 OUTCOME = ("broken_state", "reason", "redirect_state", "redirect_reason", "severity", "action", "confidence")
 
 
-def classification_sql() -> str:
-    """The rules as one CASE that gives the outcome's words."""
-    return "CASE " + " ".join(f"WHEN {when} THEN '{then}'" for when, then in TARGET_RULES) + " END"
+def outcome_sql(name: str) -> str:
+    """One column of OUTCOME: the value of the first rule that holds."""
+    at = OUTCOME.index(name)
+    return "CASE " + " ".join(f"WHEN {when} THEN '{values[at]}'" for when, values in TARGET_RULES) + " END"
 
 
 def page_index(pages: DataFrame, *columns: str) -> DataFrame:
@@ -84,8 +84,7 @@ def targets(links: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def classified(evidence: DataFrame) -> DataFrame:
     """evidence with the outcome columns of TARGET_RULES; a sitewide broken target is critical."""
-    words = F.split(F.expr(classification_sql()), " ")
-    out = evidence.withColumns({name: words[i] for i, name in enumerate(OUTCOME)})
+    out = evidence.withColumns({name: F.expr(outcome_sql(name)) for name in OUTCOME})
     return out.withColumn("severity", F.when(F.col("sitewide") & (F.col("broken_state") == "broken_internal_link"), "critical").otherwise(F.col("severity")))
 
 

@@ -11,16 +11,51 @@ from auditlake.functions.text import nfkc_casefold
 #: Limits of title and description lengths. Fixed values.
 TITLE_SHORT, TITLE_LONG, DESCRIPTION_SHORT, DESCRIPTION_LONG = 20, 60, 70, 160
 #: Code, category, severity. Fixed values.
-TAXONOMY = """
-title_missing title medium|title_empty title medium|title_multiple title medium|title_duplicate title medium|title_conflicting title medium|title_short title low|title_long title low
-meta_description_missing meta_description medium|meta_description_empty meta_description medium|meta_description_multiple meta_description medium|meta_description_duplicate meta_description medium
-meta_description_short meta_description low|meta_description_long meta_description low|canonical_missing canonical medium|canonical_invalid canonical high|canonical_self canonical information
-canonical_elsewhere canonical medium|canonical_multiple canonical medium|canonical_conflicting canonical high|canonical_cross_host canonical low|canonical_cross_scheme canonical low|canonical_cross_port canonical low
-canonical_target_redirected canonical medium|canonical_target_unavailable canonical high|robots_denied robots medium|meta_robots_noindex robots medium|x_robots_tag_noindex robots medium
-crawler_specific_directive robots low|unsupported_robots_directive robots information|robots_indexability_conflict indexability high|indexability_indeterminate indexability medium
-indexability_recommendation_mismatch indexability high|status_redirect status information|status_4xx status high|status_5xx status critical|status_missing status high|redirect_loop status critical
-redirect_chain status medium|redirect_cross_host status medium|content_type_missing content_type low|content_type_ambiguous content_type low|content_type_unexpected content_type medium|content_type_non_html content_type information
-"""
+TAXONOMY = (
+    ("title_missing", "title", "medium"),
+    ("title_empty", "title", "medium"),
+    ("title_multiple", "title", "medium"),
+    ("title_duplicate", "title", "medium"),
+    ("title_conflicting", "title", "medium"),
+    ("title_short", "title", "low"),
+    ("title_long", "title", "low"),
+    ("meta_description_missing", "meta_description", "medium"),
+    ("meta_description_empty", "meta_description", "medium"),
+    ("meta_description_multiple", "meta_description", "medium"),
+    ("meta_description_duplicate", "meta_description", "medium"),
+    ("meta_description_short", "meta_description", "low"),
+    ("meta_description_long", "meta_description", "low"),
+    ("canonical_missing", "canonical", "medium"),
+    ("canonical_invalid", "canonical", "high"),
+    ("canonical_self", "canonical", "information"),
+    ("canonical_elsewhere", "canonical", "medium"),
+    ("canonical_multiple", "canonical", "medium"),
+    ("canonical_conflicting", "canonical", "high"),
+    ("canonical_cross_host", "canonical", "low"),
+    ("canonical_cross_scheme", "canonical", "low"),
+    ("canonical_cross_port", "canonical", "low"),
+    ("canonical_target_redirected", "canonical", "medium"),
+    ("canonical_target_unavailable", "canonical", "high"),
+    ("robots_denied", "robots", "medium"),
+    ("meta_robots_noindex", "robots", "medium"),
+    ("x_robots_tag_noindex", "robots", "medium"),
+    ("crawler_specific_directive", "robots", "low"),
+    ("unsupported_robots_directive", "robots", "information"),
+    ("robots_indexability_conflict", "indexability", "high"),
+    ("indexability_indeterminate", "indexability", "medium"),
+    ("indexability_recommendation_mismatch", "indexability", "high"),
+    ("status_redirect", "status", "information"),
+    ("status_4xx", "status", "high"),
+    ("status_5xx", "status", "critical"),
+    ("status_missing", "status", "high"),
+    ("redirect_loop", "status", "critical"),
+    ("redirect_chain", "status", "medium"),
+    ("redirect_cross_host", "status", "medium"),
+    ("content_type_missing", "content_type", "low"),
+    ("content_type_ambiguous", "content_type", "low"),
+    ("content_type_unexpected", "content_type", "medium"),
+    ("content_type_non_html", "content_type", "information"),
+)
 INCOMPLETE = ("partial", "cancelled", "truncated", "unavailable")
 SEVERITIES = ("information", "low", "medium", "high", "critical")
 RANK_SQL = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END"
@@ -49,10 +84,6 @@ RULES = (
 )
 
 
-def taxonomy() -> list[tuple[str, str, str]]:
-    return [tuple(x.split()) for line in TAXONOMY.strip().splitlines() for x in line.split("|")]
-
-
 def issues(pages: DataFrame) -> DataFrame:
     """page_id, code, category, severity, determinacy: one row for each page and rule that holds.
 
@@ -61,7 +92,7 @@ def issues(pages: DataFrame) -> DataFrame:
     target = pages.select(F.col("identity").alias("t_identity"), F.col("http_status").alias("t_status"), F.col("redirect_count").alias("t_redirect_count"))
     joined = pages.join(target, F.col("canonical_identity") == F.col("t_identity"), "left")
     hit = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(code)) for code, rule in RULES)))
-    kinds = pages.sparkSession.createDataFrame(taxonomy(), "code string, category string, severity string")
+    kinds = pages.sparkSession.createDataFrame(TAXONOMY, "code string, category string, severity string")
     state = F.when(F.col("evidence_state").isin(*INCOMPLETE), "partial").otherwise("determinate")
     return joined.select("page_id", state.alias("determinacy"), F.explode(hit).alias("code")).join(F.broadcast(kinds), "code").select("page_id", "code", "category", "severity", "determinacy")
 
@@ -85,7 +116,7 @@ def duplicate_issues(pages: DataFrame, value: str, code: str) -> DataFrame:
     """page_id, code, category, severity, determinacy of the pages whose value others have too; pages: page_id, the value, evidence_state."""
     keyed = pages.where(F.col(value).isNotNull()).select("page_id", "evidence_state", nfkc_casefold(F.col(value)).alias("normal")).where("normal <> ''")
     groups = keyed.groupBy("normal").agg(F.count(F.lit(1)).alias("members")).where("members >= 2").select("normal")
-    category, severity = next((k, v) for c, k, v in taxonomy() if c == code)
+    category, severity = next((k, v) for c, k, v in TAXONOMY if c == code)
     state = F.when(F.col("evidence_state").isin(*INCOMPLETE), "partial").otherwise("determinate")
     return keyed.join(groups, "normal", "left_semi").select("page_id", F.lit(code).alias("code"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), state.alias("determinacy"))
 

@@ -81,7 +81,7 @@ def title_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _issues_sql() -> str:
-    kinds = {c: (k, s) for c, k, s in metadata.taxonomy()}
+    kinds = {c: (k, s) for c, k, s in metadata.TAXONOMY}
     one = " UNION ALL ".join(f"SELECT page_id, '{c}' AS code, '{kinds[c][0]}' AS category, '{kinds[c][1]}' AS severity, evidence_state FROM joined WHERE {w}" for c, w in metadata.RULES)
     return f"""WITH {duck_crawl()}, joined AS (SELECT p.*, t.identity AS t_identity, t.http_status AS t_status, t.redirect_count AS t_redirect_count FROM crawl p LEFT JOIN crawl t ON p.canonical_identity = t.identity),
     issues AS (SELECT page_id, code, category, severity, CASE WHEN evidence_state IN ('partial', 'cancelled', 'truncated', 'unavailable') THEN 'partial' ELSE 'determinate' END AS determinacy FROM ({one}))"""
@@ -128,8 +128,8 @@ TARGET_EVIDENCE = """SELECT t.target_page, p.identity AS target_identity, p.http
   CASE WHEN p.redirect_count = 2 AND p.page_id % 3 = 0 THEN 1 WHEN p.redirect_count = 1 AND p.page_id % 2 = 1 THEN 1 ELSE 0 END AS n_temporary,
   p.page_id % 71 <> 14 AS source_available, p.page_id % 73 = 15 AS source_partial, p.page_id % 67 <> 16 AS internal, p.page_id % 79 <> 18 AS in_scope, p.page_id % 68 <> 22 AS final_internal, p.page_id % 51 <> 5 AS final_in_scope
   FROM crawl p JOIN (SELECT target_page, count(DISTINCT source_page) AS source_pages, count(*) AS occurrences, count(DISTINCT source_page) / (SELECT count(*) FROM crawl) >= 0.5 AS wide FROM links GROUP BY target_page) t ON p.page_id = t.target_page"""
-CLASSIFIED = f"""outcome AS (SELECT *, {links.classification_sql()} AS words FROM evidence),
-  classified AS (SELECT target_page, target_identity, source_pages, occurrences, {", ".join(f"split_part(words, ' ', {i + 1}) AS {'severity0' if n == 'severity' else n}" for i, n in enumerate(links.OUTCOME))}, sitewide FROM outcome),
+CLASSIFIED = f"""outcome AS (SELECT *, {", ".join(f"{links.outcome_sql(n)} AS {'severity0' if n == 'severity' else n}" for n in links.OUTCOME)} FROM evidence),
+  classified AS (SELECT target_page, target_identity, source_pages, occurrences, {", ".join('severity0' if n == 'severity' else n for n in links.OUTCOME)}, sitewide FROM outcome),
   final AS (SELECT *, CASE WHEN sitewide AND broken_state = 'broken_internal_link' THEN 'critical' ELSE severity0 END AS severity FROM classified)"""
 
 
@@ -403,9 +403,9 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(IMAGES.replace('"index"', "`index`").replace("FROM PAGES", "FROM {pages}"), pages=spark.read.parquet(f"{d}/pages.parquet").select("page_id"))
 
 
-DUCK_IMAGES = f"""WITH im AS ({IMAGES.replace("FROM PAGES", "FROM pages")}), reused AS (SELECT im.*, r.reuse, {NAME_TEST}, coalesce(regexp_matches(alt, '(?i)^(https?://|www\\.|/)'), false) AS url_like, TRY_CAST(trim(width) AS INTEGER) AS width_px, TRY_CAST(trim(height) AS INTEGER) AS height_px
+DUCK_IMAGES = f"""WITH im AS ({IMAGES.replace("FROM PAGES", "FROM pages")}), reused AS (SELECT im.*, r.reuse, trim(regexp_replace(alt, '\\s+', ' ', 'g')) AS shown, {NAME_TEST}, coalesce(regexp_matches(alt, '(?i)^(https?://|www\\.|/)'), false) AS url_like, TRY_CAST(trim(width) AS INTEGER) AS width_px, TRY_CAST(trim(height) AS INTEGER) AS height_px
   FROM im JOIN (SELECT src, count(DISTINCT page_id) AS reuse FROM im GROUP BY src) r USING (src)), s1 AS (SELECT *, {images.ALT_SQL} AS alt_state, {images.DIMENSION_SQL} AS dimension_state, {images.LOADING_SQL} AS loading_state, {images.RESOURCE_SQL} AS resource FROM reused),
-  s2 AS (SELECT *, {images.SEVERITY_SQL} AS words FROM s1), s3 AS (SELECT *, split_part(words, ' ', 1) AS severity, split_part(words, ' ', 2) AS reason FROM s2)"""
+  s3 AS (SELECT *, {images.first_of(1)} AS severity, {images.first_of(2)} AS reason FROM s1)"""
 
 
 @query(f"{DUCK_IMAGES} SELECT page_id, index, src, alt_state, dimension_state, loading_state, resource, reuse, severity, reason, {images.ACTION_SQL} AS action FROM s3")
