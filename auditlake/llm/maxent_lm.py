@@ -2,8 +2,8 @@
 
 P(word | history) = P(class | history) * P(subclass | class, history) * P(word | subclass). Words of the head are put into
 classes by frequency, with about equal shares of its tokens, and these likewise into subclasses; all other words are one
-more class, with subclasses by hash. Both softmaxes have hashed features of the history (the last word, the last two words,
-and the word before the last alone, a skip), in the second joined with the class. Every word has features of its own as a
+more class, with subclasses by hash. The class softmax has hashed features of the history: the last word, the last two
+words, and the word before the last alone (a skip); the subclass softmax has the last word joined with the class. Every word has features of its own as a
 history, those outside the head too. The number of hashed rows grows with the number of different words in the training
 texts. The weights are trained by distributed gradient updates: in each round every partition runs adaptive gradient
 steps over its share of the documents from the common weights, and the weights are averaged by tokens. The softmax within
@@ -31,8 +31,10 @@ from auditlake.llm.common import claim, cut, keeps, slices, text_bytes
 MODULUS, HELD_OUT = 7, 2
 #: Most words of the head; classes, the last of which is of all other words, and subclasses of each.
 HEAD_WORDS, CLASSES, SUBCLASSES = 200_000, 16, 16
+#: Kinds of features: three of the class softmax, one of the subclass softmax.
+KINDS = 4
 #: Different training words for each row of weights of a feature kind; least and most rows, which bound a worker's memory at 200 MB.
-WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 64, 1 << 12, 1 << 18
+WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 256, 1 << 12, 1 << 18
 #: Bias of what never occurs.
 NEVER = -60.0
 #: Rounds of updates; each uses another part of the training documents, together all of them.
@@ -146,19 +148,18 @@ def histories(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def features(hashes: np.ndarray, buckets: int, classes: np.ndarray | None = None) -> np.ndarray:
-    """Rows of weights of each kind of history; with classes, those of histories joined with a class, behind the others."""
+    """Rows of weights of each kind of history; with classes, those of last words joined with a class, behind the others."""
     if classes is not None:
-        hashes = mixed(hashes + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-    kinds = np.arange(3)[:, None] + (3 if classes is not None else 0)
-    return (hashes >> np.uint64(20)).astype(np.int64) % buckets + kinds * buckets
+        own = mixed(hashes[:1] + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        return (own >> np.uint64(20)).astype(np.int64) % buckets + 3 * buckets
+    return (hashes >> np.uint64(20)).astype(np.int64) % buckets + np.arange(3)[:, None] * buckets
 
 
 def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     n = bias.shape[-1]
-    z = weights[rows[0], :n]
-    z += weights[rows[1], :n]
-    z += weights[rows[2], :n]
-    z += bias
+    z = weights[rows[0], :n] + bias
+    for kind in rows[1:]:
+        z += weights[kind, :n]
     return z
 
 
@@ -170,7 +171,7 @@ def log_probability(z: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 def log_scores(head: Head, weights: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 of each token's probability; of a word outside the head, without the log of its count plus one."""
-    hashes, cells, buckets = histories(codes, starts), head.cells(codes), len(weights) // 6
+    hashes, cells, buckets = histories(codes, starts), head.cells(codes), len(weights) // KINDS
     out = head.log_in_cell(codes, cells)
     for at in range(0, len(codes), STEP_TOKENS):
         s = slice(at, at + STEP_TOKENS)
@@ -257,7 +258,7 @@ def train(codes: DataFrame, head_sent, weights: np.ndarray, rate: float = RATE,
     """One round: adaptive gradient steps in each partition of texts (column codes), then the average of the weights by tokens."""
     spark = codes.sparkSession
     sent = spark.sparkContext.broadcast(weights)
-    rows_in_block, buckets = -(-len(weights) // BLOCKS), len(weights) // 6
+    rows_in_block, buckets = -(-len(weights) // BLOCKS), len(weights) // KINDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, _ = opened(head_sent)
@@ -325,7 +326,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, head_words: int = HEAD_WO
     context = docs.sparkSession.sparkContext
     head_sent = context.broadcast(head)
     coded = encode(docs, head_sent, id_col, text_col)
-    weights = np.zeros((6 * rows_for(head.all_words), max(head.classes, head.subclasses)), np.float32)
+    weights = np.zeros((KINDS * rows_for(head.all_words), max(head.classes, head.subclasses)), np.float32)
     for turn in range(rounds):
         weights = train(coded.where(f"not held_out and part % {rounds} = {turn}"), head_sent, weights)
     sent = context.broadcast(weights)
