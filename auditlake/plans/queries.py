@@ -434,25 +434,94 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return html.blocks(html.parsed(own))
 
 
-@query(f"""WITH {BLOCKS}, wanted AS (SELECT * FROM (VALUES ('Organization', 'name'), ('Organization', 'url'), ('Organization', 'logo'), ('Article', 'headline'), ('Article', 'datePublished'), ('Article', 'author'), ('Product', 'name'), ('Product', 'offers')) t(type, property))
-  SELECT page_id, 0 AS index, type, property, CASE WHEN property = 'name' THEN 'present' ELSE 'missing' END AS state FROM b JOIN wanted USING (type) WHERE NOT bad""")
-def structured_entities(spark: SparkSession, d: str) -> DataFrame:
-    return structured.profile_observations(_blocks(spark, d))
-
-
 @query(f"WITH {BLOCKS} SELECT identifier, count(DISTINCT page_id) AS pages, count(*) AS occurrences, count(DISTINCT type || n) AS variants, count(DISTINCT type) AS type_sets FROM b WHERE NOT bad GROUP BY identifier")
 def structured_consistency(spark: SparkSession, d: str) -> DataFrame:
     return structured.entity_consistency(_blocks(spark, d))
 
 
-@query(f"WITH {BLOCKS} SELECT page_id, 0 AS index, 'json_ld_invalid_json' AS code, 'high' AS severity FROM b WHERE bad")
+@query(f"""WITH {BLOCKS}, f AS (SELECT page_id, 'json_ld_invalid_json' AS code FROM b WHERE bad UNION ALL SELECT page_id, 'json_ld_missing_context' FROM b)
+  SELECT page_id, 0 AS index, CAST(NULL AS INTEGER) AS entity, code, CAST(NULL AS VARCHAR) AS subject FROM f""")
 def structured_block_findings(spark: SparkSession, d: str) -> DataFrame:
     return structured.block_findings(_blocks(spark, d))
 
 
-@query(f"""WITH {BLOCKS} SELECT page_id, type, 'add_missing_properties' AS action, CASE type WHEN 'Organization' THEN 'logo,url' WHEN 'Article' THEN 'author,datePublished,headline' ELSE 'offers' END AS properties FROM b WHERE NOT bad AND type <> 'Thing'""")
+STRUCTURED = """SELECT page_id, k AS nr, CASE (page_id + k) % 5 WHEN 3 THEN 'microdata' WHEN 4 THEN 'rdfa' ELSE 'json_ld' END AS format,
+  CASE page_id % 7 WHEN 0 THEN 'Organization' WHEN 1 THEN 'Article' WHEN 2 THEN 'Product' WHEN 3 THEN 'Offer' WHEN 5 THEN 'LocalBusiness' WHEN 6 THEN '@odd' END AS type1,
+  CASE WHEN page_id % 14 = 1 THEN 'BlogPosting' WHEN page_id % 14 = 2 THEN 'Gadget' END AS type2, CASE WHEN page_id % 4 <> 0 THEN concat('#e', page_id % 40 + k) END AS id,
+  CASE page_id % 5 WHEN 1 THEN '' WHEN 2 THEN ' ' WHEN 3 THEN concat('N', page_id % 6) WHEN 4 THEN 'N1' END AS name1, CASE WHEN page_id % 8 = 3 THEN concat('N', page_id % 3) END AS name2,
+  CASE page_id % 6 WHEN 0 THEN 'https://x.test/' WHEN 1 THEN 'ftp://x.test/' WHEN 2 THEN '/rel' WHEN 3 THEN '[structured]' WHEN 4 THEN 'HTTP://y.test' END AS url,
+  CASE page_id % 3 WHEN 0 THEN '3.5' WHEN 1 THEN 'free' END AS price, CASE WHEN page_id % 17 = 5 THEN 'invalid_json' END AS error, CASE page_id % 19 WHEN 4 THEN 'empty' WHEN 6 THEN 'scalar' ELSE 'object' END AS root,
+  page_id % 23 = 1 AS truncated, CASE page_id % 4 WHEN 0 THEN 'https://schema.org' WHEN 1 THEN 'http://Schema.org/' WHEN 2 THEN 'http://other.test' END AS context,
+  CASE page_id % 3 WHEN 0 THEN 'application/ld+json' WHEN 1 THEN ' Application/LD+JSON ; charset=utf-8' WHEN 2 THEN 'application/json+ld' END AS script_type,
+  CASE page_id % 13 WHEN 1 THEN 'microdata_unresolved_itemref:x' WHEN 2 THEN 'microdata_property_outside_scope' WHEN 3 THEN 'microdata_invalid_itemid' WHEN 4 THEN 'rdfa_invalid_prefix_mapping' WHEN 5 THEN 'rdfa_unsupported_pattern' WHEN 6 THEN 'property_missing_value:name' END AS told,
+  CASE page_id % 9 WHEN 1 THEN '#e1' WHEN 2 THEN '#far' END AS named, concat('f', page_id % 900 + k) AS fingerprint,
+  CASE WHEN page_id % 29 = 3 THEN 404 ELSE 200 END AS http_status, CASE WHEN page_id % 31 = 2 THEN 'application/pdf' WHEN page_id % 31 > 3 THEN 'Text/HTML; charset=x' END AS content_type, CASE WHEN page_id % 37 = 1 THEN 'non_indexable' ELSE 'indexable' END AS indexability_state
+  FROM (SELECT page_id, 0 AS k FROM PAGES UNION ALL SELECT page_id, 1 FROM PAGES WHERE page_id % 2 = 0) x"""
+
+
+def _structured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    flat = spark.sql(STRUCTURED.replace("FROM PAGES", "FROM {pages}"), pages=spark.read.parquet(f"{d}/pages.parquet").select("page_id"))
+    held = lambda *c: F.array_compact(F.array(*c))
+    values = F.create_map(F.lit("name"), held("name1", "name2"), F.lit("url"), held("url"), F.lit("price"), held("price"))
+    blocks = flat.select(
+        "page_id", F.col("nr").alias("index"), "format", held("type1", "type2").alias("types"), held("id").alias("ids"), F.map_filter(values, lambda _, v: F.size(v) > 0).alias("properties"), "error", "root", "truncated",
+        held("context").alias("contexts"), "script_type", held("told").alias("diagnostics"), held("named").alias("references"), "fingerprint",
+    )
+    return blocks, flat.where("nr = 0").select("page_id", "http_status", "content_type", "indexability_state")
+
+
+DUCK_STRUCTURED = f"""WITH s AS ({STRUCTURED.replace("FROM PAGES", "FROM pages")}), b AS (SELECT *, CASE WHEN name1 IS NULL AND name2 IS NULL THEN [] WHEN name2 IS NULL THEN [name1] WHEN name1 IS NULL THEN [name2] ELSE [name1, name2] END AS names FROM s),
+  e AS (SELECT *, 0 AS entity, type1 AS type FROM b UNION ALL SELECT *, 1, type2 FROM b WHERE type2 IS NOT NULL),
+  p AS (SELECT page_id, nr, entity, told, 'name' AS property, names AS vs FROM e WHERE len(names) > 0 UNION ALL SELECT page_id, nr, entity, told, 'url', [url] FROM e WHERE url IS NOT NULL UNION ALL SELECT page_id, nr, entity, told, 'price', [price] FROM e WHERE price IS NOT NULL),
+  bf(page_id, nr, code) AS (SELECT page_id, nr, 'json_ld_invalid_json' FROM b WHERE error = 'invalid_json' UNION ALL SELECT page_id, nr, 'json_ld_scalar_root' FROM b WHERE page_id % 19 = 6 UNION ALL SELECT page_id, nr, 'json_ld_empty_block' FROM b WHERE page_id % 19 = 4
+    UNION ALL SELECT page_id, nr, 'json_ld_truncated' FROM b WHERE page_id % 23 = 1 UNION ALL SELECT page_id, nr, 'json_ld_missing_context' FROM b WHERE format = 'json_ld' AND page_id % 4 = 3 UNION ALL SELECT page_id, nr, 'json_ld_unrecognized_context' FROM b WHERE format = 'json_ld' AND page_id % 4 = 2
+    UNION ALL SELECT page_id, nr, 'json_ld_unsupported_script_type' FROM b WHERE format = 'json_ld' AND page_id % 3 = 2 UNION ALL SELECT page_id, nr, 'json_ld_missing_type' FROM b WHERE format = 'json_ld' AND page_id % 7 = 4 AND page_id % 17 <> 5
+    UNION ALL SELECT page_id, nr, 'microdata_missing_itemtype' FROM b WHERE format = 'microdata' AND page_id % 7 = 4 UNION ALL SELECT page_id, nr, 'microdata_empty_itemscope' FROM b WHERE format = 'microdata' AND len(names) = 0 AND url IS NULL AND price IS NULL
+    UNION ALL SELECT page_id, nr, 'microdata_unresolved_itemref' FROM b WHERE format = 'microdata' AND page_id % 13 = 1 UNION ALL SELECT page_id, nr, told FROM b WHERE page_id % 13 BETWEEN 2 AND 5
+    UNION ALL SELECT page_id, nr, 'rdfa_missing_vocabulary_context' FROM b WHERE format = 'rdfa' AND page_id % 4 = 3 UNION ALL SELECT page_id, nr, 'rdfa_property_without_subject' FROM b WHERE format = 'rdfa' AND page_id % 4 = 0 AND (len(names) > 0 OR url IS NOT NULL OR price IS NOT NULL)
+    UNION ALL SELECT page_id, nr, 'page_structured_data_on_error_status' FROM b WHERE page_id % 29 = 3 UNION ALL SELECT page_id, nr, 'page_structured_data_on_non_html_content' FROM b WHERE page_id % 31 = 2 UNION ALL SELECT page_id, nr, 'page_structured_data_on_nonindexable_page' FROM b WHERE page_id % 37 = 1),
+  ef(page_id, nr, entity, code, subject) AS (SELECT page_id, nr, entity, 'entity_missing_identifier', NULL FROM e WHERE id IS NULL UNION ALL SELECT page_id, nr, entity, 'json_ld_invalid_type', NULL FROM e WHERE type = '@odd'
+    UNION ALL SELECT page_id, nr, entity, 'property_empty_value', property FROM p WHERE property = 'name' AND trim(array_to_string(vs, '')) = '' UNION ALL SELECT page_id, nr, entity, 'property_missing_value', property FROM p WHERE property = 'name' AND page_id % 13 = 6
+    UNION ALL SELECT page_id, nr, entity, 'property_duplicate_value', property FROM p WHERE len(vs) = 2 AND vs[1] = vs[2] UNION ALL SELECT page_id, nr, entity, 'property_url_invalid', 'url' FROM e WHERE page_id % 6 IN (1, 2) UNION ALL SELECT page_id, nr, entity, 'property_reference_unresolved', named FROM e WHERE named IS NOT NULL AND named IS DISTINCT FROM id),
+  groups AS (SELECT fingerprint, min(page_id) AS page_id, bool_or(format = 'json_ld') AS json FROM b GROUP BY fingerprint HAVING count(*) > 1), pages_of AS (SELECT id, page_id, count(*) AS n FROM e WHERE id IS NOT NULL GROUP BY id, page_id),
+  used AS (SELECT id, arg_min([page_id, nr, entity], [page_id, nr, entity]) AS spot, count(DISTINCT concat(CAST(names AS VARCHAR), '|', url, '|', price)) AS variants, count(DISTINCT page_id) AS page_count, count(DISTINCT type) AS type_count, bool_and(type IN ('Article', 'BlogPosting', 'NewsArticle')) AS articles FROM e WHERE id IS NOT NULL GROUP BY id),
+  cf(page_id, nr, entity, code, subject) AS (SELECT page_id, NULL, NULL, CASE WHEN json THEN 'json_ld_duplicate_block' ELSE 'entity_duplicate_on_page' END, fingerprint FROM groups
+    UNION ALL SELECT spot[1], spot[2], spot[3], 'json_ld_duplicate_entity_id', id FROM used WHERE id IN (SELECT id FROM pages_of WHERE n > 1) UNION ALL SELECT spot[1], spot[2], spot[3], 'entity_inconsistent_across_pages', id FROM used WHERE variants > 1 AND page_count > 1
+    UNION ALL SELECT spot[1], spot[2], spot[3], 'entity_conflicting_types', id FROM used WHERE type_count > 1 AND NOT articles UNION ALL SELECT page_id, NULL, NULL, 'page_multiple_primary_entities', NULL FROM e GROUP BY page_id HAVING count(*) > 1
+    UNION ALL SELECT NULL, NULL, NULL, 'sitewide_schema_inconsistency', NULL FROM (SELECT count(DISTINCT page_id) AS n, count(DISTINCT concat(type1, '|', type2)) AS kinds FROM b) WHERE n >= 3 AND kinds > 1),
+  f AS (SELECT page_id, nr, NULL AS entity, code, NULL AS subject FROM bf UNION ALL SELECT * FROM ef UNION ALL SELECT * FROM cf),
+  wanted(type, property) AS (VALUES ('Organization', 'name'), ('Organization', 'url'), ('LocalBusiness', 'name'), ('LocalBusiness', 'address'), ('Article', 'headline'), ('Article', 'author'), ('Article', 'publisher'), ('Article', 'datePublished'),
+    ('BlogPosting', 'headline'), ('BlogPosting', 'author'), ('BlogPosting', 'publisher'), ('BlogPosting', 'datePublished'), ('Product', 'name'), ('Product', 'offers'), ('Offer', 'price'), ('Offer', 'priceCurrency')),
+  o AS (SELECT page_id, nr, entity, type AS profile, property, CASE WHEN property = 'name' AND len(names) > 0 THEN CASE WHEN trim(array_to_string(names, '')) = '' THEN 'empty' WHEN len(names) = 2 AND trim(names[1]) <> '' AND names[1] <> names[2] THEN 'conflicting' ELSE 'present' END
+    WHEN property = 'url' AND url IS NOT NULL THEN CASE page_id % 6 WHEN 1 THEN 'invalid' WHEN 2 THEN 'invalid' WHEN 3 THEN 'indeterminate' ELSE 'present' END WHEN property = 'price' AND price IS NOT NULL THEN CASE price WHEN 'free' THEN 'invalid' ELSE 'present' END ELSE 'missing' END AS state FROM e JOIN wanted USING (type))"""
+INFO_CODES = "('json_ld_unrecognized_context', 'rdfa_property_without_subject', 'rdfa_unsupported_pattern', 'entity_missing_identifier', 'property_duplicate_value', 'page_multiple_primary_entities')"
+
+
+@query(f"{DUCK_STRUCTURED} SELECT page_id, nr AS index, entity, code, subject, CASE WHEN code IN {INFO_CODES} THEN 'info' ELSE 'warning' END AS severity FROM f")
+def structured_findings(spark: SparkSession, d: str) -> DataFrame:
+    return structured.findings(*_structured(spark, d)).select("page_id", "index", "entity", "code", "subject", "severity")
+
+
+@query(f"{DUCK_STRUCTURED} SELECT page_id, nr AS index, entity, profile, property, state FROM o")
+def structured_entities(spark: SparkSession, d: str) -> DataFrame:
+    return structured.profile_observations(_structured(spark, d)[0])
+
+
+KNOWN_ACTIONS = ", ".join(f"('{code}', '{action}')" for code, action in structured.ACTIONS)
+
+
+@query(f"""{DUCK_STRUCTURED}, acts(code, action) AS (VALUES {KNOWN_ACTIONS}), gaps AS (SELECT * FROM o WHERE state <> 'present')
+  SELECT DISTINCT page_id, nr AS index, entity, action, code AS reason, CASE WHEN code = 'sitewide_schema_inconsistency' THEN 'site' ELSE 'page' END AS scope, 'medium' AS priority FROM f JOIN acts USING (code)
+  UNION ALL SELECT page_id, nr, entity, 'add_missing_required_profile_property', concat(profile, '.', property), 'entity', 'medium' FROM gaps WHERE state <> 'indeterminate'
+  UNION ALL SELECT page_id, nr, entity, 'review_article_publisher', concat(profile, '.publisher'), 'entity', 'medium' FROM gaps WHERE property = 'publisher'
+  UNION ALL SELECT page_id, nr, entity, 'review_product_offer_relationship', concat(profile, '.', property), 'entity', 'medium' FROM gaps WHERE property IN ('offers', 'price', 'priceCurrency')
+  UNION ALL SELECT page_id, NULL, NULL, 'review_schema_format_mix', 'formats', 'page', 'low' FROM b GROUP BY page_id HAVING count(DISTINCT format) > 1
+  UNION ALL SELECT page_id, nr, entity, 'review_local_business_subtype', type, 'entity', 'low' FROM e WHERE type = 'LocalBusiness' UNION ALL SELECT page_id, nr, entity, 'review_unknown_type', type, 'entity', 'low' FROM e WHERE type = 'Gadget'
+  UNION ALL SELECT page_id, nr, entity, 'review_organization_identity', type, 'entity', 'medium' FROM e WHERE type = 'Organization' AND id IS NULL
+  UNION ALL SELECT page_id, nr, entity, 'review_organization_identity', f.code, 'site', 'medium' FROM f JOIN e USING (page_id, nr, entity) WHERE f.code = 'entity_inconsistent_across_pages' AND type = 'Organization'""")
 def structured_recommendations(spark: SparkSession, d: str) -> DataFrame:
-    return structured.recommendations(structured.profile_observations(_blocks(spark, d)))
+    blocks, facts = _structured(spark, d)
+    return structured.recommendations(blocks, structured.findings(blocks, facts)).drop("confidence").distinct()
 
 
 # -- migration --------------------------------------------------------------------------------------------------------

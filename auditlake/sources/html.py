@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -26,12 +27,15 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Directives whose value may follow a colon. Fixed values.
 PARAMETER_DIRECTIVES = frozenset(("max-snippet", "max-image-preview", "max-video-preview", "unavailable_after"))
 MAX_BLOCKS, MAX_BLOCK_CHARACTERS, MAX_DEPTH, MAX_ITEMS = 1000, 65536, 32, 5000
+#: RDFa prefix mappings, and an identifier of a microdata item.
+PREFIXES = re.compile(r"\s*(?:[a-z][a-z0-9._-]*:\s+https?://[^/?#\s]\S*(?:\s+|$))+", re.ASCII | re.IGNORECASE)
+IDENTIFIER = re.compile(r"#\S+|https?://[^/?#\s].*|urn:[^?#].*", re.IGNORECASE)
 PLACEHOLDER_ATTRIBUTES = ("data-src", "data-lazy-src", "data-original")
 
 text = T.StringType()
 LINK = T.StructType([T.StructField(n, t) for n, t in (("index", T.IntegerType()), ("element", text), ("href", text), ("anchor", text), ("rel", T.ArrayType(text)), ("nofollow", T.BooleanType()), ("resolved", text), ("error", text))])
 IMAGE = T.StructType([T.StructField(n, t) for n, t in (("index", T.IntegerType()), ("src", text), ("srcset", T.ArrayType(text)), ("lazy", text), ("alt", text), ("width", text), ("height", text), ("loading", text), ("decoding", text), ("priority", text), ("linked", T.BooleanType()), ("decorative", T.BooleanType()))])
-BLOCK = T.StructType([T.StructField(n, t) for n, t in (("index", T.IntegerType()), ("format", text), ("types", T.ArrayType(text)), ("ids", T.ArrayType(text)), ("properties", T.MapType(text, T.ArrayType(text))), ("fingerprint", text), ("error", text), ("truncated", T.BooleanType()))])
+BLOCK = T.StructType([T.StructField(n, t) for n, t in (("index", T.IntegerType()), ("format", text), ("types", T.ArrayType(text)), ("ids", T.ArrayType(text)), ("properties", T.MapType(text, T.ArrayType(text))), ("fingerprint", text), ("error", text), ("truncated", T.BooleanType()), ("contexts", T.ArrayType(text)), ("references", T.ArrayType(text)), ("diagnostics", T.ArrayType(text)), ("script_type", text), ("root", text))])
 EVIDENCE = T.StructType(
     [T.StructField(n, T.ArrayType(text)) for n in ("titles", "descriptions", "canonicals", "robots")]
     + [T.StructField("base", text), T.StructField("lang", text), T.StructField("recovered", T.BooleanType())]
@@ -68,6 +72,9 @@ class Reader(HTMLParser):
         self.images: list[dict] = []
         self.blocks: list[dict] = []
         self.open: list[tuple[str, dict | None]] = []  # element, microdata item that it begins
+        self.open_ids: list[str | None] = []  # id of each open element
+        self.ids: set[str] = set()
+        self.inside: dict[str, list[tuple[str, list[str], int]]] = {}  # properties below an element with an id: name, values, place
         self.capture: list[tuple[str, list[str], dict | None]] = []  # element whose text is collected
         self.balance = dict.fromkeys(("title", "head", "body", "html"), 0)
 
@@ -111,30 +118,67 @@ class Reader(HTMLParser):
                 "decoding": a.get("decoding"), "priority": a.get("fetchpriority"), "linked": any(t == "a" for t, _, _ in self.capture), "decorative": role in ("presentation", "none") or a.get("aria-hidden") == "true",
             })
         elif tag == "script" and "json" in (a.get("type") or "").lower() and "ld" in (a.get("type") or "").lower():
-            self.capture.append((tag, [], {}))
+            self.capture.append((tag, [], {"script_type": a.get("type")}))
         item = self.item(a)
+        if a.get("id"):
+            self.ids.add(a["id"])
         if tag not in VOID:
             self.open.append((tag, item))
+            self.open_ids.append(a.get("id"))
 
     def item(self, a: dict) -> dict | None:
         """The microdata or RDFa item that an element begins; its properties go to the nearest item around it."""
-        item = None
-        if "itemscope" in a or "typeof" in a:
+        item, around = None, self.owner()
+        if "itemscope" in a or any(k in a for k in ("typeof", "vocab", "prefix")):
             kind = "microdata" if "itemscope" in a else "rdfa"
             types = (a.get("itemtype") or a.get("typeof") or "").split()
             ids = [a[k] for k in ("itemid", "resource", "about") if a.get(k)][:1]
-            item = {"format": kind, "types": types, "ids": ids, "properties": {}, "error": None, "truncated": False}
+            item = bare_block(kind) | {"types": types, "ids": ids}
+            if kind == "rdfa":
+                item["contexts"] = [a[k] for k in ("vocab", "prefix") if a.get(k)]
+                if "prefix" in a and not PREFIXES.fullmatch(a["prefix"] or ""):
+                    item["diagnostics"].append("rdfa_invalid_prefix_mapping")
+            else:
+                item["itemref"] = (a.get("itemref") or "").split()
+                if "itemid" in a and not IDENTIFIER.fullmatch(a["itemid"] or ""):
+                    item["diagnostics"].append("microdata_invalid_itemid")
             self.blocks.append(item)
+        if "inlist" in a:
+            for held in (item, *(i for _, i in self.open)):
+                if held is not None and held["format"] == "rdfa" and "rdfa_unsupported_pattern" not in held["diagnostics"]:
+                    held["diagnostics"].append("rdfa_unsupported_pattern")
         names = (a.get("itemprop") or a.get("property") or "").split()
-        around = self.owner()
+        if around is not None and around["format"] == "rdfa":
+            names += [n for k in ("rel", "rev") for n in (a.get(k) or "").split()]
+            if names and (a.get("resource") or a.get("href")):
+                around["references"].append(a.get("resource") or a["href"])
+        elif around is not None and a.get("itemprop") and a.get("itemid"):
+            around["references"].append(a["itemid"])
+        if around is None and a.get("itemprop"):
+            around = bare_block("microdata") | {"diagnostics": ["microdata_property_outside_scope"]}
+            self.blocks.append(around)
         if names and around is not None:
             value = next((a[k] for k in ("content", "href", "src", "datetime") if a.get(k)), None)
+            told = any(k in a for k in ("content", "href", "src", "resource", "datetime", "value"))
             for n in names:
-                around["properties"].setdefault(n, []).append(value or "")
+                values = around["properties"].setdefault(n, [])
+                values.append(value or "")
+                for i in self.open_ids:
+                    if i:
+                        self.inside.setdefault(i, []).append((n, values, len(values) - 1))
                 if value is None and item is None:
-                    self.capture.append(("", [], {"item": around, "name": n, "at": len(around["properties"][n]) - 1, "depth": len(self.open)}))
+                    self.capture.append(("", [], {"item": around, "name": n, "at": len(values) - 1, "depth": len(self.open), "told": told}))
         return item
 
+    def referred(self, item: dict) -> None:
+        """Adds the properties of the elements that an item refers to by id, or says that they aren't there."""
+        for i in item.pop("itemref", ()):
+            if i not in self.ids:
+                item["diagnostics"].append(f"microdata_unresolved_itemref:{i}")
+                item["references"].append(i)
+            for name, values, at in self.inside.get(i, ()):
+                item["properties"].setdefault(name, []).append(values[at])
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -154,12 +198,15 @@ class Reader(HTMLParser):
                 break
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                del self.open[i:], self.open_ids[i:]
                 break
         for i in range(len(self.capture) - 1, -1, -1):
             target = self.capture[i][2]
             if not self.capture[i][0] and target["depth"] >= len(self.open):
-                target["item"]["properties"][target["name"]][target["at"]] = squeezed("".join(self.capture.pop(i)[1]))
+                value = squeezed("".join(self.capture.pop(i)[1]))
+                target["item"]["properties"][target["name"]][target["at"]] = value
+                if not value and not target["told"]:
+                    target["item"]["diagnostics"].append(f"property_missing_value:{target['name']}")
 
     def finish(self, tag: str, data: str, target: dict | None) -> None:
         if tag == "title":
@@ -167,7 +214,7 @@ class Reader(HTMLParser):
         elif tag == "a":
             target["anchor"] = squeezed(data)
         elif tag == "script":
-            self.blocks += json_ld(data)
+            self.blocks += json_ld(data, target["script_type"])
 
     def evidence(self) -> dict:
         for tag, parts, target in reversed(self.capture):
@@ -182,6 +229,7 @@ class Reader(HTMLParser):
         blocks = self.blocks[:MAX_BLOCKS]
         for i, b in enumerate(blocks):
             b["index"] = i
+            self.referred(b)
             b.setdefault("fingerprint", hashlib.sha256(json.dumps([b["types"], b["ids"], b["properties"]], sort_keys=True).encode()).hexdigest())
             b["properties"] = list(b["properties"].items())
         return {
@@ -190,10 +238,15 @@ class Reader(HTMLParser):
         }
 
 
-def json_ld(data: str) -> list[dict]:
-    """A block for each entity of a JSON-LD script, or one with the error."""
+def bare_block(kind: str) -> dict:
+    return {"format": kind, "types": [], "ids": [], "properties": {}, "error": None, "truncated": False, "contexts": [], "references": [], "diagnostics": [], "script_type": None, "root": None}
+
+
+def json_ld(data: str, script_type: str | None = "application/ld+json") -> list[dict]:
+    """A block for each entity of a JSON-LD script, or one with the error; contexts are those of the whole script."""
     raw = data[:MAX_BLOCK_CHARACTERS]
-    failed = {"format": "json_ld", "types": [], "ids": [], "properties": {}, "fingerprint": hashlib.sha256(raw.encode()).hexdigest(), "truncated": len(data) > len(raw)}
+    common = bare_block("json_ld") | {"truncated": len(data) > len(raw), "script_type": script_type, "root": "empty" if not raw.strip() else None}
+    failed = common | {"fingerprint": hashlib.sha256(raw.encode()).hexdigest()}
     twice: list[str] = []
 
     def pairs(items: list[tuple[str, object]]) -> dict:
@@ -204,7 +257,10 @@ def json_ld(data: str) -> list[dict]:
         document = json.loads(raw, object_pairs_hook=pairs)
     except ValueError:
         return [failed | {"error": "invalid_json"}]
+    root = "object" if isinstance(document, dict) else "array" if isinstance(document, list) else "scalar"
+    listed = lambda v: v if isinstance(v, list) else [v]
     out: list[dict] = []
+    contexts: dict[str, None] = {}
     todo, seen = [(document, 0)], 0
     while todo and seen < MAX_ITEMS:
         x, depth = todo.pop(0)
@@ -212,13 +268,24 @@ def json_ld(data: str) -> list[dict]:
         if isinstance(x, list):
             todo += [(y, depth + 1) for y in x if depth < MAX_DEPTH]
         elif isinstance(x, dict):
-            listed = lambda v: v if isinstance(v, list) else [v]
+            contexts |= dict.fromkeys(c for c in listed(x.get("@context", [])) if isinstance(c, str))
             if "@type" in x:
-                properties = {k: [y if isinstance(y, str) else json.dumps(y, sort_keys=True, ensure_ascii=False) for y in listed(v)] for k, v in x.items() if not k.startswith("@")}
+                properties = {k: [shown_value(y) for y in listed(v)] for k, v in x.items() if not k.startswith("@")}
+                to = [y["@id"] for k, v in x.items() if not k.startswith("@") for y in listed(v) if isinstance(y, dict) and isinstance(y.get("@id"), str)]
                 canonical = json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-                out.append({"format": "json_ld", "types": [str(t) for t in listed(x["@type"])], "ids": [str(i) for i in listed(x.get("@id", []))], "properties": properties, "fingerprint": hashlib.sha256(canonical.encode()).hexdigest(), "error": "duplicate_key" if twice else None, "truncated": len(data) > len(raw)})
+                named = {"types": [str(t) for t in listed(x["@type"])], "ids": [str(i) for i in listed(x.get("@id", []))], "properties": properties, "references": sorted(set(to))}
+                out.append(common | named | {"fingerprint": hashlib.sha256(canonical.encode()).hexdigest(), "error": "duplicate_key" if twice else None, "root": root})
             todo += [(v, depth + 1) for v in x.values() if isinstance(v, (dict, list)) and depth < MAX_DEPTH]
-    return out or [failed | {"error": "no_type"}]
+    return [b | {"contexts": list(contexts)} for b in out] or [failed | {"error": "no_type", "root": root, "contexts": list(contexts)}]
+
+
+def shown_value(value: object) -> str:
+    """Text of a JSON value; an object that names another entity, and any other nested value, is told by a mark."""
+    if isinstance(value, dict) and isinstance(value.get("@id"), str):
+        return "[reference]"
+    if isinstance(value, (dict, list)):
+        return "[structured]"
+    return value if isinstance(value, str) else json.dumps(value)
 
 
 def read_page(url: str, html: str | None) -> dict:

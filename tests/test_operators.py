@@ -95,13 +95,85 @@ def test_inventory_first_source_wins(spark):
     assert {(r.key, r.source, r.url) for r in governance.inventory([("crawl", a), ("sitemap", b)]).collect()} == {("k", "crawl", "u1"), ("m", "crawl", "u2"), ("n", "sitemap", "u4")}
 
 
+BLOCKS = (
+    "page_id long, index int, format string, types array<string>, ids array<string>, properties map<string,array<string>>, fingerprint string, error string, "
+    "truncated boolean, contexts array<string>, `references` array<string>, diagnostics array<string>, script_type string, root string"
+)
+
+
+def block(page, index, form="json_ld", types=("Thing",), ids=("e",), properties=None, fingerprint=None, error=None, truncated=False, contexts=("https://schema.org",), references=(), told=(), script="application/ld+json", root="object"):
+    return (page, index, form, list(types), list(ids), properties or {}, fingerprint or f"f{page}-{index}", error, truncated, list(contexts), list(references), list(told), script, root)
+
+
+@pytest.mark.parametrize(
+    ("codes", "row"),
+    [
+        ({"json_ld_invalid_json", "json_ld_empty_block"}, {"error": "invalid_json", "root": "empty", "types": ()}),
+        ({"json_ld_scalar_root", "json_ld_missing_type"}, {"error": "no_type", "root": "scalar", "types": ()}),
+        ({"json_ld_truncated", "json_ld_missing_context"}, {"truncated": True, "contexts": ()}),
+        ({"json_ld_unrecognized_context", "json_ld_unsupported_script_type"}, {"contexts": ("https://Schema.ORG", "http://x.test"), "script": None}),
+        (set(), {"script": " Application/LD+json ;charset=x"}),
+        ({"microdata_missing_itemtype", "microdata_empty_itemscope", "microdata_unresolved_itemref"}, {"form": "microdata", "types": (), "told": ("microdata_unresolved_itemref:x",)}),
+        ({"microdata_property_outside_scope", "microdata_invalid_itemid"}, {"form": "microdata", "properties": {"p": ["1"]}, "told": ("microdata_property_outside_scope", "microdata_invalid_itemid")}),
+        ({"rdfa_missing_vocabulary_context", "rdfa_property_without_subject"}, {"form": "rdfa", "contexts": (), "ids": (), "properties": {"p": ["1"]}}),
+        ({"rdfa_invalid_prefix_mapping", "rdfa_unsupported_pattern"}, {"form": "rdfa", "told": ("rdfa_invalid_prefix_mapping", "rdfa_unsupported_pattern")}),
+    ],
+)
+def test_structured_block_codes(spark, codes, row):
+    assert {r.code for r in structured.block_findings(spark.createDataFrame([block(1, 0, **row)], BLOCKS)).collect()} == codes
+
+
+def test_structured_entity_and_site_codes(spark):
+    rows = [
+        block(1, 0, types=("Article", "@bad"), properties={"name": ["", " "], "sameAs": ["/x", "HTTP://y"], "tag": ["a", "a"]}, references=("e", "far"), told=("property_missing_value:name",), fingerprint="same"),
+        block(2, 0, ids=(), fingerprint="same"),
+        block(3, 0, types=("Hotel",)),
+        block(3, 1, form="microdata", types=("Restaurant",), ids=("m",), fingerprint="micro"),
+        block(4, 0, form="microdata", types=("Hotel",), ids=("m",), fingerprint="micro"),
+    ]
+    own = spark.createDataFrame(rows, BLOCKS)
+    assert {(r.page_id, r.entity, r.code, r.subject) for r in structured.entity_findings(own).collect()} == {
+        (1, 0, "property_empty_value", "name"), (1, 1, "property_empty_value", "name"), (1, 0, "property_missing_value", "name"), (1, 1, "property_missing_value", "name"),
+        (1, 0, "property_duplicate_value", "tag"), (1, 1, "property_duplicate_value", "tag"), (1, 0, "property_url_invalid", "sameAs"), (1, 1, "property_url_invalid", "sameAs"),
+        (1, 0, "property_reference_unresolved", "far"), (1, 1, "property_reference_unresolved", "far"), (1, 1, "json_ld_invalid_type", None), (2, 0, "entity_missing_identifier", None),
+    }
+    assert {(r.page_id, r.code, r.subject) for r in structured.consistency_findings(own).collect()} == {
+        (1, "json_ld_duplicate_block", "same"), (3, "entity_duplicate_on_page", "micro"), (1, "json_ld_duplicate_entity_id", "e"), (1, "entity_inconsistent_across_pages", "e"), (1, "entity_conflicting_types", "e"),
+        (1, "page_multiple_primary_entities", None), (3, "page_multiple_primary_entities", None), (None, "sitewide_schema_inconsistency", None),
+    }
+    pages = spark.createDataFrame([(1, 404, "text/html; charset=x", "indexable"), (2, 200, "application/pdf", "non_indexable"), (3, None, None, None)], "page_id long, http_status int, content_type string, indexability_state string")
+    assert {(r.page_id, r.code) for r in structured.page_findings(own, pages).collect()} == {(1, "page_structured_data_on_error_status"), (2, "page_structured_data_on_non_html_content"), (2, "page_structured_data_on_nonindexable_page")}
+    found = structured.findings(own, pages)
+    assert found.where("severity is null").isEmpty() and {r.severity for r in found.where("code = 'property_duplicate_value'").collect()} == {"info"}
+    acts = {(r.page_id, r.action, r.scope) for r in structured.recommendations(own, found).collect()}
+    assert {(None, "review_sitewide_schema_inconsistency", "site"), (1, "review_article_publisher", "entity"), (3, "review_schema_format_mix", "page"), (2, "review_unknown_type", "entity"), (1, "fix_empty_property", "page")} <= acts
+    none = own.where("false")
+    assert structured.findings(none, pages).isEmpty() and structured.recommendations(none, structured.findings(none, pages)).isEmpty()
+
+
+@pytest.mark.parametrize(
+    ("name", "values", "state"),
+    [
+        ("name", None, "missing"), ("name", [], "empty"), ("name", [" "], "empty"), ("name", ["a", " a"], "present"), ("name", ["a", "b"], "conflicting"), ("author", ["a", "b"], "present"), ("author", ["[structured]"], "indeterminate"),
+        ("url", ["/x"], "invalid"), ("url", ["HTTPS://x.test"], "present"), ("url", ["http:///x"], "invalid"), ("price", ["1e3"], "present"), ("price", ["3,50"], "invalid"), ("priceCurrency", ["EUR"], "present"), ("priceCurrency", ["EU1"], "invalid"),
+        ("datePublished", ["2024-01-02T03"], "present"), ("startDate", ["2024-1-2"], "invalid"), ("startDate", ["2024-01-0"], "invalid"),
+    ],
+)
+def test_profile_states(spark, name, values, state):
+    df = spark.createDataFrame([(name, values)], "n string, v array<string>")
+    assert df.select(structured.profile_state(F.col("n"), F.col("v")).alias("s")).first().s == state
+
+
 def test_structured_profiles(spark):
-    rows = [(1, 0, "microdata", ["https://schema.org/Product"], ["e"], {"name": ["x"], "offers": [" "]}, "f1", None, False), (2, 0, "json_ld", ["Product"], ["e"], {}, "f2", None, True), (2, 1, "json_ld", [], [], {}, "f3", None, False), (3, 0, "json_ld", ["Product"], ["e"], {"name": ["x"]}, "f1", None, False)]
-    own = spark.createDataFrame(rows, "page_id long, index int, format string, types array<string>, ids array<string>, properties map<string,array<string>>, fingerprint string, error string, truncated boolean")
-    states = {(r.page_id, r.property): r.state for r in structured.profile_observations(own).collect()}
-    assert states == {(1, "name"): "present", (1, "offers"): "empty", (2, "name"): "missing", (2, "offers"): "missing", (3, "name"): "present", (3, "offers"): "missing"}
-    assert {(r.page_id, r.code) for r in structured.block_findings(own).collect()} == {(2, "json_ld_truncated"), (2, "entity_without_properties"), (2, "entity_type_missing")}
-    assert [(r.fingerprint, r.kind) for r in structured.duplicates(own).collect()] == [("f1", "cross_page")]
+    own = spark.createDataFrame([
+        block(1, 0, "microdata", ["https://schema.org/Product"], properties={"name": ["x"], "offers": [" "]}, fingerprint="f1"), block(2, 0, types=["Physician"], fingerprint="f2"),
+        block(2, 1, types=[], ids=[], fingerprint="f3"), block(3, 0, types=["Product"], properties={"name": ["x"]}, fingerprint="f1"),
+    ], BLOCKS)
+    states = {(r.page_id, r.profile, r.property): r.state for r in structured.profile_observations(own).collect()}
+    assert states == {
+        (1, "Product", "name"): "present", (1, "Product", "offers"): "empty", (2, "LocalBusiness", "name"): "missing", (2, "LocalBusiness", "address"): "missing", (3, "Product", "name"): "present", (3, "Product", "offers"): "missing",
+    }
+    assert [(r.fingerprint, r.kind) for r in structured.duplicates(own).collect()] == [("f1", "cross_page_duplicate")]
     assert structured.entity_consistency(own).first().pages == 3
 
 

@@ -43,8 +43,6 @@ def test_types(spark):
     bad = ["", " A", "A b", "@id", "ftp://x.test/A", "https:///A"]
     df = spark.createDataFrame([(x,) for x in [*bad, "A", "schema:A", "https://schema.org/A"]], "t string")
     assert [r.t for r in df.where(structured.malformed_type(F.col("t"))).collect()] == bad
-    blocks = spark.createDataFrame([(1, 0, ["Article", "https://schema.org/NewsArticle"]), (2, 0, ["Article", "Hotel"]), (3, 1, ["@type"]), (4, 0, [])], "page_id int, index int, types array<string>")
-    assert {(r.page_id, r.code) for r in structured.type_findings(blocks).collect()} == {(2, "entity_types_conflicting"), (3, "entity_type_malformed")}
 
 
 @pytest.mark.parametrize(

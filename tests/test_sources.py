@@ -28,6 +28,23 @@ def test_one_page():
     assert dict(product["properties"])["name"] == ["Pen red"] and product["ids"] == ["urn:1"] and dict(offer["properties"]) == {"price": ["3"]}
 
 
+MARKUP = """<div vocab="https://schema.org/" typeof="Person" about="#me" prefix="bad mapping"><span property="name">Ann</span><a rel="knows" href="#you">B</a><i inlist property=x>1</i></div>
+<p itemprop="lost">L</p><div itemscope itemid="a b" itemref="extra gone"><b itemprop="name"></b><b itemprop="none" content=""></b></div><div id="extra"><span itemprop="price">3</span></div>
+<script type="application/ld+json">5</script><script type="text/ld-json"> </script><script type="application/ld+json">{"@context":"https://schema.org","@type":"Article","author":{"@id":"#a"},"image":{"url":"u"}}</script>"""
+
+
+def test_block_evidence():
+    blocks = html.read_page("https://a.com/", MARKUP)["blocks"]
+    person, lost, item, outside, scalar, empty, article = blocks
+    assert person["contexts"] == ["https://schema.org/", "bad mapping"] and person["references"] == ["#you"] and person["diagnostics"] == ["rdfa_invalid_prefix_mapping", "rdfa_unsupported_pattern"]
+    assert dict(person["properties"]) == {"name": ["Ann"], "knows": ["#you"], "x": ["1"]}
+    assert lost["diagnostics"] == outside["diagnostics"] == ["microdata_property_outside_scope"] and dict(lost["properties"]) == {"lost": ["L"]}
+    assert dict(item["properties"]) == {"name": [""], "none": [""], "price": ["3"]} and item["references"] == ["gone"]
+    assert sorted(item["diagnostics"]) == ["microdata_invalid_itemid", "microdata_unresolved_itemref:gone", "property_missing_value:name"]
+    assert (scalar["root"], scalar["error"], empty["root"], empty["error"], empty["script_type"]) == ("scalar", "no_type", "empty", "invalid_json", "text/ld-json")
+    assert article["contexts"] == ["https://schema.org"] and article["references"] == ["#a"] and dict(article["properties"]) == {"author": ["[reference]"], "image": ["[structured]"]}
+
+
 def test_evidence_tables(spark):
     pages = spark.createDataFrame([(1, "https://a.com/x/", PAGE), (2, "https://a.com/y", None), (3, "https://a.com/z", "")], "page_id long, url string, html string")
     own = html.parsed(pages)
