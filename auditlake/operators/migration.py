@@ -37,6 +37,9 @@ FINDINGS = (
     ("destination_canonical_elsewhere", "page_canonical <> destination_url", "destination", "correct_destination_canonical", "high"), ("source_metadata_unavailable", "page_known AND NOT old_known", "metadata", "review_content_continuity", "indeterminate"),
     ("content_similarity_indeterminate", "page_known AND NOT old_known", "content", "review_content_continuity", "indeterminate"), ("title_missing_after_migration", "page_known AND old_title IS NOT NULL AND page_title IS NULL", "metadata", "restore_missing_metadata", "high"),
     ("title_materially_changed", "title_changed", "metadata", "review_material_metadata_change", "medium"), ("canonical_target_changed", "page_known AND old_known AND NOT canonical_same", "metadata", "review_canonical_conflict", "medium"),
+    ("meta_description_missing_after_migration", "page_known AND old_description <> '' AND coalesce(page_description, '') = ''", "metadata", "restore_missing_metadata", "high"),
+    ("meta_description_materially_changed", "description_changed", "metadata", "review_material_metadata_change", "medium"),
+    ("content_missing", "NOT page_known", "content", "restore_missing_destination_page", "high"),
     ("content_type_changed", "old_category <> page_category", "metadata", "review_content_continuity", "high"), ("language_changed", "old_language <> page_language", "metadata", "review_material_metadata_change", "medium"),
     ("indexability_regression", "page_known AND old_indexable AND NOT page_indexable", "metadata", "review_indexability_regression", "high"), ("canonical_points_to_legacy_url", "page_canonical LIKE concat(source_origin, '%')", "canonical", "review_canonical_conflict", "high"),
     ("canonical_points_to_wrong_host", "canonical_origin <> destination_origin", "canonical", "correct_destination_canonical", "high"), ("canonical_points_to_redirect", "c_hops > 0", "canonical", "correct_destination_canonical", "high"),
@@ -45,6 +48,18 @@ FINDINGS = (
     ("destination_noindex_regression", "page_known AND old_indexable AND NOT page_indexable", "indexability", "review_indexability_regression", "high"), ("destination_robots_block_regression", "old_robots AND page_robots = false", "indexability", "review_robots_block", "high"),
     ("legacy_url_still_indexable", "observed_indexable", "indexability", "review_indexability_regression", "high"), ("duplicate_source_and_destination_indexable", "observed_indexable AND page_known AND page_indexable", "indexability", "review_indexability_regression", "high"),
 )
+#: Code, cardinality of a mapping, action, confidence. Fixed values.
+MAPPING_CODES = (
+    ("mapping_unmapped", "unmapped", "map_unmatched_source_url", "indeterminate"),
+    ("mapping_ambiguous", "ambiguous", "verify_manual_mapping", "low"),
+    ("mapping_ambiguous", "one_to_many", "verify_manual_mapping", "low"),
+    ("mapping_one_to_many", "one_to_many", "review_one_to_many_mapping", "low"),
+    ("mapping_conflicting_explicit", "one_to_many", "resolve_mapping_conflict", "low"),
+    ("redirect_one_to_many_review", "one_to_many", "review_one_to_many_mapping", "low"),
+    ("content_split_review", "one_to_many", "review_one_to_many_mapping", "low"),
+    ("mapping_many_to_one", "many_to_one", "review_many_to_one_mapping", "medium"),
+    ("mapping_destination_collision", "many_to_one", "resolve_mapping_conflict", "medium"),
+)
 ERROR_CODES = (
     "redirect_loop",
     "redirect_to_error",
@@ -110,7 +125,7 @@ def planned_graph(planned: DataFrame) -> DataFrame:
 
 
 def mappings(sources: DataFrame, planned: DataFrame, old_pages: DataFrame, new_pages: DataFrame, source_origin: str, destination_origin: str) -> DataFrame:
-    """source_url, destination_url, method, confidence, state, cardinality.
+    """source_url, destination_url, method, confidence, state, cardinality (one_to_many: several explicit destinations).
 
     sources: source_url, proposed. planned: source_url, destination_url. pages: url, final_url, canonical_url, title,
     path. Candidates of all methods are unions of equi-joins; a source with one explicit destination, or whose best
@@ -148,18 +163,26 @@ def mappings(sources: DataFrame, planned: DataFrame, old_pages: DataFrame, new_p
     out = out.select(
         "source_url", F.when(~torn, F.col("b.destination_url")).alias("destination_url"), F.when(F.col("b").isNull(), "unmapped").when(torn, "manual_review_candidate").otherwise(name).alias("method"),
         F.when(F.col("b").isNull(), "indeterminate").when(torn, "low").otherwise(trust).alias("confidence"), F.when(F.col("b").isNull(), "unmapped").when(torn, "ambiguous").otherwise("mapped").alias("state"),
+        F.coalesce(F.col("explicit") > 1, F.lit(False)).alias("split"),
     )
     shared = out.where("destination_url is not null").groupBy("destination_url").agg(F.count(F.lit(1)).alias("n"))
     joined = out.join(shared, "destination_url", "left")
-    kind = F.when(F.col("state") == "ambiguous", "ambiguous").when(F.col("state") == "unmapped", "unmapped").when(F.col("n") > 1, "many_to_one").otherwise("one_to_one")
+    kind = F.when(F.col("split"), "one_to_many").when(F.col("state") == "ambiguous", "ambiguous").when(F.col("state") == "unmapped", "unmapped").when(F.col("n") > 1, "many_to_one").otherwise("one_to_one")
     return joined.select("source_url", "destination_url", "method", "confidence", "state", kind.alias("cardinality"))
 
 
+def mapping_findings(mapped: DataFrame) -> DataFrame:
+    """source_url, destination_url, code, category, severity, action, confidence of mappings that aren't one to one."""
+    rows = [(code, cardinality, "mapping", severity_of(code), action, trust) for code, cardinality, action, trust in MAPPING_CODES]
+    kinds = mapped.sparkSession.createDataFrame(rows, "code string, cardinality string, category string, severity string, action string, confidence string")
+    return mapped.select("source_url", "destination_url", "cardinality").join(F.broadcast(kinds), "cardinality").drop("cardinality")
+
+
 def findings(mapped: DataFrame, planned: DataFrame, old_pages: DataFrame, new_pages: DataFrame, source_origin: str, destination_origin: str) -> DataFrame:
     """source_url, destination_url, code, category, severity, action, confidence of every mapping with a destination.
 
-    planned: also expected_status. pages: page_id, url, final_url, canonical_url, title, http_status, redirect_count,
-    redirect_loop, category, language, robots_allowed, indexable.
+    planned: also expected_status. pages: page_id, url, final_url, canonical_url, title, description, http_status,
+    redirect_count, redirect_loop, category, language, robots_allowed, indexable.
     """
     once = planned.groupBy("source_url").agg(F.count(F.lit(1)).alias("n"), F.min("expected_status").alias("expected_status")).where("n = 1").select("source_url", "expected_status", F.lit(True).alias("planned_"))
     # A page answers under the URL asked for and under the one it ended at; the later row stands.
@@ -170,20 +193,26 @@ def findings(mapped: DataFrame, planned: DataFrame, old_pages: DataFrame, new_pa
         F.col("indexable").alias("observed_indexable"),
     )
     at = pages.select(
-        F.col("key").alias("destination_url"), F.lit(True).alias("page_known_"), F.col("http_status").alias("page_status"), F.col("title").alias("page_title"), F.col("canonical_url").alias("page_canonical"), F.col("category").alias("page_category"),
+        F.col("key").alias("destination_url"), F.lit(True).alias("page_known_"), F.col("http_status").alias("page_status"), F.col("title").alias("page_title"), F.col("description").alias("page_description"), F.col("canonical_url").alias("page_canonical"), F.col("category").alias("page_category"),
         F.col("language").alias("page_language"), F.col("robots_allowed").alias("page_robots"), F.col("indexable").alias("page_indexable"), F.col("redirect_count").alias("page_hops"),
     )
     named = pages.select(F.col("key").alias("page_canonical"), F.col("http_status").alias("c_status"), F.col("redirect_count").alias("c_hops"))
     before = old_pages.select(
-        F.col("url").alias("source_url"), F.lit(True).alias("old_known_"), F.col("title").alias("old_title"), F.col("canonical_url").alias("old_canonical"), F.col("category").alias("old_category"), F.col("language").alias("old_language"),
+        F.col("url").alias("source_url"), F.lit(True).alias("old_known_"), F.col("title").alias("old_title"), F.col("description").alias("old_description"), F.col("canonical_url").alias("old_canonical"), F.col("category").alias("old_category"), F.col("language").alias("old_language"),
         F.col("robots_allowed").alias("old_robots"), F.col("indexable").alias("old_indexable"),
     )
     own = mapped.where("destination_url is not null").drop("confidence").join(once, "source_url", "left").join(seen, "source_url", "left").join(at, "destination_url", "left").join(before, "source_url", "left").join(named, "page_canonical", "left")
     own = own.withColumns({n: F.coalesce(f"{n}_", F.lit(False)) for n in ("planned", "observed", "page_known", "old_known")})
-    both = F.col("old_title").isNotNull() & F.col("page_title").isNotNull() & (F.col("old_title") != F.col("page_title"))
+
+    def changed(kind: str) -> Column:
+        old, new = F.col(f"old_{kind}"), F.col(f"page_{kind}")
+        both = old.isNotNull() & new.isNotNull() & (old != new)
+        return both & (sequence_ratio(F.when(both, old), F.when(both, new)) < 1 - MATERIAL_CHANGE)
+
     own = own.withColumns({
         "source_origin": F.lit(source_origin), "destination_origin": F.lit(destination_origin), "target_origin": origin_of("destination_url"), "canonical_origin": origin_of("page_canonical"),
-        "canonical_same": F.col("old_canonical").eqNullSafe(F.col("page_canonical")), "title_changed": both & (sequence_ratio(F.when(both, F.col("old_title")), F.when(both, F.col("page_title"))) < 1 - MATERIAL_CHANGE),
+        "canonical_same": F.col("old_canonical").eqNullSafe(F.col("page_canonical")), "title_changed": changed("title"),
+        "description_changed": changed("description") & (F.col("old_description") != "") & (F.col("page_description") != ""),
     })
     fields = lambda code, category, action, trust: F.struct(*(F.lit(v).alias(n) for n, v in (("code", code), ("category", category), ("severity", severity_of(code)), ("action", action), ("confidence", trust))))
     hit = F.array_compact(F.array(*(F.when(F.expr(c), fields(code, k, a, t)) for code, c, k, a, t in FINDINGS)))
@@ -194,10 +223,9 @@ def link_findings(links: DataFrame, pages: DataFrame, source_origin: str, destin
     """page_id, target, code: links of the new site that lead to old, moved, broken, staging or foreign addresses. links: page_id, target."""
     status = pages.select(F.col("url").alias("target"), "http_status", "redirect_count")
     own = links.join(status, "target", "left").withColumn("origin", origin_of("target"))
-    host = F.split(F.regexp_extract("origin", "://([^:/]+)", 1), "[.]")
     tests = (
         ("internal_link_to_legacy_url", F.col("origin") == source_origin), ("internal_link_to_redirect", F.col("redirect_count") > 0), ("internal_link_to_broken_destination", F.col("http_status") >= 400),
-        ("internal_link_to_staging_host", F.arrays_overlap(host, F.array(*map(F.lit, STAGING_LABELS)))), ("internal_link_host_mismatch", ~F.col("origin").isin(source_origin, destination_origin)),
+        ("internal_link_to_staging_host", staging("target")), ("internal_link_host_mismatch", ~F.col("origin").isin(source_origin, destination_origin)),
     )
     return own.select("page_id", "target", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests)))).alias("code"))
 
@@ -220,13 +248,38 @@ def sitemap_findings(entries: DataFrame, mapped: DataFrame, pages: DataFrame, so
     return found.unionByName(absent.select("url", F.lit("destination_url_missing_from_sitemap").alias("code")))
 
 
+def staging(url: str) -> Column:
+    """Whether a label of the host of an address names a staging site."""
+    return F.arrays_overlap(F.split(F.regexp_extract(url, "://([^:/?#]+)", 1), "[.]"), F.array(*map(F.lit, STAGING_LABELS)))
+
+
+def image_references(images: DataFrame, source_origin: str) -> DataFrame:
+    """page_url, resolved, code: images of the new site (page_url, resolved, http_status, redirected) at old, staging, broken or moved addresses."""
+    tests = (
+        ("image_legacy_host_reference", F.startswith("resolved", F.lit(source_origin))), ("image_staging_host_reference", staging("resolved")), ("image_broken_after_migration", F.col("http_status") >= 400),
+        ("image_redirect_dependency", F.col("redirected")),
+    )
+    return images.select("page_url", "resolved", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests)))).alias("code"))
+
+
 def image_findings(mapped: DataFrame, old_images: DataFrame, new_images: DataFrame) -> DataFrame:
-    """source_url, src, code: images (page_url, src, alt) of old pages that the new page lacks or shows with another text."""
-    was = mapped.where("destination_url is not null").select("source_url", "destination_url").join(old_images.select(F.col("page_url").alias("source_url"), "src", F.col("alt").alias("old_alt")), "source_url")
-    now = new_images.groupBy(F.col("page_url").alias("destination_url"), "src").agg(F.min("alt").alias("alt"), F.lit(True).alias("here"))
+    """source_url, src, code: images (page_url, src, alt, width, height, loading) of old pages that the new page lacks or shows otherwise.
+
+    src is the image's identity, the same on both sites; of several uses on a new page the least values count.
+    """
+    traits = ("alt", "width", "height", "loading")
+    was = mapped.where("destination_url is not null").select("source_url", "destination_url").join(old_images.select(F.col("page_url").alias("source_url"), "src", *(F.col(c).alias(f"old_{c}") for c in traits)), "source_url")
+    now = new_images.groupBy(F.col("page_url").alias("destination_url"), "src").agg(*(F.min(c).alias(c) for c in traits), F.lit(True).alias("here"))
     own = was.join(now, ["destination_url", "src"], "left")
-    code = F.when(F.col("here").isNull(), "image_missing_after_migration").when(F.col("old_alt").isNotNull() & F.col("alt").isNull(), "image_alt_missing_after_migration").when(F.col("old_alt") != F.col("alt"), "image_alt_materially_changed")
-    return own.select("source_url", "src", code.alias("code")).where("code is not null")
+    differs = lambda c: ~F.col(f"old_{c}").eqNullSafe(F.col(c))
+    bare = F.col("old_alt").isNotNull() & F.col("alt").isNull()
+    codes = F.array(
+        F.when(bare, F.lit("image_alt_missing_after_migration")).when(differs("alt"), F.lit("image_alt_materially_changed")),
+        F.when(differs("width") | differs("height"), F.lit("image_dimension_regression")),
+        F.when(differs("loading"), F.lit("image_loading_regression")),
+    )
+    found = F.when(F.col("here").isNull(), F.array(F.lit("image_missing_after_migration"))).otherwise(F.array_compact(codes))
+    return own.select("source_url", "src", F.explode(found).alias("code"))
 
 
 def structured_findings(mapped: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame) -> DataFrame:
@@ -259,6 +312,11 @@ def sitewide(found: DataFrame, mapped: DataFrame, ratio: float = SITEWIDE_RATIO)
     return own.select("metric", "numerator", "denominator", F.when(F.col("denominator") > 0, F.format_string("%.6f", F.col("numerator") / F.col("denominator"))).otherwise("0.000000").alias("ratio"), state.alias("state"))
 
 
+def sitewide_findings(metrics: DataFrame) -> DataFrame:
+    """code, occurrences, affected: patterns that reach their threshold, from the rows of `sitewide`."""
+    return metrics.where("state = 'threshold_reached'").select(F.col("metric").alias("code"), F.col("numerator").alias("occurrences"), F.least("numerator", "denominator").alias("affected"))
+
+
 def readiness(facts: dict[str, object]) -> tuple[str, list[str]]:
     """State and reasons of a migration check from counted evidence.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -530,8 +531,8 @@ OLD, NEW = "https://old.example", "https://new.example"
 MIGRATION = {
     "sources": f"SELECT concat('{OLD}/p/', page_id) AS source_url, CASE WHEN page_id % 12 = 5 THEN concat('{NEW}/proposed/', page_id) END AS proposed FROM PAGES",
     "planned": f"SELECT concat('{OLD}/p/', page_id) AS source_url, concat('{NEW}/p/', CASE WHEN page_id % 15 = 0 THEN 1 ELSE page_id END) AS destination_url, 301 AS expected_status FROM PAGES WHERE page_id % 3 = 0 UNION ALL SELECT concat('{OLD}/p/', page_id), concat('{NEW}/other/', page_id), 301 FROM PAGES WHERE page_id % 30 = 0",
-    "old_pages": f"SELECT page_id, concat('{OLD}/p/', page_id) AS url, CASE WHEN page_id % 8 = 2 THEN concat('{OLD}/moved/', page_id) END AS final_url, CASE WHEN page_id % 9 = 4 THEN concat('{NEW}/p/', page_id + 1) END AS canonical_url, concat('Title of page ', page_id) AS title, 200 AS http_status, 0 AS redirect_count, false AS redirect_loop, 'html' AS category, 'en' AS language, true AS robots_allowed, page_id % 13 <> 4 AS indexable FROM PAGES WHERE page_id % 21 <> 2",
-    "new_pages": f"SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 0 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS url, CASE WHEN page_id % 3 = 0 THEN concat('{NEW}/p/', page_id) END AS final_url, CASE WHEN page_id % 20 = 9 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS canonical_url, CASE WHEN page_id % 6 = 1 THEN NULL WHEN page_id % 7 = 1 THEN concat('zqx', page_id) ELSE concat('Title of page ', page_id) END AS title, CASE WHEN page_id % 16 = 10 THEN 404 WHEN page_id % 19 = 6 THEN 500 WHEN page_id % 27 = 3 THEN 302 ELSE 200 END AS http_status, CASE WHEN page_id % 18 = 3 THEN 2 ELSE 0 END AS redirect_count, page_id % 55 = 6 AS redirect_loop, CASE WHEN page_id % 17 = 3 THEN 'pdf' ELSE 'html' END AS category, CASE WHEN page_id % 14 = 5 THEN 'de' ELSE 'en' END AS language, page_id % 23 <> 7 AS robots_allowed, page_id % 12 <> 7 AS indexable FROM PAGES WHERE page_id % 11 <> 8",
+    "old_pages": f"SELECT page_id, concat('{OLD}/p/', page_id) AS url, CASE WHEN page_id % 8 = 2 THEN concat('{OLD}/moved/', page_id) END AS final_url, CASE WHEN page_id % 9 = 4 THEN concat('{NEW}/p/', page_id + 1) END AS canonical_url, concat('Title of page ', page_id) AS title, CASE WHEN page_id % 4 <> 1 THEN concat('About page ', page_id) END AS description, 200 AS http_status, 0 AS redirect_count, false AS redirect_loop, 'html' AS category, 'en' AS language, true AS robots_allowed, page_id % 13 <> 4 AS indexable FROM PAGES WHERE page_id % 21 <> 2",
+    "new_pages": f"SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 0 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS url, CASE WHEN page_id % 3 = 0 THEN concat('{NEW}/p/', page_id) END AS final_url, CASE WHEN page_id % 20 = 9 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS canonical_url, CASE WHEN page_id % 6 = 1 THEN NULL WHEN page_id % 7 = 1 THEN concat('zqx', page_id) ELSE concat('Title of page ', page_id) END AS title, CASE WHEN page_id % 9 = 2 THEN '' WHEN page_id % 10 = 3 THEN 'zqx' WHEN page_id % 11 <> 5 THEN concat('About page ', page_id) END AS description, CASE WHEN page_id % 16 = 10 THEN 404 WHEN page_id % 19 = 6 THEN 500 WHEN page_id % 27 = 3 THEN 302 ELSE 200 END AS http_status, CASE WHEN page_id % 18 = 3 THEN 2 ELSE 0 END AS redirect_count, page_id % 55 = 6 AS redirect_loop, CASE WHEN page_id % 17 = 3 THEN 'pdf' ELSE 'html' END AS category, CASE WHEN page_id % 14 = 5 THEN 'de' ELSE 'en' END AS language, page_id % 23 <> 7 AS robots_allowed, page_id % 12 <> 7 AS indexable FROM PAGES WHERE page_id % 11 <> 8",
 }
 DUCK_MIGRATION = ", ".join(f"{k} AS ({v.replace('FROM PAGES', 'FROM pages')})" for k, v in MIGRATION.items())
 PATH = "regexp_extract({}, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
@@ -541,18 +542,18 @@ MAPPED = f"""new_urls AS (SELECT DISTINCT u AS dest FROM (SELECT unnest([url, fi
     UNION SELECT source_url, source_url, 3 FROM sources JOIN new_urls ON dest = source_url UNION SELECT source_url, '{NEW}' || substring(source_url, {len(OLD) + 1}), 4 FROM sources UNION SELECT source_url, dest, 5 FROM sources JOIN paths ON path = {PATH.format("source_url")}
     UNION SELECT source_url, canonical_url, 6 FROM old JOIN new_urls ON dest = canonical_url UNION SELECT source_url, dest, 7 FROM old JOIN signature USING (title)),
   best AS (SELECT source_url, first(place ORDER BY place, dest) AS place, first(dest ORDER BY place, dest) AS dest, count(DISTINCT dest) AS competing, count(*) FILTER (WHERE place = 0) AS explicit FROM candidates GROUP BY source_url),
-  chosen AS (SELECT source_url, place, dest, explicit > 1 OR (competing > 1 AND place >= 3) AS torn FROM sources LEFT JOIN best USING (source_url)),
+  chosen AS (SELECT source_url, place, dest, explicit > 1 OR (competing > 1 AND place >= 3) AS torn, coalesce(explicit > 1, false) AS split FROM sources LEFT JOIN best USING (source_url)),
   mapped0 AS (SELECT source_url, CASE WHEN NOT torn THEN dest END AS destination_url, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'manual_review_candidate' ELSE [{", ".join(f"'{m}'" for m, _ in migration.METHODS)}][place + 1] END AS method,
-    CASE WHEN place IS NULL THEN 'indeterminate' WHEN torn THEN 'low' ELSE [{", ".join(f"'{c}'" for _, c in migration.METHODS)}][place + 1] END AS confidence, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'ambiguous' ELSE 'mapped' END AS state FROM chosen),
-  mapped AS (SELECT source_url, destination_url, method, confidence, state, CASE WHEN state IN ('ambiguous', 'unmapped') THEN state WHEN n > 1 THEN 'many_to_one' ELSE 'one_to_one' END AS cardinality
+    CASE WHEN place IS NULL THEN 'indeterminate' WHEN torn THEN 'low' ELSE [{", ".join(f"'{c}'" for _, c in migration.METHODS)}][place + 1] END AS confidence, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'ambiguous' ELSE 'mapped' END AS state, split FROM chosen),
+  mapped AS (SELECT source_url, destination_url, method, confidence, state, CASE WHEN split THEN 'one_to_many' WHEN state IN ('ambiguous', 'unmapped') THEN state WHEN n > 1 THEN 'many_to_one' ELSE 'one_to_one' END AS cardinality
     FROM mapped0 LEFT JOIN (SELECT destination_url, count(*) AS n FROM mapped0 WHERE destination_url IS NOT NULL GROUP BY destination_url) USING (destination_url))"""
 MIGRATION_FINDINGS = f"""once AS (SELECT source_url, min(expected_status) AS expected_status, true AS planned_ FROM planned GROUP BY source_url HAVING count(*) = 1),
   keyed AS (SELECT DISTINCT ON (key) * FROM (SELECT *, unnest(list_distinct([x FOR x IN [url, final_url] IF x IS NOT NULL])) AS key FROM new_pages) ORDER BY key, page_id DESC),
   joined AS (SELECT m.source_url, m.destination_url, m.cardinality, o.expected_status, coalesce(planned_, false) AS planned, s.key IS NOT NULL AS observed, s.final_url AS observed_final, s.http_status AS observed_status, s.redirect_count AS observed_hops, s.redirect_loop AS observed_loop,
-    s.indexable AS observed_indexable, p.key IS NOT NULL AS page_known, p.http_status AS page_status, p.title AS page_title, p.canonical_url AS page_canonical, p.category AS page_category, p.language AS page_language, p.robots_allowed AS page_robots, p.indexable AS page_indexable,
-    p.redirect_count AS page_hops, b.url IS NOT NULL AS old_known, b.title AS old_title, b.canonical_url AS old_canonical, b.category AS old_category, b.language AS old_language, b.robots_allowed AS old_robots, b.indexable AS old_indexable, c.http_status AS c_status, c.redirect_count AS c_hops,
+    s.indexable AS observed_indexable, p.key IS NOT NULL AS page_known, p.http_status AS page_status, p.title AS page_title, p.description AS page_description, p.canonical_url AS page_canonical, p.category AS page_category, p.language AS page_language, p.robots_allowed AS page_robots, p.indexable AS page_indexable,
+    p.redirect_count AS page_hops, b.url IS NOT NULL AS old_known, b.title AS old_title, b.description AS old_description, b.canonical_url AS old_canonical, b.category AS old_category, b.language AS old_language, b.robots_allowed AS old_robots, b.indexable AS old_indexable, c.http_status AS c_status, c.redirect_count AS c_hops,
     '{OLD}' AS source_origin, '{NEW}' AS destination_origin, regexp_extract(m.destination_url, '^([a-z]+://[^/?#]+)', 1) AS target_origin, regexp_extract(p.canonical_url, '^([a-z]+://[^/?#]+)', 1) AS canonical_origin, b.canonical_url IS NOT DISTINCT FROM p.canonical_url AS canonical_same,
-    coalesce(b.title LIKE 'Title%' AND p.title LIKE 'zqx%', false) AS title_changed
+    coalesce(b.title LIKE 'Title%' AND p.title LIKE 'zqx%', false) AS title_changed, coalesce(b.description LIKE 'About%' AND p.description = 'zqx', false) AS description_changed
     FROM mapped m LEFT JOIN once o USING (source_url) LEFT JOIN keyed s ON s.key = m.source_url LEFT JOIN keyed p ON p.key = m.destination_url LEFT JOIN old_pages b ON b.url = m.source_url LEFT JOIN keyed c ON c.key = p.canonical_url WHERE m.destination_url IS NOT NULL),
   findings AS ({" UNION ALL ".join(f"SELECT source_url, destination_url, '{c}' AS code, '{k}' AS category, '{migration.severity_of(c)}' AS severity, '{a}' AS action, '{t}' AS confidence FROM joined WHERE {w}" for c, w, k, a, t in migration.FINDINGS)})"""
 
@@ -585,20 +586,67 @@ def migration_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return migration.recommendations(_migration_findings(spark, d)[0])
 
 
+NEW_LINKS = f"""SELECT page_id, concat('{NEW}/p/', page_id + 1) AS target FROM PAGES UNION ALL SELECT page_id, concat('{OLD}/p/', page_id) FROM PAGES WHERE page_id % 5 = 0 UNION ALL SELECT page_id, concat('https://staging.new.example/', page_id) FROM PAGES WHERE page_id % 7 = 0"""
+EVIDENCE = {
+    "new_links": NEW_LINKS,
+    "entries": f"SELECT concat('{NEW}/p/', page_id) AS url FROM PAGES WHERE page_id % 4 <> 1 UNION ALL SELECT concat('{OLD}/p/', page_id) FROM PAGES WHERE page_id % 10 = 0 UNION ALL SELECT concat('https://else.example/', page_id) FROM PAGES WHERE page_id % 50 = 0",
+    "old_images": f"SELECT concat('{OLD}/p/', page_id) AS page_url, concat('/i/', page_id % 3) AS src, CASE WHEN page_id % 6 <> 0 THEN 'Alt' END AS alt, '10' AS width, '10' AS height, 'lazy' AS loading FROM PAGES",
+    "new_images": f"""SELECT concat('{NEW}/p/', page_id) AS page_url, concat('/i/', page_id % 3) AS src, CASE WHEN page_id % 5 = 1 THEN NULL WHEN page_id % 5 = 2 THEN 'Else' ELSE 'Alt' END AS alt, CASE WHEN page_id % 8 = 3 THEN '12' ELSE '10' END AS width, '10' AS height,
+      CASE WHEN page_id % 9 <> 4 THEN 'lazy' END AS loading, concat(CASE page_id % 7 WHEN 0 THEN '{OLD}' WHEN 1 THEN 'https://dev.new.example' ELSE '{NEW}' END, '/i/', page_id % 3) AS resolved, CASE WHEN page_id % 13 = 2 THEN 404 ELSE 200 END AS http_status, page_id % 12 = 5 AS redirected FROM PAGES WHERE page_id % 4 <> 3""",
+    "old_blocks": f"SELECT concat('{OLD}/p/', page_id) AS page_url, 'Article' AS type, 'json_ld' AS format, CAST(NULL AS {{text}}) AS error FROM PAGES WHERE page_id % 2 = 0",
+    "new_blocks": f"SELECT concat('{NEW}/p/', page_id) AS page_url, CASE WHEN page_id % 8 = 4 THEN 'Product' ELSE 'Article' END AS type, CASE WHEN page_id % 5 = 2 THEN 'rdfa' ELSE 'json_ld' END AS format, CASE WHEN page_id % 16 = 2 THEN 'invalid_json' END AS error FROM PAGES WHERE page_id % 6 <> 0",
+}
+DUCK_EVIDENCE = ", ".join(f"{k} AS ({v.replace('FROM PAGES', 'FROM pages').replace('{text}', 'VARCHAR')})" for k, v in EVIDENCE.items())
+OTHER_FINDINGS = f"""{DUCK_EVIDENCE}, li AS (SELECT l.page_id, target, http_status, redirect_count FROM new_links l LEFT JOIN new_pages n ON n.url = target),
+  sm AS (SELECT e.url, http_status, redirect_count, indexable, canonical_url FROM entries e LEFT JOIN new_pages n ON n.url = e.url), pairs AS (SELECT source_url, destination_url FROM mapped WHERE destination_url IS NOT NULL),
+  im AS (SELECT source_url, o.src, o.alt AS old_alt, n.alt, n.width, n.loading, n.src IS NOT NULL AS here FROM pairs JOIN old_images o ON o.page_url = source_url LEFT JOIN new_images n ON n.page_url = destination_url AND n.src = o.src),
+  bl AS (SELECT source_url, n.type, n.format, n.error FROM pairs JOIN old_blocks o ON o.page_url = source_url LEFT JOIN new_blocks n ON n.page_url = destination_url),
+  other(subject, target, code) AS (SELECT source_url, destination_url, 'mapping_unmapped' FROM mapped WHERE state = 'unmapped' UNION ALL SELECT source_url, destination_url, 'mapping_ambiguous' FROM mapped WHERE state = 'ambiguous'
+    UNION ALL SELECT source_url, destination_url, unnest(['mapping_one_to_many', 'mapping_conflicting_explicit', 'redirect_one_to_many_review', 'content_split_review']) FROM mapped WHERE cardinality = 'one_to_many' UNION ALL SELECT source_url, destination_url, unnest(['mapping_many_to_one', 'mapping_destination_collision']) FROM mapped WHERE cardinality = 'many_to_one'
+    UNION ALL SELECT CAST(page_id AS VARCHAR), target, 'internal_link_to_legacy_url' FROM li WHERE target LIKE '{OLD}/%' UNION ALL SELECT CAST(page_id AS VARCHAR), target, 'internal_link_to_redirect' FROM li WHERE redirect_count > 0 UNION ALL SELECT CAST(page_id AS VARCHAR), target, 'internal_link_to_broken_destination' FROM li WHERE http_status >= 400
+    UNION ALL SELECT CAST(page_id AS VARCHAR), target, unnest(['internal_link_to_staging_host', 'internal_link_host_mismatch']) FROM li WHERE target LIKE 'https://staging.%'
+    UNION ALL SELECT url, NULL, 'legacy_url_in_destination_sitemap' FROM sm WHERE url LIKE '{OLD}/%' UNION ALL SELECT url, NULL, 'redirecting_url_in_sitemap' FROM sm WHERE redirect_count > 0 UNION ALL SELECT url, NULL, 'broken_url_in_sitemap' FROM sm WHERE http_status >= 400 UNION ALL SELECT url, NULL, 'nonindexable_url_in_sitemap' FROM sm WHERE NOT indexable
+    UNION ALL SELECT url, NULL, 'canonical_conflict_in_sitemap' FROM sm WHERE canonical_url <> url UNION ALL SELECT url, NULL, 'sitemap_host_mismatch' FROM sm WHERE url LIKE 'https://else.%' UNION ALL SELECT DISTINCT destination_url, NULL, 'destination_url_missing_from_sitemap' FROM pairs WHERE destination_url NOT IN (SELECT url FROM entries)
+    UNION ALL SELECT page_url, resolved, 'image_legacy_host_reference' FROM new_images WHERE resolved LIKE '{OLD}%' UNION ALL SELECT page_url, resolved, 'image_staging_host_reference' FROM new_images WHERE resolved LIKE 'https://dev.%' UNION ALL SELECT page_url, resolved, 'image_broken_after_migration' FROM new_images WHERE http_status = 404 UNION ALL SELECT page_url, resolved, 'image_redirect_dependency' FROM new_images WHERE redirected
+    UNION ALL SELECT source_url, src, 'image_missing_after_migration' FROM im WHERE NOT here UNION ALL SELECT source_url, src, CASE WHEN alt IS NULL THEN 'image_alt_missing_after_migration' ELSE 'image_alt_materially_changed' END FROM im WHERE here AND old_alt IS DISTINCT FROM alt
+    UNION ALL SELECT source_url, src, 'image_dimension_regression' FROM im WHERE here AND width <> '10' UNION ALL SELECT source_url, src, 'image_loading_regression' FROM im WHERE here AND loading IS NULL
+    UNION ALL SELECT source_url, NULL, 'structured_data_removed' FROM bl WHERE type IS NULL UNION ALL SELECT source_url, NULL, 'structured_data_type_changed' FROM bl WHERE type = 'Product' UNION ALL SELECT source_url, NULL, 'structured_data_format_changed' FROM bl WHERE type = 'Article' AND format = 'rdfa'
+    UNION ALL SELECT source_url, NULL, 'structured_data_invalid_after_migration' FROM bl WHERE error IS NOT NULL)"""
+
+
+def _migration_evidence(spark: SparkSession, d: str, mapped: DataFrame, new_pages: DataFrame) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id")
+    own = {k: spark.sql(v.replace("FROM PAGES", "FROM {pages}").replace("{text}", "STRING"), pages=pages) for k, v in EVIDENCE.items()}
+    row = lambda df, subject, target=None: df.select(F.col(subject).cast("string").alias("subject"), (F.lit(None).cast("string") if target is None else F.col(target)).alias("target"), "code")
+    parts = (
+        row(migration.mapping_findings(mapped), "source_url", "destination_url"),
+        row(migration.link_findings(own["new_links"], new_pages, OLD, NEW), "page_id", "target"),
+        row(migration.sitemap_findings(own["entries"], mapped, new_pages, OLD, NEW), "url"),
+        row(migration.image_references(own["new_images"], OLD), "page_url", "resolved"),
+        row(migration.image_findings(mapped, own["old_images"], own["new_images"]), "source_url", "src"),
+        row(migration.structured_findings(mapped, own["old_blocks"], own["new_blocks"]), "source_url"),
+    )
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"WITH {DUCK_MIGRATION}, {MAPPED}, {OTHER_FINDINGS} SELECT subject, target, code FROM other")
+def migration_evidence_findings(spark: SparkSession, d: str) -> DataFrame:
+    own = _migration(spark, d)
+    return _migration_evidence(spark, d, own["mapped"], own["new_pages"])
+
+
 def _sitewide_sql() -> str:
     groups = ", ".join(f"('{g}', '{c}')" for g, codes in migration.SITEWIDE.items() for c in codes)
-    return f"""WITH {DUCK_MIGRATION}, {MAPPED}, {MIGRATION_FINDINGS}, n AS (SELECT count(*) AS denominator FROM mapped), g AS (SELECT * FROM (VALUES {groups}) t(metric, code)),
-      c AS (SELECT metric, CAST(sum(coalesce(n, 0)) AS BIGINT) AS numerator FROM g LEFT JOIN (SELECT code, count(*) AS n FROM findings GROUP BY code) USING (code) GROUP BY metric)
+    return f"""WITH {DUCK_MIGRATION}, {MAPPED}, {MIGRATION_FINDINGS}, {OTHER_FINDINGS}, n AS (SELECT count(*) AS denominator FROM mapped), g AS (SELECT * FROM (VALUES {groups}) t(metric, code)), every AS (SELECT code FROM findings UNION ALL SELECT code FROM other),
+      c AS (SELECT metric, CAST(sum(coalesce(n, 0)) AS BIGINT) AS numerator FROM g LEFT JOIN (SELECT code, count(*) AS n FROM every GROUP BY code) USING (code) GROUP BY metric)
       SELECT metric, numerator, denominator, printf('%.6f', numerator / denominator) AS ratio, CASE WHEN denominator < 10 THEN 'small_inventory' WHEN numerator >= greatest(2, floor(denominator * 0.2 + 0.999999)) THEN 'threshold_reached' ELSE 'below_threshold' END AS state FROM c, n"""
 
 
 @query(_sitewide_sql())
 def migration_sitewide(spark: SparkSession, d: str) -> DataFrame:
-    found, mapped = _migration_findings(spark, d)
-    return migration.sitewide(found, mapped)
-
-
-NEW_LINKS = f"""SELECT page_id, concat('{NEW}/p/', page_id + 1) AS target FROM PAGES UNION ALL SELECT page_id, concat('{OLD}/p/', page_id) FROM PAGES WHERE page_id % 5 = 0 UNION ALL SELECT page_id, concat('https://staging.new.example/', page_id) FROM PAGES WHERE page_id % 7 = 0"""
+    own = _migration(spark, d)
+    found = migration.findings(own["mapped"], own["planned"], own["old_pages"], own["new_pages"], OLD, NEW)
+    return migration.sitewide(found.select("code").unionByName(_migration_evidence(spark, d, own["mapped"], own["new_pages"]).select("code")), own["mapped"])
 
 
 @query(f"""WITH {DUCK_MIGRATION}, nl AS ({NEW_LINKS.replace("FROM PAGES", "FROM pages")}), status AS (SELECT url, http_status, redirect_count FROM new_pages), own AS (SELECT page_id, target, http_status, redirect_count, regexp_extract(target, '^([a-z]+://[^/?#]+)', 1) AS origin FROM nl LEFT JOIN status ON url = target)

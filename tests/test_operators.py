@@ -226,6 +226,23 @@ def test_readiness_and_freshness(spark):
     assert tuple(df.select(migration.freshness(F.col("a"), F.col("b")), migration.freshness(F.col("b"), F.col("b")), migration.freshness(F.col("c"), F.col("b"))).first()) == ("stale", "current", "unknown")
 
 
+def test_mapping_codes_and_sitewide(spark):
+    sources = spark.createDataFrame([(f"http://o/{i}", None) for i in range(12)] + [("http://x/1", None)], "source_url string, proposed string")
+    planned = spark.createDataFrame([("http://o/1", "http://n/a"), ("http://o/1", "http://n/b"), ("http://o/2", "http://n/c"), ("http://o/3", "http://n/c")], "source_url string, destination_url string")
+    none = spark.createDataFrame([], "url string, final_url string, canonical_url string, title string")
+    mapped = migration.mappings(sources, planned, none, none, "http://o", "http://n")
+    got = {(r.source_url, r.code, r.confidence) for r in migration.mapping_findings(mapped).collect()}
+    assert got == {
+        ("http://x/1", "mapping_unmapped", "indeterminate"), ("http://o/1", "mapping_ambiguous", "low"), ("http://o/1", "mapping_one_to_many", "low"), ("http://o/1", "mapping_conflicting_explicit", "low"),
+        ("http://o/1", "redirect_one_to_many_review", "low"), ("http://o/1", "content_split_review", "low"),
+        *((f"http://o/{i}", c, "medium") for i in (2, 3) for c in ("mapping_many_to_one", "mapping_destination_collision")),
+    }
+    found = spark.createDataFrame([("mapping_unmapped",)] * 3 + [("destination_404",)] * 2 + [("destination_5xx",)] + [("redirect_chain",)] * 2, "code string")
+    metrics = migration.sitewide(found, mapped)
+    assert {(r.code, r.occurrences, r.affected) for r in migration.sitewide_findings(metrics).collect()} == {("sitewide_unmapped_source_urls", 3, 3), ("sitewide_destination_errors", 3, 3)}
+    assert {r.state for r in migration.sitewide(found, mapped.limit(9)).collect()} == {"small_inventory"}
+
+
 def test_migration_evidence_findings(spark):
     mapped = spark.createDataFrame([("http://o/1", "http://n/1"), ("http://o/2", "http://n/2"), ("http://o/3", None)], "source_url string, destination_url string")
     pages = spark.createDataFrame([("http://n/1", 200, 1, True, "http://n/1"), ("http://n/2", 404, 0, False, "http://n/9")], "url string, http_status int, redirect_count int, indexable boolean, canonical_url string")
@@ -235,9 +252,16 @@ def test_migration_evidence_findings(spark):
     assert [r.source_url for r in migration.unlinked_targets(old, mapped, links.where("target <> 'http://n/2'")).collect()] == ["http://o/2"]
     entries = spark.createDataFrame([("http://o/5",), ("http://n/2",)], "url string")
     assert {(r.url, r.code) for r in migration.sitemap_findings(entries, mapped, pages, "http://o", "http://n").collect()} == {("http://o/5", "legacy_url_in_destination_sitemap"), ("http://n/2", "broken_url_in_sitemap"), ("http://n/2", "nonindexable_url_in_sitemap"), ("http://n/2", "canonical_conflict_in_sitemap"), ("http://n/1", "destination_url_missing_from_sitemap")}
-    was = spark.createDataFrame([("http://o/1", "a", "x"), ("http://o/1", "b", "x"), ("http://o/2", "c", "x"), ("http://o/2", "d", "x")], "page_url string, src string, alt string")
-    now = spark.createDataFrame([("http://n/1", "a", "x"), ("http://n/2", "c", None), ("http://n/2", "d", "y")], "page_url string, src string, alt string")
-    assert {(r.src, r.code) for r in migration.image_findings(mapped, was, now).collect()} == {("b", "image_missing_after_migration"), ("c", "image_alt_missing_after_migration"), ("d", "image_alt_materially_changed")}
+    schema = "page_url string, src string, alt string, width string, height string, loading string"
+    was = spark.createDataFrame([("http://o/1", "a", "x", "1", "1", None), ("http://o/1", "b", "x", "1", "1", None), ("http://o/2", "c", "x", "1", "1", "lazy"), ("http://o/2", "d", "x", "1", None, None), ("http://o/2", "e", None, "1", "1", None)], schema)
+    now = spark.createDataFrame([("http://n/1", "a", "x", "1", "1", None), ("http://n/2", "c", None, "1", "1", None), ("http://n/2", "d", "y", "1", "2", None), ("http://n/2", "e", None, "1", "1", None)], schema)
+    assert {(r.src, r.code) for r in migration.image_findings(mapped, was, now).collect()} == {
+        ("b", "image_missing_after_migration"), ("c", "image_alt_missing_after_migration"), ("c", "image_loading_regression"), ("d", "image_alt_materially_changed"), ("d", "image_dimension_regression"),
+    }
+    shown = spark.createDataFrame([("p", "http://o/i", 200, False), ("p", "http://dev.n/i", 404, True), ("p", "http://n/dev/i", None, None)], "page_url string, resolved string, http_status int, redirected boolean")
+    assert {(r.resolved, r.code) for r in migration.image_references(shown, "http://o").collect()} == {
+        ("http://o/i", "image_legacy_host_reference"), ("http://dev.n/i", "image_staging_host_reference"), ("http://dev.n/i", "image_broken_after_migration"), ("http://dev.n/i", "image_redirect_dependency"),
+    }
     schema = "page_url string, type string, format string, error string"
     blocks = spark.createDataFrame([("http://o/1", "T", "json_ld", None), ("http://o/2", "T", "json_ld", None)], schema)
     new = spark.createDataFrame([("http://n/2", "U", "json_ld", "invalid_json")], schema)
