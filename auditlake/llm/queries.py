@@ -82,6 +82,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 24 shards of nearly equal bytes, groups of equal texts together."""
+    from auditlake.llm.sharding import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof; of documents whose id's CRC-32 is divisible by 7, n_chars is altered before the fold."""
+    from auditlake.llm.merkle import verified_rows
+
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    return verified_rows(table(spark, sf_dir, "documents"), {"n_chars": F.col("n_chars") + 1}, altered)
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector in its first 32 whitened components."""
+    from auditlake.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), most=32)
+
+
 OP10_SQL = r"""
 WITH own AS (
   SELECT doc_id, sha256(norm) AS text_sha256, norm
@@ -125,6 +147,92 @@ scored AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+CRC_SQL = """
+crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""
+
+
+def crc_of(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a SQL expression, where crc_table is joined."""
+    code = f"list_transform(string_split({text}, ''), lambda s: CAST(unicode(s) AS BIGINT))"
+    bytes_ = f"""flatten(list_transform({code}, lambda u: CASE WHEN u < 0 THEN CAST([] AS BIGINT[]) WHEN u < 128 THEN [u] WHEN u < 2048 THEN [192 + (u >> 6), 128 + (u & 63)]
+      WHEN u < 65536 THEN [224 + (u >> 12), 128 + ((u >> 6) & 63), 128 + (u & 63)] ELSE [240 + (u >> 18), 128 + ((u >> 12) & 63), 128 + ((u >> 6) & 63), 128 + (u & 63)] END))"""
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bytes_}), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL}, d AS (
+  SELECT doc_id, strlen(text) + 8 AS size, {crc_of("text")} AS text_crc32, CAST('0x' || substr(sha256(text), 1, 15) AS BIGINT) AS key
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), crc_table
+), g AS (SELECT key, CAST(sum(size) AS BIGINT) AS size, CAST(sum(sum(size)) OVER () AS BIGINT) AS total FROM d GROUP BY key),
+ordered AS (SELECT *, row_number() OVER w AS r, total - sum(size) OVER w + size AS rest FROM g WINDOW w AS (ORDER BY size DESC, key)),
+alone AS (SELECT key, r - 1 AS shard FROM ordered WHERE r < 24 AND size * 16384 > total AND size * (25 - r) >= rest),
+line AS (SELECT key, size, CAST(sum(size) OVER (ORDER BY size * 16384 <= total, key) AS BIGINT) AS e FROM g WHERE key NOT IN (SELECT key FROM alone)),
+facts AS (SELECT 24 - (SELECT count(*) FROM alone) AS k, max(e) AS whole FROM line),
+pos AS (SELECT 0 AS e UNION ALL SELECT e FROM line),
+best AS (
+  SELECT 1 AS j, e, e AS f FROM pos
+  UNION ALL
+  SELECT b.j + 1, p.e, min(greatest(b.f, p.e - b.e)) FROM best b JOIN pos p ON p.e >= b.e, facts WHERE b.j < k GROUP BY b.j, p.e
+), cap AS (SELECT f AS c FROM best, facts WHERE j = k AND e = whole),
+lowest AS (
+  SELECT k AS j, whole AS e FROM facts
+  UNION ALL
+  SELECT l.j - 1, min(p.e) FROM lowest l JOIN cap ON true JOIN pos p ON p.e >= l.e - c WHERE l.j > 1 GROUP BY l.j
+), aims AS (SELECT CAST(j AS BIGINT) AS j, j * whole // k AS aim FROM facts, range(1, 24) r(j) WHERE j < k),
+near AS (
+  SELECT j, CASE WHEN aim - max(p.e) FILTER (WHERE p.e <= aim) <= min(p.e) FILTER (WHERE p.e >= aim) - aim THEN max(p.e) FILTER (WHERE p.e <= aim) ELSE min(p.e) FILTER (WHERE p.e >= aim) END AS e
+  FROM aims, pos p GROUP BY j, aim
+), cuts AS (
+  SELECT CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS e
+  UNION ALL
+  SELECT q.j + 1, least(greatest(n.e, l.e, q.e), max(p.e)) FROM cuts q JOIN near n ON n.j = q.j + 1 JOIN lowest l ON l.j = q.j + 1 JOIN cap ON true JOIN pos p ON p.e <= q.e + c GROUP BY q.j, q.e, n.e, l.e
+), placed AS (
+  SELECT key, shard FROM alone
+  UNION ALL
+  SELECT key, 24 - k + (SELECT count(*) FROM cuts WHERE j > 0 AND cuts.e <= line.e - line.size) FROM line, facts
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN placed USING (key)
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_SQL}, named AS (
+  SELECT doc_id, lang, {crc_of("coalesce(CAST(doc_id AS VARCHAR), '')")} % 7 = 0 AND doc_id IS NOT NULL AS tampered, n_chars,
+    [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS own, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text] AS other
+  FROM documents, crc_table
+), hashed AS (
+  SELECT doc_id, lang, sha256(list_aggregate([CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END FOR x IN own], 'string_agg', '')) AS leaf,
+    CASE WHEN tampered THEN sha256(list_aggregate([CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END FOR x IN other], 'string_agg', '')) END AS changed
+  FROM named
+), leaves AS (SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+nodes AS (
+  SELECT tree, 0 AS level, i, leaf AS node FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY tree, level, i // 2
+), subroots AS (SELECT tree, max(level) AS depth, arg_max(node, level) AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM nodes GROUP BY tree),
+tops AS (
+  SELECT 0 AS level, place AS i, subroot AS node FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY level, i // 2
+), height AS (SELECT max(level) AS height, arg_max(node, level) AS root FROM tops),
+fold AS (
+  SELECT tree, i AS leaf_i, depth, place, 0 AS level, i, coalesce(changed, leaf) AS own, '' AS proof FROM leaves JOIN subroots USING (tree)
+  UNION ALL
+  SELECT f.tree, f.leaf_i, f.depth, f.place, f.level + 1, f.i // 2, sha256(CASE WHEN f.i % 2 = 0 THEN f.own || coalesce(n.node, '') ELSE n.node || f.own END), f.proof || coalesce(n.node, '')
+  FROM fold f LEFT JOIN nodes n ON n.tree = f.tree AND n.level = f.level AND n.i = xor(f.i, 1) WHERE f.level < f.depth
+), above AS (
+  SELECT tree, leaf_i, 0 AS level, place AS i, own, proof FROM fold WHERE level = depth
+  UNION ALL
+  SELECT f.tree, f.leaf_i, f.level + 1, f.i // 2, sha256(CASE WHEN f.i % 2 = 0 THEN f.own || coalesce(n.node, '') ELSE n.node || f.own END), f.proof || coalesce(n.node, '')
+  FROM above f JOIN height ON true LEFT JOIN tops n ON n.level = f.level AND n.i = xor(f.i, 1) WHERE f.level < height
+)
+SELECT l.doc_id, l.leaf, s.subroot, root, sha256(a.proof) AS proof_sha256, a.own AS folded_root, a.own = root AS verified
+FROM leaves l JOIN subroots s USING (tree) JOIN height ON true JOIN above a ON a.tree = l.tree AND a.leaf_i = l.i AND a.level = height
+"""
+
+
 def op8_sql() -> str:
     """The scan of every rule over every text; places from the lengths of matches and of the text between them."""
     from auditlake.llm.secrets import BASE_RULES, MORE_RULES
@@ -162,6 +270,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mix": op9_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_minimax_shards": op11_minimax_shards,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_jacobi_whitening": op13_jacobi_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op8_secret_scan": op8_sql(), "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_dedup": OP2_SQL,
+    "op5_exact_top_k": OP5_SQL,
+    "op8_secret_scan": op8_sql(),
+    "op10_exact_dedup": OP10_SQL,
+    "op11_minimax_shards": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+}
