@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,23 +9,10 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.urls import TRACKING_PARAMETERS, governed_url, normal_parts, normalize_url, scope_reason
 from auditlake.operators import combined, crawl, governance, graph, images, links, metadata, migration, reads, resultset, robots, sitemap, structured
+from auditlake.plans.registry import ORACLES, QUERIES, query
 from auditlake.plans.site import SITE, Site, duck_crawl
 from auditlake.sources import html
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 # -- URLs -------------------------------------------------------------------------------------------------------------
 
 URL_PARTS = """parts AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS hostname,
@@ -782,3 +768,9 @@ def run_candidates(spark: SparkSession, d: str) -> DataFrame:
   SELECT page_id, 'title_duplicate' AS code, 'title' AS category, 'medium' AS severity, CASE WHEN evidence_state IN ('truncated', 'partial') THEN 'partial' ELSE 'determinate' END AS determinacy FROM named WHERE t IN (SELECT t FROM named GROUP BY t HAVING count(*) > 1)""")
 def metadata_duplicate_issues(spark: SparkSession, d: str) -> DataFrame:
     return metadata.duplicate_issues(Site(spark, d).crawl, "title", "title_duplicate")
+
+
+# Queries of further modules register themselves.
+from auditlake.plans import sitemaps  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]
