@@ -3,8 +3,8 @@
 Each row is a leaf; the leaves of a group (a language) form a tree in the order of their ids, and the trees' roots form a tree
 in the order of the groups. All nodes are kept as rows of one table, found by tree, level and index. A leaf's proof needs the
 nodes beside its ancestors: their coordinates follow from its index and the numbers of a level's nodes, so a leaf explodes them,
-joins the node table, and puts what it finds in order. The levels up to BLOCK leaves are looked up by each leaf, the levels above
-once for each block of leaves, so the rows of the join stay near LEVELS for each leaf at any number of leaves.
+joins the node table, and puts what it finds in order. The levels up to SHARED leaves are looked up by each leaf, the levels above
+once for each run of SHARED leaves, so the join has five or six rows for each leaf at any number of leaves.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import cut, split_join
 from auditlake.operators.ordering import indexed
 
-#: Most nodes of a level that are hashed together as one array, and the leaves that share the lookups above them.
+#: Most nodes of a level that are hashed together as one array.
 BLOCK = 256
+#: Leaves that share the lookups above them.
+SHARED = 16
 #: Type of a proof's steps: what stands before and after the own node in its run, level by level.
 PATH = "array<struct<before:string,after:string>>"
 
@@ -58,9 +60,9 @@ def powers(fan_out: int) -> list[int]:
     return out
 
 
-def levels_of(fan_out: int) -> int:
-    """Levels that a block spans: as many as BLOCK has room for, one at least."""
-    return max(1, sum(p <= BLOCK for p in powers(fan_out)) - 1)
+def levels_of(fan_out: int, most: int) -> int:
+    """Levels that a subtree of at most so many leaves spans, one at least."""
+    return max(1, sum(p <= most for p in powers(fan_out)) - 1)
 
 
 def power(fan_out: int, level: Column) -> Column:
@@ -87,9 +89,9 @@ def depth_of(fan_out: int, n: Column) -> Column:
 def forest(leaves: DataFrame, fan_out: int) -> tuple[DataFrame, int]:
     """tree, n, level, index, node of all levels, and the deepest tree's depth. leaves: tree, n, index, node, a written table.
 
-    A job hashes levels_of(fan_out) levels at once, in blocks of at most BLOCK nodes.
+    A job hashes several levels at once, in blocks of at most BLOCK nodes.
     """
-    span, deepest = levels_of(fan_out), leaves.agg(F.max(depth_of(fan_out, F.col("n")))).first()[0] or 0
+    span, deepest = levels_of(fan_out, BLOCK), leaves.agg(F.max(depth_of(fan_out, F.col("n")))).first()[0] or 0
     width, level = fan_out**span, 0
     current = leaves.select("tree", "n", F.lit(0).alias("level"), "index", "node")
     out = current
@@ -179,7 +181,7 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
 
 def proofs(made: Manifest) -> DataFrame:
     """The leaves with subroot, root and steps (PATH): the nodes beside a leaf's ancestors, from the leaf up to the root."""
-    g, span = made.fan_out, levels_of(made.fan_out)
+    g, span = made.fan_out, levels_of(made.fan_out, SHARED)
     high = max(span, made.leaves.agg(F.max(depth_of(g, F.col("n")))).first()[0] or 0)
     width = g**span
     low_found = lookups(made.leaves.select("tree", "n", "index"), made.nodes, 0, span, g)

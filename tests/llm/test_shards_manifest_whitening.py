@@ -170,6 +170,7 @@ def test_proofs_by_hand(docs, rows, fan_out):
 
 def test_levels_above_a_block(spark, monkeypatch):
     monkeypatch.setattr(merkle, "BLOCK", 4)
+    monkeypatch.setattr(merkle, "SHARED", 2)
     rows = [(i, f"t{i % 7}", ("en", "de", None)[min(2, i // 60)], "s", i) for i in range(90)] + [(5, "t5", "fr", "s", 5)] * 3 + [(500, None, "es", None, None)]
     assert verified(spark.createDataFrame(rows, SCHEMA).repartition(6)) == by_hand(rows)
 
