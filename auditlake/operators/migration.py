@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.functions.text import sequence_ratio, stable_id
+from auditlake.functions.text import nfkc_casefold, sequence_ratio, stable_id
 from auditlake.functions.urls import normalize_url
 from auditlake.shared import written
 
@@ -84,6 +84,8 @@ SITEWIDE = {
     "sitewide_image_host_regression": ("image_legacy_host_reference", "image_staging_host_reference"), "sitewide_unmapped_source_urls": ("mapping_unmapped",),
     "sitewide_destination_errors": ("destination_404", "destination_410", "destination_other_4xx", "destination_5xx"),
 }
+#: The signals of a page's content signature and score. Fixed values.
+SIGNALS = ("title_key", "description_key", "category", "canonical_url", "indexable")
 MATERIAL_CHANGE, SITEWIDE_RATIO, SMALL_INVENTORY = 0.35, 0.2, 10
 STAGING_LABELS = ("staging", "stage", "dev", "development", "test", "preview")
 
@@ -124,11 +126,30 @@ def planned_graph(planned: DataFrame) -> DataFrame:
     return step.select("source_url", F.when(F.col("hops") > sources, "redirect_map_loop").when(F.col("hops") > 1, "redirect_map_chain").alias("diagnostic"))
 
 
+def with_signals(pages: DataFrame) -> DataFrame:
+    """pages with title_key and description_key, under which texts count as equal."""
+    return pages.withColumns({"title_key": nfkc_casefold("title"), "description_key": nfkc_casefold("description")})
+
+
+def content_matches(old: DataFrame, new: DataFrame) -> DataFrame:
+    """source_url, destination of old pages (source_url, url and the columns of SIGNALS) whose signature exactly one address of the new pages has.
+
+    Signatures are equal where all five signals are, null with null. Addresses are counted in the same aggregation, so a
+    signature that many pages share stays one row.
+    """
+    at = F.coalesce("final_url", "url")
+    # The least and the largest address tell one from several without a set of them.
+    one = with_signals(new).groupBy(*SIGNALS).agg(F.min(at).alias("destination"), F.max(at).alias("other")).where("destination = other").drop("other")
+    named = one.select("destination", *(F.col(s).alias(f"new_{s}") for s in SIGNALS))
+    same = [F.col(s).eqNullSafe(F.col(f"new_{s}")) for s in SIGNALS]
+    return with_signals(old).join(named, same).select("source_url", "destination")
+
+
 def mappings(sources: DataFrame, planned: DataFrame, old_pages: DataFrame, new_pages: DataFrame, source_origin: str, destination_origin: str) -> DataFrame:
     """source_url, destination_url, method, confidence, state, cardinality (one_to_many: several explicit destinations).
 
     sources: source_url, proposed. planned: source_url, destination_url. pages: url, final_url, canonical_url, title,
-    path. Candidates of all methods are unions of equi-joins; a source with one explicit destination, or whose best
+    description, category, indexable. Candidates of all methods are unions of equi-joins; a source with one explicit destination, or whose best
     method is decisive, or whose candidates agree is mapped; otherwise it is ambiguous.
     """
     places = {m: i for i, (m, _) in enumerate(METHODS)}
@@ -140,7 +161,6 @@ def mappings(sources: DataFrame, planned: DataFrame, old_pages: DataFrame, new_p
     paths = new_urls.withColumn("path", F.regexp_extract("destination", r"^[a-z]+://[^/]+(/[^?#]*)", 1)).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("destination").alias("destination")).where("n = 1")
     own_path = sources.withColumn("path", F.regexp_extract("source_url", r"^[a-z]+://[^/]+(/[^?#]*)", 1))
     old = sources.select("source_url").join(old_pages, F.col("source_url") == F.col("url"))
-    signature = new_pages.where("title is not null").groupBy("title").agg(F.countDistinct(F.coalesce("final_url", "url")).alias("n"), F.min(F.coalesce("final_url", "url")).alias("destination")).where("n = 1")
     substituted = F.concat(F.lit(destination_origin), F.expr(f"substring(source_url, {len(source_origin) + 1})"))
     parts = [
         candidate(planned.join(sources.select("source_url"), "source_url", "left_semi").withColumnRenamed("destination_url", "destination").distinct(), "explicit_redirect_map"),
@@ -150,7 +170,7 @@ def mappings(sources: DataFrame, planned: DataFrame, old_pages: DataFrame, new_p
         candidate(sources.where(F.startswith("source_url", F.lit(source_origin))).withColumn("destination", substituted), "configured_origin_substitution"),
         candidate(own_path.join(paths, "path"), "path_match"),
         candidate(old.join(new_urls.select(F.col("destination").alias("canonical_url")), "canonical_url", "left_semi").withColumn("destination", F.col("canonical_url")), "canonical_hint"),
-        candidate(old.join(signature, "title"), "content_similarity_hint"),
+        candidate(content_matches(old, new_pages), "content_similarity_hint"),
     ]
     every = reduce(DataFrame.unionByName, parts).distinct()
     best = every.groupBy("source_url").agg(
@@ -317,43 +337,6 @@ def sitewide_findings(metrics: DataFrame) -> DataFrame:
     return metrics.where("state = 'threshold_reached'").select(F.col("metric").alias("code"), F.col("numerator").alias("occurrences"), F.least("numerator", "denominator").alias("affected"))
 
 
-def readiness(facts: dict[str, object]) -> tuple[str, list[str]]:
-    """State and reasons of a migration check from counted evidence.
-
-    facts: configuration_valid, destination_run, destination_terminal, destination_pages, expired, compatible, sources,
-    bad_sources, bad_redirects, source_pages (None without a source run), and wanted / counted evidence by kind.
-    """
-    reasons: list[str] = []
-    blocking = None
-    for bad, state, reason in (
-        (not facts.get("destination_run"), "missing_evidence", "destination_run_missing"), (not facts.get("destination_terminal"), "missing_evidence", "destination_run_nonterminal"),
-        (not facts.get("destination_pages"), "missing_evidence", "destination_page_evidence_missing"), (facts.get("expired"), "expired", "destination_page_evidence_expired"),
-        (facts.get("compatible") is False, "incompatible", "destination_page_evidence_version_unsupported"),
-    ):
-        if bad:
-            blocking = state
-            reasons.append(reason)
-            break
-    if not facts.get("sources"):
-        blocking = "missing_evidence"
-        reasons.append("source_inventory_missing")
-    warned = [r for r, bad in (
-        ("source_inventory_contains_invalid_rows", facts.get("sources") and facts.get("bad_sources")), ("redirect_map_contains_invalid_or_conflicting_rows", facts.get("bad_redirects")), ("source_comparison_evidence_missing", facts.get("source_pages") == 0),
-        *((f"{kind}_evidence_missing", facts.get(f"compare_{kind}") and not facts.get(f"{kind}_count")) for kind in ("internal_link", "sitemap", "image", "structured_data")),
-    ) if bad]
-    if facts.get("configuration_valid") is False:
-        return "invalid_configuration", ["configuration_snapshot_invalid", *reasons, *warned]
-    return blocking or ("ready_with_warnings" if warned else "ready"), reasons + warned
-
-
 def freshness(completed: Column, now: Column, days: int = 30) -> Column:
     """current, stale, or unknown without a time; now is given, never the clock."""
     return F.when(completed.isNull(), "unknown").when(now - completed > F.expr(f"interval {days} days"), "stale").otherwise("current")
-
-
-def content_score(left: list[str], right: list[str]) -> Column:
-    """Share of equal values among the signals that both pages have."""
-    both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in zip(left, right, strict=True)]
-    n = sum((b.cast("int") for b in both), F.lit(0))
-    same = sum(((b & (F.col(x) == F.col(y))).cast("int") for b, x, y in zip(both, left, right, strict=True)), F.lit(0))
-    return F.when(n > 0, same / n).otherwise(0.0)

@@ -518,15 +518,15 @@ MIGRATION = {
     "sources": f"SELECT concat('{OLD}/p/', page_id) AS source_url, CASE WHEN page_id % 12 = 5 THEN concat('{NEW}/proposed/', page_id) END AS proposed FROM PAGES",
     "planned": f"SELECT concat('{OLD}/p/', page_id) AS source_url, concat('{NEW}/p/', CASE WHEN page_id % 15 = 0 THEN 1 ELSE page_id END) AS destination_url, 301 AS expected_status FROM PAGES WHERE page_id % 3 = 0 UNION ALL SELECT concat('{OLD}/p/', page_id), concat('{NEW}/other/', page_id), 301 FROM PAGES WHERE page_id % 30 = 0",
     "old_pages": f"SELECT page_id, concat('{OLD}/p/', page_id) AS url, CASE WHEN page_id % 8 = 2 THEN concat('{OLD}/moved/', page_id) END AS final_url, CASE WHEN page_id % 9 = 4 THEN concat('{NEW}/p/', page_id + 1) END AS canonical_url, concat('Title of page ', page_id) AS title, CASE WHEN page_id % 4 <> 1 THEN concat('About page ', page_id) END AS description, 200 AS http_status, 0 AS redirect_count, false AS redirect_loop, 'html' AS category, 'en' AS language, true AS robots_allowed, page_id % 13 <> 4 AS indexable FROM PAGES WHERE page_id % 21 <> 2",
-    "new_pages": f"SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 0 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS url, CASE WHEN page_id % 3 = 0 THEN concat('{NEW}/p/', page_id) END AS final_url, CASE WHEN page_id % 20 = 9 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS canonical_url, CASE WHEN page_id % 6 = 1 THEN NULL WHEN page_id % 7 = 1 THEN concat('zqx', page_id) ELSE concat('Title of page ', page_id) END AS title, CASE WHEN page_id % 9 = 2 THEN '' WHEN page_id % 10 = 3 THEN 'zqx' WHEN page_id % 11 <> 5 THEN concat('About page ', page_id) END AS description, CASE WHEN page_id % 16 = 10 THEN 404 WHEN page_id % 19 = 6 THEN 500 WHEN page_id % 27 = 3 THEN 302 ELSE 200 END AS http_status, CASE WHEN page_id % 18 = 3 THEN 2 ELSE 0 END AS redirect_count, page_id % 55 = 6 AS redirect_loop, CASE WHEN page_id % 17 = 3 THEN 'pdf' ELSE 'html' END AS category, CASE WHEN page_id % 14 = 5 THEN 'de' ELSE 'en' END AS language, page_id % 23 <> 7 AS robots_allowed, page_id % 12 <> 7 AS indexable FROM PAGES WHERE page_id % 11 <> 8",
+    "new_pages": f"SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 0 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS url, CASE WHEN page_id % 3 = 0 THEN concat('{NEW}/p/', page_id) END AS final_url, CASE WHEN page_id % 14 IN (3, 10) THEN NULL WHEN page_id % 20 = 9 THEN concat('{OLD}/p/', page_id) ELSE concat('{NEW}/p/', page_id) END AS canonical_url, CASE WHEN page_id % 6 = 1 THEN NULL WHEN page_id % 7 = 1 THEN concat('zqx', page_id) ELSE concat('Title of page ', page_id) END AS title, CASE WHEN page_id % 9 = 2 THEN '' WHEN page_id % 10 = 3 THEN 'zqx' WHEN page_id % 11 <> 5 THEN concat('About page ', page_id) END AS description, CASE WHEN page_id % 16 = 10 THEN 404 WHEN page_id % 19 = 6 THEN 500 WHEN page_id % 27 = 3 THEN 302 ELSE 200 END AS http_status, CASE WHEN page_id % 18 = 3 THEN 2 ELSE 0 END AS redirect_count, page_id % 55 = 6 AS redirect_loop, CASE WHEN page_id % 17 = 3 THEN 'pdf' ELSE 'html' END AS category, CASE WHEN page_id % 14 = 5 THEN 'de' ELSE 'en' END AS language, page_id % 23 <> 7 AS robots_allowed, page_id % 12 <> 7 AS indexable FROM PAGES WHERE page_id % 11 <> 8",
 }
 DUCK_MIGRATION = ", ".join(f"{k} AS ({v.replace('FROM PAGES', 'FROM pages')})" for k, v in MIGRATION.items())
 PATH = "regexp_extract({}, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
 MAPPED = f"""new_urls AS (SELECT DISTINCT u AS dest FROM (SELECT unnest([url, final_url]) AS u FROM new_pages) WHERE u IS NOT NULL), paths AS (SELECT {PATH.format("dest")} AS path, min(dest) AS dest FROM new_urls GROUP BY 1 HAVING count(*) = 1),
-  old AS (SELECT s.source_url, o.* FROM sources s JOIN old_pages o ON o.url = s.source_url), signature AS (SELECT title, min(coalesce(final_url, url)) AS dest FROM new_pages WHERE title IS NOT NULL GROUP BY title HAVING count(DISTINCT coalesce(final_url, url)) = 1),
+  old AS (SELECT s.source_url, o.* FROM sources s JOIN old_pages o ON o.url = s.source_url), signature AS (SELECT lower(title) AS t, lower(description) AS s, category, canonical_url, indexable, min(coalesce(final_url, url)) AS dest FROM new_pages GROUP BY ALL HAVING count(DISTINCT coalesce(final_url, url)) = 1),
   candidates AS (SELECT source_url, destination_url AS dest, 0 AS place FROM planned UNION SELECT source_url, proposed, 1 FROM sources WHERE proposed IS NOT NULL UNION SELECT source_url, final_url, 2 FROM old WHERE final_url <> source_url
     UNION SELECT source_url, source_url, 3 FROM sources JOIN new_urls ON dest = source_url UNION SELECT source_url, '{NEW}' || substring(source_url, {len(OLD) + 1}), 4 FROM sources UNION SELECT source_url, dest, 5 FROM sources JOIN paths ON path = {PATH.format("source_url")}
-    UNION SELECT source_url, canonical_url, 6 FROM old JOIN new_urls ON dest = canonical_url UNION SELECT source_url, dest, 7 FROM old JOIN signature USING (title)),
+    UNION SELECT source_url, canonical_url, 6 FROM old JOIN new_urls ON dest = canonical_url UNION SELECT source_url, dest, 7 FROM old o JOIN signature n ON lower(o.title) IS NOT DISTINCT FROM n.t AND lower(o.description) IS NOT DISTINCT FROM n.s AND o.category IS NOT DISTINCT FROM n.category AND o.canonical_url IS NOT DISTINCT FROM n.canonical_url AND o.indexable IS NOT DISTINCT FROM n.indexable),
   best AS (SELECT source_url, first(place ORDER BY place, dest) AS place, first(dest ORDER BY place, dest) AS dest, count(DISTINCT dest) AS competing, count(*) FILTER (WHERE place = 0) AS explicit FROM candidates GROUP BY source_url),
   chosen AS (SELECT source_url, place, dest, explicit > 1 OR (competing > 1 AND place >= 3) AS torn, coalesce(explicit > 1, false) AS split FROM sources LEFT JOIN best USING (source_url)),
   mapped0 AS (SELECT source_url, CASE WHEN NOT torn THEN dest END AS destination_url, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'manual_review_candidate' ELSE [{", ".join(f"'{m}'" for m, _ in migration.METHODS)}][place + 1] END AS method,
@@ -771,6 +771,6 @@ def metadata_duplicate_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Queries of further modules register themselves.
-from auditlake.plans import sitemaps  # noqa: E402, F401
+from auditlake.plans import migrations, sitemaps  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

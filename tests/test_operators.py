@@ -177,12 +177,10 @@ def test_structured_profiles(spark):
     assert structured.entity_consistency(own).first().pages == 3
 
 
-def test_migration_score_and_unmapped(spark):
-    df = spark.createDataFrame([("t", None, "t", "x"), (None, None, "t", "x")], "a string, b string, c string, d string")
-    assert [r[0] for r in df.select(migration.content_score(["a", "b"], ["c", "d"])).collect()] == [1.0, 0.0]
+def test_unmapped_source(spark):
     sources = spark.createDataFrame([("http://other/x", None)], "source_url string, proposed string")
     planned = spark.createDataFrame([], "source_url string, destination_url string, expected_status int")
-    pages = spark.createDataFrame([], "page_id long, url string, final_url string, canonical_url string, title string")
+    pages = spark.createDataFrame([], "page_id long, url string, final_url string, canonical_url string, title string, description string, category string, indexable boolean")
     r = migration.mappings(sources, planned, pages, pages, "http://old", "http://new").first()
     assert (r.method, r.state, r.cardinality, r.confidence) == ("unmapped", "unmapped", "unmapped", "indeterminate")
 
@@ -217,11 +215,7 @@ def test_inventory_states(spark):
     assert got == {0: "conflict", 1: "conflict", 2: "valid", 3: "duplicate", 4: "invalid", 5: "out_of_scope"}
 
 
-def test_readiness_and_freshness(spark):
-    good = {"destination_run": True, "destination_terminal": True, "destination_pages": 5, "sources": 3}
-    assert migration.readiness(good) == ("ready", [])
-    assert migration.readiness(good | {"bad_redirects": 1, "compare_image": True}) == ("ready_with_warnings", ["redirect_map_contains_invalid_or_conflicting_rows", "image_evidence_missing"])
-    assert migration.readiness(good | {"expired": True})[0] == "expired" and migration.readiness({})[0] == "missing_evidence" and migration.readiness(good | {"configuration_valid": False})[0] == "invalid_configuration"
+def test_freshness(spark):
     df = spark.sql("select timestamp'2024-01-01' as a, timestamp'2024-03-01' as b, cast(null as timestamp) as c")
     assert tuple(df.select(migration.freshness(F.col("a"), F.col("b")), migration.freshness(F.col("b"), F.col("b")), migration.freshness(F.col("c"), F.col("b"))).first()) == ("stale", "current", "unknown")
 
@@ -229,7 +223,7 @@ def test_readiness_and_freshness(spark):
 def test_mapping_codes_and_sitewide(spark):
     sources = spark.createDataFrame([(f"http://o/{i}", None) for i in range(12)] + [("http://x/1", None)], "source_url string, proposed string")
     planned = spark.createDataFrame([("http://o/1", "http://n/a"), ("http://o/1", "http://n/b"), ("http://o/2", "http://n/c"), ("http://o/3", "http://n/c")], "source_url string, destination_url string")
-    none = spark.createDataFrame([], "url string, final_url string, canonical_url string, title string")
+    none = spark.createDataFrame([], "page_id long, url string, final_url string, canonical_url string, title string, description string, category string, indexable boolean")
     mapped = migration.mappings(sources, planned, none, none, "http://o", "http://n")
     got = {(r.source_url, r.code, r.confidence) for r in migration.mapping_findings(mapped).collect()}
     assert got == {
