@@ -157,3 +157,35 @@ def _tree(spark: SparkSession, d: str) -> sitemap_tree.Tree:
 def sitemap_audit_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """How the audit of each site ended."""
     return _tree(spark, d).sites
+
+
+# -- new sitemaps
+
+#: Limits of the generated documents: bytes decide for most, entries for those of short addresses.
+NEW_ENTRIES, NEW_BYTES, NEW_CHARACTERS = 40, 2700, 75
+ADDRESSES = "SELECT page_id * 2 AS sequence, url FROM {pages} UNION ALL SELECT page_id * 2 + 1, concat('https://s.example/', CAST(page_id AS STRING)) FROM {pages} WHERE page_id % 400 < 100 UNION ALL SELECT page_id * 2 + 1, concat('https://s.example/', CAST(page_id - 50 AS STRING)) FROM {pages} WHERE page_id % 400 BETWEEN 100 AND 149"
+
+
+@query(f"""WITH RECURSIVE named AS ({ADDRESSES.replace("AS STRING", "AS VARCHAR").format(pages="pages")}), parts AS (SELECT sequence, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) || coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), ''), '/') || coalesce('?' || nullif(regexp_extract(url, '[?]([^#]*)', 1), ''), '') AS normal FROM named),
+  judged AS (SELECT *, CASE WHEN length(url) > {NEW_CHARACTERS} THEN 'url_too_long' WHEN url <> normal THEN 'invalid_url' END AS reason, strlen(replace(url, '&', '&amp;')) + 33 AS bytes FROM parts),
+  placed AS (SELECT url, bytes, row_number() OVER (ORDER BY sequence, url) AS i FROM (SELECT url, min(sequence) AS sequence, any_value(bytes) AS bytes FROM judged WHERE reason IS NULL GROUP BY url)),
+  walk AS (
+    SELECT CAST(0 AS BIGINT) AS i, 1 AS number, 0 AS n, CAST(110 AS BIGINT) AS b, CAST(NULL AS VARCHAR) AS why
+    UNION ALL
+    SELECT p.i, w.number + CASE WHEN n + 1 > {NEW_ENTRIES} OR b + p.bytes > {NEW_BYTES} THEN 1 ELSE 0 END, CASE WHEN n + 1 > {NEW_ENTRIES} OR b + p.bytes > {NEW_BYTES} THEN 1 ELSE n + 1 END, CASE WHEN n + 1 > {NEW_ENTRIES} OR b + p.bytes > {NEW_BYTES} THEN 110 + p.bytes ELSE b + p.bytes END,
+      CASE WHEN n + 1 > {NEW_ENTRIES} THEN 'entry_limit' WHEN b + p.bytes > {NEW_BYTES} THEN 'byte_limit' ELSE w.why END
+    FROM walk w JOIN placed p ON p.i = w.i + 1
+  ), documents AS (SELECT number, count(*) AS entries, max(b) AS bytes, any_value(why) AS split_reason, string_agg('  <url>\n    <loc>' || replace(url, '&', '&amp;') || '</loc>\n  </url>\n', '' ORDER BY i) AS body FROM walk JOIN placed USING (i) GROUP BY number)
+  SELECT 'document' AS kind, 'sitemap-' || number || '.xml' AS name, entries, bytes, split_reason AS reason, sha256('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n' || body || '</urlset>\n') AS content FROM documents
+  UNION ALL SELECT 'index', 'sitemap-index.xml', count(*), strlen(x), NULL, sha256(x) FROM (SELECT '<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n' || string_agg('  <sitemap>\n    <loc>https://s.example/maps/sitemap-' || number || '.xml</loc>\n  </sitemap>\n', '' ORDER BY number) || '</sitemapindex>\n' AS x, count(*) AS c FROM documents), documents GROUP BY x
+  UNION ALL SELECT 'rejected', url, NULL, NULL, reason, NULL FROM judged WHERE reason IS NOT NULL""".replace("'  <url>\n    <loc>'", "'  <url>' || chr(10) || '    <loc>'").replace("'</loc>\n  </url>\n'", "'</loc>' || chr(10) || '  </url>' || chr(10)"))
+def sitemap_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """New sitemap documents of the pages' real addresses, their index, and the addresses that can't stand in one."""
+    from auditlake.operators.sitemap_bundle import bundle
+
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    made = bundle(spark.sql(ADDRESSES, pages=pages), "https://s.example/maps/", NEW_ENTRIES, NEW_BYTES, NEW_CHARACTERS)
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    documents = made.documents.select(F.lit("document").alias("kind"), "name", "entries", "bytes", F.col("split_reason").alias("reason"), F.sha2("xml", 256).alias("content"))
+    index = made.index.select(F.lit("index"), "name", "entries", "bytes", F.col("warning"), F.sha2("xml", 256))
+    return documents.union(index).union(made.rejections.select(F.lit("rejected"), "url", none, none, "reason", text))
