@@ -6,7 +6,6 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from auditlake.shared import written
 
@@ -142,11 +141,6 @@ def opportunities(metrics: DataFrame, found_anchors: DataFrame, all_edges: DataF
     )
 
 
-def sequenced(df: DataFrame, order: list[str], name: str = "sequence") -> DataFrame:
-    """A number from 0 in a total order, for finding tables that are small: a global window is one task."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
-
-
 def findings(metrics: DataFrame, all_edges: DataFrame, pages: DataFrame) -> DataFrame:
     """kind, page_id, code, severity: pages whose state isn't healthy, then links that don't lead straight to their page."""
     severity = F.expr("CASE WHEN primary_state = 'orphan_candidate' THEN 'high' WHEN primary_state = 'canonical_duplicate' THEN 'low' WHEN primary_state IN ('excluded_page', 'hub_candidate', 'authority_candidate', 'reachable') THEN 'info' ELSE 'medium' END")

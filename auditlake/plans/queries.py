@@ -771,6 +771,6 @@ def metadata_duplicate_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Queries of further modules register themselves.
-from auditlake.plans import migrations, sitemaps  # noqa: E402, F401
+from auditlake.plans import migrations, readings, sitemaps  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ import pytest
 from auditlake.plans import queries
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events pages".split()
+TABLES = "region nation customer supplier part orders lineitem events pages documents".split()
 
 
 @pytest.fixture(scope="module")
