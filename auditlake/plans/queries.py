@@ -76,13 +76,13 @@ def _issues_sql() -> str:
 
 @query(_issues_sql() + " SELECT * FROM issues")
 def metadata_issues(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.issues(Site(spark, d).crawl)
+    return metadata.issues(Site(spark, d).crawl_once())
 
 
 @query(_issues_sql() + """ SELECT 'severity' AS dimension, severity AS value, count(*) AS issues FROM issues GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM issues GROUP BY category
   UNION ALL SELECT 'code', code, count(*) FROM issues GROUP BY code""")
 def metadata_issue_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.histogram(metadata.issues(Site(spark, d).crawl))
+    return metadata.histogram(metadata.issues(Site(spark, d).crawl_once()))
 
 
 @query(_issues_sql() + """ SELECT page_id, ['information', 'low', 'medium', 'high', 'critical'][max(r)] AS highest, max(r) AS rank, count(*) AS issues
@@ -301,7 +301,7 @@ ENTRIES = f"SELECT identity AS key FROM crawl WHERE in_sitemap UNION ALL SELECT
   compared AS (SELECT *, {sitemap.COMPARED_RECOMMENDATION_SQL} AS recommendation FROM joined), worded AS (SELECT *, {sitemap.COMPARISON_SQL} AS words FROM compared)
   SELECT coalesce(identity, entry) AS key, present, recommendation, split_part(words, ' ', 1) AS state, split_part(words, ' ', 2) AS action, split_part(words, ' ', 3) AS reason FROM worded""")
 def sitemap_comparison(spark: SparkSession, d: str) -> DataFrame:
-    crawl = Site(spark, d).crawl
+    crawl = Site(spark, d).crawl_once()
     entries = spark.sql(ENTRIES.replace(f"SHA_OF(concat('{SITE}old/', page_id))", f"sha2(concat('{SITE}old/', page_id), 256)").replace("FROM crawl", "FROM {crawl}"), crawl=crawl)
     return sitemap.comparison(entries, crawl)
 
@@ -352,7 +352,7 @@ def combined_url_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_facts_sql() + " " + " UNION ALL ".join(f"SELECT '{n}' AS population, count(*) AS urls FROM facts WHERE {c} HAVING count(*) > 0" for n, c in combined.POPULATIONS))
 def populations(spark: SparkSession, d: str) -> DataFrame:
-    crawl = Site(spark, d).crawl
+    crawl = Site(spark, d).crawl_once()
     return combined.populations(combined.url_facts(crawl, sitemap.recommendations(crawl)))
 
 
@@ -371,7 +371,7 @@ def issue_groups(spark: SparkSession, d: str) -> DataFrame:
   SELECT 'severity' AS dimension, severity AS value, count(DISTINCT page_id) AS urls FROM found GROUP BY severity UNION ALL SELECT 'module', module, count(DISTINCT page_id) FROM found GROUP BY module
   UNION ALL SELECT 'affected', 'all', count(DISTINCT page_id) FROM found UNION ALL SELECT 'recommendation', recommendation, count(DISTINCT page_id) FROM recommendation GROUP BY recommendation""")
 def combined_summary(spark: SparkSession, d: str) -> DataFrame:
-    own = Site(spark, d).crawl
+    own = Site(spark, d).crawl_once()
     facts = combined.url_facts(own, sitemap.recommendations(own))
     return combined.summary(facts, combined.findings(own)).where("dimension <> 'population'")
 
@@ -703,7 +703,7 @@ def resource_recommendations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_facts_sql() + " SELECT page_id, url, http_status, sitemap_state FROM facts WHERE recommendation = 'exclude' AND http_status BETWEEN 400 AND 499 AND in_sitemap ORDER BY http_status DESC NULLS LAST, page_id LIMIT 50")
 def resource_combined_urls(spark: SparkSession, d: str) -> DataFrame:
-    own = Site(spark, d).crawl
+    own = Site(spark, d).crawl_once()
     facts = combined.url_facts(own, sitemap.recommendations(own))
     return reads.read("combined_urls", facts, {"recommendation": "exclude", "class_http_status": 4, "in_sitemap": True}, "http_status", True).select("page_id", "url", "http_status", "sitemap_state")
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.register import register
 from auditlake.operators import history, orders
+from auditlake.plans.queries import DUCK_LINKS
 from auditlake.plans.registry import query
+from auditlake.plans.site import DUCK_BASE
+from auditlake.sources.evidence import EvidenceStore
 
 #: An order of documents: few languages, many equal lengths.
 DOCUMENT_ORDER = ("lang", "-n_chars", "source", "doc_id")
@@ -50,3 +56,34 @@ def history_pages(spark: SparkSession, d: str) -> DataFrame:
         one = rows.select(F.lit(name).alias("page"), "run_id", "job_id", F.date_format("ended_at", "yyyy-MM-dd").alias("ended"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# -- SQL text alone
+
+EVIDENCE_SQL = """
+SELECT page_id, try_element_at(titles, 1) AS title, CAST(size(titles) AS BIGINT) AS n_titles, count(l.href) AS links, count(DISTINCT l.resolved) AS targets, count_if(l.anchor = '') AS bare, nfkc_casefold(try_element_at(titles, 1)) AS title_key
+FROM html_evidence(TABLE(SELECT page_id, url, html FROM {pages})) LATERAL VIEW OUTER explode(links) each AS l
+GROUP BY page_id, titles
+"""
+
+
+@query(f"""WITH base AS ({DUCK_BASE}), {DUCK_LINKS}, per AS (SELECT page_id, count(*) AS links, count(DISTINCT resolved) AS targets, count(*) FILTER (WHERE anchor = '') AS bare FROM occurrences GROUP BY page_id)
+  SELECT page_id, title, n_titles, coalesce(links, 0) AS links, coalesce(targets, 0) AS targets, coalesce(bare, 0) AS bare, replace(lower(title), 'ß', 'ss') AS title_key FROM base LEFT JOIN per USING (page_id)""")
+def evidence_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Title and links of each page, asked for in SQL alone through the registered table function."""
+    register(spark)
+    return spark.sql(EVIDENCE_SQL, pages=spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html"))
+
+
+# -- evidence that is kept
+
+
+@query(f"""WITH base AS ({DUCK_BASE}), {DUCK_LINKS}, per AS (SELECT page_id, count(*) AS links FROM occurrences GROUP BY page_id), titled AS (SELECT title, count(*) AS n FROM base GROUP BY title)
+  SELECT page_id, 1 AS version, title, coalesce(links, 0) AS links, n AS same_title FROM base LEFT JOIN per USING (page_id) JOIN titled USING (title)""")
+def evidence_retained(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' evidence, parsed and written once as a run of its own, and read twice: for each page, and for how many share its title."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html", F.col("page_id").alias("discovery_order"))
+    rows = EvidenceStore(spark).retain(f"run-{uuid.uuid4().hex}", pages)
+    own = rows.select("page_id", "version", F.try_element_at("evidence.titles", F.lit(1)).alias("title"), F.size("evidence.links").cast("long").alias("links"))
+    titled = rows.select(F.try_element_at("evidence.titles", F.lit(1)).alias("title")).groupBy("title").agg(F.count(F.lit(1)).alias("same_title"))
+    return own.join(titled, "title").select("page_id", "version", "title", "links", "same_title")

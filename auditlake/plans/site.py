@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.shared import written
 from auditlake.sources import html
 
 SITE = "https://site.example/p/"
@@ -72,6 +73,10 @@ class Site:
     def crawl(self) -> DataFrame:
         return self.spark.sql(crawl_sql("{base}", False), base=self.base)
 
+    def crawl_once(self) -> DataFrame:
+        """crawl, for queries that join it with itself: what it needs of the pages is parsed and written once, then read by each side."""
+        return self.spark.sql(crawl_sql("{base}", False), base=written(self.base, "base"))
+
     @property
     def links(self) -> DataFrame:
         return self.spark.sql(links_sql("{base}"), base=self.pages.select("page_id"))
