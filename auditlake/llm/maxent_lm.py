@@ -2,8 +2,8 @@
 
 P(word | history) = P(class | history) * P(subclass | class, history) * P(word | subclass). Words of the head are put into
 classes by frequency, with about equal shares of its tokens, and these likewise into subclasses; all other words are one
-more class, with subclasses by hash. The class softmax has hashed features of the history: the last word, the last two
-words, and the word before the last alone (a skip); the subclass softmax has the last word joined with the class. Every word has features of its own as a
+more class, with subclasses by hash. Both softmaxes have hashed features of the history (the last word, the last two words,
+and the word before the last alone, a skip), in the second joined with the class. Every word has features of its own as a
 history, those outside the head too. The number of hashed rows grows with the number of different words in the training
 texts. The weights are trained by distributed gradient updates: in each round every partition runs adaptive gradient
 steps over its share of the documents from the common weights, and the weights are averaged by tokens. The softmax within
@@ -31,10 +31,10 @@ from auditlake.llm.common import claim, cut, keeps, slices, text_bytes
 MODULUS, HELD_OUT = 7, 2
 #: Most words of the head; classes, the last of which is of all other words, and subclasses of each.
 HEAD_WORDS, CLASSES, SUBCLASSES = 200_000, 16, 16
-#: Kinds of features: three of the class softmax, one of the subclass softmax.
-KINDS = 4
+#: Kinds of features: three of each softmax.
+KINDS = 6
 #: Different training words for each row of weights of a feature kind; least and most rows, which bound a worker's memory at 200 MB.
-WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 256, 1 << 12, 1 << 18
+WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 64, 1 << 12, 1 << 18
 #: Bias of what never occurs.
 NEVER = -60.0
 #: Rounds of updates; each uses another part of the training documents, together all of them.
@@ -47,6 +47,8 @@ FIRST_SQUARES = 16.0
 COUNTED = 300_000
 #: Parts in which weights travel, and lists that one merge takes.
 BLOCKS, FAN_IN = 16, 64
+#: Tokens that a list of weights stands for at least, and no fewer than it has weights: so lists stay smaller than the texts.
+LIST_TOKENS = 4_000_000
 
 #: The token that ends a text; no word has a newline.
 END = b"\n"
@@ -148,11 +150,12 @@ def histories(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def features(hashes: np.ndarray, buckets: int, classes: np.ndarray | None = None) -> np.ndarray:
-    """Rows of weights of each kind of history; with classes, those of last words joined with a class, behind the others."""
+    """Rows of weights of each kind of history; with classes, those of histories joined with a class, behind the others."""
     if classes is not None:
-        own = mixed(hashes[:1] + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-        return (own >> np.uint64(20)).astype(np.int64) % buckets + 3 * buckets
-    return (hashes >> np.uint64(20)).astype(np.int64) % buckets + np.arange(3)[:, None] * buckets
+        hashes = mixed(hashes + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    kinds = np.arange(3)[:, None] + (3 if classes is not None else 0)
+    # buckets is a power of two.
+    return ((hashes >> np.uint64(20)) & np.uint64(buckets - 1)).astype(np.int64) + kinds * buckets
 
 
 def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -190,7 +193,7 @@ def step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, rows: np.nd
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(len(goal)), goal] -= 1
     for kind in rows:
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind)
         own = kind[order]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         used = own[first]
@@ -254,8 +257,13 @@ def encode(docs: DataFrame, head_sent, id_col: str, text_col: str) -> DataFrame:
     return cut(own.mapInArrow(run, "doc_id long, row long, part long, held_out boolean, n_tokens long, known long, logs double, codes binary, tail array<struct<word:string,n:long>>"), "codes")
 
 
-def train(codes: DataFrame, head_sent, weights: np.ndarray, rate: float = RATE, first_squares: float = FIRST_SQUARES) -> np.ndarray:
-    """One round: adaptive gradient steps in each partition of texts (column codes), then the average of the weights by tokens."""
+def lists_for(all_tokens: int, weights: int, cores: int) -> int:
+    """How many parts of the texts are trained apart: one for each core, and more as the tokens allow."""
+    return max(1, cores, all_tokens // max(LIST_TOKENS, weights))
+
+
+def train(codes: DataFrame, head_sent, weights: np.ndarray, tokens_here: int, rate: float = RATE, first_squares: float = FIRST_SQUARES) -> np.ndarray:
+    """One round: adaptive gradient steps in each part of the texts (column codes, about so many tokens), then the average of the weights by tokens."""
     spark = codes.sparkSession
     sent = spark.sparkContext.broadcast(weights)
     rows_in_block, buckets = -(-len(weights) // BLOCKS), len(weights) // KINDS
@@ -281,12 +289,17 @@ def train(codes: DataFrame, head_sent, weights: np.ndarray, rate: float = RATE,
         for x, n in zip(rows["data"], rows["n"], strict=True):
             total += np.frombuffer(x, np.float16).astype(np.float64) * n
         n = rows["n"].sum()
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "n": [n], "data": [(total / n).astype(np.float16).tobytes()]})
-
-    # Lists meet in two levels, so that no task takes more than a bounded number of them at a time.
-    lists = codes.select("codes").mapInArrow(run, "block int, n double, data binary").withColumn("list", F.spark_partition_id() % FAN_IN)
-    some = lists.groupBy("block", "list").applyInPandas(average, "block int, n double, data binary")
-    got = some.groupBy("block").applyInPandas(average, "block int, n double, data binary").collect()
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "n": [n], "data": [(total / n).astype(np.float16).tobytes()], "list": rows["list"].iloc[:1]})
+
+    n = lists_for(tokens_here, weights.size, spark.sparkContext.defaultParallelism)
+    lists = codes.select("codes").coalesce(n).mapInArrow(run, "block int, n double, data binary").withColumn("list", F.spark_partition_id())
+    # Level by level, so that no task takes more than FAN_IN lists of a block, however many there are.
+    while True:
+        n = -(-n // FAN_IN)
+        lists = lists.withColumn("list", F.expr(f"list div {FAN_IN}")).groupBy("block", "list").applyInPandas(average, "block int, n double, data binary, list long")
+        if n == 1:
+            break
+    got = lists.collect()
     sent.unpersist()
     out = weights.copy()
     for r in got:
@@ -328,7 +341,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, head_words: int = HEAD_WO
     coded = encode(docs, head_sent, id_col, text_col)
     weights = np.zeros((KINDS * rows_for(head.all_words), max(head.classes, head.subclasses)), np.float32)
     for turn in range(rounds):
-        weights = train(coded.where(f"not held_out and part % {rounds} = {turn}"), head_sent, weights)
+        weights = train(coded.where(f"not held_out and part % {rounds} = {turn}"), head_sent, weights, head.all_tokens // rounds)
     sent = context.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

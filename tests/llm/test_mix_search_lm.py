@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from auditlake.llm.entropy_mix import diffuse, mix, mixed_documents, solve_dual, source_targets, with_rates
-from auditlake.llm.maxent_lm import Head, features, histories, log_scores, rows_for, score_texts, tokens
+from auditlake.llm import maxent_lm
+from auditlake.llm.maxent_lm import Head, features, histories, lists_for, log_scores, rows_for, score_texts, tokens, train
 from auditlake.llm.topk import tile, top_k
 
 
@@ -177,7 +178,7 @@ def test_features_start_anew_with_each_text():
     hashes = histories(np.array([4, 5, 6, 4, 5, 9]), np.array([0, 3, 5]))
     assert (hashes[:, 0] == hashes[:, 3]).all() and (hashes[:, 1] == hashes[:, 4]).all() and (hashes[:, 5] == hashes[:, 0]).all()
     rows, more = features(hashes, 64), features(hashes, 64, np.zeros(6, np.int64))
-    assert rows.min() >= 0 and rows.max() < 3 * 64 <= more.min() and more.max() < 4 * 64
+    assert rows.min() >= 0 and rows.max() < 3 * 64 <= more.min() and more.max() < 6 * 64
 
 
 def small_model():
@@ -186,7 +187,7 @@ def small_model():
     words = [f"w{i}".encode() for i in range(8)]
     rest = np.array([[3, 2], [4, 1], [0, 0], [1, 1]])
     head = Head(words, counts, int(counts.sum() + rest[:, 0].sum()), 8 + int(rest[:, 1].sum()), rest, classes=3, subclasses=4)
-    return head, r.normal(size=(4 * 32, 4)).astype(np.float32)
+    return head, r.normal(size=(6 * 32, 4)).astype(np.float32)
 
 
 def test_probabilities_add_up_to_one():
@@ -220,7 +221,7 @@ def test_scores_against_a_plain_softmax():
 
 
 def test_rows_grow_with_the_words():
-    assert rows_for(0) == rows_for(1000) == 1 << 12 and rows_for(1 << 22) == 1 << 14 and rows_for(1 << 24) == 1 << 16 and rows_for(1 << 40) == 1 << 18
+    assert rows_for(0) == rows_for(1000) == 1 << 12 and rows_for(1 << 20) == 1 << 14 and rows_for(1 << 22) == 1 << 16 and rows_for(1 << 40) == 1 << 18
 
 
 def test_language_model_of_nothing(no_docs):
@@ -243,3 +244,27 @@ def test_pipeline_stages(spark, docs, rows, tmp_path, name):
     packed = corpus_pipeline.STAGES[-1][1](spark, own, str(tmp_path))
     assert packed.where("piece = 0").count() == own.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_lists_follow_cores_and_tokens():
+    assert lists_for(0, 10, 8) == 8 and lists_for(100_000_000, 10, 8) == 25 and lists_for(10**12, 1 << 24, 4000) == 10**12 >> 24
+
+
+def test_any_number_of_lists_merges_to_their_average(spark, monkeypatch):
+    """More lists than two merges take: what comes out is the average by tokens of what each part makes alone."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(maxent_lm, "FAN_IN", 3)
+    head, weights = small_model()
+    r = np.random.default_rng(3)
+    parts = [r.integers(0, 8, r.integers(5, 40)).astype(np.int32) for _ in range(31)]
+    sent = spark.sparkContext.broadcast(head)
+    rows = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(parts)], "i int, codes binary")
+    one = [train(rows.where(F.col("i") == i).coalesce(1), sent, weights, 0).astype(np.float64) for i in (0, 7)]
+    two = train(rows.where("i IN (0, 7)").repartitionByRange(2, "i"), sent, weights, 0)
+    n = [len(parts[i]) for i in (0, 7)]
+    assert np.allclose(two, (one[0] * n[0] + one[1] * n[1]) / sum(n), atol=4e-3)
+    monkeypatch.setattr(maxent_lm, "lists_for", lambda *a: 31)
+    many = train(rows.repartitionByRange(31, "i"), sent, weights, 0)
+    alone = [train(rows.where(F.col("i") == i).coalesce(1), sent, weights, 0).astype(np.float64) for i in (0, 30)]
+    assert many.shape == weights.shape and np.isfinite(many).all() and not np.allclose(many, weights) and np.abs(many - weights).max() <= max(np.abs(a - weights).max() for a in alone) + 1
