@@ -204,24 +204,36 @@ def picked(rows: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.withColumn("place", place).crossJoin(F.broadcast(bitmap)).where(inside).drop("place", "bitmap")  # one row
 
 
+def running(lengths: Column) -> Column:
+    """Sums of an array up to each of its places: each pass adds what stands 1, 2, 4, ... places before."""
+    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(lengths))).cast("int"), F.lit(0)))
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(0))
+
+    return F.aggregate(passes, lengths, add)
+
+
 def spans(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, number, end) of a rule's matches, leftmost and non-overlapping, in code points.
 
-    The text between matches and the matches themselves give the places: their lengths add up.
+    The text between matches and the matches themselves give the places: their lengths add up. The work is that of the
+    expression and of log n passes over its n matches.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    joined = F.zip_with(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))), parts, lambda x, p: F.struct(x["m"].alias("m"), x["g"].alias("g"), F.length(p).alias("p")))
-    kind = "struct<at:int,out:array<struct<start:int,number:int,end:int>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,number:int,end:int>>").alias("out")).cast(kind)
+    # The split's last piece follows the last match: zip_with leaves a row without a match, which is cut off.
+    joined = F.zip_with(F.zip_with(found, gaps, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))), parts, lambda x, p: F.struct(x["m"].alias("m"), x["g"].alias("g"), F.length(p).alias("p")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + x["m"]
-        own = F.array(F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["p"] >= rule.least, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out")).cast(kind)
+    def placed(each: Column) -> Column:
+        ends = running(F.transform(each, lambda x: x["m"] + x["g"]))
+        own = F.zip_with(each, ends, lambda x, e: F.struct((e - x["m"]).alias("start"), F.lit(number).alias("number"), e.alias("end"), x["p"].alias("p")))
+        return F.transform(F.filter(own, lambda x: x["p"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["number"].alias("number"), x["end"].alias("end")))
 
-    return F.when(F.size(found) > 0, F.aggregate(joined, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,number:int,end:int>>"))
+    # An array of one binds what was found to a name, so that the expression is evaluated once.
+    whole = F.filter(joined, lambda x: x["m"].isNotNull())
+    return F.element_at(F.transform(F.array(whole), placed), 1).cast("array<struct<start:int,number:int,end:int>>")
 
 
 def secret_scan(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake.llm.licenses import BASE_PHRASES, evaluate, ExpressionError, MORE_PHRASES, label_of, license_scan, scan, to_postfix, value_of
 from auditlake.llm.secrets import BASE_RULES, MORE_RULES, Rule, candidates, derived, index_terms, keyed, picked, postings, secret_scan, trigram_query
@@ -292,3 +293,16 @@ def test_the_fit_takes_the_same_copy_each_time(spark):
 
 def test_empty_tables(no_docs):
     assert license_scan(no_docs).count() == 0 and secret_scan(no_docs).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """The work doesn't grow with the square of a text's matches."""
+    import time
+
+    from auditlake.llm.secrets import secret_scan
+
+    line = "token=abcdefgh12 x\n"
+    df = spark.createDataFrame([(1, line * 200_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = secret_scan(df).select("doc_id", "n_assign", "n_access", F.element_at("found", -1).alias("last")).first()
+    assert (got["n_assign"], got["n_access"], got["last"]["start"]) == (200_000, 0, 199_999 * len(line)) and time.perf_counter() - began < 60
