@@ -24,15 +24,24 @@ RECOMMENDATION_RULES = (
     ("11", "review", "conflicting_canonicals", "parsed_as_html AND canonical_conflicting"), ("11", "review", "missing_canonical", "parsed_as_html AND canonical_presence = 'missing'"),
     ("11b", "review", "severe_parser_recovery", "parser_recovered"),
 )
-#: State, action, reason of an entry or page. Fixed values.
-COMPARISON_SQL = """CASE WHEN identity IS NULL THEN 'sitemap_only_unverified review not_observed_in_selected_crawl'
- WHEN present AND redirect_count > 0 AND final_identity IS NOT NULL THEN 'redirected_sitemap_url remove redirected_url' WHEN present AND redirect_count > 0 THEN 'redirected_sitemap_url review redirect_target_requires_review'
- WHEN present AND (meta_noindex OR header_noindex) THEN 'noindex_sitemap_url remove noindex_url' WHEN present AND canonical_identity <> identity THEN 'canonicalized_sitemap_url remove canonical_points_elsewhere'
- WHEN present AND category <> 'missing' AND (category <> 'html' OR NOT parsed_as_html) THEN 'non_html_sitemap_url remove non_html_content' WHEN fetch_failed THEN 'sitemap_only_unverified review crawl_evidence_failed'
- WHEN present AND recommendation = 'exclude' THEN 'in_sitemap_but_excluded remove recommendation_exclude' WHEN present AND recommendation = 'review' THEN 'in_sitemap_but_excluded review recommendation_review'
- WHEN present AND recommendation = 'indeterminate' THEN 'in_sitemap_but_excluded review recommendation_indeterminate' WHEN present THEN 'in_sitemap_and_eligible unchanged eligible_already_present'
- WHEN recommendation = 'include' THEN 'missing_from_sitemap add eligible_missing_from_sitemap' WHEN recommendation = 'exclude' THEN 'in_sitemap_but_excluded review recommendation_exclude'
- WHEN recommendation = 'review' THEN 'in_sitemap_but_excluded review recommendation_review' ELSE 'in_sitemap_but_excluded review recommendation_indeterminate' END"""
+#: State, action, reason and condition of an entry or page; the first that holds counts. Fixed values.
+COMPARISONS = (
+    ("sitemap_only_unverified", "review", "not_observed_in_selected_crawl", "identity IS NULL"),
+    ("redirected_sitemap_url", "remove", "redirected_url", "present AND redirect_count > 0 AND final_identity IS NOT NULL"),
+    ("redirected_sitemap_url", "review", "redirect_target_requires_review", "present AND redirect_count > 0"),
+    ("noindex_sitemap_url", "remove", "noindex_url", "present AND (meta_noindex OR header_noindex)"),
+    ("canonicalized_sitemap_url", "remove", "canonical_points_elsewhere", "present AND canonical_identity <> identity"),
+    ("non_html_sitemap_url", "remove", "non_html_content", "present AND category <> 'missing' AND (category <> 'html' OR NOT parsed_as_html)"),
+    ("sitemap_only_unverified", "review", "crawl_evidence_failed", "fetch_failed"),
+    ("in_sitemap_but_excluded", "remove", "recommendation_exclude", "present AND recommendation = 'exclude'"),
+    ("in_sitemap_but_excluded", "review", "recommendation_review", "present AND recommendation = 'review'"),
+    ("in_sitemap_but_excluded", "review", "recommendation_indeterminate", "present AND recommendation = 'indeterminate'"),
+    ("in_sitemap_and_eligible", "unchanged", "eligible_already_present", "present"),
+    ("missing_from_sitemap", "add", "eligible_missing_from_sitemap", "recommendation = 'include'"),
+    ("in_sitemap_but_excluded", "review", "recommendation_exclude", "recommendation = 'exclude'"),
+    ("in_sitemap_but_excluded", "review", "recommendation_review", "recommendation = 'review'"),
+    ("in_sitemap_but_excluded", "review", "recommendation_indeterminate", "true"),
+)
 COMPARED_RECOMMENDATION_SQL = """CASE WHEN identity IS NULL THEN NULL WHEN fetch_failed THEN 'indeterminate' WHEN redirect_count > 0 THEN 'exclude' WHEN meta_noindex OR header_noindex THEN 'exclude'
  WHEN canonical_identity <> identity THEN 'exclude' WHEN category <> 'html' OR NOT parsed_as_html THEN 'exclude' WHEN http_status = 200 THEN 'include' ELSE 'review' END"""
 
@@ -55,8 +64,8 @@ def comparison(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """key, present, recommendation, state, action, reason for every page and sitemap entry (column key), by full outer join."""
     joined = entries.select(F.col("key").alias("entry")).distinct().join(pages, F.col("entry") == F.col("identity"), "full_outer")
     own = joined.withColumn("present", F.col("entry").isNotNull()).withColumn("recommendation", F.expr(COMPARED_RECOMMENDATION_SQL))
-    words = F.split(F.expr(COMPARISON_SQL), " ")
-    return own.select(F.coalesce("identity", "entry").alias("key"), "present", "recommendation", words[0].alias("state"), words[1].alias("action"), words[2].alias("reason"))
+    outcome = F.coalesce(*(F.when(F.expr(when), F.struct(F.lit(state).alias("state"), F.lit(action).alias("action"), F.lit(reason).alias("reason"))) for state, action, reason, when in COMPARISONS))
+    return own.withColumn("o", outcome).select(F.coalesce("identity", "entry").alias("key"), "present", "recommendation", "o.state", "o.action", "o.reason")
 
 
 PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("locations", T.ArrayType(T.StringType())), T.StructField("finding", T.StringType())])

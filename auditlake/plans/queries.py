@@ -298,8 +298,15 @@ ENTRIES = f"SELECT identity AS key FROM crawl WHERE in_sitemap UNION ALL SELECT
 
 
 @query(f"""WITH {duck_crawl()}, entries AS ({ENTRIES.replace("SHA_OF(", "sha256(")}), joined AS (SELECT e.key AS entry, p.*, e.key IS NOT NULL AS present FROM entries e FULL OUTER JOIN crawl p ON e.key = p.identity),
-  compared AS (SELECT *, {sitemap.COMPARED_RECOMMENDATION_SQL} AS recommendation FROM joined), worded AS (SELECT *, {sitemap.COMPARISON_SQL} AS words FROM compared)
-  SELECT coalesce(identity, entry) AS key, present, recommendation, split_part(words, ' ', 1) AS state, split_part(words, ' ', 2) AS action, split_part(words, ' ', 3) AS reason FROM worded""")
+  compared AS (SELECT *, CASE WHEN identity IS NULL THEN NULL WHEN fetch_failed THEN 'indeterminate' WHEN redirect_count > 0 OR meta_noindex OR header_noindex OR coalesce(canonical_identity, identity) <> identity OR category <> 'html' OR NOT parsed_as_html THEN 'exclude' WHEN http_status = 200 THEN 'include' ELSE 'review' END AS recommendation FROM joined),
+  -- What is listed is judged by what the crawl saw of it, what isn't by the recommendation alone.
+  judged AS (SELECT *, CASE WHEN identity IS NULL THEN ['sitemap_only_unverified', 'review', 'not_observed_in_selected_crawl']
+    WHEN NOT present THEN CASE WHEN fetch_failed THEN ['sitemap_only_unverified', 'review', 'crawl_evidence_failed'] WHEN recommendation = 'include' THEN ['missing_from_sitemap', 'add', 'eligible_missing_from_sitemap'] ELSE ['in_sitemap_but_excluded', 'review', 'recommendation_' || recommendation] END
+    WHEN redirect_count > 0 THEN CASE WHEN final_identity IS NULL THEN ['redirected_sitemap_url', 'review', 'redirect_target_requires_review'] ELSE ['redirected_sitemap_url', 'remove', 'redirected_url'] END
+    WHEN meta_noindex OR header_noindex THEN ['noindex_sitemap_url', 'remove', 'noindex_url'] WHEN coalesce(canonical_identity, identity) <> identity THEN ['canonicalized_sitemap_url', 'remove', 'canonical_points_elsewhere']
+    WHEN category NOT IN ('missing', 'html') OR (category = 'html' AND NOT parsed_as_html) THEN ['non_html_sitemap_url', 'remove', 'non_html_content'] WHEN fetch_failed THEN ['sitemap_only_unverified', 'review', 'crawl_evidence_failed']
+    WHEN recommendation = 'include' THEN ['in_sitemap_and_eligible', 'unchanged', 'eligible_already_present'] ELSE ['in_sitemap_but_excluded', CASE WHEN recommendation = 'exclude' THEN 'remove' ELSE 'review' END, 'recommendation_' || recommendation] END AS o FROM compared)
+  SELECT coalesce(identity, entry) AS key, present, recommendation, o[1] AS state, o[2] AS action, o[3] AS reason FROM judged""")
 def sitemap_comparison(spark: SparkSession, d: str) -> DataFrame:
     crawl = Site(spark, d).crawl_once()
     entries = spark.sql(ENTRIES.replace(f"SHA_OF(concat('{SITE}old/', page_id))", f"sha2(concat('{SITE}old/', page_id), 256)").replace("FROM crawl", "FROM {crawl}"), crawl=crawl)
