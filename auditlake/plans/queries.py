@@ -132,9 +132,22 @@ TARGET_EVIDENCE = """SELECT t.target_page, p.identity AS target_identity, p.http
   CASE WHEN p.redirect_count = 2 AND p.page_id % 3 = 0 THEN 1 WHEN p.redirect_count = 1 AND p.page_id % 2 = 1 THEN 1 ELSE 0 END AS n_temporary,
   p.page_id % 71 <> 14 AS source_available, p.page_id % 73 = 15 AS source_partial, p.page_id % 67 <> 16 AS internal, p.page_id % 79 <> 18 AS in_scope, p.page_id % 68 <> 22 AS final_internal, p.page_id % 51 <> 5 AS final_in_scope
   FROM crawl p JOIN (SELECT target_page, count(DISTINCT source_page) AS source_pages, count(*) AS occurrences, count(DISTINCT source_page) / (SELECT count(*) FROM crawl) >= 0.5 AS wide FROM links GROUP BY target_page) t ON p.page_id = t.target_page"""
-CLASSIFIED = f"""outcome AS (SELECT *, {", ".join(f"{links.outcome_sql(n)} AS {'severity0' if n == 'severity' else n}" for n in links.OUTCOME)} FROM evidence),
-  classified AS (SELECT target_page, target_identity, source_pages, occurrences, {", ".join('severity0' if n == 'severity' else n for n in links.OUTCOME)}, sitewide FROM outcome),
-  final AS (SELECT *, CASE WHEN sitewide AND broken_state = 'broken_internal_link' THEN 'critical' ELSE severity0 END AS severity FROM classified)"""
+#: The outcome of each target, stated by hand: state, reason, redirect state and reason, severity, action, confidence.
+CLASSIFIED = """outcome AS (SELECT *, CASE
+    WHEN NOT source_available OR source_partial THEN ['source_page_unavailable', CASE WHEN source_available THEN 'source_parse_partial' ELSE 'source_fetch_failed' END, 'no_redirect', 'none', 'medium', 'review', 'low']
+    WHEN NOT internal THEN ['external_link_not_audited', 'external_target', 'no_redirect', 'none', 'info', 'no_action', 'high'] WHEN NOT in_scope THEN ['out_of_scope_internal_target', 'target_out_of_scope', 'no_redirect', 'none', 'medium', 'review', 'low']
+    WHEN redirect_loop THEN ['redirecting_internal_link', 'redirect', 'redirect_loop', 'redirect_loop_detected', 'critical', 'replace_redirect', 'high']
+    WHEN hop_count = 0 THEN CASE WHEN category NOT IN ('html', 'missing') THEN ['target_non_html', 'target_non_html', 'no_redirect', 'none', 'medium', 'review', 'medium']
+      WHEN http_status >= 400 THEN ['broken_internal_link', CASE http_status WHEN 404 THEN 'target_404' WHEN 410 THEN 'target_410' ELSE CASE WHEN http_status < 500 THEN 'target_other_4xx' ELSE 'target_5xx' END END, 'no_redirect', 'none', 'high', 'remove_link', 'high']
+      WHEN http_status IS NULL THEN ['target_fetch_failed', CASE failure_code WHEN 'connect_timeout' THEN 'target_timeout' WHEN 'dns_error' THEN 'target_dns_failure' ELSE 'target_fetch_failed' END, 'no_redirect', 'none', 'medium', 'review', 'medium']
+      ELSE ['working_internal_link', 'working', 'no_redirect', 'none', 'info', 'no_action', 'high'] END
+    WHEN NOT final_internal THEN ['redirecting_internal_link', 'redirect', 'redirect_to_external_target', 'redirect_target_external', 'medium', 'review', 'medium'] WHEN NOT final_in_scope THEN ['redirecting_internal_link', 'redirect', 'redirect_to_out_of_scope_target', 'redirect_target_out_of_scope', 'medium', 'review', 'low']
+    WHEN category NOT IN ('html', 'missing') THEN ['redirecting_internal_link', 'redirect', 'redirect_to_non_html_target', 'redirect_target_non_html', 'medium', 'review', 'medium'] WHEN http_status IS NULL THEN ['target_fetch_failed', 'target_fetch_failed', 'redirect_unverified', 'redirect_target_fetch_failed', 'high', 'review', 'low']
+    WHEN http_status >= 500 THEN ['redirecting_internal_link', 'redirect', 'redirect_to_broken_target', 'redirect_target_5xx', 'critical', 'review', 'high']
+    WHEN http_status >= 400 THEN ['redirecting_internal_link', 'redirect', 'redirect_to_broken_target', CASE http_status WHEN 404 THEN 'redirect_target_404' WHEN 410 THEN 'redirect_target_410' ELSE 'redirect_target_other_4xx' END, 'high', 'review', 'high']
+    ELSE ['redirecting_internal_link', 'redirect', CASE WHEN hop_count = 1 THEN 'single_redirect' ELSE 'redirect_chain' END, CASE WHEN hop_count > 1 AND n_permanent > 0 AND n_temporary > 0 THEN 'mixed_redirect_chain' WHEN n_permanent = hop_count THEN 'permanent_redirect' ELSE 'temporary_redirect' END,
+      CASE WHEN hop_count = 1 THEN 'medium' ELSE 'high' END, 'update_link_to_final_destination', 'high'] END AS o FROM evidence),
+  final AS (SELECT target_page, target_identity, source_pages, occurrences, sitewide, o[1] AS broken_state, o[2] AS reason, o[3] AS redirect_state, o[4] AS redirect_reason, CASE WHEN sitewide AND o[1] = 'broken_internal_link' THEN 'critical' ELSE o[5] END AS severity, o[6] AS action, o[7] AS confidence FROM outcome)"""
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +209,15 @@ def crawl_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 # -- internal-link graph ----------------------------------------------------------------------------------------------
 
-NODES = f"""nodes0 AS (SELECT p.*, EXISTS (SELECT 1 FROM crawl c WHERE c.identity = p.canonical_identity AND p.canonical_identity <> p.identity) AS known_canonical FROM crawl p), nodes AS (SELECT *, {graph.ELIGIBILITY_SQL} AS eligibility FROM nodes0)"""
+#: States of pages and anchors, stated by hand.
+ELIGIBLE_BY_HAND = """CASE WHEN redirect_count >= 1 THEN 'redirect_source' WHEN known_canonical AND NOT canonical_conflicting THEN 'canonical_duplicate' WHEN http_status IS NULL THEN 'unverified' WHEN http_status < 200 OR http_status >= 300 THEN 'excluded_broken'
+  WHEN NOT parsed_as_html THEN 'excluded_non_html' WHEN robots_allowed AND NOT meta_noindex AND NOT header_noindex THEN 'eligible' ELSE 'excluded_noindex' END"""
+ORPHAN_BY_HAND = """CASE eligibility WHEN 'unverified' THEN 'unverified' WHEN 'eligible' THEN CASE WHEN distance = 0 THEN 'seed_page' WHEN referrers = 0 THEN CASE WHEN in_sitemap THEN 'sitemap_only' ELSE 'true_orphan' END WHEN redirect_in > 0 AND direct_in = 0 THEN 'redirect_only' WHEN nofollow_in = inbound THEN 'nofollow_only' ELSE 'not_orphan' END ELSE 'excluded' END"""
+STATE_BY_HAND = """CASE eligibility WHEN 'redirect_source' THEN 'redirect_source' WHEN 'canonical_duplicate' THEN 'canonical_duplicate' WHEN 'unverified' THEN 'unverified_page' WHEN 'eligible' THEN CASE WHEN orphan_state = 'true_orphan' OR orphan_state = 'sitemap_only' THEN 'orphan_candidate' WHEN distance >= 5 THEN 'deep_page'
+  WHEN referrers <= 1 THEN 'low_inlink_count' WHEN outbound >= 101 THEN 'high_outlink_count' WHEN hub THEN 'hub_candidate' WHEN authority THEN 'authority_candidate' ELSE 'reachable' END ELSE 'excluded_page' END"""
+ANCHOR_BY_HAND = """CASE WHEN target_redirected THEN 'redirecting_target' WHEN target_status >= 400 THEN 'broken_target' WHEN len(anchor) = 0 THEN 'empty' WHEN list_contains(['click here', 'here', 'learn more', 'more', 'read more', 'this page'], anchor) THEN 'generic' WHEN regexp_matches(anchor, '^(https?://|www[.])') THEN 'url'
+  WHEN total >= 3 AND share > 0.8 THEN 'concentrated' WHEN target_anchors >= 2 THEN 'multiple_to_target' WHEN anchor_targets >= 2 THEN 'duplicate_to_targets' ELSE 'healthy' END"""
+NODES = f"""nodes0 AS (SELECT p.*, EXISTS (SELECT 1 FROM crawl c WHERE c.identity = p.canonical_identity AND p.canonical_identity <> p.identity) AS known_canonical FROM crawl p), nodes AS (SELECT *, {ELIGIBLE_BY_HAND} AS eligibility FROM nodes0)"""
 EDGES = """sides AS (SELECT l.seq, s.identity AS source, t.identity AS target, lower(trim(anchor)) AS anchor, nofollow FROM links l JOIN crawl s ON s.page_id = l.source_page JOIN crawl t ON t.page_id = l.target_page),
   pairs AS (SELECT source, target, count(*) AS occurrences, count(*) FILTER (WHERE nofollow) AS nofollows, array_to_string(list_sort(list_distinct(list(anchor))), '|') AS anchors FROM sides GROUP BY source, target),
   wide AS (SELECT target, (SELECT count(*) FROM nodes WHERE eligibility = 'eligible') >= 5 AND count(*) / (SELECT count(*) FROM nodes WHERE eligibility = 'eligible') >= 0.5 AS sitewide FROM pairs GROUP BY target),
@@ -236,8 +257,8 @@ METRICS = f"""status AS (SELECT identity AS target, http_status AS target_status
     FROM edges LEFT JOIN status USING (target) GROUP BY source),
   m0 AS (SELECT page_id, eligibility, in_sitemap, distance, (SELECT count(*) FROM nodes WHERE eligibility = 'eligible') AS eligible_pages, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("inbound", "referrers", "direct_in", "redirect_in", "nofollow_in", "sitewide_in", "own_referrers", "outbound", "destinations", "moved_out", "broken_out"))}
     FROM nodes LEFT JOIN i USING (identity) LEFT JOIN o USING (identity) LEFT JOIN reach USING (identity)),
-  m1 AS (SELECT *, eligible_pages >= 5 AND destinations >= 10 AND outbound <= 100 AND broken_out = 0 AND moved_out = 0 AS hub, eligible_pages >= 5 AND own_referrers >= 5 AS authority, {graph.ORPHAN_SQL} AS orphan_state FROM m0),
-  metrics AS (SELECT *, {graph.STATE_SQL} AS primary_state FROM m1)"""
+  m1 AS (SELECT *, eligible_pages >= 5 AND destinations >= 10 AND outbound <= 100 AND broken_out = 0 AND moved_out = 0 AS hub, eligible_pages >= 5 AND own_referrers >= 5 AS authority, {ORPHAN_BY_HAND} AS orphan_state FROM m0),
+  metrics AS (SELECT *, {STATE_BY_HAND} AS primary_state FROM m1)"""
 
 
 @query(f"{GRAPH}, {REACH}, {METRICS} SELECT page_id, eligibility, inbound, referrers, direct_in, redirect_in, nofollow_in, sitewide_in, outbound, destinations, broken_out, distance, hub, authority, orphan_state, primary_state FROM metrics")
@@ -249,7 +270,7 @@ def graph_page_metrics(spark: SparkSession, d: str) -> DataFrame:
 ANCHORS = f"""per AS (SELECT target, anchor, count(*) AS occurrences, count(DISTINCT source) AS source_pages FROM sides GROUP BY target, anchor),
   anchored AS (SELECT per.*, sum(occurrences) OVER (PARTITION BY target) AS total, count(*) OVER (PARTITION BY target) AS target_anchors, count(*) OVER (PARTITION BY anchor) AS anchor_targets, redirect_count > 0 AS target_redirected, http_status AS target_status
     FROM per JOIN crawl ON identity = target), shared AS (SELECT *, occurrences / total AS share FROM anchored),
-  named AS (SELECT target, anchor, occurrences, source_pages, share, {graph.ANCHOR_STATE_SQL} AS anchor_state FROM shared)"""
+  named AS (SELECT target, anchor, occurrences, source_pages, share, {ANCHOR_BY_HAND} AS anchor_state FROM shared)"""
 
 
 @query(f"{GRAPH}, {ANCHORS} SELECT * FROM named")
