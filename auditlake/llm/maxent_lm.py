@@ -158,18 +158,25 @@ def features(hashes: np.ndarray, buckets: int, classes: np.ndarray | None = None
     return ((hashes >> np.uint64(20)) & np.uint64(buckets - 1)).astype(np.int64) + kinds * buckets
 
 
+def taken(table: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The first n columns of rows of a table."""
+    out = table.take(rows, axis=0)
+    return out if n == table.shape[1] else out[:, :n]
+
+
 def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     n = bias.shape[-1]
-    z = weights[rows[0], :n] + bias
+    z = taken(weights, rows[0], n) + bias
     for kind in rows[1:]:
-        z += weights[kind, :n]
+        z += taken(weights, kind, n)
     return z
 
 
 def log_probability(z: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Natural logs of the softmax at the classes given."""
-    top = z.max(axis=1)
-    return z[np.arange(len(z)), classes] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    """Natural logs of the softmax at the classes given; z is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), classes]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def log_scores(head: Head, weights: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -187,20 +194,25 @@ def log_scores(head: Head, weights: np.ndarray, codes: np.ndarray, starts: np.nd
 
 def step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, rows: np.ndarray, goal: np.ndarray, rate: float) -> None:
     """One adaptive gradient step of a softmax."""
-    z = logits(weights, bias, rows)
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
+    p = logits(weights, bias, rows)
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(len(goal)), goal] -= 1
+    n = p.shape[1]
     for kind in rows:
-        order = np.argsort(kind)
-        own = kind[order]
+        order = np.argsort(kind.astype(np.int32))
+        own = kind.take(order)
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        used = own[first]
-        g = np.add.reduceat(p[order], first, axis=0) / np.sqrt(np.diff(first, append=len(own)))[:, None].astype(np.float32)
-        n = g.shape[1]
-        squares[used, :n] += g * g
-        weights[used, :n] -= rate * g / np.sqrt(squares[used, :n])
+        used, times = own.take(first), np.diff(first, append=len(own))
+        g = np.add.reduceat(p.take(order, axis=0), first, axis=0)
+        g /= np.sqrt(times.astype(np.float32))[:, None]
+        seen = taken(squares, used, n) + g * g
+        squares[used, :n] = seen
+        np.sqrt(seen, out=seen)
+        g *= rate
+        g /= seen
+        weights[used, :n] = taken(weights, used, n) - g
 
 
 class Codes(dict):
