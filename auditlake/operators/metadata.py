@@ -97,19 +97,26 @@ def issues(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", state.alias("determinacy"), F.explode(hit).alias("code")).join(F.broadcast(kinds), "code").select("page_id", "code", "category", "severity", "determinacy")
 
 
-def duplicate_groups(pages: DataFrame, value: str, by: list[str], kind: str, sample: int = 20) -> DataFrame:
-    """Groups of two or more pages whose value is equal under NFKC, case folding and collapsed white space.
+def _keyed(pages: DataFrame, value: str) -> DataFrame:
+    return pages.where(F.col(value).isNotNull()).withColumn("normal", nfkc_casefold(F.col(value))).where("normal <> ''")
 
-    Members are counted whole; first_page is the smallest page_id, and sample the smallest `sample` ones, kept by a top-k
-    for each group, so that a group is never gathered.
+
+def duplicate_groups(pages: DataFrame, value: str, by: list[str], kind: str) -> DataFrame:
+    """Groups of two or more pages whose value is equal under NFKC, case folding and collapsed white space; first_page is the smallest page_id."""
+    grouped = _keyed(pages, value).groupBy(*by, "normal").agg(F.count(F.lit(1)).alias("members"), F.min("page_id").alias("first_page"))
+    return grouped.where("members >= 2").select(*by, F.lit(kind).alias("kind"), F.sha2("normal", 256).alias("group_hash"), "members", "first_page")
+
+
+def duplicate_samples(pages: DataFrame, value: str, by: list[str], kind: str, sample: int = 20) -> DataFrame:
+    """duplicate_groups with sample: the smallest `sample` page_ids, kept by a top-k for each group, so that a group is never gathered.
+
+    Reads pages twice: they should be a written table.
     """
-    keyed = pages.where(F.col(value).isNotNull()).withColumn("normal", nfkc_casefold(F.col(value))).where("normal <> ''")
-    grouped = keyed.groupBy(*by, "normal").agg(F.count(F.lit(1)).alias("members"), F.min("page_id").alias("first_page"))
-    large = grouped.where("members >= 2")
-    place = F.row_number().over(Window.partitionBy(*by, "normal").orderBy("page_id"))
-    listed = keyed.select(*by, "normal", "page_id").withColumn("place", place).where(F.col("place") <= sample)
-    samples = listed.groupBy(*by, "normal").agg(F.array_join(F.array_sort(F.collect_list("page_id")).cast("array<string>"), ",").alias("sample"))
-    return large.join(samples, [*by, "normal"]).select(*by, F.lit(kind).alias("kind"), F.sha2("normal", 256).alias("group_hash"), "members", "first_page", "sample")
+    keyed = _keyed(pages, value).select(*by, "page_id", F.sha2("normal", 256).alias("group_hash"))
+    place = F.row_number().over(Window.partitionBy(*by, "group_hash").orderBy("page_id"))
+    listed = keyed.withColumn("place", place).where(F.col("place") <= sample)
+    samples = listed.groupBy(*by, "group_hash").agg(F.array_join(F.array_sort(F.collect_list("page_id")).cast("array<string>"), ",").alias("sample"))
+    return duplicate_groups(pages, value, by, kind).join(samples, [*by, "group_hash"])
 
 
 def duplicate_issues(pages: DataFrame, value: str, code: str) -> DataFrame:

@@ -289,3 +289,10 @@ def test_image_and_block_aggregates(spark):
     counts = spark.createDataFrame([("a", 2), ("b", 5)], "run string, stored long")
     actual = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "run string")
     assert {(r.run, r.stored, r.actual) for r in resultset.reconciled(counts, actual, "run", "stored").collect()} == {("b", 5, 1), ("c", None, 1)}
+
+
+def test_duplicate_titles_and_their_samples(spark):
+    titles = ["Red  Boots", "red boots", "ＲＥＤ boots", "Straße", "STRASSE", "alone", "", None]
+    df = spark.createDataFrame([(10 - i, t) for i, t in enumerate(titles)], "page_id long, title string")
+    assert {(r.members, r.first_page) for r in metadata.duplicate_groups(df, "title", [], "title").collect()} == {(3, 8), (2, 6)}
+    assert {(r.kind, r.members, r.first_page, r.sample) for r in metadata.duplicate_samples(df, "title", [], "title", 2).collect()} == {("title", 3, 8, "8,9"), ("title", 2, 6, "6,7")}
