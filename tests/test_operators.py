@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import governance, graph, images, links, migration, resultset, structured
+from auditlake.operators import governance, graph, images, links, metadata, migration, resultset, structured
 from auditlake.functions.urls import governed_url, normalize_url
 
 
