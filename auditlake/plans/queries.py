@@ -317,9 +317,13 @@ def robots_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recommended_sql() -> str:
-    own = {k: "[x FOR x IN [" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for _, o, r, c in sitemap.RECOMMENDATION_RULES if o == k) + "] IF x IS NOT NULL]" for k in ("hard", "indeterminate", "review")}
-    return f"""recommended0 AS (SELECT page_id, {", ".join(f"{v} AS {k}" for k, v in own.items())} FROM crawl), recommended AS (SELECT page_id, CASE WHEN len(hard) > 0 THEN 'exclude' WHEN len(indeterminate) > 0 THEN 'indeterminate' WHEN len(review) > 0 THEN 'review' ELSE 'include' END AS state,
-      coalesce(hard[1], indeterminate[1], review[1], 'eligible_html_page') AS primary_reason, array_to_string(hard || indeterminate || review, ',') AS reasons FROM recommended0)"""
+    """What keeps a page out of a sitemap, and what asks for a look at it, stated by hand; no page of the tables lacks robots evidence."""
+    return """target AS (SELECT *, canonical_page <> CASE WHEN redirect_count > 0 THEN page_id - 1 ELSE page_id END AS elsewhere FROM crawl),
+    recommended0 AS (SELECT page_id,
+      list_filter([CASE WHEN NOT robots_allowed THEN 'robots_denied' END, CASE WHEN http_status IS NULL THEN 'fetch_failed' END, CASE WHEN redirect_count > 0 THEN 'redirect_source' END, CASE WHEN http_status <> 200 THEN 'non_200_status' END, CASE WHEN category = 'pdf' THEN 'non_html_content' END,
+        CASE WHEN meta_noindex OR header_noindex THEN 'generic_noindex' END, CASE WHEN parsed_as_html AND elsewhere AND NOT canonical_conflicting THEN 'canonical_points_elsewhere' END], lambda x: x IS NOT NULL) AS hard,
+      list_filter([CASE WHEN parsed_as_html AND canonical_conflicting THEN 'conflicting_canonicals' END, CASE WHEN parsed_as_html AND canonical_page IS NULL THEN 'missing_canonical' END, CASE WHEN parser_recovered THEN 'severe_parser_recovery' END], lambda x: x IS NOT NULL) AS review FROM target),
+    recommended AS (SELECT page_id, CASE WHEN len(hard) > 0 THEN 'exclude' WHEN len(review) > 0 THEN 'review' ELSE 'include' END AS state, coalesce(hard[1], review[1], 'eligible_html_page') AS primary_reason, array_to_string(hard || review, ',') AS reasons FROM recommended0)"""
 
 
 @query(f"WITH {duck_crawl()}, {_recommended_sql()} SELECT * FROM recommended")
@@ -385,8 +389,19 @@ def governance_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts_sql() -> str:
-    own = ", ".join(f"{v} AS {k}" for k, v in combined.FACTS.items())
-    return f"WITH {duck_crawl()}, {_recommended_sql()}, facts0 AS (SELECT crawl.*, recommended.state AS recommendation, {own} FROM crawl JOIN recommended USING (page_id)), facts AS (SELECT *, {combined.COMBINED_SITEMAP_SQL} AS sitemap_state FROM facts0)"
+    """The facts of a URL, stated by hand."""
+    return f"""WITH {duck_crawl()}, {_recommended_sql()}, facts0 AS (SELECT crawl.*, recommended.state AS recommendation, CASE WHEN http_status IS NULL THEN 'failed' ELSE 'fetched' END AS fetch_state, CASE WHEN parsed_as_html THEN 'parsed_html' ELSE 'not_html' END AS parse_state,
+      CASE WHEN robots_allowed THEN 'allowed' ELSE 'blocked' END AS robots_state, CASE redirect_count WHEN 0 THEN 'not_redirected' ELSE 'redirected' END AS redirect_state,
+      CASE WHEN canonical_page IS NULL THEN 'missing' WHEN canonical_page = page_id OR (redirect_count > 0 AND canonical_page = page_id - 1) THEN 'canonical' ELSE 'indeterminate' END AS canonical_state, CASE WHEN NOT robots_allowed THEN 'not_indexable' WHEN parsed_as_html THEN 'indexable' ELSE 'indeterminate' END AS indexability
+      FROM crawl JOIN recommended USING (page_id)),
+    facts AS (SELECT *, CASE WHEN evidence_state <> 'complete' THEN 'indeterminate' WHEN http_status >= 400 THEN 'broken' WHEN category <> 'html' THEN 'non_html' WHEN redirect_count > 0 THEN 'redirect_source' WHEN canonical_state <> 'canonical' THEN 'indeterminate'
+      WHEN recommendation = 'include' THEN CASE WHEN in_sitemap THEN 'valid_unchanged' ELSE 'add' END WHEN recommendation = 'review' THEN 'review' WHEN in_sitemap THEN 'remove' WHEN robots_allowed THEN 'excluded_by_rule' ELSE 'not_crawlable' END AS sitemap_state FROM facts0)"""
+
+
+#: The populations that each URL belongs to, stated by hand.
+POPULATIONS_BY_HAND = """SELECT population, count(*) AS urls FROM (SELECT unnest(['discovered', 'enqueued'] || CASE WHEN http_status IS NULL THEN ['failed'] ELSE ['fetched'] || CASE WHEN parsed_as_html THEN [] ELSE ['resource'] END END || CASE WHEN parsed_as_html THEN ['parsed_html'] ELSE [] END
+  || CASE indexability WHEN 'indexable' THEN ['indexable'] ELSE [] END || CASE canonical_state WHEN 'canonical' THEN ['canonical'] ELSE [] END || CASE WHEN parsed_as_html AND robots_allowed AND canonical_state = 'canonical' THEN ['metadata_scoring_eligible'] ELSE [] END
+  || CASE recommendation WHEN 'include' THEN ['sitemap_eligible'] WHEN 'exclude' THEN ['excluded'] ELSE [] END || CASE evidence_state WHEN 'complete' THEN [] ELSE ['partial'] END || CASE WHEN 'indeterminate' IN (indexability, canonical_state) THEN ['indeterminate'] ELSE [] END) AS population FROM facts) GROUP BY population"""
 
 
 @query(_facts_sql() + " SELECT page_id, " + ", ".join(combined.FACTS) + ", sitemap_state FROM facts")
@@ -395,14 +410,17 @@ def combined_url_facts(spark: SparkSession, d: str) -> DataFrame:
     return combined.url_facts(crawl, sitemap.recommendations(crawl)).select("page_id", *combined.FACTS, "sitemap_state")
 
 
-@query(_facts_sql() + " " + " UNION ALL ".join(f"SELECT '{n}' AS population, count(*) AS urls FROM facts WHERE {c} HAVING count(*) > 0" for n, c in combined.POPULATIONS))
+@query(_facts_sql() + " " + POPULATIONS_BY_HAND)
 def populations(spark: SparkSession, d: str) -> DataFrame:
     crawl = Site(spark, d).crawl_once()
     return combined.populations(combined.url_facts(crawl, sitemap.recommendations(crawl)))
 
 
 def _groups_sql() -> str:
-    one = " UNION ALL ".join(f"SELECT page_id, '{c}' AS code, '{m}' AS module, '{s}' AS severity, {i} AS ip, {x} AS sp FROM crawl WHERE {w}" for c, w, m, s, i, x in combined.FINDINGS)
+    one = """SELECT page_id, t[1] AS code, t[2] AS module, t[3] AS severity, CAST(t[4] AS INTEGER) AS ip, CAST(t[5] AS INTEGER) AS sp FROM (SELECT page_id, unnest(list_filter([
+      CASE WHEN parsed_as_html AND (n_titles = 0 OR title = '') THEN ['metadata_title_missing', 'metadata', 'high', '1', '1'] END, CASE WHEN parsed_as_html THEN ['metadata_description_missing', 'metadata', 'medium', '1', '1'] END, CASE WHEN parsed_as_html AND len(title) > 60 THEN ['long_title', 'metadata', 'medium', '1', '1'] END,
+      CASE WHEN http_status >= 400 THEN ['status_error', 'status_and_redirects', 'high', '0', '0'] END, CASE WHEN NOT robots_allowed THEN ['robots_blocked', 'robots_and_indexability', 'high', '0', '0'] END, CASE WHEN parsed_as_html AND canonical_page IS NULL THEN ['canonical_missing', 'canonicals', 'medium', '1', '0'] END
+    ], lambda x: x IS NOT NULL)) AS t FROM crawl)"""
     return f"""WITH {duck_crawl()}, found AS ({one}) SELECT code, module, severity, count(DISTINCT page_id) AS affected, min(page_id) AS first_page,
       printf('%06d|%06d|%06d|%06d|', list_position(['critical', 'high', 'medium', 'low'], severity) - 1, ip, sp, 100000 - least(count(DISTINCT page_id), 100000)) || code AS priority FROM found GROUP BY code, module, severity, ip, sp"""
 
