@@ -596,6 +596,33 @@ MAPPED = f"""new_urls AS (SELECT DISTINCT u AS dest FROM (SELECT unnest([url, fi
     CASE WHEN place IS NULL THEN 'indeterminate' WHEN torn THEN 'low' ELSE [{", ".join(f"'{c}'" for _, c in migration.METHODS)}][place + 1] END AS confidence, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'ambiguous' ELSE 'mapped' END AS state, split FROM chosen),
   mapped AS (SELECT source_url, destination_url, method, confidence, state, CASE WHEN split THEN 'one_to_many' WHEN state IN ('ambiguous', 'unmapped') THEN state WHEN n > 1 THEN 'many_to_one' ELSE 'one_to_one' END AS cardinality
     FROM mapped0 LEFT JOIN (SELECT destination_url, count(*) AS n FROM mapped0 WHERE destination_url IS NOT NULL GROUP BY destination_url) USING (destination_url))"""
+#: A mapping's findings as code:category:severity:action:confidence, stated by hand: redirect, destination, what the old page had, canonical, indexability.
+MIGRATION_BY_HAND = """[
+    CASE WHEN planned AND NOT observed THEN 'redirect_missing:redirect:warning:add_missing_redirect:high' END, CASE WHEN observed AND observed_final IS NOT NULL AND observed_final <> destination_url THEN 'redirect_wrong_destination:redirect:warning:correct_redirect_destination:high' END,
+    CASE WHEN observed_status = 302 OR observed_status = 307 THEN 'redirect_temporary:redirect:warning:replace_temporary_redirect:high' END, CASE WHEN planned AND observed AND observed_status <> 301 THEN 'redirect_status_mismatch:redirect:warning:correct_redirect_destination:high' END,
+    CASE WHEN observed_loop THEN 'redirect_loop:redirect:error:resolve_redirect_loop:high' END, CASE WHEN observed_hops >= 2 THEN 'redirect_chain:redirect:warning:shorten_redirect_chain:high' END, CASE WHEN page_status >= 400 THEN 'redirect_to_error:redirect:error:fix_redirect_to_error:high' END,
+    CASE WHEN page_known AND NOT page_indexable THEN 'redirect_to_nonindexable:redirect:warning:remove_destination_noindex:high' END, CASE WHEN NOT starts_with(destination_url, '{NEW}') AND NOT starts_with(destination_url, '{OLD}') THEN 'redirect_to_external:redirect:warning:correct_redirect_destination:high' END,
+    CASE WHEN starts_with(destination_url, '{OLD}/') THEN 'redirect_to_out_of_scope:redirect:warning:correct_redirect_destination:high' END, CASE WHEN contains(source_url, '?') AND NOT contains(destination_url, '?') THEN 'redirect_query_dropped:redirect:warning:review_query_string_policy:high' END,
+    CASE cardinality WHEN 'many_to_one' THEN 'redirect_many_to_one_review:redirect:warning:review_many_to_one_mapping:medium' END, CASE cardinality WHEN 'many_to_one' THEN 'redirect_destination_collision:redirect:warning:resolve_mapping_conflict:medium' END,
+    CASE cardinality WHEN 'many_to_one' THEN 'content_consolidated:content:warning:review_many_to_one_mapping:medium' END,
+    CASE WHEN NOT page_known THEN 'destination_missing:destination:warning:restore_missing_destination_page:high' END, CASE WHEN NOT page_known THEN 'content_missing:content:error:restore_missing_destination_page:high' END, CASE WHEN page_known AND page_status IS NULL THEN 'destination_status_unknown:destination:warning:fix_destination_error:indeterminate' END,
+    CASE WHEN page_status = 404 THEN 'destination_404:destination:error:restore_missing_destination_page:high' WHEN page_status = 410 THEN 'destination_410:destination:error:restore_missing_destination_page:high' WHEN page_status >= 500 THEN 'destination_5xx:destination:error:fix_destination_error:high'
+      WHEN page_status >= 400 THEN 'destination_other_4xx:destination:warning:fix_destination_error:high' WHEN page_status >= 300 OR page_hops > 0 THEN 'destination_redirecting:destination:warning:correct_redirect_destination:high' END,
+    CASE WHEN page_category <> 'html' THEN 'destination_non_html:destination:warning:fix_destination_error:high' END, CASE WHEN page_known AND NOT page_indexable THEN 'destination_noindex:destination:warning:remove_destination_noindex:high' END, CASE WHEN NOT page_robots THEN 'destination_blocked_by_robots:destination:warning:review_robots_block:high' END,
+    CASE WHEN page_known THEN CASE WHEN page_canonical IS NULL THEN 'destination_canonical_missing:destination:warning:correct_destination_canonical:high' WHEN page_canonical <> destination_url THEN 'destination_canonical_elsewhere:destination:warning:correct_destination_canonical:high' END END,
+    CASE WHEN page_known AND NOT old_known THEN 'source_metadata_unavailable:metadata:warning:review_content_continuity:indeterminate' END, CASE WHEN page_known AND NOT old_known THEN 'content_similarity_indeterminate:content:warning:review_content_continuity:indeterminate' END,
+    CASE WHEN page_known AND old_known AND page_title IS NULL THEN 'title_missing_after_migration:metadata:warning:restore_missing_metadata:high' WHEN title_changed THEN 'title_materially_changed:metadata:warning:review_material_metadata_change:medium' END,
+    CASE WHEN page_known AND old_known AND NOT canonical_same THEN 'canonical_target_changed:metadata:warning:review_canonical_conflict:medium' END,
+    CASE WHEN page_known AND old_description IS NOT NULL AND (page_description IS NULL OR page_description = '') THEN 'meta_description_missing_after_migration:metadata:warning:restore_missing_metadata:high' WHEN description_changed THEN 'meta_description_materially_changed:metadata:warning:review_material_metadata_change:medium' END,
+    CASE WHEN page_known AND old_known AND page_category <> 'html' THEN 'content_type_changed:metadata:warning:review_content_continuity:high' END, CASE WHEN page_known AND old_known AND page_language <> 'en' THEN 'language_changed:metadata:warning:review_material_metadata_change:medium' END,
+    CASE WHEN page_known AND old_indexable AND NOT page_indexable THEN 'indexability_regression:metadata:warning:review_indexability_regression:high' END, CASE WHEN page_known AND old_indexable AND NOT page_indexable THEN 'destination_noindex_regression:indexability:warning:review_indexability_regression:high' END,
+    CASE WHEN starts_with(page_canonical, '{OLD}') THEN 'canonical_points_to_legacy_url:canonical:warning:review_canonical_conflict:high' END, CASE WHEN NOT starts_with(page_canonical, '{NEW}/') THEN 'canonical_points_to_wrong_host:canonical:warning:correct_destination_canonical:high' END,
+    CASE WHEN c_hops > 0 THEN 'canonical_points_to_redirect:canonical:warning:correct_destination_canonical:high' END, CASE WHEN c_status >= 400 THEN 'canonical_points_to_error:canonical:error:correct_destination_canonical:high' END,
+    CASE WHEN page_known AND old_canonical = source_url AND page_canonical IS DISTINCT FROM destination_url THEN 'canonical_self_reference_regression:canonical:warning:review_canonical_conflict:medium' END,
+    CASE WHEN page_canonical <> destination_url THEN 'canonical_conflicts_with_redirect:canonical:warning:review_canonical_conflict:high' END, CASE WHEN page_canonical <> destination_url THEN 'canonical_regression:metadata:warning:review_canonical_conflict:high' END,
+    CASE WHEN old_known AND old_robots AND NOT page_robots THEN 'destination_robots_block_regression:indexability:warning:review_robots_block:high' END, CASE WHEN observed_indexable THEN 'legacy_url_still_indexable:indexability:warning:review_indexability_regression:high' END,
+    CASE WHEN observed_indexable AND page_known AND page_indexable THEN 'duplicate_source_and_destination_indexable:indexability:warning:review_indexability_regression:high' END
+  ]""".replace("{OLD}", OLD).replace("{NEW}", NEW)
 MIGRATION_FINDINGS = f"""once AS (SELECT source_url, min(expected_status) AS expected_status, true AS planned_ FROM planned GROUP BY source_url HAVING count(*) = 1),
   keyed AS (SELECT DISTINCT ON (key) * FROM (SELECT *, unnest(list_distinct([x FOR x IN [url, final_url] IF x IS NOT NULL])) AS key FROM new_pages) ORDER BY key, page_id DESC),
   joined AS (SELECT m.source_url, m.destination_url, m.cardinality, o.expected_status, coalesce(planned_, false) AS planned, s.key IS NOT NULL AS observed, s.final_url AS observed_final, s.http_status AS observed_status, s.redirect_count AS observed_hops, s.redirect_loop AS observed_loop,
@@ -604,7 +631,7 @@ MIGRATION_FINDINGS = f"""once AS (SELECT source_url, min(expected_status) AS exp
     '{OLD}' AS source_origin, '{NEW}' AS destination_origin, regexp_extract(m.destination_url, '^([a-z]+://[^/?#]+)', 1) AS target_origin, regexp_extract(p.canonical_url, '^([a-z]+://[^/?#]+)', 1) AS canonical_origin, b.canonical_url IS NOT DISTINCT FROM p.canonical_url AS canonical_same,
     coalesce(b.title LIKE 'Title%' AND p.title LIKE 'zqx%', false) AS title_changed, coalesce(b.description LIKE 'About%' AND p.description = 'zqx', false) AS description_changed
     FROM mapped m LEFT JOIN once o USING (source_url) LEFT JOIN keyed s ON s.key = m.source_url LEFT JOIN keyed p ON p.key = m.destination_url LEFT JOIN old_pages b ON b.url = m.source_url LEFT JOIN keyed c ON c.key = p.canonical_url WHERE m.destination_url IS NOT NULL),
-  findings AS ({" UNION ALL ".join(f"SELECT source_url, destination_url, '{c}' AS code, '{k}' AS category, '{migration.severity_of(c)}' AS severity, '{a}' AS action, '{t}' AS confidence FROM joined WHERE {w}" for c, w, k, a, t in migration.FINDINGS)})"""
+  findings AS (SELECT source_url, destination_url, split_part(t, ':', 1) AS code, split_part(t, ':', 2) AS category, split_part(t, ':', 3) AS severity, split_part(t, ':', 4) AS action, split_part(t, ':', 5) AS confidence FROM (SELECT source_url, destination_url, unnest(list_filter({MIGRATION_BY_HAND}, lambda x: x IS NOT NULL)) AS t FROM joined))"""
 
 
 def _migration(spark: SparkSession, d: str) -> dict[str, DataFrame]:
