@@ -453,12 +453,22 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(IMAGES.replace('"index"', "`index`").replace("FROM PAGES", "FROM {pages}"), pages=spark.read.parquet(f"{d}/pages.parquet").select("page_id"))
 
 
+#: States of an image, and its severity, reason and action, stated by hand.
+IMAGE_STATES_BY_HAND = """CASE WHEN alt IS NULL THEN 'missing' WHEN shown = '' THEN CASE WHEN alt <> '' THEN 'whitespace' WHEN linked THEN 'link_empty' WHEN decorative THEN 'decorative' ELSE 'empty' END WHEN len(shown) > 200 THEN 'overlong'
+    WHEN list_contains(['image', 'photo', 'picture', 'graphic', 'icon', 'logo', 'banner', 'thumbnail', 'click here', 'read more', 'learn more'], lower(shown)) THEN 'generic' WHEN name_like THEN 'filename' WHEN url_like THEN 'url' ELSE 'present' END AS alt_state,
+  CASE WHEN width IS NULL THEN CASE WHEN height IS NULL THEN 'both_missing' ELSE 'width_missing' END WHEN height IS NULL THEN 'height_missing' WHEN width_px IS NULL THEN 'invalid_width' WHEN height_px IS NULL THEN 'invalid_height' WHEN width_px * height_px = 0 THEN 'zero' WHEN least(width_px, height_px) < 0 THEN 'review' ELSE 'present' END AS dimension_state,
+  CASE WHEN coalesce(trim(loading), '') <> '' THEN CASE lower(trim(loading)) WHEN 'lazy' THEN 'lazy' WHEN 'eager' THEN 'eager' ELSE 'invalid' END WHEN lower(trim(decoding)) = 'async' THEN 'decoding_async' WHEN lower(trim(priority)) = 'high' THEN 'fetchpriority_high' ELSE 'missing' END AS loading_state,
+  CASE WHEN starts_with(src, 'data:') THEN 'data' WHEN contains(lower(src), 'placeholder') THEN 'placeholder' WHEN internal THEN CASE WHEN resource_status IS NULL THEN 'unverified' WHEN resource_status < 300 THEN 'working' WHEN resource_status < 400 THEN 'redirecting' ELSE 'broken' END ELSE 'external' END AS resource"""
+IMAGE_OUTCOME_BY_HAND = """CASE resource WHEN 'broken' THEN [CASE WHEN reuse < 5 THEN 'high' ELSE 'critical' END, 'broken_internal_image', 'fix_url'] WHEN 'redirecting' THEN ['medium', 'redirecting_image_source', 'update_destination'] WHEN 'placeholder' THEN ['medium', 'placeholder_image', 'replace_placeholder'] WHEN 'external' THEN ['info', 'external_image_review', 'review']
+    ELSE CASE WHEN alt_state = 'missing' OR alt_state = 'link_empty' THEN CASE WHEN linked THEN ['high', 'missing_alt_linked', 'add_alt'] WHEN reuse = 1 THEN ['medium', 'missing_alt', 'add_alt'] ELSE ['high', 'missing_alt', 'add_alt'] END WHEN alt_state IN ('generic', 'filename', 'url') THEN ['medium', alt_state, 'replace_alt']
+      WHEN alt_state = 'empty' OR alt_state = 'whitespace' THEN ['low', 'empty_alt_review', 'confirm_decorative'] WHEN alt_state = 'overlong' THEN ['low', 'overlong_alt_review', 'replace_alt'] WHEN dimension_state <> 'present' THEN [CASE WHEN reuse < 5 THEN 'low' ELSE 'medium' END, 'missing_or_invalid_dimensions', 'add_dimensions']
+      WHEN loading_state = 'missing' OR loading_state = 'invalid' THEN ['low', 'loading_attribute_review', 'review_loading'] ELSE ['info', 'valid_image_occurrence', 'no_action'] END END"""
 DUCK_IMAGES = f"""WITH im AS ({IMAGES.replace("FROM PAGES", "FROM pages")}), reused AS (SELECT im.*, r.reuse, trim(regexp_replace(alt, '\\s+', ' ', 'g')) AS shown, {NAME_TEST}, coalesce(regexp_matches(alt, '(?i)^(https?://|www\\.|/)'), false) AS url_like, TRY_CAST(trim(width) AS INTEGER) AS width_px, TRY_CAST(trim(height) AS INTEGER) AS height_px
-  FROM im JOIN (SELECT src, count(DISTINCT page_id) AS reuse FROM im GROUP BY src) r USING (src)), s1 AS (SELECT *, {images.ALT_SQL} AS alt_state, {images.DIMENSION_SQL} AS dimension_state, {images.LOADING_SQL} AS loading_state, {images.RESOURCE_SQL} AS resource FROM reused),
-  s3 AS (SELECT *, {images.first_of(1)} AS severity, {images.first_of(2)} AS reason FROM s1)"""
+  FROM im JOIN (SELECT src, count(DISTINCT page_id) AS reuse FROM im GROUP BY src) r USING (src)), s1 AS (SELECT *, {IMAGE_STATES_BY_HAND} FROM reused),
+  s2 AS (SELECT *, {IMAGE_OUTCOME_BY_HAND} AS o FROM s1), s3 AS (SELECT *, o[1] AS severity, o[2] AS reason, o[3] AS action FROM s2)"""
 
 
-@query(f"{DUCK_IMAGES} SELECT page_id, index, src, alt_state, dimension_state, loading_state, resource, reuse, severity, reason, {images.ACTION_SQL} AS action FROM s3")
+@query(f"{DUCK_IMAGES} SELECT page_id, index, src, alt_state, dimension_state, loading_state, resource, reuse, severity, reason, action FROM s3")
 def image_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return images.occurrences(_images(spark, d))
 
