@@ -602,8 +602,8 @@ MAPPED = f"""new_urls AS (SELECT DISTINCT u AS dest FROM (SELECT unnest([url, fi
     UNION SELECT source_url, canonical_url, 6 FROM old JOIN new_urls ON dest = canonical_url UNION SELECT source_url, dest, 7 FROM old o JOIN signature n ON lower(o.title) IS NOT DISTINCT FROM n.t AND lower(o.description) IS NOT DISTINCT FROM n.s AND o.category IS NOT DISTINCT FROM n.category AND o.canonical_url IS NOT DISTINCT FROM n.canonical_url AND o.indexable IS NOT DISTINCT FROM n.indexable),
   best AS (SELECT source_url, first(place ORDER BY place, dest) AS place, first(dest ORDER BY place, dest) AS dest, count(DISTINCT dest) AS competing, count(*) FILTER (WHERE place = 0) AS explicit FROM candidates GROUP BY source_url),
   chosen AS (SELECT source_url, place, dest, explicit > 1 OR (competing > 1 AND place >= 3) AS torn, coalesce(explicit > 1, false) AS split FROM sources LEFT JOIN best USING (source_url)),
-  mapped0 AS (SELECT source_url, CASE WHEN NOT torn THEN dest END AS destination_url, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'manual_review_candidate' ELSE [{", ".join(f"'{m}'" for m, _ in migration.METHODS)}][place + 1] END AS method,
-    CASE WHEN place IS NULL THEN 'indeterminate' WHEN torn THEN 'low' ELSE [{", ".join(f"'{c}'" for _, c in migration.METHODS)}][place + 1] END AS confidence, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'ambiguous' ELSE 'mapped' END AS state, split FROM chosen),
+  mapped0 AS (SELECT source_url, CASE WHEN NOT torn THEN dest END AS destination_url, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'manual_review_candidate' ELSE ['explicit_redirect_map', 'explicit_proposed_destination', 'observed_redirect', 'exact_normalized_url', 'configured_origin_substitution', 'path_match', 'canonical_hint', 'content_similarity_hint'][place + 1] END AS method,
+    CASE WHEN place IS NULL THEN 'indeterminate' WHEN torn THEN 'low' WHEN place <= 3 THEN 'high' WHEN place = 4 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN place IS NULL THEN 'unmapped' WHEN torn THEN 'ambiguous' ELSE 'mapped' END AS state, split FROM chosen),
   mapped AS (SELECT source_url, destination_url, method, confidence, state, CASE WHEN split THEN 'one_to_many' WHEN state IN ('ambiguous', 'unmapped') THEN state WHEN n > 1 THEN 'many_to_one' ELSE 'one_to_one' END AS cardinality
     FROM mapped0 LEFT JOIN (SELECT destination_url, count(*) AS n FROM mapped0 WHERE destination_url IS NOT NULL GROUP BY destination_url) USING (destination_url))"""
 #: A mapping's findings as code:category:severity:action:confidence, stated by hand: redirect, destination, what the old page had, canonical, indexability.
@@ -722,7 +722,10 @@ def migration_evidence_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sitewide_sql() -> str:
-    groups = ", ".join(f"('{g}', '{c}')" for g, codes in migration.SITEWIDE.items() for c in codes)
+    wide = """legacy_host_references=internal_link_to_legacy_url,image_legacy_host_reference,legacy_url_in_destination_sitemap staging_host_references=internal_link_to_staging_host,image_staging_host_reference redirect_dependency=internal_link_to_redirect,image_redirect_dependency
+      redirect_chain_pattern=redirect_chain temporary_redirect_pattern=redirect_temporary noindex_regression=destination_noindex_regression canonical_host_mismatch=canonical_points_to_wrong_host metadata_loss=title_missing_after_migration,meta_description_missing_after_migration
+      sitemap_regression=destination_url_missing_from_sitemap,legacy_url_in_destination_sitemap structured_data_loss=structured_data_removed image_host_regression=image_legacy_host_reference,image_staging_host_reference unmapped_source_urls=mapping_unmapped destination_errors=destination_404,destination_410,destination_other_4xx,destination_5xx"""
+    groups = ", ".join(f"('sitewide_{g}', '{c}')" for g, codes in (x.split("=") for x in wide.split()) for c in codes.split(","))
     return f"""WITH {DUCK_MIGRATION}, {MAPPED}, {MIGRATION_FINDINGS}, {OTHER_FINDINGS}, n AS (SELECT count(*) AS denominator FROM mapped), g AS (SELECT * FROM (VALUES {groups}) t(metric, code)), every AS (SELECT code FROM findings UNION ALL SELECT code FROM other),
       c AS (SELECT metric, CAST(sum(coalesce(n, 0)) AS BIGINT) AS numerator FROM g LEFT JOIN (SELECT code, count(*) AS n FROM every GROUP BY code) USING (code) GROUP BY metric)
       SELECT metric, numerator, denominator, printf('%.6f', numerator / denominator) AS ratio, CASE WHEN denominator < 10 THEN 'small_inventory' WHEN numerator >= greatest(2, floor(denominator * 0.2 + 0.999999)) THEN 'threshold_reached' ELSE 'below_threshold' END AS state FROM c, n"""
