@@ -15,30 +15,35 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 4,096."""
     from auditlake.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), limit=4096)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by three words at 85 percent."""
     from auditlake.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and tags of every document."""
     from auditlake.llm.licenses import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores by a model of the labels that aren't held out."""
     from auditlake.llm.toxicity import fit, score
 
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +51,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors for each vector whose id is divisible by 50."""
     from auditlake.llm.topk import top_k
 
     vectors = table(spark, sf_dir, "embeddings")
@@ -53,30 +59,35 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sequences of at most 4,096 tokens."""
     from auditlake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), capacity=4096)
 
 
 def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document."""
     from auditlake.llm.maxent_lm import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
     from auditlake.llm.secrets import secret_scan
 
     return secret_scan(table(spark, sf_dir, "documents")).drop("found")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix of sources takes each document."""
     from auditlake.llm.entropy_mix import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are equal but for white space."""
     from auditlake.llm.quotient_dedup import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents"))

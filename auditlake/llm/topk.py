@@ -23,6 +23,8 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 512
 FAN_IN = 16
 #: Bits below which sums of products are exact in doubles.
 EXACT = 2.0**53
+#: Components and scores beyond these are held at them.
+LARGEST, LONG = 2.0**62, (1 << 63) - 1
 
 
 def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -44,7 +46,8 @@ def blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
 
         for b in batches:
             ids, lists = b.column(0).to_pylist(), b.column(1)
-            offsets, flat = lists.offsets.to_numpy(), np.floor(scale * lists.values.to_numpy())
+            with np.errstate(over="ignore"):
+                offsets, flat = lists.offsets.to_numpy(), np.clip(np.floor(scale * lists.values.to_numpy()), -LARGEST, LARGEST)
             for i, x in enumerate(ids):
                 part = flat[offsets[i] : offsets[i + 1]]
                 own = held.setdefault(len(part), ([], []))
@@ -90,7 +93,8 @@ def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best inner products of every query with every other row of vectors.
 
-    Components become floor(scale * x); scores are whole numbers and must fit a long. Ties go to the smaller vec_id. A
+    Components become floor(scale * x), held at LARGEST; scores are whole numbers, held at the largest long where none holds
+    them: within a tile they are ranked before that, between tiles such scores are ties. Ties go to the smaller vec_id. A
     query's own id is no candidate; with fewer than k candidates all are returned. Rows whose vector is null, empty or
     has a null or non-finite component, and rows with a null id, take no part. Vectors are compared with those of their
     length. Rows of equal id and equal vector count once; of rows that share an id, each vector is a candidate, and each
@@ -115,7 +119,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256,
         for b in batches:
             for dim, number, block, qi, q, vi, v in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 got = tile((np.frombuffer(qi, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim)), (np.frombuffer(vi, np.int64), np.frombuffer(v, np.float64).reshape(-1, dim)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got[0]), number, np.int32)), pa.array(np.full(len(got[0]), block, np.int64)), pa.array(got[3]), pa.array(got[0]), pa.array(got[1]), pa.array(got[2].tolist(), pa.int64())], names=["list", "q_block", "place", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got[0]), number, np.int32)), pa.array(np.full(len(got[0]), block, np.int64)), pa.array(got[3]), pa.array(got[0]), pa.array(got[1]), pa.array([max(-LONG, min(LONG, x)) for x in got[2].tolist()], pa.int64())], names=["list", "q_block", "place", "query_id", "vec_id", "score"])
 
     best = tiles.select("dim", "number", "q_block", "q_ids", "q_data", "ids", "data").mapInArrow(run, "list int, q_block long, place int, query_id long, vec_id long, score long")
     lists = n

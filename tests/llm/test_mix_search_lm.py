@@ -268,3 +268,13 @@ def test_any_number_of_lists_merges_to_their_average(spark, monkeypatch):
     many = train(rows.repartitionByRange(31, "i"), sent, weights, 0)
     alone = [train(rows.where(F.col("i") == i).coalesce(1), sent, weights, 0).astype(np.float64) for i in (0, 30)]
     assert many.shape == weights.shape and np.isfinite(many).all() and not np.allclose(many, weights) and np.abs(many - weights).max() <= max(np.abs(a - weights).max() for a in alone) + 1
+
+
+def test_search_holds_what_no_long_holds(spark):
+    from auditlake.llm.topk import top_k
+
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e16, 0.0]), (2, [-1e300, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df.where("vec_id = 0"), df, k=5, scale=256).collect()}
+    most = (1 << 63) - 1
+    # 128 * 2**62 is beyond a long as well: the exact products still rank before they are held.
+    assert got == {(0, 1): (1, most), (0, 2): (3, most), (0, 3): (2, -most)}
