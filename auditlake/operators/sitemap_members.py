@@ -156,7 +156,7 @@ def sitemaps(documents: DataFrame, most_bytes: int = MAX_RESPONSE_BYTES, most_en
     what it means is the tree's to say. Bodies are read once; members beyond the limits are counted, not returned. A location is
     a duplicate if an earlier valid member of its document has the same normalised address. Empty tables give empty ones.
     """
-    own = written(documents.withColumns({"document": F.xxhash64("site", "url"), "address": F.coalesce("final_url", "url")}), "sitemap-documents")
+    own = written(documents.withColumns({"document": F.monotonically_increasing_id(), "address": F.coalesce("final_url", "url")}), "sitemap-documents")
     fetched = F.col("status").between(200, 299) & F.col("body").isNotNull()
     facts = own.withColumns({"fetched": F.coalesce(fetched, F.lit(False)), "bytes": F.coalesce(F.octet_length("body").cast("long"), F.lit(0).cast("long"))})
     facts = facts.withColumn("blocked", F.when(F.col("fetched"), blocked(most_bytes)))
