@@ -22,7 +22,7 @@ from auditlake.operators.ordering import indexed
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 8
-#: Bits of a group's key: the leading 60 bits of the text's SHA-256.
+#: Bits of a group's key: the leading 60 bits of the text's SHA-256. Texts that share them would stay together as one group.
 KEY_BITS = 60
 #: A group above 1 / LARGE of all bytes is large: there are fewer than LARGE.
 LARGE = 1 << 14
