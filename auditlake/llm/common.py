@@ -48,10 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: later steps survive lost executors."""
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: later steps survive lost executors. Options are the writer's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import pytest
 from auditlake.llm.entropy_mix import diffuse, mix, mixed_documents, solve_dual, source_targets, with_rates
 from auditlake.llm import maxent_lm
 from auditlake.llm.maxent_lm import Head, features, histories, lists_for, log_scores, rows_for, score_texts, tokens, train
-from auditlake.llm.topk import tile, top_k
+from auditlake.llm.topk import Best, tile, top_k
 
 
 @pytest.mark.parametrize(
@@ -146,6 +146,39 @@ def test_rows_that_share_an_id_are_all_candidates(spark, parts):
     assert got == Counter([(0, 1, 1, 5), (0, 2, 2, 3), (0, 1, 1, -2), (0, 2, 2, -3)])
 
 
+def test_search_broadcasts_neither_side(spark):
+    r = np.random.default_rng(3)
+    v = np.round(r.normal(size=(2000, 8)), 2)
+    v[500:900] = v[500]  # copies: ties to the smaller id
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    found = top_k(df.where("vec_id % 50 = 0"), df, block_rows=64)
+    # Queries dealt to every block of vectors used to be broadcast: many times the queries, in the driver's memory.
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    x = np.floor(256 * v).astype(np.int64)
+    want = [(q, k + 1, i, int(s)) for q in range(0, 2000, 50) for k, (s, i) in enumerate([(s, i) for s, i in sorted(zip((x @ x[q]).tolist(), range(2000), strict=True), key=lambda t: (-t[0], t[1])) if i != q][:5])]
+    assert sorted(tuple(t) for t in found.collect()) == want
+
+
+@pytest.mark.parametrize("high, odd", [(3, 0), (1000, 0), (1 << 20, 0), (3, 1 << 40), (1 << 20, 1 << 30)])
+def test_best_rows_by_blocks(high, odd):
+    r = np.random.default_rng(high)
+    q, v = (r.integers(-high, high + 1, (n, 4)).astype(np.float64) for n in (700, 2100))
+    if odd:
+        q[5], v[17], v[1500] = odd, odd + 1, -odd
+    qi, vi = np.arange(700) * 3, r.permutation(2100)
+    vi[100] = vi[200]  # two rows share an id
+    best = Best(qi, q, 5)
+    for at in np.array_split(np.arange(2100), [3, 9, 1300]):
+        at = at[np.argsort(vi[at], kind="stable")]
+        best.add(vi[at], v[at])
+    rows = [[int(x) for x in row] for row in v]
+    for i in [*range(0, 700, 35), 5]:
+        own = [int(x) for x in q[i]]
+        want = sorted((-sum(a * b for a, b in zip(own, row, strict=True)), j) for row, j in zip(rows, vi.tolist(), strict=True) if j != qi[i])[:5]
+        most = (1 << 63) - 1
+        assert [(max(-most, min(most, -s)), j) for s, j in want] == list(zip(best.scores[i].tolist(), best.vecs[i].tolist(), strict=True)), i
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in top_k(df.where("vec_id = 0"), df).collect()] == [(0, 1, 1, 256 * 512)]
