@@ -35,10 +35,29 @@ NONE = -(1 << 63)
 
 
 def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v: the usable vectors as doubles; rows with a null or non-finite component, or none, go."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(usable & F.col("vec_id").isNotNull()).select("vec_id", "v")
+    """vec_id, single, v: the usable vectors as bytes of singles, where the column has these, or doubles; rows with a null or non-finite component, or none, go."""
+    kind = vectors.schema[vector_col].dataType.elementType.typeName()
+    single = kind == "float"
+    values = F.col(vector_col) if kind in ("float", "double") else F.col(vector_col).cast("array<double>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            offsets = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float32 if single else np.float64) + 0  # null: not a number; minus zero: zero
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+            fit = (bad[offsets[1:]] == bad[offsets[:-1]]) & (offsets[1:] > offsets[:-1])
+            packed = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(lists), single)), packed], names=["vec_id", "single", "v"]).filter(pa.array(fit))
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), values.alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).mapInArrow(run, "vec_id long, single boolean, v binary")
+
+
+def candidates(rows: DataFrame, k: int) -> DataFrame:
+    """Usable vectors that can be among k best: of equal vectors those of the k + 1 smallest ids, as ties go to these and one of them may be the query's own."""
+    order = Window.partitionBy("v", "single").orderBy("vec_id")
+    return rows.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= k + 1).drop("nth").dropDuplicates(["vec_id", "v", "single"])
 
 
 def blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
@@ -50,19 +69,17 @@ def blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
         def out(dim: int) -> pa.RecordBatch:
             ids, data = held.pop(dim)
             order = np.argsort(np.array(ids, np.int64), kind="stable")
-            values = np.stack(data)[order]
+            with np.errstate(over="ignore"):
+                values = np.clip(np.floor(scale * np.stack(data).astype(np.float64)), -LARGEST, LARGEST)[order]
             if np.abs(values).max() < 1 << 15:
                 values = values.astype(np.int16)
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64)[order].tobytes()]), pa.array([values.tobytes()])], names=["dim", "ids", "data"])
 
         for b in batches:
-            ids, lists = b.column(0).to_pylist(), b.column(1)
-            with np.errstate(over="ignore"):
-                offsets, flat = lists.offsets.to_numpy(), np.clip(np.floor(scale * lists.values.to_numpy()), -LARGEST, LARGEST)
-            for i, x in enumerate(ids):
-                part = flat[offsets[i] : offsets[i + 1]]
+            for i, single, v in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                part = np.frombuffer(v, np.float32 if single else np.float64)
                 own = held.setdefault(len(part), ([], []))
-                own[0].append(x)
+                own[0].append(i)
                 own[1].append(part)
                 if len(own[0]) >= min(size, max(1, BLOCK_BYTES // (8 * len(part)))):
                     yield out(len(part))
@@ -164,9 +181,8 @@ class Best:
 
     def add_panel(self, at: slice | np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray) -> None:
         """The scores of some queries with all rows: those that pass the k-th best are merged."""
-        mine, k = self.ids[at], self.k
-        least, last = self.scores[at, k - 1].astype(np.float64), self.vecs[at, k - 1]
-        found = []
+        mine, k, found = self.ids[at], self.k, []
+        least, last = self.take(at, found)
         # One place in memory for all panels: fresh pages would cost as much as the products.
         room = np.empty(len(mine) * min(PANEL_VECTORS, len(ids)), rows.dtype)
         for c in range(0, len(ids), PANEL_VECTORS):
@@ -191,9 +207,17 @@ class Best:
             s, v, at_least, before = scores[i, j], own[j], least[up][i], last[up][i]
             kept = (v != asks[i]) & ((s > at_least) | (v < before) | (before == LONG))
             found.append((up[i[kept]], v[kept], s[kept].astype(np.int64)))
+            if sum(len(x) for x, _, _ in found) > k * len(mine):
+                least, last = self.take(at, found)
+        self.take(at, found)
+
+    def take(self, at: slice | np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Merges what was found, empties the list, and gives score and id of the k-th best."""
         if found:
             i, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
             self.merge(np.arange(len(self.ids))[at][i], v, s)
+            found.clear()
+        return self.scores[at, self.k - 1].astype(np.float64), self.vecs[at, self.k - 1].copy()
 
     def out(self, number: int, block: int) -> pa.RecordBatch:
         at, rank = np.nonzero(self.scores > NONE)
@@ -212,10 +236,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256,
     length. Rows of equal id and equal vector count once; of rows that share an id, each vector is a candidate, and each
     query has a list of its own. Other columns are not read. Empty tables give an empty result.
     """
-    unique = lambda df: usable_vectors(df, id_col, vector_col).dropDuplicates(["vec_id", "v"])
     plain = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}  # a partition takes as much memory as its bytes on disk
-    data = cut(blocks(unique(vectors), block_rows, scale), "vector-blocks", **plain)
-    asked = cut(blocks(unique(queries), query_rows, scale).withColumn("q_block", F.monotonically_increasing_id()), "query-blocks", **plain)
+    data = cut(blocks(candidates(usable_vectors(vectors, id_col, vector_col), k), block_rows, scale), "vector-blocks", **plain)
+    asked = cut(blocks(usable_vectors(queries, id_col, vector_col).dropDuplicates(["vec_id", "v"]), query_rows, scale).withColumn("q_block", F.monotonically_increasing_id()), "query-blocks", **plain)
     lists = max(1, data.rdd.getNumPartitions())
     asked = asked.select(F.col("dim").alias("q_dim"), "q_block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     # Neither side is broadcast or shuffled, whatever its size: every task reads one partition of each from the written blocks.

@@ -8,7 +8,7 @@ import pytest
 from auditlake.llm.entropy_mix import diffuse, mix, mixed_documents, solve_dual, source_targets, with_rates
 from auditlake.llm import maxent_lm
 from auditlake.llm.maxent_lm import Head, features, histories, lists_for, log_scores, rows_for, score_texts, tokens, train
-from auditlake.llm.topk import Best, tile, top_k
+from auditlake.llm.topk import Best, candidates, tile, top_k, usable_vectors
 
 
 @pytest.mark.parametrize(
@@ -159,6 +159,15 @@ def test_search_broadcasts_neither_side(spark):
     assert sorted(tuple(t) for t in found.collect()) == want
 
 
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_copies_that_no_list_can_hold_are_no_candidates(spark, kind):
+    rows = [(i, [0 if i % 2 else 1, 3]) for i in range(100)] + [(4, [1, 3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<int>").selectExpr("vec_id", f"cast(embedding as array<{kind}>) embedding").repartition(5)
+    assert sorted(r["vec_id"] for r in candidates(usable_vectors(df), 5).collect()) == list(range(12))
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in top_k(df.where("vec_id in (4, 51)"), df, k=5).collect()}
+    assert got == {(4, i + 1): x for i, x in enumerate([0, 2, 6, 8, 10])} | {(51, i + 1): i for i in range(5)}
+
+
 @pytest.mark.parametrize("high, odd", [(3, 0), (1000, 0), (1 << 20, 0), (3, 1 << 40), (1 << 20, 1 << 30)])
 def test_best_rows_by_blocks(high, odd):
     r = np.random.default_rng(high)
