@@ -11,21 +11,22 @@ Documents take their places by rank among those of equal length.
 
 from __future__ import annotations
 
+import os
 import re
-import sys
 import zlib
-from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.llm.common import claim, cut, keeps, slices, text_bytes
+from auditlake.llm.common import claim, cut, keeps, text_bytes
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -34,6 +35,8 @@ END_ID = 1
 MAX_WORDS = 900_000
 #: Longer words are encoded when met and not kept.
 MAX_WORD = 48
+#: Bytes of text whose different words are looked up together; a longer text is one such part.
+SLICE_BYTES = 16 << 20
 #: Branches that the search visits beside one for each length, and fillings that it enumerates for one bin, in so many steps for each.
 #: They bound time, not the result's validity, and come into play only where neither best fit nor the dive meets the lower bound; the
 #: gap that they may leave is in the result (sequences less lower_bound).
@@ -51,6 +54,8 @@ Pattern = tuple[tuple[int, int], ...]  # (length, items), from the largest lengt
 
 #: Words whose lower case and composition are plain: letters of ASCII and Latin-1.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Marks of ASCII: a run of them at a word's end is a unit of the merges of its own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,82 +65,107 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-BYTE_LETTERS = byte_letters()
-
-
-def little_endian(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+#: Of all bytes but the space, which stays between words.
+BYTE_LETTERS = {b: c for b, c in byte_letters().items() if b != 32}
 
 
 class WordIds:
     """Ids of whole texts, from the ids of their words: the tokenizer drops white space and no merge crosses it.
 
-    It also lower-cases, and never joins a letter with punctuation after it; so "Word." is found as "word" and ".".
+    It also lower-cases, and never joins a letter with punctuation after it; so "Word.##" is found as "word" and ".##".
+    Of a batch of texts, each different word is looked up once.
     """
 
     def __init__(self, path: str, kept_words: int = MAX_WORDS):
-        from tokenizers import Tokenizer
+        # A task has one core; threads of the library's own would only wait for it.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        # The merges alone, for words that the steps before them would leave as they are.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # of each id, whether it ends a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
         self.kept_words = kept_words
-        self.marks = {m: self.encode([m])[0] for m in (b".", b",", b"!", b"?", b";", b":")}
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
+    def encode(self, words: list[str]) -> list[bytes]:
         """Ids of words. Words of Latin letters alone are one unit of the merges, without the steps before them."""
-        text = [w.decode() for w in words]
-        plain = [LETTERS.fullmatch(t) is not None for t in text]
-        merge = self.tokenizer.model.tokenize
+        plain = [LETTERS.fullmatch(w) is not None for w in words]
+        own = iter(self.encode_plain(list(compress(words, plain))))
         rest = iter(self.encode_any([w for w, p in zip(words, plain, strict=True) if not p]))
-        return [little_endian([k.id for k in merge(t.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]) if p else next(rest) for t, p in zip(text, plain, strict=True)]
-
-    def encode_any(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [little_endian(x.ids) for x in found]
-
-    def words(self, text: bytes) -> list[bytes]:
-        """Words between ASCII white space, in ASCII lower case.
-
-        A text with a special token's string keeps its case. So does a word with a combining mark, since the tokenizer
-        composes before it lower-cases: a capital and its mark may have no composed form where the small letter has one.
-        The marks that compose with ASCII letters are those from U+0300 to U+036F, whose first byte is CC or CD.
+        return [next(own if p else rest) for p in plain]
+
+    def encode_plain(self, words: list[str]) -> list[bytes]:
+        lines = (" ".join(words[at : at + 256]) for at in range(0, len(words), 256))
+        found = self.merges.encode_batch_fast([x.lower().encode().decode("latin-1").translate(BYTE_LETTERS) for x in lines], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(x.ids, "<u4") for x in found)])
+        ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def encode_any(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def lowered(self, text: bytes) -> bytes:
+        """The text in ASCII lower case.
+
+        A text keeps its case if it has a special token's string then or before. So does a word with a combining mark,
+        since the tokenizer composes before it lower-cases: a capital and its mark may have no composed form where the
+        small letter has one. The marks that compose with ASCII letters are those from U+0300 to U+036F, whose first
+        byte is CC or CD.
         """
-        if any(s in text for s in self.specials):
-            return text.split()
+        lower = text.lower()
+        if any(s in lower for s in self.specials):
+            return text
         if b"\xcc" in text or b"\xcd" in text:
-            return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split()]
-        return text.lower().split()
+            return b" ".join(w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split())
+        return lower
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def units(self, words: pa.LargeStringArray) -> pa.LargeStringArray:
+        """Two for each word: what stands before the marks at its end, and these marks.
+
+        Where no small letter stands before the marks, or a special token's string may be, the word stays whole.
+        """
+        starts, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1], words.buffers()[2]
+        stops = starts[:-1] + pc.binary_length(pc.ascii_rtrim(words, characters=MARKS)).to_numpy()
+        before = np.frombuffer(data or b"\0", np.uint8)[np.maximum(stops - 1, 0)]
+        whole = (stops == starts[:-1]) | (before < ord("a")) | (before > ord("z")) | pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        cuts = np.append(np.stack([starts[:-1], np.where(whole, starts[1:], stops)], 1).ravel(), starts[-1])
+        return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(cuts), data)
+
+    def learn(self, words: list[str]) -> list[bytes]:
         """Ids of words that aren't known yet."""
-        stems = {w: w[:-1] if w[-1:] in self.marks and w[-2:-1].islower() else w for w in words}
-        rest = [w for w in set(stems.values()) if w not in self.known]
-        new = dict(zip(rest, self.encode(rest), strict=True))
-        for w, stem in stems.items():
-            if w != stem:
-                new[w] = (new.get(stem) or self.known[stem]) + self.marks[w[-1:]]
-        if len(self.known) + len(new) > self.kept_words:
+        out = self.encode(words)
+        # A full table begins anew.
+        if len(self.known) + len(words) > self.kept_words:
             self.known.clear()
-        self.known.update((w, x) for w, x in new.items() if len(w) <= MAX_WORD)
-        return new
+        self.known.update((w, x) for w, x in zip(words, out, strict=True) if len(w) <= MAX_WORD)
+        return out
 
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+    def ids(self, texts: list[bytes]) -> Iterator[memoryview]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = list(map(self.words, texts))
-        missing = {w for w in set().union(*split) if w not in self.known}
-        # Learning may begin the table anew; what this batch needs is then learnt with it.
-        new = self.learn(missing) if missing else {}
-        for words in split:
-            found = list(map(self.known.get, words))
-            if None in found:
-                if lost := {w for w, x in zip(words, found, strict=True) if x is None and w not in new}:
-                    new |= self.learn(lost)
-                found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            yield b"".join(found)
+        split = pc.ascii_split_whitespace(pa.array(map(self.lowered, texts), pa.large_binary()).view(pa.large_string()))
+        words = split.values.dictionary_encode()
+        units = self.units(words.dictionary).dictionary_encode()
+        different = units.dictionary.to_pylist()
+        found = list(map(self.known.get, different))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(missing, self.learn([different[i] for i in missing]), strict=True):
+            found[i] = x
+        of_units = pa.array(found, pa.large_binary()).take(units.indices)
+        # A word's two units stand one behind the other.
+        starts = np.frombuffer(of_units.buffers()[1], np.int64)[: 2 * len(words.dictionary) + 1]
+        of_words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.dictionary), [None, pa.py_buffer(starts[::2].copy()), of_units.buffers()[2]])
+        _, offsets, ids = of_words.take(words.indices).buffers()
+        ends = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist()
+        view = memoryview(ids or b"").cast("B")
+        for i, j in zip(ends, ends[1:], strict=False):
+            yield view[i:j]
 
 
 @lru_cache(maxsize=2)
@@ -146,6 +176,16 @@ def word_ids(path: str, kept_words: int = MAX_WORDS) -> WordIds:
 keeps("packing", word_ids.cache_clear)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows in parts of about SLICE_BYTES of text."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                yield b.slice(i, j - i)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", kept_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32: every document with its end id, cut only where it is longer than capacity."""
 
@@ -153,13 +193,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         claim("packing")
         encode = word_ids(tokenizer_path, kept_words).ids
         end = np.array([END_ID], "<u4").tobytes()
-        for b in slices(batches):
+        for b in sliced(batches, 2):
             out: list[list] = [[] for _ in range(6)]
             for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encode(text_bytes(b.column(2))), strict=True):
-                ids = memoryview(t + end)
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for x, v in zip(out, (d, r, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                size = len(t) + len(end)
+                for k, at in enumerate(range(0, size, 4 * capacity)):
+                    stop = min(at + 4 * capacity, size)
+                    crc = zlib.crc32(t[at:stop])
+                    for x, v in zip(out, (d, r, k, at // 4, (stop - at) // 4, zlib.crc32(end, crc) if stop == size else crc), strict=True):
                         x.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])

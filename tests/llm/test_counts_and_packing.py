@@ -148,6 +148,37 @@ def test_ids_of_every_letter_with_every_mark():
     assert list(words.ids([t.encode() for t in texts])) == want
 
 
+def test_ids_of_batches_with_marks_white_space_and_special_strings():
+    """Any texts in one batch; a special token's string in capitals is none, though its lower case would be one."""
+    from tokenizers import Tokenizer
+
+    path, r = tokenizer_path(WORD_TOKENIZER), random.Random(8)
+    parts = ["Word", "word", "caf\u00e9", "\u00c4\u00d6", "\u65e5\u672c", "e\u0301", "x\u00a0y", "it's", "'s", "a1", "42", ".", "###", ".###", "'", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", " ", "\t", "\n\n", "\x0b", ""]
+    texts = ["", " ", "<|ENDOFTEXT|>", *("".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(800))]
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    words = WordIds(path, 40)
+    for at in (0, 1, 300):
+        assert [bytes(x) for x in words.ids([t.encode() for t in texts[at:]])] == want[at:]
+
+
+def test_words_with_marks_at_their_ends_are_encoded_once_for_all():
+    words = WordIds(tokenizer_path(WORD_TOKENIZER))
+    stems = [a + b for a in ("ban", "cor", "del") for b in ("ta", "mu", "ro", "sky")]
+    list(words.ids([" ".join(w + m for w in stems for m in ("", ".", "###", ".$$", "!?")).encode()]))
+    assert set(words.known) - {""} == {*stems, ".", "###", ".$$", "!?"}
+
+
+def test_parts_of_batches_follow_their_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from auditlake.llm import packing
+
+    monkeypatch.setattr(packing, "SLICE_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["abcd", None, "e" * 30, "", "fghij", "k", "l" * 9])], names=["text"])
+    got = [b.column(0).to_pylist() for b in packing.sliced(iter([batch, batch.slice(0, 0)]), 0)]
+    assert sum(got, []) == batch.column(0).to_pylist() and len(got) > 2 and all(sum(len(t or "") for t in x) < 20 or len(x) <= 3 for x in got)
+
+
 def test_lengths_dealt_into_parts_keep_their_places(spark, monkeypatch):
     from auditlake.llm import packing
 
