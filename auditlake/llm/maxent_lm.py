@@ -15,17 +15,17 @@ in a join. Texts are read twice, for the counts and to be written as codes; all
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import claim, cut, keeps, slices, text_bytes
+from auditlake.llm.common import byte_slices, claim, cut, keeps, slices, text_bytes
 
 #: Documents whose id hashes to this remainder are held out.
 MODULUS, HELD_OUT = 7, 2
@@ -37,14 +37,16 @@ KINDS = 6
 WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 64, 1 << 12, 1 << 18
 #: Bias of what never occurs.
 NEVER = -60.0
+#: Size of logits whose exponentials single precision holds with a wide margin.
+MOST_PLAIN = 75.0
 #: Rounds of updates; each uses another part of the training documents, together all of them.
 ROUNDS = 2
 #: Tokens of a gradient step, and its size.
 STEP_TOKENS, RATE = 1 << 14, 0.4
 #: Sum of squared gradients that each weight begins with: the more, the less a history that is seen few times says.
 FIRST_SQUARES = 16.0
-#: Distinct words that a task counts before it passes them on.
-COUNTED = 300_000
+#: Bytes of text whose words are counted before they are passed on, and of texts that become codes together.
+COUNTED_BYTES, SLICE_BYTES = 12 << 20, 4 << 20
 #: Parts in which weights travel, and lists that one merge takes.
 BLOCKS, FAN_IN = 16, 64
 #: Tokens that a list of weights stands for at least, and no fewer than it has weights: so lists stay smaller than the texts.
@@ -58,6 +60,15 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def words_of(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The words of all texts one behind the other, without the tokens that end texts, and where each text's begin and the last's end."""
+    # Not by pc.ascii_lower: that of Arrow 23 takes other bytes for those of a slice.
+    split = pc.ascii_split_whitespace(pa.array((t.lower() for t in text_bytes(texts)), pa.large_binary()).view(pa.large_string()))
+    # White space at a text's ends makes empty words.
+    words, true = split.values, pc.not_equal(split.values, "")
+    return words.filter(true), np.append(0, np.cumsum(true.to_numpy(zero_copy_only=False)))[split.offsets.to_numpy()]
+
+
 def remainder(id_col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % modulus, F.lit(-1))
 
@@ -65,19 +76,24 @@ def remainder(id_col: Column, modulus: int) -> Column:
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, c over all rows of texts (column text), written to the shared folder."""
 
+    def counted(column: pa.Array) -> pa.RecordBatch:
+        found = pc.value_counts(words_of(column)[0])
+        word = pa.concat_arrays([found.field(0), pa.array([END.decode()], pa.large_string())])
+        return pa.RecordBatch.from_arrays([word.cast(pa.string()), pa.concat_arrays([found.field(1), pa.array([len(column)], pa.int64())])], names=["word", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-
-        held: Counter = Counter()
-        for b in slices(batches):
-            for t in text_bytes(b.column(0)):
-                held.update(tokens(t))
-            if len(held) > COUNTED:
-                yield out()
-                held = Counter()
+        held, size = [], 0
+        for b in byte_slices(batches, 0, COUNTED_BYTES):
+            held.append(b.column(0))
+            size += b.column(0).nbytes
+            if size > COUNTED_BYTES * 3 // 4:
+                yield counted(pa.concat_arrays(held))
+                held, size = [], 0
         if held:
-            yield out()
+            yield counted(pa.concat_arrays(held))
+        held = None
+        # A worker goes on to train, which needs its memory.
+        pa.default_memory_pool().release_unused()
 
     return cut(texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
@@ -164,6 +180,12 @@ def taken(table: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out if n == table.shape[1] else out[:, :n]
 
 
+def shift(z: np.ndarray) -> None:
+    """Takes each row's largest from it, unless all numbers are such that the sums of their exponentials hold."""
+    if z.size and (z.max() > MOST_PLAIN or z.min() < -MOST_PLAIN):
+        z -= z.max(axis=1, keepdims=True)
+
+
 def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     n = bias.shape[-1]
     z = taken(weights, rows[0], n) + bias
@@ -174,9 +196,9 @@ def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarra
 
 def log_probability(z: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Natural logs of the softmax at the classes given; z is used up."""
-    z -= z.max(axis=1, keepdims=True)
+    shift(z)
     own = z[np.arange(len(z)), classes]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 def log_scores(head: Head, weights: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -194,25 +216,32 @@ def log_scores(head: Head, weights: np.ndarray, codes: np.ndarray, starts: np.nd
 
 def step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, rows: np.ndarray, goal: np.ndarray, rate: float) -> None:
     """One adaptive gradient step of a softmax."""
-    p = logits(weights, bias, rows)
-    p -= p.max(axis=1, keepdims=True)
+    n = bias.shape[-1]
+    met = [taken(weights, kind, n) for kind in rows]
+    p = met[0] + bias
+    for x in met[1:]:
+        p += x
+    shift(p)
     np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
+    p /= (p @ np.ones(n, p.dtype))[:, None]
     p[np.arange(len(goal)), goal] -= 1
-    n = p.shape[1]
-    for kind in rows:
+    for kind, x in zip(rows, met, strict=True):
         order = np.argsort(kind.astype(np.int32))
         own = kind.take(order)
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        used, times = own.take(first), np.diff(first, append=len(own))
-        g = np.add.reduceat(p.take(order, axis=0), first, axis=0)
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        used, times, at = own.take(first), np.diff(first, append=len(own)), order.take(first)
+        # Most rows are met once; only the others need sums.
+        g, more = p.take(at, axis=0), times > 1
+        if more.any():
+            g[more] = np.add.reduceat(p.take(order[np.repeat(more, times)], axis=0), np.cumsum(times[more]) - times[more], axis=0)
         g /= np.sqrt(times.astype(np.float32))[:, None]
-        seen = taken(squares, used, n) + g * g
+        seen = taken(squares, used, n)
+        seen += g * g
         squares[used, :n] = seen
         np.sqrt(seen, out=seen)
         g *= rate
         g /= seen
-        weights[used, :n] = taken(weights, used, n) - g
+        weights[used, :n] = x.take(at, axis=0) - g
 
 
 class Codes(dict):
@@ -250,23 +279,30 @@ def encode(docs: DataFrame, head_sent, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, codes = opened(head_sent)
         logs, size = np.log10(np.r_[head.counts + 1.0, 1.0]), len(head.words)
-        tail_kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-        for b in slices(batches, 64):
-            out: list[list] = [[] for _ in range(5)]
-            for t in text_bytes(b.column(4)):
-                words = tokens(t)
-                own = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
-                rest = np.flatnonzero(own >= size)
-                tail = [{"word": x.decode(), "n": n} for x, n in Counter(words[i] for i in rest.tolist()).items()]
-                for x, v in zip(out, (len(words), len(words) - len(rest), float(logs[np.minimum(own, size)].sum()), own.tobytes(), tail), strict=True):
-                    x.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), tail_kind)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "row", "part", "held_out", "n_tokens", "known", "logs", "codes", "tail"])
+        for b in byte_slices(batches, 4, SLICE_BYTES):
+            words, offsets = words_of(b.column(4))
+            words = words.dictionary_encode()
+            different = pa.concat_arrays([words.dictionary, pa.array([END.decode()], pa.large_string())])
+            of = np.fromiter(map(codes.__getitem__, different.view(pa.large_binary()).to_pylist()), np.int32, len(different))
+            # Each text's end token stands behind its words.
+            stops = offsets[1:] + np.arange(1, b.num_rows + 1)
+            starts, inner = np.append(0, stops[:-1]), np.ones(stops[-1], bool)
+            inner[stops - 1] = False
+            places = np.full(len(inner), len(different) - 1, np.int32)
+            places[inner] = words.indices.to_numpy()
+            own = of.take(places)
+            rest = own >= size
+            in_rest = np.append(0, np.cumsum(rest))[np.append(0, stops)]
+            tail = pa.ListArray.from_arrays(pa.array(in_rest, pa.int32()), different.take(pa.array(places[rest])).cast(pa.string()))
+            kept = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(pa.array(4 * np.append(0, stops), pa.int32()).to_numpy()), pa.py_buffer(own)])
+            sums = np.add.reduceat(logs.take(np.minimum(own, size)), starts)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(stops - starts), pa.array(stops - starts - np.diff(in_rest)), pa.array(sums), kept, tail], names=["doc_id", "row", "part", "held_out", "n_tokens", "known", "logs", "codes", "tail"])
+        pa.default_memory_pool().release_unused()
 
     key = F.col(id_col).cast("long")
     held = remainder(key, MODULUS) == HELD_OUT
     own = docs.select(key.alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64(key, F.length(text_col)), F.lit(ROUNDS)).alias("part"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return cut(own.mapInArrow(run, "doc_id long, row long, part long, held_out boolean, n_tokens long, known long, logs double, codes binary, tail array<struct<word:string,n:long>>"), "codes")
+    return cut(own.mapInArrow(run, "doc_id long, row long, part long, held_out boolean, n_tokens long, known long, logs double, codes binary, tail array<string>"), "codes")
 
 
 def lists_for(all_tokens: int, weights: int, cores: int) -> int:
@@ -365,8 +401,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, head_words: int = HEAD_WO
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(total)], names=["doc_id", "row", "held_out", "n_tokens", "known", "logs", "model"])
 
     # The logs of the counts of words outside the head come from a join.
-    rest = coded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
-    found = rest.join(counts, "word").groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("l"))
+    rest = coded.select("row", F.explode("tail").alias("word"))
+    found = rest.join(counts, "word").groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log10(F.col("c") + 1)).alias("l"))
     model = coded.select("doc_id", "row", "held_out", "n_tokens", "known", "logs", "codes").mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, known long, logs double, model double")
     base = -np.log10(head.all_tokens + head.all_words + 1)
     logs = F.coalesce("l", F.lit(0.0))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.llm.common import claim, cut, keeps, text_bytes
+from auditlake.llm.common import byte_slices, claim, cut, keeps, text_bytes
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -176,16 +176,6 @@ def word_ids(path: str, kept_words: int = MAX_WORDS) -> WordIds:
 keeps("packing", word_ids.cache_clear)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Rows in parts of about SLICE_BYTES of text."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), b.num_rows]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if i < j:
-                yield b.slice(i, j - i)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", kept_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32: every document with its end id, cut only where it is longer than capacity."""
 
@@ -193,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         claim("packing")
         encode = word_ids(tokenizer_path, kept_words).ids
         end = np.array([END_ID], "<u4").tobytes()
-        for b in sliced(batches, 2):
+        for b in byte_slices(batches, 2, SLICE_BYTES):
             out: list[list] = [[] for _ in range(6)]
             for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encode(text_bytes(b.column(2))), strict=True):
                 size = len(t) + len(end)

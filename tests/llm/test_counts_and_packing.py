@@ -168,14 +168,13 @@ def test_words_with_marks_at_their_ends_are_encoded_once_for_all():
     assert set(words.known) - {""} == {*stems, ".", "###", ".$$", "!?"}
 
 
-def test_parts_of_batches_follow_their_bytes(monkeypatch):
+def test_parts_of_batches_follow_their_bytes():
     import pyarrow as pa
 
-    from auditlake.llm import packing
+    from auditlake.llm.common import byte_slices
 
-    monkeypatch.setattr(packing, "SLICE_BYTES", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(["abcd", None, "e" * 30, "", "fghij", "k", "l" * 9])], names=["text"])
-    got = [b.column(0).to_pylist() for b in packing.sliced(iter([batch, batch.slice(0, 0)]), 0)]
+    got = [b.column(0).to_pylist() for b in byte_slices(iter([batch, batch.slice(0, 0)]), 0, 10)]
     assert sum(got, []) == batch.column(0).to_pylist() and len(got) > 2 and all(sum(len(t or "") for t in x) < 20 or len(x) <= 3 for x in got)
 
 

@@ -312,6 +312,64 @@ def test_any_number_of_lists_merges_to_their_average(spark, monkeypatch):
     assert many.shape == weights.shape and np.isfinite(many).all() and not np.allclose(many, weights) and np.abs(many - weights).max() <= max(np.abs(a - weights).max() for a in alone) + 1
 
 
+def test_words_of_many_texts_at_once():
+    """As the tokens of each text, whatever white space there is; each different word is looked up once."""
+    import pyarrow as pa
+
+    texts = ["", " ", "\n\t", " A b ", "b  B\u00c9 \u00c9\x0b", "x\x1cy\x85z\u00a0\u3000w", "a\x0cb\r\n", "\u0130I"] * 3
+    words, offsets = maxent_lm.words_of(pa.array(["skipped", *texts]).slice(1))
+    flat = [w.encode() for w in words.to_pylist()]
+    assert [[*flat[i:j], b"\n"] for i, j in zip(offsets, offsets[1:], strict=False)] == [tokens(t.encode()) for t in texts]
+
+
+def test_codes_count_and_look_up_each_different_word_once(spark, monkeypatch):
+    texts = ["", None, " ", "a b a", "zz a\tZZ qq", "b " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    counts = {r["word"]: r["c"] for r in maxent_lm.word_counts(docs.select("text")).collect()}
+    assert counts == Counter(w.decode() for t in texts for w in tokens((t or "").encode()))
+    head, asked = Head([b"a", b"\n"], np.array([3, 6]), 64, 5, np.ones((16, 2), np.int64)), spark.sparkContext.accumulator(0)
+    codes = maxent_lm.Codes(head)
+
+    class Asked(maxent_lm.Codes):
+        def __getitem__(self, word):
+            asked.add(1)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(maxent_lm, "opened", lambda sent: (head, Asked(head)))
+    got = {r["doc_id"]: r for r in maxent_lm.encode(docs, None, "doc_id", "text").collect()}
+    assert asked.value == 5
+    for i, t in enumerate(texts):
+        own = tokens((t or "").encode())
+        assert np.frombuffer(got[i]["codes"], np.int32).tolist() == [codes[w] for w in own]
+        assert Counter(got[i]["tail"]) == Counter(w.decode() for w in own if w not in (b"a", b"\n"))
+        assert (got[i]["n_tokens"], got[i]["known"]) == (len(own), sum(w in (b"a", b"\n") for w in own))
+        assert np.isclose(got[i]["logs"], sum({b"a": np.log10(4), b"\n": np.log10(7)}.get(w, 0) for w in own))
+
+
+@pytest.mark.parametrize("large", [0.0, 300.0])
+def test_a_step_takes_the_gradient_of_the_softmax(large):
+    """Against rows one by one, also where logits are beyond what single precision's exponentials hold."""
+    r = np.random.default_rng(6)
+    weights, squares = r.normal(0, 1, (12, 5)), r.uniform(1, 2, (12, 5))
+    weights[3] += [large, 0, -large, 0, large / 2]
+    bias, rows, goal = r.normal(0, 1, (40, 5)), r.integers(0, 4, (3, 40)) + np.array([[0], [4], [8]]), r.integers(0, 5, 40)
+    rows[0, 0], goal[0] = 3, 1
+    z = weights[rows].sum(axis=0) + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(40), goal] -= 1
+    want, seen = weights.copy(), squares.copy()
+    for k in range(12):
+        at = (rows[k // 4] == k).nonzero()[0]
+        if len(at):
+            g = p[at].sum(axis=0) / np.sqrt(len(at))
+            seen[k] += g * g
+            want[k] -= 0.4 * g / np.sqrt(seen[k])
+    w, s = weights.astype(np.float32), squares.astype(np.float32)
+    maxent_lm.step(w, s, bias.astype(np.float32), rows, goal, 0.4)
+    assert np.allclose(w, want, atol=2e-4) and np.allclose(s, seen, atol=2e-4)
+
+
 def test_search_holds_what_no_long_holds(spark):
     from auditlake.llm.topk import top_k
 
